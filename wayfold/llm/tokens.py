@@ -54,11 +54,12 @@ class ChunkTable:
     ``make(chunks, joined)`` gives the numbers of a list of chunks, flat, and how many each has. ``joined`` says that each
     chunk begins with a space and has no white space at its end, so that all can be encoded as one text."""
 
-    def __init__(self, make: Callable[[list[bytes], bool], tuple[np.ndarray, np.ndarray]], dtype: str = "<u4") -> None:
-        self.make, self.dtype = make, dtype
+    def __init__(self, make: Callable[[list[bytes], bool], tuple[np.ndarray, np.ndarray]], dtype: str = "<u4", block_bytes: int = BLOCK_BYTES) -> None:
+        self.make, self.dtype, self.block_bytes = make, dtype, block_bytes
         self.clear()
 
     def clear(self) -> None:
+        self.epoch = object()  # another one whenever rows are numbered anew
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.order = np.zeros(0, np.int64)  # the row of each key
         self.flat = np.zeros(0, self.dtype)
@@ -104,7 +105,7 @@ class ChunkTable:
         while i < len(texts):
             if len(self.keys) > REMEMBERED:
                 self.clear()
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + self.block_bytes, "right")) - 1)
             data = everything[offsets[i] : offsets[j]]
             limits = offsets[i : j + 1] - offsets[i]
             starts = _chunk_starts(data, limits)
