@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import licenses
 from .common import table
 
 
@@ -37,21 +39,42 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_classes
 
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source stands for the site, source and language for its section: documents have no addresses."""
+    from .site_quality import site_quality
+
+    section = F.concat_ws("/", F.col("source"), F.col("lang"))
+    return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), section)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op5_exact_dedup, op7_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_site_quality, op9_license_scan, op10_quality_rules)}
 
 ORACLE_SQL = {
+    "op9_license_scan": licenses.oracle_sql(),
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
