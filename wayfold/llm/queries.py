@@ -33,6 +33,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -71,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_site_quality, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op4_html_text, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_site_quality, op9_license_scan, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op9_license_scan": licenses.oracle_sql(),
