@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import functools
+
+from wayfold.operators import load
+from wayfold.plans.relation import CATALOG
+
+load()
+QUERIES: dict = {name: functools.partial(CATALOG.build, name) for name in CATALOG.queries}
+ORACLE_SQL: dict = {name: CATALOG.oracle(name) for name in CATALOG.queries}

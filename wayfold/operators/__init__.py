@@ -1 +1,10 @@
-"""Operators of the ride analytics engine."""
+"""Operators of the ride analytics engine: relations over telemetry, roads, cells, riders and forecasts."""
+
+
+def load() -> None:
+    """Registers all relations."""
+    import importlib
+
+    importlib.import_module("wayfold.plans.derive")
+    for name in ("grid", "crowd", "scoring"):
+        importlib.import_module(f"wayfold.operators.{name}")
