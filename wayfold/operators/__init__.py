@@ -6,5 +6,5 @@ def load() -> None:
     import importlib
 
     importlib.import_module("wayfold.plans.derive")
-    for name in ("grid", "crowd", "scoring"):
+    for name in ("grid", "crowd", "scoring", "riders", "places"):
         importlib.import_module(f"wayfold.operators.{name}")

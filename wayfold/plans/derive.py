@@ -57,8 +57,8 @@ SELECT s_suppkey AS poi_id, s_name AS name, CASE s_nationkey % 4 WHEN 0 THEN 'la
 FROM {supplier}
 """, query=False)
 add("forecast", """
-SELECT h, avg_v / 8.0 AS temp, CASE WHEN n % 13 = 0 THEN NULL ELSE (n * 17) % 100 * 1.0 END AS pop, CASE WHEN n % 5 = 0 THEN (n % 7) / 5.0 ELSE 0.0 END AS precip,
-       CASE WHEN n % 11 = 0 THEN NULL ELSE 10.0 + (n * 7) % 50 END AS gust, hour(h) BETWEEN 6 AND 20 AS is_day, CASE WHEN n % 29 = 0 THEN 71 ELSE 3 END AS weather_code
+SELECT h, round(8.0 + avg_v / 8.0, 3) AS temp, CASE WHEN n % 13 = 0 THEN NULL ELSE (n * 7) % 45 * 1.0 END AS pop, CASE WHEN n % 5 = 0 THEN (n % 7) / 5.0 ELSE 0.0 END AS precip,
+       CASE WHEN n % 11 = 0 THEN NULL ELSE 10.0 + (n * 5) % 35 END AS gust, hour(h) BETWEEN 6 AND 20 AS is_day, CASE WHEN n % 29 = 0 THEN 71 ELSE 3 END AS weather_code
 FROM (SELECT date_trunc('hour', ts) AS h, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS avg_v FROM {events} GROUP BY date_trunc('hour', ts))
 """, query=False)
 add("sunset", "SELECT d, d + INTERVAL 19 HOUR AS sunset FROM (SELECT DISTINCT date_trunc('day', h) AS d FROM {forecast})", query=False)
