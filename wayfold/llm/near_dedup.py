@@ -7,10 +7,10 @@ two sketches agree with the probability Jaccard similarity of the weighted sets.
 (a pair at 0.8 is missed with a probability of 3e-6), and exact Jaccard similarity of the shingle sets, at 0.8 or more,
 verifies them. Classes are the connected components of the verified pairs.
 
-No bucket emits all its pairs. Equal texts are one node. In each bucket the members meet the bucket's leader, first by
-one order of all nodes, then by others, but only buckets whose members aren't in one component yet go on. What is left
-after ``ROUNDS`` rounds is settled exactly: pairs of different components that share at least two buckets (at 0.8 a pair
-shares fewer with a probability of 5e-5) are verified as well.
+No bucket emits all its pairs. Equal texts are one node. In each bucket the members meet the bucket's leader, the
+one that has most company in all its buckets, as an original has among its copies. Only buckets whose
+members aren't in one component yet go on; they are settled exactly, in blocks of bounded size, by tasks that compare
+sketches, verify what is close enough and return only the links that connect what wasn't connected yet.
 
 Defined results: null and empty texts are equal texts without words and form one class; texts of fewer than five words
 have one shingle, all their words; equal texts, repeated rows included, are in one class; a class is named by its smallest
@@ -38,7 +38,10 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND = 32, 5
 PLACES = BANDS * BAND
-ROUNDS = 3
+ROUNDS = 1
+#: Nodes of a bucket that meet in one place, and places in which two sketches must agree to be verified there: at 0.8, 128
+#: agree on average, and fewer than this with a probability of 1e-4.
+BLOCK, AGREE = 512, 109
 #: Pairs that are sent to all executors rather than dealt out, at most.
 FEW_PAIRS = 20_000
 
@@ -139,18 +142,20 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """node (a hash of the whole text), doc_id and bands (array of long) of each document."""
+    """node (a hash of the whole text), doc_id, bands (array of long) and sketch of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             nodes = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in batch.column(1).to_pylist()]
-            keys = band_keys(sketches(*weighted(*shingles(batch.column(1))), n))
+            places = sketches(*weighted(*shingles(batch.column(1))), n)
+            keys = band_keys(places)
+            short = [x.tobytes() for x in (places >> np.uint64(32)).astype("<u4")]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0), bands], names=["node", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0), bands, pa.array(short, pa.binary())], names=["node", "doc_id", "bands", "sketch"])
 
-    return docs.mapInArrow(run, f"node long, doc_id {kind}, bands array<long>")
+    return docs.mapInArrow(run, f"node long, doc_id {kind}, bands array<long>, sketch binary")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -166,15 +171,18 @@ def _text_node(column: pa.Array) -> pa.Array:
     return pa.array([int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "little", signed=True) for x in column.to_pylist()], pa.int64())
 
 
+def _overlap(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sorted sets; 0 if their sizes alone rule it out."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return 0.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b)):
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out[i] = both / max(len(x) + len(y) - both, 1)
-    return pd.Series(out)
+    return pd.Series([_overlap(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 def _order(node: Column, seed: int) -> Column:
@@ -213,15 +221,78 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return half.where(_jaccard(F.col("h.x"), F.col("s.hashes")) >= SIMILARITY).select("h.a", "h.b")
 
 
+def _settled(left: DataFrame, sets: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Links (a, b) between components within the buckets of ``left`` (node, key, band, component).
+
+    A bucket is cut into blocks of about ``BLOCK`` nodes, and each two blocks meet once. A pair is looked at in its first
+    common bucket only, verified if its sketches agree in ``AGREE`` places, and passed over once its ends are connected, so
+    that a task returns a forest and never all pairs."""
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = left.join(sizes, "key").withColumn("i", F.pmod(_order(F.col("node"), 7), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("node", "key", "band", "component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
+    own = left.select("node").distinct()
+    info = sets.join(own, "node").join(sketched.join(own, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "node")
+    rows = placed.join(info, "node").select("key", "lo", "hi", "i", "band", "node", "component", "sketch", "hashes")
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        def groups():
+            held, name = [], None
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))):
+                    if row[:3] != name:
+                        if len(held) > 1:
+                            yield held
+                        held, name = [], row[:3]
+                    held.append(row[3:])
+            if len(held) > 1:
+                yield held
+
+        a_out, b_out = [], []
+        for group in groups():
+            block, band, node, component, sketch, hashes = zip(*group)
+            if len({top(c) for c in component}) == 1:
+                continue
+            places = np.array([np.frombuffer(x, "<u4") for x in sketch])
+            comp = np.array(component)
+            side = np.array(block)
+            for k in range(len(group) - 1):
+                rest = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
+                if min(block) != max(block):  # within a block, pairs meet where the block meets itself
+                    rest = rest[side[rest] != side[k]]
+                same = places[rest] == places[k]
+                agree = same.sum(axis=1)
+                common = same.reshape(len(rest), BANDS, BAND).all(axis=2)
+                good = np.flatnonzero((agree >= AGREE) & (common.argmax(axis=1) == band[k]))
+                for m in good[np.argsort(-agree[good], kind="stable")].tolist():
+                    other = int(rest[m])
+                    x, y = top(component[k]), top(component[other])
+                    if x != y and _overlap(hashes[k], hashes[other]) >= SIMILARITY:
+                        above[x] = y
+                        a_out.append(node[k])
+                        b_out.append(node[other])
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each document, and (node, component) of the nodes that have near duplicates among other texts.
 
     ``docs``: doc_id and text."""
     sketched = written(_sketched(docs), "sketches")
     nodes = sketched.select("node", "doc_id")
-    bands = sketched.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+    bands = sketched.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.posexplode("bands").alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = written(bands.join(sizes, "key"), "buckets")  # node, key of the buckets that hold several texts
+    shared = written(bands.join(sizes, "key"), "buckets")  # node, band, key of the buckets that hold several texts
     wanted = shared.select("node").distinct()
     sets = docs.select(_text_node(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").select("node", _shingle_sets(F.col("text")).alias("hashes"))
     sets = written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
@@ -229,19 +300,20 @@ def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links, labels, left = [], None, shared.withColumn("component", F.col("node"))
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
-            leaders = left.groupBy("key").agg(F.min_by(F.struct("node", "component"), _order(F.col("node"), step)).alias("leader"))
+            # the nodes with most company lead, which originals have among their copies; in further rounds, any
+            busy = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("busy"))
+            ranked = left.join(busy, "node").withColumn("rank", F.struct("busy", _order(F.col("node"), step)) if step == 0 else _order(F.col("node"), step))
+            leaders = ranked.groupBy("key").agg(F.max_by(F.struct("node", "component"), F.col("rank")).alias("leader"))
             pairs = left.join(leaders, "key").where("component <> leader.component").select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            links.append(checkpointed(_similar(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets)))
         else:
-            x, y = left.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), left.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "key").where("a > b AND ca <> cb").groupBy("a", "b").count().where("count >= 2").select("a", "b")
-        links.append(checkpointed(_similar(pairs, sets)))
+            links.append(checkpointed(_settled(left, sets, sketched)))
         labels = written(components(functools.reduce(DataFrame.unionByName, links)), "components")
         if step == ROUNDS:
             break
         placed = left.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        left = written(placed.join(mixed, "key").select("node", "key", "component"), "mixed-buckets")
+        left = written(placed.join(mixed, "key").select("node", "key", "band", "component"), "mixed-buckets")
     return nodes, labels
 
 
