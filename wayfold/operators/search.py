@@ -150,7 +150,7 @@ def budgeted(net: Network, start: int, goal: int, minutes: float, most: float =
 
 #: Flood, ring, reuse, return and overrun of a loop, all relative, for the three kinds of round trip.
 LOOPS = {
-    "segment": {"flood": 1.3, "ring": (0.6, 1.2), "reuse": 4.0, "over": 1.15, "per_octant": 2, "rank": "scenic"},
+    "segment": {"flood": 1.3, "ring": (0.6, 1.2), "reuse": 4.0, "over": math.inf, "per_octant": 2, "rank": "scenic"},
     "cell": {"flood": 1.25, "ring": (0.40, 0.85), "reuse": 4.0, "over": 1.15, "per_octant": 1, "rank": "hourly"},
     "road": {"flood": 1.1, "ring": (0.62, 1.0), "reuse": 12.0, "over": 1.08, "per_octant": 1, "rank": "middle"},
 }

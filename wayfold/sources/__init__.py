@@ -1 +1,90 @@
-"""Sources of the ride analytics engine."""
+"""Sources and sinks: telemetry CSV lakes, road tiles, points of interest, forecasts, and Parquet artefacts."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Columns of a telemetry file that are read; files may have more, in any order.
+TELEMETRY = {
+    "timestampinmillis": "t_ms bigint", "positionmapmatchedlatitude": "lat double", "positionmapmatchedlongitude": "lon double", "positionmapmatchedheading": "hdg double",
+    "positionrawelevation": "elev double", "ridingvehiclespeed": "speed double", "ridingabsbraking": "absb bigint", "ridingenginespeed": "rpm double", "ridinggear": "gear bigint",
+    "ridingthrottlevalue": "throttle double", "sensorsbankingangle": "lean double", "sensorsaccelerationlongitudinal": "acc double", "sensorsoutsidetemperature": "temp double",
+}
+
+
+def telemetry(spark: SparkSession, *paths: str, bbox: tuple | None = None) -> DataFrame:
+    """Samples of CSV files found recursively; bad numbers are null, a row without time or place is dropped, and the trip is
+    the file. Files are matched by column name, so each may lack columns or have others."""
+    header = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+    names = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).csv(list(paths)).columns
+    raw = header.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(list(paths))
+    columns = []
+    for source, spec in TELEMETRY.items():
+        name, kind = spec.split()
+        value = F.expr(f"try_cast(try_cast(`{source}` AS DOUBLE) AS {kind})") if source in names else F.lit(None).cast(kind)
+        columns.append(value.alias(name))
+    out = raw.select(F.col("_metadata.file_path").alias("trip"), *columns).where("t_ms IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
+    if bbox:
+        south, west, north, east = bbox
+        out = out.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    return out.where(~F.col("trip").contains("__MACOSX"))
+
+
+def ways(spark: SparkSession, *paths: str) -> DataFrame:
+    """Road ways of JSON tiles, each a list or an object with ``elements``; of ways in several tiles the last file's stays."""
+    element = "id bigint, type string, geometry array<struct<lat: double, lon: double>>, tags map<string, string>"
+    schema = f"elements array<struct<{element.replace('id bigint', 'id: bigint').replace('type string', 'type: string').replace('geometry array', 'geometry: array').replace('tags map', 'tags: map')}>>, {element}"
+    raw = spark.read.option("multiLine", True).schema(schema).json(list(paths)).withColumn("file", F.col("_metadata.file_path"))
+    wrapped = raw.where("elements IS NOT NULL").select("file", F.inline("elements"))
+    found = raw.where("elements IS NULL").select("file", "id", "type", "geometry", "tags").unionByName(wrapped).where("id IS NOT NULL AND geometry IS NOT NULL AND coalesce(type, 'way') = 'way'")
+    return found.groupBy("id").agg(F.max_by(F.struct("type", "geometry", "tags"), "file").alias("w")).select("id", "w.geometry", "w.tags")
+
+
+def points_of_interest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("multiLine", True).schema("name string, kind string, lat double, lon double, weight double, ele string").json(path)
+
+
+def forecast(spark: SparkSession, path: str) -> DataFrame:
+    """Hours of a forecast whose hourly values are parallel arrays."""
+    arrays = "time array<string>, temperature_2m array<double>, precipitation_probability array<double>, precipitation array<double>, wind_gusts_10m array<double>, weather_code array<bigint>, is_day array<bigint>"
+    raw = spark.read.option("multiLine", True).schema(f"hourly struct<{arrays.replace(' array', ': array')}>").json(path)
+    zipped = F.arrays_zip(*[F.col(f"hourly.{c.split()[0]}") for c in arrays.split(", ")])
+    x = raw.select(F.explode(zipped).alias("x"))
+    return x.select(F.col("x.time").cast("timestamp_ntz").alias("h"), F.col("x.temperature_2m").alias("temp"), F.col("x.precipitation_probability").alias("pop"), F.col("x.precipitation").alias("precip"), F.col("x.wind_gusts_10m").alias("gust"), F.col("x.weather_code").alias("weather_code"), (F.col("x.is_day") == 1).alias("is_day"))
+
+
+def signature(df_path: str, spark: SparkSession) -> str:
+    """A digest of the names, sizes and times of a folder's Parquet files: the key of what is derived from it."""
+    files = spark.read.parquet(df_path).select(F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_size").cast("string"), F.col("_metadata.file_modification_time").cast("string")).alias("f")).distinct()
+    return files.agg(F.sha2(F.array_join(F.sort_array(F.collect_set("f")), "\n"), 256)).first()[0]
+
+
+def publish(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Writes Parquet beside the target and swaps it in; an empty result leaves the old one in place and fails."""
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(fresh)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+    fs = target.getFileSystem(conf)
+    if spark.read.parquet(fresh).isEmpty():
+        fs.delete(new, True)
+        raise ValueError("the result is empty; the old one stays")
+    fs.delete(target, True)
+    if not fs.rename(new, target):
+        raise OSError(f"can't rename {fresh}")
+
+
+def cached(spark: SparkSession, key: str, folder: str, make) -> DataFrame:
+    """A derived table, made once for each key; what can't be read is made again."""
+    path = f"{folder.rstrip('/')}/{key}"
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001  absent or broken: both mean to make it
+        make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
