@@ -89,11 +89,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     digests = known_digests(spark, extra)
     sizes = [r[0] for r in digests.select("size").distinct().collect()]
-    lines = docs.select(F.col(id_col).alias("doc_id"), normal_lines(F.col(text_col)).alias("lines"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), normal_lines(F.col(text_col)).alias("lines"))
     whole = F.struct(F.array_join("lines", " ").alias("unit"), F.lit(True).alias("whole"))
     units = F.concat(F.array(whole), F.transform("lines", lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))))
     fit = F.filter(units, lambda u: F.length(u["unit"]).isin(sizes))
-    found = lines.select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(fit)).withColumn("digest", F.sha2("unit", 256))
+    found = lines.select("doc_id", "row", F.inline(fit)).withColumn("digest", F.sha2("unit", 256))
     hits = found.join(F.broadcast(digests), "digest")
     out = hits.groupBy("row", "doc_id").agg(
         F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("license_ids"),
