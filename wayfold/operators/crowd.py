@@ -78,6 +78,16 @@ def picked(value: str, q: float, even: bool = True) -> str:
     return f"max(CASE WHEN r = {ranked(q, 'n', even)} THEN {value} END)"
 
 
+def global_pick(name: str, source: str, value: str, tie: str, rank: str, out: str, scale: float = 1.0, where: str = "TRUE", default: str = "NULL") -> None:
+    """One row: the value at a rank (an expression over the count n) of a whole relation.
+
+    Counts of value ranges find the range that holds the rank; only its rows are sorted."""
+    bucket = f"CAST(floor(({value}) * {scale}) AS BIGINT)"
+    add(f"{name}_counts", f"SELECT {bucket} AS b, count(*) AS c FROM {{{source}}} WHERE {where} GROUP BY {bucket}", query=False)
+    add(f"{name}_range", f"SELECT b, {rank} - (upto - c) AS k FROM (SELECT b, c, sum(c) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(c) OVER () AS n FROM {{{name}_counts}}) WHERE upto - c < {rank} AND {rank} <= upto", query=False)
+    add(name, f"SELECT coalesce(max(CASE WHEN r = k THEN v END), {default}) AS {out} FROM (SELECT x.v, g.k, row_number() OVER (ORDER BY x.v, x.tie) AS r FROM (SELECT {value} AS v, {tie} AS tie, {bucket} AS b FROM {{{source}}} WHERE {where}) x JOIN {{{name}_range}} g ON g.b = x.b)", query=False)
+
+
 add("a6_bounded_samples", f"SELECT cell, round({picked('l', 0.5)}, 6) AS lean_p50, round({picked('l', 0.9)}, 6) AS lean_p90, round({picked('l', 0.95)}, 6) AS lean_p95 FROM (SELECT cell, abs(lean) AS l, row_number() OVER (PARTITION BY cell ORDER BY abs(lean), event_id) AS r, count(*) OVER (PARTITION BY cell) AS n FROM {{first32}}) GROUP BY cell")
 add("lean_ranks", "SELECT trip, abs(lean) AS l, row_number() OVER (PARTITION BY trip ORDER BY abs(lean), event_id) AS r, count(*) OVER (PARTITION BY trip) AS n FROM {tele}", query=False)
 add("a7_nearest_rank", f"SELECT trip, round({picked('l', 0.5)}, 6) AS p50, round({picked('l', 0.95)}, 6) AS p95 FROM {{lean_ranks}} GROUP BY trip")
@@ -95,7 +105,7 @@ add("a30_sustained_speed", "SELECT trip, round(CASE WHEN max(n) < 5 THEN max(v)
 
 # --- the cell graph -----------------------------------------------------------------------------------------------------
 add("cell_samples", f"SELECT *, {geo.packed('lat', 'lon')} AS code, CASE WHEN speed > 0 THEN speed WHEN v > 0 AND v < 200 THEN v ELSE 0.0 END AS spd FROM {{moved}}", query=False)
-add("region_speed", f"SELECT coalesce({picked('spd', 0.5)}, 40.0) AS region FROM (SELECT spd, row_number() OVER (ORDER BY spd, event_id) AS r, count(*) OVER () AS n FROM {{cell_samples}} WHERE spd > 0)", query=False)
+global_pick("region_speed", "cell_samples", "spd", "event_id", ranked(0.5), "region", 4.0, "spd > 0", "40.0")
 add("cell_edges", "SELECT code_a AS a, code_b AS b, CAST(count(DISTINCT trip) AS BIGINT) AS n_trips, avg(gap) AS gap_m, avg(dt / 1000.0) AS secs FROM (SELECT *, p_cy * 262144 + p_cx AS code_a, cy * 262144 + cx AS code_b FROM {gaps} WHERE fate = 'kept') GROUP BY code_a, code_b HAVING count(DISTINCT trip) >= 2", query=False)
 add("live", "SELECT DISTINCT code FROM (SELECT a AS code FROM {cell_edges} UNION ALL SELECT b FROM {cell_edges})", query=False)
 add("cell_lean", f"SELECT code, {picked('l', 0.5)} AS lean_p50, {picked('l', 0.9)} AS lean_p90, {picked('l', 0.95)} AS lean_p95 FROM (SELECT code, abs(lean) AS l, row_number() OVER (PARTITION BY code ORDER BY abs(lean), event_id) AS r, count(*) OVER (PARTITION BY code) AS n FROM {{cell_samples}}) GROUP BY code", query=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wayfold.functions import scores as S
 from wayfold.functions import geo
-from wayfold.operators.crowd import picked
+from wayfold.operators.crowd import global_pick, picked, ranked
 from wayfold.plans.relation import CATALOG
 
 add = CATALOG.add
@@ -48,10 +48,11 @@ add("a19_rider_mean", "SELECT feature, round(mean, 6) AS mean FROM {rider_means}
 add("f49_softmax_weights", "SELECT feature, round(z, 6) AS z, round(exp(greatest(-4.0, least(4.0, z)) / 0.6) / sum(exp(greatest(-4.0, least(4.0, z)) / 0.6)) OVER (), 6) AS w FROM (SELECT m.feature, (m.mean - b.mu) / coalesce(nullif(b.sd, 0.0), 1.0) AS z FROM {rider_means} m JOIN {baseline} b ON b.feature = m.feature)")
 add("style_ratios", "SELECT r.cell, r.lean_p95 / c.lean_p95 AS ratio FROM {a4_rider_cells} r JOIN {a2_cell_aggregate} c ON c.cell = r.cell WHERE r.n >= 5 AND c.lean_p95 >= 5.0", query=False)
 add("j4_rider_vs_crowd", "SELECT cell, round(ratio, 6) AS ratio FROM {style_ratios}")
-add("style", "SELECT coalesce(max(CASE WHEN r = CAST(floor(n / 2.0) AS BIGINT) + 1 THEN ratio END), 0.9) AS style_ratio, CAST(count(*) AS BIGINT) AS basis FROM (SELECT ratio, row_number() OVER (ORDER BY ratio, cell) AS r, count(*) OVER () AS n FROM {style_ratios})", query=False)
+global_pick("style_median", "style_ratios", "ratio", "cell", "(CAST(floor(n / 2.0) AS BIGINT) + 1)", "style_ratio", 50.0, "TRUE", "0.9")
+add("style", "SELECT m.style_ratio, n.basis FROM {style_median} m CROSS JOIN (SELECT CAST(count(*) AS BIGINT) AS basis FROM {style_ratios}) n", query=False)
 add("a10_style_ratio", "SELECT round(style_ratio, 6) AS style_ratio, basis FROM {style}")
 add("rider_curves", f"SELECT min(CASE WHEN acc >= 0.9 * total THEN curviness END) AS rider_p90 FROM (SELECT s.curviness, sum(r.metres) OVER (ORDER BY s.curviness, s.seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc, sum(r.metres) OVER () AS total FROM {{rider_segments}} r JOIN {{seg}} s ON s.seg_id = r.seg_id WHERE r.metres > 0)", query=False)
-add("crowd_curves", f"SELECT {picked('c', 0.9)} AS crowd_p90 FROM (SELECT curviness AS c, row_number() OVER (ORDER BY curviness, seg_id) AS r, count(*) OVER () AS n FROM {{seg}})", query=False)
+global_pick("crowd_curves", "seg", "curviness", "seg_id", ranked(0.9), "crowd_p90")
 add("rider_trips", "SELECT * FROM {a3_trip_aggregate} WHERE trip % 3 = 0", query=False)
 add("experience", "SELECT 0.3 * ln(1.0 + t.km / 500.0) + 0.3 * ln(1.0 + t.n / 20.0) + 0.2 * (q.lean_p95 / 35.0) + 0.2 * (r.rider_p90 / greatest(c.crowd_p90, 0.000001)) AS s FROM (SELECT sum(dist_m) / 1000.0 AS km, count(*) AS n FROM {rider_trips}) t CROSS JOIN {a5_rider_quantiles} q CROSS JOIN {rider_curves} r CROSS JOIN {crowd_curves} c", query=False)
 add("f45_experience", f"SELECT round(s, 3) AS score, {S.experience_gate('s')} AS level, {S.alpha_max('s')} AS alpha_max FROM {{experience}}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wayfold.functions import scores as S
-from wayfold.operators.crowd import ranked
+from wayfold.operators.crowd import global_pick, ranked
 from wayfold.plans.relation import CATALOG
 
 add = CATALOG.add
@@ -46,7 +46,7 @@ show("f15_travel_seconds", "seconds")
 show("f16_edge_cost", "cost_0", "cost_15", "cost_3", "cost_avoid")
 show("f17_long_straight", f"{S.seg_straight()} AS long_straight")
 show("f44_class_lookups", "class_scenic", "speed_assumed", f"{S.lookup('highway', S.ROAD_SPEED, 45.0)} AS road_speed", f"{S.lookup('highway', S.HIGHWAY_AVOIDANCE, 0.0)} AS avoidance", f"{S.lookup('highway', S.TRAFFIC_PRIOR, 0.12)} AS traffic_prior", f"{S.lookup('highway', S.OUTER_HIGHWAY, 1.0)} AS outer_cost")
-add("curviness_p70", f"SELECT max(CASE WHEN r = {ranked(0.70, 'n', False)} THEN c END) AS p70 FROM (SELECT coalesce(curviness, 0.0) AS c, row_number() OVER (ORDER BY curviness, seg_id) AS r, count(*) OVER () AS n FROM {{seg}})", query=False)
+global_pick("curviness_p70", "seg", "coalesce(curviness, 0.0)", "seg_id", ranked(0.70, "n", False), "p70")
 add("f14_curviness_p70", "SELECT p70 FROM {curviness_p70}")
 add("f13_capability_exclusion", f"SELECT seg_id, {S.seg_excluded(30.0, 0.9, 1.15)} AS excluded, {S.nz('curviness')} > p70 AS excluded_novice FROM {{seg}} CROSS JOIN {{curviness_p70}}")
 add("a34_excluded_count", "SELECT CAST(sum(CASE WHEN excluded THEN 1 ELSE 0 END) AS BIGINT) AS excluded, CAST(sum(CASE WHEN excluded_novice THEN 1 ELSE 0 END) AS BIGINT) AS excluded_novice FROM {f13_capability_exclusion}")
@@ -58,7 +58,10 @@ add("l10_first_by_key", "SELECT name, way_id, seg_id FROM (SELECT *, row_number(
 
 # --- the cell planner ----------------------------------------------------------------------------------------------------
 LEAN = 25.0
-add("cell_norms", "SELECT " + ", ".join(f"avg({k}) AS {k}_mu, stddev_samp({k}) AS {k}_sd" for k in ("lean_p50", "speed_med", "elev_m", "throttle")) + f", greatest({'max(CASE WHEN rb = i THEN abs_rate END)'}, 0.001) AS p95_brake, greatest(max(CASE WHEN rd = i THEN decel_rate END), 0.001) AS p95_decel FROM (SELECT *, CAST(floor(0.95 * (count(*) OVER () - 1)) AS BIGINT) + 1 AS i, row_number() OVER (ORDER BY abs_rate, code) AS rb, row_number() OVER (ORDER BY decel_rate, code) AS rd FROM {{cells}})", query=False)
+for _k, _n in (("abs_rate", "p95_brake"), ("decel_rate", "p95_decel")):
+    global_pick(_n, "cells", _k, "code", ranked(0.95, "n", False), _n, 200.0)
+_moments = ", ".join(f"avg({k}) AS {k}_mu, stddev_samp({k}) AS {k}_sd" for k in ("lean_p50", "speed_med", "elev_m", "throttle"))
+add("cell_norms", f"SELECT m.*, greatest(b.p95_brake, 0.001) AS p95_brake, greatest(d.p95_decel, 0.001) AS p95_decel FROM (SELECT {_moments} FROM {{cells}}) m CROSS JOIN {{p95_brake}} b CROSS JOIN {{p95_decel}} d", query=False)
 _z = lambda k: S.z(k, f"{k}_mu", f"{k}_sd")
 add("ridden", f"SELECT DISTINCT code FROM {{cell_samples}} WHERE trip % 3 = 0", query=False)
 add("cell_codes", "SELECT code, CAST(floor(floor(code / 262144.0) / 16.0) AS BIGINT) * 16384 + CAST(floor((code % 262144) / 16.0) AS BIGINT) AS coarse FROM {cells}", query=False)
@@ -82,7 +85,8 @@ add("q4_rider_weights", "SELECT feature, w FROM {f50_clip_weights}")
 # --- the cell planner drawn on roads ---------------------------------------------------------------------------------------
 _gy, _gx = "CAST(floor(lat / 0.018) AS BIGINT)", "CAST(floor(lon / 0.027) AS BIGINT)"
 add("junction_density", f"SELECT {_gy} AS gy, {_gx} AS gx, count(*) AS n FROM {{node}} x JOIN {{degree}} d ON d.node = x.node WHERE degree >= 3 GROUP BY {_gy}, {_gx}", query=False)
-add("urban", "SELECT gy, gx, least(1.0, n * 1.0 / greatest(top, 1)) AS urban FROM {junction_density} CROSS JOIN (SELECT max(CASE WHEN r = CAST(floor(0.95 * (c - 1)) AS BIGINT) + 1 THEN n END) AS top FROM (SELECT n, row_number() OVER (ORDER BY n, gy, gx) AS r, count(*) OVER () AS c FROM {junction_density}))", query=False)
+global_pick("urban_top", "junction_density", "n", "gy * 100000 + gx", ranked(0.95, "n", False), "top")
+add("urban", "SELECT gy, gx, least(1.0, n * 1.0 / greatest(top, 1)) AS urban FROM {junction_density} CROSS JOIN {urban_top}", query=False)
 add("a17_urbanness", "SELECT gy, gx, round(urban, 6) AS urban FROM {urban}")
 add("seg_cells", f"SELECT s.seg_id, c.code, c.value, CASE WHEN c.code IS NULL THEN 0.1 ELSE {S.cell_risk()} END AS risk, coalesce(c.lean_p95 - {LEAN} > {S.LEAN_MARGIN}, false) AS excluded, c.lean_p50, c.elev_m FROM (SELECT seg_id, CAST(floor((a_lat + 90.0) / 360.0 * 262144) AS BIGINT) * 262144 + CAST(floor((11.5 + (seg_id % 7) * 0.0006 + 180.0) / 360.0 * 262144) AS BIGINT) AS cell FROM {{seg}}) s LEFT JOIN {{cell_scores}} c ON c.code = s.cell", query=False)
 add("j3_segment_cells", "SELECT seg_id, code FROM {seg_cells}")
