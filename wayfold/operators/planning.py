@@ -77,15 +77,15 @@ def r9_time_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r10_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.plan(_requests(spark, (66, None, 15.0)), _net(spark, sf_dir), "round_trip", kind="segment")
+    return search.plan(_requests(spark, (66, None, 12.0)), _net(spark, sf_dir), "round_trip", kind="segment")
 
 
 def r11_cell_joyride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.plan(_requests(spark, (66, None, 15.0)), _net(spark, sf_dir), "round_trip", kind="cell")
+    return search.plan(_requests(spark, (66, None, 12.0)), _net(spark, sf_dir), "round_trip", kind="cell")
 
 
 def r12_road_joyride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.plan(_requests(spark, (66, None, 15.0)), _net(spark, sf_dir), "round_trip", kind="road")
+    return search.plan(_requests(spark, (66, None, 12.0)), _net(spark, sf_dir), "round_trip", kind="road")
 
 
 def r13_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,11 +148,11 @@ def budgeted(net: Network, start: int, goal: int, minutes: float, most: float =
     return [("Budget", best[1], best[2])] if best else []
 
 
-#: Flood, ring, reuse, return and overrun of a loop, all relative, for the three kinds of round trip.
+#: For the three kinds of round trip: flood and ring as parts of half the budget, reuse factor, overrun, bound of the way home.
 LOOPS = {
-    "segment": {"flood": 1.3, "ring": (0.6, 1.2), "reuse": 4.0, "over": math.inf, "per_octant": 2, "rank": "scenic"},
-    "cell": {"flood": 1.25, "ring": (0.40, 0.85), "reuse": 4.0, "over": 1.15, "per_octant": 1, "rank": "hourly"},
-    "road": {"flood": 1.1, "ring": (0.62, 1.0), "reuse": 12.0, "over": 1.08, "per_octant": 1, "rank": "middle"},
+    "segment": {"flood": 1.3, "ring": (0.6, 1.2), "reuse": 4.0, "over": math.inf, "home": math.inf, "km": 3, "per_octant": 2, "rank": "scenic"},
+    "cell": {"flood": 1.25, "ring": (0.40, 0.85), "reuse": 4.0, "over": 1.15, "home": 1.25, "km": 5, "per_octant": 1, "rank": "hourly"},
+    "road": {"flood": 1.1, "ring": (0.62, 1.0), "reuse": 12.0, "over": 1.08, "home": 1.25, "km": 5, "per_octant": 1, "rank": "middle"},
 }
 
 
@@ -163,7 +163,9 @@ def round_trip(net: Network, start: int, minutes: float, kind: str = "cell", alp
     cost = net.costs(alpha)
     _, elapsed, before = shortest(net, start, cost, most_seconds=half * own["flood"])
     lo, hi = own["ring"]
-    ring = [(n, t) for n, t in elapsed.items() if lo * half <= t <= hi * half]
+    ring = [(n, t) for n, t in elapsed.items() if lo * half <= t <= hi * half and n != start]
+    if kind == "segment" and not ring:
+        ring = [(n, t) for n, t in elapsed.items() if t > 0.3 * half]
     if kind == "road" and "urban" in net.seg:
         urban: dict[int, float] = {}
         for a, b, u in zip(net.seg["node_a"], net.seg["node_b"], net.seg["urban"]):
@@ -177,12 +179,12 @@ def round_trip(net: Network, start: int, minutes: float, kind: str = "cell", alp
     for turn in turns:
         there = path(before, start, turn)
         left = minutes * 60 - float(net.seconds[there].sum())
-        back = path(shortest(net, turn, cost, start, max(left, 60.0) * 1.25, frozenset(there), own["reuse"])[2], turn, start)
+        back = path(shortest(net, turn, cost, start, max(left, 60.0) * own["home"], frozenset(there), own["reuse"])[2], turn, start)
         if not there or not back:
             continue
         rows = there + back
         q = kpis(net, rows)
-        if q["km"] < 5 or q["minutes"] > minutes * own["over"]:
+        if q["km"] < own["km"] or q["minutes"] > minutes * own["over"]:
             continue
         if own["rank"] == "scenic":
             score = q["value"] - 0.4 * abs(q["minutes"] - minutes) / minutes
@@ -192,6 +194,11 @@ def round_trip(net: Network, start: int, minutes: float, kind: str = "cell", alp
             score = thirds(net, rows)[1] * (0.35 + 0.65 * min(1.0, q["minutes"] / minutes))
         out.append((score, turn, rows))
     out.sort(key=lambda x: (-x[0], x[1]))
+    if kind == "segment":  # one for each octant
+        first: dict[int, tuple] = {}
+        for x in out:
+            first.setdefault(int(bearing(net.place[start], net.place[x[1]]) // 45), x)
+        out = list(first.values())
     labels = ["Round trip", "Alternative", "Long way round"] + [f"Loop {i}" for i in range(4, 15)]
     return [(label, alpha, rows) for label, (_, _, rows) in zip(labels, out[:k])]
 
