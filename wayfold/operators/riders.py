@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from wayfold.functions import scores as S
-from wayfold.functions import geo
 from wayfold.operators.crowd import global_pick, picked, ranked
 from wayfold.plans.relation import CATALOG
 
