@@ -214,7 +214,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text.
 
     Ids are kept as rows of a chunk table; decoding goes from the ids of these rows."""
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, 1024, 8 << 20)
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import pyarrow as pa
@@ -9,14 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch carries to a Python worker. Texts are of any length, so both are bounded.
-BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bounds what a Python worker holds at once; results don't depend on it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+@functools.cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the machine: workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

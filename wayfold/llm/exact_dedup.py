@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, tune, written
+from .common import texts, trim, tune, written
 
 #: Bytes of distinct text in a table before it spills, and spill files at each level.
 TABLE_BYTES = 96 << 20
@@ -108,6 +108,7 @@ def grace(records: Iterator[tuple[bytes, tuple]], merge: Callable, finish: Calla
         for content, state in zip(contents.contents, states):
             yield from finish(content, state)
         del contents, states
+        trim()
         for f in files:
             if f is not None:
                 f.close()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tune
+from .common import trim, tune
 
 SAMPLE_ROWS = 600
 CENTROIDS = 4
@@ -162,6 +162,7 @@ def language_column(text: Column, model: Centroids | None) -> Column:
         best, score = model.predict(counts)
         none = counts.sum(axis=1) == 0
         score[none] = 0
+        trim()
         return pd.DataFrame({"lang_pred": np.where(none, UNKNOWN, langs[best]), "score": score.astype(float), "rejected": none | (score < model.limits[best])})
 
     return predicted(text)

@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, texts, tune, written
-from .tokens import span_hashes
+from .common import checkpointed, texts, trim, tune, written
+from .tokens import BLOCK_BYTES, span_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -66,7 +66,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     everything = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     out, rows, i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1)
         data, limits = everything[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         solid = ~_white()[data]
         before = np.concatenate([[False], solid[:-1]])
@@ -154,6 +154,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             short = [x.tobytes() for x in (places >> np.uint64(32)).astype("<u4")]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0), bands, pa.array(short, pa.binary())], names=["node", "doc_id", "bands", "sketch"])
+            trim()
 
     return docs.mapInArrow(run, f"node long, doc_id {kind}, bands array<long>, sketch binary")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import trim, tune
 
 #: At most about this many labelled rows are fitted, chosen by a hash of the identifier.
 SAMPLE_ROWS = 20_000
@@ -205,7 +205,9 @@ def statistics_column(text: Column) -> Column:
 
     @F.pandas_udf(_STATS)
     def measured(s: pd.Series) -> pd.DataFrame:
-        return statistics(s.fillna("").tolist())
+        out = statistics(s.fillna("").tolist())
+        trim()
+        return out
 
     return measured(text)
 
@@ -219,6 +221,7 @@ def quality_column(text: Column, forest: Forest | None) -> Column:
         out["base_failed"] = (out.n_words < MIN_WORDS) | (100 * out.n_repeat_words > MAX_REPEAT_PERCENT * out.n_words)
         out["score"] = forest.score(features(out)) if forest else None
         out["score"] = out["score"].astype(float)
+        trim()
         out["kept"] = ~out.base_failed & ((out.score >= forest.cut) if forest else True)
         return out
 

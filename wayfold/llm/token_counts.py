@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, tune
+from .common import texts, trim, tune
 
 #: Lengths of one range of the histogram.
 RANGE = 4096
@@ -41,6 +41,7 @@ def lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 ends = np.concatenate([[0], np.cumsum(table.sizes[chunks])])[np.concatenate([[0], last])]
                 n.append(np.diff(ends))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=["doc_id", "n_tokens"])
+            trim()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long")
 

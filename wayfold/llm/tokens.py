@@ -15,9 +15,9 @@ import numpy as np
 #: Unicode's White_Space, on which both tokenizer libraries agree. str.isspace() holds four control characters more.
 SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Chunks a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text that are taken apart at once, in whole texts.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
