@@ -137,6 +137,25 @@ def test_html(spark):
     assert html.unescape("&copy;") not in got[0].text
 
 
+def test_html_template_texts_inside_articles(spark):
+    from wayfold.llm import html_text
+
+    page = "<body><nav>menu</nav><article><h1>Title {i}</h1><p>First {i}</p><p>Write to us for <i>more</i></p><p>Second {i}</p><div>Terms hold</div></article></body>"
+    bare = "<body><article><p>Write to us for <i>more</i></p></article></body>"
+    pages = [(i, "http://a.example/x", page.replace("{i}", str(i))) for i in range(12)]  # one host has a template
+    pages += [(20 + i, "http://b.example/x", page.replace("{i}", str(i))) for i in range(3)]  # one has too few pages
+    pages += [(40 + i, "http://c.example/x", page.replace("{i}", "0")) for i in range(12)]  # and one has copies alone
+    pages += [(60, "http://a.example/y", bare)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    whole = "Title {i} First {i} Write to us for more Second {i} Terms hold"
+    for i in range(12):
+        assert got[i] == f"Title {i} First {i} Second {i}"
+        assert got[40 + i] == whole.replace("{i}", "0")
+    for i in range(3):
+        assert got[20 + i] == whole.replace("{i}", str(i))
+    assert got[60] == "Write to us for more"
+
+
 @pytest.mark.parametrize("limit", [1, 3000, 1 << 20])
 def test_exact(docs, rows, empty, limit):
     from wayfold.llm import exact_dedup

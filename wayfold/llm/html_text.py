@@ -1,15 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
 First pass: each page becomes tokens, which are elements by their path (tags, classes and ids from the root) and the
-texts of blocks outside the article. A token's occurrence vector over its host's pages is summed up as an order-free
+texts of blocks, those inside articles as a kind of their own. A token's occurrence vector over its host's pages is summed up as an order-free
 hash of (page, count), so vectors of any length are aggregated without gathering a host's pages anywhere. Tokens of one
 host with equal vectors form an equivalence class. A class is valid if it has at least two tokens and occurs on enough of
-the host's pages; classes nest by their share of pages, and together they are the host's template.
+the host's pages; classes nest by their share of pages, and together they are the host's template. A text inside an
+article needs more pages, and equal pages count once for it: what few pages or copies share there may be content.
 
 Second pass: what a template doesn't fix are its slots. A page's slots are the regions under its template elements; texts
 that belong to the template are no content. Slots under navigation, headers, footers, forms, notices, adverts, sidebars
 and reader comments are left out by the tags, roles and class names of their elements. If the page marks an article or
-main region, its slots are the text; otherwise slots that are mostly links are left out and the others are the text.
+main region, its slots are the text, without the texts of the template; an article that is nothing but such texts keeps
+them. Otherwise slots that are mostly links are left out and the others are the text.
 Hosts with too few pages have no template, and only the second part applies.
 
 Templates go to the executors whole while they are under ``TEMPLATE_BYTES``, and by a join on the host beyond that.
@@ -35,6 +37,8 @@ from .common import tune, written
 
 #: A template's classes occur on at least so many pages, and on this share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 4, 0.5
+#: A text inside an article is the template's from so many different pages on.
+LEAST_INSIDE = 8
 TEMPLATE_BYTES = 32 << 20
 MOST_LINKS = 0.5
 
@@ -139,28 +143,34 @@ def _clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def text_token(container: int, text: str, inside: bool) -> int:
+    """A block text's token; under -1 for texts inside articles."""
+    own = xxhash.xxh64_intdigest(f"{container} {text}", seed=1) >> 1
+    return -2 - (own >> 1) if inside else own
+
+
 def page_tokens(page: str) -> dict[int, int]:
-    """How often each token occurs: elements by path, and block texts outside articles."""
+    """How often each token occurs: elements by path, and block texts."""
     out: Counter[int] = Counter()
     seen: dict[int, Node] = {}  # by identity; held so that no identity is used again
     held: list[str] = []
-    where = 0
+    where, state = 0, (False, False)  # dropped, inside an article
 
     def text() -> None:
         if held and (own := _clean("".join(held))):
-            out[xxhash.xxh64_intdigest(f"{where} {own}", seed=1) >> 1] += 1
+            out[text_token(where, own, state[1])] += 1
         held.clear()
 
     for piece, stack, _, fresh in blocks(page):
-        if fresh:
+        now = (stack[-1].dropped, bool(stack[-1].article))
+        if fresh or state != now:
             text()
         for node in stack[1:]:
             if id(node) not in seen:
                 seen[id(node)] = node
                 out[node.path] += 1
-        if not stack[-1].article:
-            held.append(piece)
-            where = _container(stack)
+        held.append(piece)
+        where, state = _container(stack), now
     text()
     return out
 
@@ -195,8 +205,8 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     for above in (False, True):  # articles under dropped elements count only if there are no others
         inside = [f for f in found if f[6] and not f[4] and (above or not f[5])]
         if inside:
-            return " ".join(f[0] for f in inside)
-    rest = [f for f in found if not f[4] and not f[6] and xxhash.xxh64_intdigest(f"{f[1]} {f[0]}", seed=1) >> 1 not in template]
+            return " ".join(f[0] for f in [f for f in inside if text_token(f[1], f[0], True) not in template] or inside)
+    rest = [f for f in found if not f[4] and not f[6] and text_token(f[1], f[0], False) not in template]
     mass: Counter[int] = Counter()
     links: Counter[int] = Counter()
     for f in rest:
@@ -211,7 +221,7 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
 
-def templates(hosted: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(hosted: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_inside: int = LEAST_INSIDE) -> DataFrame:
     """host, tokens (array of long): the tokens of each host's valid equivalence classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +238,13 @@ def templates(hosted: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(vectors, pa.int64())], names=["host", "token", "vector"])
 
     rows = hosted.select("host", "html").mapInArrow(run, "host string, token long, vector long")
-    # equal pages cancel in an exclusive or, so the vector is a sum of halves as well
-    sums = rows.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor("vector").alias("x"), F.sum(F.shiftright("vector", 31)).alias("y"))
-    sums = written(sums, "tokens")
-    sizes = sums.where("token = -1").select("host", F.col("pages").alias("of"))
-    often = sums.where(F.col("pages") >= least_pages).where("token <> -1").join(sizes, "host").where(F.col("pages") >= least_share * F.col("of"))
+    # equal pages have equal vectors
+    kinds = rows.groupBy("host", "token", "vector").agg(F.count("*").alias("n"))
+    sums = kinds.groupBy("host", "token").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"), F.bit_xor("vector").alias("x"), F.sum(F.shiftright("vector", 31) * F.col("n")).alias("y"))
+    sums = written(sums.where((F.col("token") >= -1) | (F.col("kinds") >= least_inside)), "tokens")
+    sizes = sums.where("token = -1").select("host", F.col("pages").alias("of"), F.col("kinds").alias("kinds_of"))
+    often = sums.where(F.col("pages") >= least_pages).where("token <> -1").join(sizes, "host")
+    often = often.where(F.when(F.col("token") < -1, F.col("kinds") >= least_share * F.col("kinds_of")).otherwise(F.col("pages") >= least_share * F.col("of")))
     classes = often.groupBy("host", "pages", "x", "y").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= 2)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
