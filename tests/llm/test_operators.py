@@ -120,6 +120,36 @@ def test_language(spark, sf, docs, empty):
     assert language_id.language_filter(real).count() >= 0.99 * real.count()
 
 
+FOREIGN = [
+    "De regering heeft vandaag besloten dat de nieuwe wet op het onderwijs volgend jaar van kracht wordt en dat alle scholen zich daaraan moeten houden, ook als zij daar nog niet klaar voor zijn. ",
+    "O governo decidiu hoje que a nova lei sobre o ensino entra em vigor no próximo ano e que todas as escolas devem cumprir as regras, mesmo que ainda não estejam preparadas para isso. ",
+    "Regeringen har i dag beslutat att den nya lagen om undervisning ska träda i kraft nästa år och att alla skolor måste följa den, även om de ännu inte är redo för det. ",
+    "Il governo ha deciso oggi che la nuova legge sulla scuola entrerà in vigore il prossimo anno e che tutte le scuole dovranno rispettarla, anche se non sono ancora pronte. ",
+    "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. ",
+    "Hallitus on tänään päättänyt, että uusi koululaki tulee voimaan ensi vuonna ja että kaikkien koulujen on noudatettava sitä, vaikka ne eivät vielä olisi valmiita. ",
+    "Hükümet bugün yeni eğitim yasasının gelecek yıl yürürlüğe gireceğine ve tüm okulların buna uyması gerektiğine karar verdi, henüz hazır olmasalar bile. ",
+]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_language_rejects_what_it_has_not_learned(spark, sf, size):
+    import base64
+
+    from pyspark.sql import functions as F
+
+    from wayfold.llm import language_id
+
+    rng = random.Random(4)
+    odd = [t * n for t in FOREIGN for n in (1, 4)] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=600)), base64.b64encode(rng.randbytes(600)).decode()]
+    real = spark.read.parquet(f"{sf}/../{size}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(real)
+    assert all(model.languages.count(x) >= 2 for x in model.languages)
+    got = spark.createDataFrame([(t,) for t in odd], "text string").select("text", language_id.language_column(F.col("text"), model).alias("p")).collect()
+    assert [r.text[:40] for r in got if not r.p.rejected] == []
+    clean = real.where(language_id.held_out(F.col("doc_id")) & (F.length("text") > 0)).select("text", language_id.language_column(F.col("text"), model).alias("p")).toPandas()
+    assert clean.p.map(lambda r: r["rejected"]).mean() <= 0.01
+
+
 PAGE = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="/x">menu {i}</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; {i}</h1><p><b>One{i}<br><p>Two  <i>w</i>ord &lt;x&gt;</p><div class="comments">reader</div></article><footer>&copy; me</footer></body></html>'
 
 
