@@ -73,6 +73,56 @@ def test_packing(spark, docs, rows, empty):
     assert packing.pack(empty, JSON).count() == 0
 
 
+def thue_morse(n, swap=0):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """Texts that hashes by polynomials confuse, and words without a place to cut."""
+    rng = random.Random(9)
+    texts = [thue_morse(n, k) for n in (1024, 4096) for k in (0, 1)]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "=" * 700_001, "abc" * 300_001, "x1y2 " * 100_000, "".join(rng.choices("ab", k=3)) + "-=" * 2_500_000]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+
+def tiktoken_ids(texts):
+    import tiktoken
+
+    from wayfold.llm.tokens import read_ranks
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    return [enc.encode_ordinary(x or "") for x in texts]
+
+
+def test_long_and_colliding_texts(spark, long_texts):
+    from wayfold.llm import bpe, packing, token_counts
+
+    texts, docs = long_texts
+    ids = tiktoken_ids(texts)
+    got = {r.doc_id: r for r in bpe.encoded_digests(docs, RANKS).collect()}
+    for i, (t, own) in enumerate(zip(texts, ids)):
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    cut = collections.defaultdict(list)
+    for r in sorted(packing.pieces(docs, JSON, keep_ids=True).collect(), key=lambda r: r.piece):
+        cut[r.doc_id] += r.ids
+    assert all(cut[i] == own + [2] for i, own in enumerate(ids))
+    assert {r.doc_id: r.n_tokens for r in token_counts.lengths(docs, JSON).collect()} == {i: len(x) for i, x in enumerate(ids)}
+
+
+def test_word_of_many_megabytes():
+    from wayfold.llm.bpe import Merger
+
+    rng = random.Random(1)
+    merger = Merger(RANKS)
+    word = "".join(rng.choices("abcdefgh", k=1000)) + "ab" * 2_500_000
+    own = merger.merge([word.encode()])[0]
+    assert merger.lengths[own].sum() == len(word)
+    head = tiktoken_ids([word[:400_000]])[0]
+    assert own[: len(head) - 50].tolist() == head[:-50]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_places_every_piece(seed):
     from wayfold.llm.packing import best_fit, plan
@@ -216,6 +266,8 @@ def test_token_counts(docs, rows, empty):
         assert r.tokens_cut_at == sum(min(x, limit) for x in n) and r.tokens_cut_at + r.tokens_lost_at == sum(n)
         assert abs(r.quantile - sum(x <= limit for x in n) / len(n)) < 1e-8
     assert token_counts.token_counts(empty, JSON).count() == 0
+    plan = token_counts.token_counts(docs, JSON)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # texts were encoded once, before
     assert len(token_counts.limit_totals(token_counts.histogram(token_counts.lengths(docs, JSON)), width=2).collect()) == len(got)
 
 

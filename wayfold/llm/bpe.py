@@ -2,22 +2,30 @@
 
 A text is cut by the vocabulary's pattern into words; each distinct word of a block is merged once. A word is a run
 of token-position rows. Every step of the recursive query joins neighbouring rows with the merge table, contracts each
-word's leftmost pair of least rank, and hands unfinished words on until no pair is left. In long words a step contracts
-all places of that pair that don't overlap: a contraction makes no pair of lower rank, so these would be the next steps.
-Decoding joins ids with the vocabulary and aggregates their bytes in order.
-
-Each worker has one DuckDB connection with one thread and bounded memory. Nothing is shuffled and a lost task starts
-again from its input.
-
-Defined results: null and empty texts have no ids and decode to nothing; texts are read whole; strings of special tokens
-are plain text; an id that isn't in the vocabulary fails the decoding; repeated rows give equal rows; other columns
-aren't read.
+word's leftmost pair of least rank, and hands unfinished words on until no pair is left. Decoding joins ids with the
+vocabulary and aggregates their bytes in order.
+
+A word may be as long as a text. Words of more than ``LONG`` bytes are cut into overlapping windows, which are merged like
+words and joined where two neighbours have the same token at the same place. That is exact: a sequence of tokens is what a
+word merges to if, and only if, each two neighbours are what their own bytes merge to, and the joined sequence has only
+pairs that stand side by side in some window. Neighbours without a common token are merged again as one window, so the
+work grows with the length of a word and not with its square. In such wider windows a step contracts all places of the pair
+that don't overlap: they would be the next steps. Both need that merges only lead to pairs of higher rank; a vocabulary is
+checked for that when the first long word comes, and its long words are merged whole, pair by pair, if it fails.
+
+Each worker has one DuckDB connection with one thread and bounded memory, which spills to the task's own temporary
+folder. Nothing is shuffled and a lost task starts again from its input.
+
+Defined results: null and empty texts have no ids and decode to nothing; texts and words of any length are read whole; of
+equal ranks the leftmost pair goes first; strings of special tokens are plain text; an id that isn't in the vocabulary fails
+the decoding; repeated rows give equal rows; no rows give no rows; other columns, of whatever name, aren't read.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +40,10 @@ from .tokens import ChunkTable, read_ranks
 #: Words merged by one query.
 WORDS = 60_000
 
-#: Words of more bytes take the query that contracts all places of a word's pair at once.
-LONG = 48
+#: Words of more bytes are merged in windows of ``WINDOW`` bytes, each half over the next. Where windows don't fit together,
+#: larger ones follow; half of each is a multiple of small numbers, as in a run of one symbol tokens stand at multiples of
+#: their length.
+LONG, WINDOW, WIDER = 96, 48, (3360, 40320)
 
 _MERGE = """
 WITH RECURSIVE t(k, id, live) AS (
@@ -42,16 +52,16 @@ WITH RECURSIVE t(k, id, live) AS (
     WITH pairs AS (
         SELECT k, id, lead(k) OVER o AS gone, lead(id) OVER o AS next FROM t WHERE live WINDOW o AS (ORDER BY k)),
     best AS MATERIALIZED (
-        SELECT p.k >> 24 AS word, min(m.rank::BIGINT << 24 | (p.k & 16777215)) AS head,
-               arg_min(p.gone, m.rank::BIGINT << 24 | (p.k & 16777215)) AS gone
+        SELECT p.k >> 32 AS word, min(m.rank::BIGINT << 32 | (p.k & 4294967295)) AS head,
+               arg_min(p.gone, m.rank::BIGINT << 32 | (p.k & 4294967295)) AS gone
         FROM pairs p JOIN merges m ON m.pair = (p.id::BIGINT << 17) | p.next
-        WHERE p.gone >> 24 = p.k >> 24 GROUP BY ALL)
-    SELECT t.k, CASE WHEN t.k & 16777215 = b.head & 16777215 THEN b.head >> 24 ELSE t.id END::INTEGER, b.word IS NOT NULL
-    FROM t LEFT JOIN best b ON b.word = t.k >> 24
+        WHERE p.gone >> 32 = p.k >> 32 GROUP BY ALL)
+    SELECT t.k, CASE WHEN t.k & 4294967295 = b.head & 4294967295 THEN b.head >> 32 ELSE t.id END::INTEGER, b.word IS NOT NULL
+    FROM t LEFT JOIN best b ON b.word = t.k >> 32
     WHERE t.live AND t.k IS DISTINCT FROM b.gone
   )
 )
-SELECT k >> 24 AS word, id FROM t WHERE NOT live ORDER BY k
+SELECT k >> 32 AS word, id FROM t WHERE NOT live ORDER BY k
 """
 
 _MERGE_LONG = """
@@ -62,9 +72,9 @@ WITH RECURSIVE t(k, id, nk, live) AS (
         SELECT a.k, a.nk AS gone, b.nk AS after, m.rank, a.id AS l, b.id AS r
         FROM t a JOIN t b ON b.k = a.nk JOIN merges m ON m.pair = (a.id::BIGINT << 17) | b.id
         WHERE a.live),
-    best AS (SELECT k >> 24 AS word, min(rank) AS rank FROM pairs GROUP BY ALL),
+    best AS (SELECT k >> 32 AS word, min(rank) AS rank FROM pairs GROUP BY ALL),
     hits AS MATERIALIZED (
-        SELECT p.* FROM pairs p JOIN best b ON b.word = p.k >> 24 AND b.rank = p.rank),
+        SELECT p.* FROM pairs p JOIN best b ON b.word = p.k >> 32 AND b.rank = p.rank),
     runs AS (
         SELECT h.*, p.k IS NOT NULL AS follows FROM hits h LEFT JOIN hits p ON p.gone = h.k),
     heads AS (
@@ -75,11 +85,11 @@ WITH RECURSIVE t(k, id, nk, live) AS (
         SELECT k, gone, after, rank FROM heads QUALIFY row_number() OVER (PARTITION BY run ORDER BY k) % 2 = 1)
     SELECT t.k, coalesce(c.rank, t.id), CASE WHEN c.k IS NULL THEN t.nk ELSE c.after END, b.word IS NOT NULL
     FROM t LEFT JOIN chosen c ON c.k = t.k
-           LEFT JOIN best b ON b.word = t.k >> 24
+           LEFT JOIN best b ON b.word = t.k >> 32
     WHERE t.live AND NOT EXISTS (SELECT 1 FROM chosen g WHERE g.gone = t.k)
   )
 )
-SELECT k >> 24 AS word, id FROM t WHERE NOT live ORDER BY k
+SELECT k >> 32 AS word, id FROM t WHERE NOT live ORDER BY k
 """
 
 _DECODE = """
@@ -88,6 +98,19 @@ FROM id_rows i JOIN vocabulary v ON v.id = i.id GROUP BY seq ORDER BY seq
 """
 
 
+def _windows(start: int, end: int, size: int) -> list[tuple[int, int]]:
+    """Windows of a size over a stretch, each half over the next."""
+    return [(a, min(a + size, end)) for a in range(start, max(end - size // 2, start + 1), size // 2)]
+
+
+def _common(ids: np.ndarray, begin: np.ndarray, other_ids: np.ndarray, other_begin: np.ndarray, end: int, start: int) -> np.ndarray:
+    """Where two windows have the same token, between the start of the second and the end of the first."""
+    low = np.searchsorted(begin, start)
+    high = np.searchsorted(other_begin, end)
+    places, left, right = np.intersect1d(begin[low:], other_begin[:high], assume_unique=True, return_indices=True)
+    return places[ids[low:][left] == other_ids[:high][right]]
+
+
 class Merger:
     """One DuckDB connection that holds a vocabulary and its merge table."""
 
@@ -99,7 +122,8 @@ class Merger:
         ranks = read_ranks(vocabulary)
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.folder = tempfile.TemporaryDirectory(prefix="merge-")  # of this worker, empty unless a query spills
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": self.folder.name})
         pairs, merged = [], []
         for token, rank in ranks.items():  # every way to make a token of two
             for cut in range(1, len(token)):
@@ -112,35 +136,93 @@ class Merger:
         self.db.register("merges_in", merges)
         self.db.register("names_in", names)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in; CREATE TABLE vocabulary AS SELECT * FROM names_in")
-        self.whole = {t: r for t, r in ranks.items()}
-
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, flat, and how many each has."""
-        flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        long = [w for w in words if len(w) > LONG]
-        if long and len(long) < len(words):  # apart, then in order again
-            ids, n = zip(*(self.merge(x) for x in ([w for w in words if len(w) <= LONG], long)))
-            kinds = np.array([len(w) > LONG for w in words])
-            begin, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            for kind in (0, 1):
-                counts[kinds == kind] = n[kind]
-                begin[kinds == kind] = np.cumsum(n[kind]) - n[kind] + kind * len(ids[0])
-            ends = np.cumsum(counts)
-            return np.concatenate(ids)[np.repeat(begin - ends + counts, counts) + np.arange(int(ends[-1]))], counts
-        for i in range(0, len(words), WORDS):
-            own = words[i : i + WORDS]
+        self.whole, self._regular = ranks, None
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
+
+    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word; long words by windows."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long or not self.regular():
+            return self.merge_whole(words)
+        kinds = set(long)
+        out = self.merge_whole([b"" if i in kinds else w for i, w in enumerate(words)])
+        for i in long:
+            out[i] = self.merge_windows(words[i])
+        return out
+
+    def merge_whole(self, words: list[bytes], query: str = _MERGE) -> list[np.ndarray]:
+        """The ids of each word, by a recursive query."""
+        out: list[np.ndarray] = []
+        i = 0
+        while i < len(words):
+            own, size = [], 0
+            while i < len(words) and len(own) < WORDS and (not own or size + len(words[i]) <= WORDS * 16):
+                own.append(words[i])
+                size += len(words[i])
+                i += 1
             lengths = np.array(list(map(len, own)), np.int64)
             data = np.frombuffer(b"".join(own), np.uint8)
             word = np.repeat(np.arange(len(own)), lengths)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            k = (word << 24) | pos
-            last = pos == lengths[word] - 1
-            rows = pa.table({"k": k, "id": self.byte_ids[data], "nk": pa.array(k + 1, mask=last)})
-            self.db.register("start_rows", rows)
-            out = self.db.execute(_MERGE_LONG if long else _MERGE).fetchnumpy()
-            flat.append(np.asarray(out["id"], np.int32))
-            sizes.append(np.bincount(np.asarray(out["word"], np.int64), minlength=len(own)))
-        return np.concatenate(flat), np.concatenate(sizes)
+            k = (word << 32) | pos
+            self.db.register("start_rows", pa.table({"k": k, "id": self.byte_ids[data], "nk": pa.array(k + 1, mask=pos == lengths[word] - 1)}))
+            got = self.db.execute(query).fetchnumpy()
+            ends = np.cumsum(np.bincount(np.asarray(got["word"], np.int64), minlength=len(own)))
+            out += np.split(np.asarray(got["id"], np.int32), ends[:-1])
+        return out
+
+    def merge_windows(self, word: bytes) -> np.ndarray:
+        """The ids of a long word, by windows that are joined at common tokens."""
+        spans = _windows(0, len(word), WINDOW)
+        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # ids, and the places where they begin
+        while True:
+            fresh = [s for s in spans if s not in known]
+            distinct = list(dict.fromkeys(word[a:b] for a, b in fresh))
+            small = [w for w in distinct if len(w) <= WINDOW]
+            ids = dict(zip(small, self.merge_whole(small)))
+            wide = [w for w in distinct if len(w) > WINDOW]
+            ids.update(zip(wide, self.merge_whole(wide, _MERGE_LONG)))
+            for a, b in fresh:
+                own = ids[word[a:b]]
+                known[a, b] = own, a + np.cumsum(self.lengths[own]) - self.lengths[own]
+            at, apart = [0], set()  # where each window's part begins, and windows that don't fit the next
+            for i, (left, right) in enumerate(zip(spans, spans[1:])):
+                both = _common(*known[left], *known[right], left[1], right[0])
+                at.append(int(both[len(both) // 2]) if len(both) else -1)
+                if not len(both):
+                    apart.add(i)
+            if not apart:
+                break
+            again, i = [], 0
+            while i < len(spans):
+                j = i
+                while j in apart:
+                    j += 1
+                if i == j:
+                    again.append(spans[i])
+                else:  # a run of windows that don't fit is cut into larger ones
+                    widest = max(b - a for a, b in spans[i : j + 1])
+                    again += _windows(spans[i][0], spans[j][1], next((w for w in WIDER if w > widest), len(word)))
+                i = j + 1
+            spans = again
+        parts = []
+        for span, a, b in zip(spans, at, [*at[1:], len(word)]):
+            own, begin = known[span]
+            parts.append(own[np.searchsorted(begin, a) : np.searchsorted(begin, b)])
+        return np.concatenate(parts)
+
+    def regular(self) -> bool:
+        """Whether every token with a pair of lower rank than one of its halves merges to itself without such pairs: then
+        no text ever comes to them, and the ranks of a text's merges never fall."""
+        if self._regular is None:
+            odd = [t for t, rank in self.whole.items() for c in range(1, len(t)) if max(self.whole.get(t[:c], -1), self.whole.get(t[c:], -1)) >= rank and t[:c] in self.whole and t[c:] in self.whole]
+            odd = list(dict.fromkeys(odd))
+            self.db.execute("ALTER TABLE merges RENAME TO all_merges; CREATE TABLE merges AS SELECT * FROM all_merges WHERE rank > greatest(pair >> 17, pair & 131071)")
+            own = self.merge_whole(odd)
+            self._regular = all(len(x) == 1 and x[0] == self.whole[t] for t, x in zip(odd, own))
+            self.db.execute("DROP TABLE merges; ALTER TABLE all_merges RENAME TO merges")
+        return self._regular
 
     def encode_chunks(self, chunks: list[bytes], joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks of text, flat, and how many each has; each distinct word is merged once."""
@@ -151,7 +233,9 @@ class Merger:
             found = self.find(chunk.decode())
             counts[i] = len(found)
             owner += [index.setdefault(w, len(index)) for w in found]
-        flat, sizes = self.merge([w.encode() for w in index])
+        each = self.merge([w.encode() for w in index])
+        flat = np.concatenate([np.zeros(0, np.int32), *each])
+        sizes = np.array(list(map(len, each)), np.int64)
         starts = np.cumsum(sizes) - sizes
         rows = np.array(owner, np.int64)
         own = sizes[rows]

@@ -7,8 +7,10 @@ leave is packed by best fit, decreasing, over the histogram. The plan has a few
 size. Each piece finds its place by its rank among the pieces of its length; ranks are counted in salted groups, so that a
 length that half of all pieces have is spread as well.
 
-Defined results: null and empty texts are the end token alone; repeated rows are packed each for itself; no rows give no
-rows; other columns aren't read. Sequence numbers are unique and otherwise without meaning.
+Defined results: null and empty texts are the end token alone; texts of any length are cut into as many pieces as they need;
+pieces of equal length take the places of that length in order of doc_id and piece; repeated rows are packed each for
+itself; no rows give no rows; other columns, of whatever name, aren't read. Sequence numbers are unique and otherwise
+without meaning.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from .common import texts, trim, tune, written
 
 CAPACITY = 1024
 END_ID = 2
-#: Added to fitted counts before their fraction is cut off.
-ROUND = 0.25
+#: What may be added to fitted counts before their fraction is cut off; the sum that leads to the fewest sequences is taken.
+ROUND = (-1.0, -0.5, 0.0, 0.25, 0.5)
 #: Pieces of one length that are ranked in one group, at least.
 GROUP_ROWS = 4096
 GROUPS = 500_000
@@ -83,8 +85,9 @@ def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
     return np.column_stack([a, b, c])[ok]
 
 
-def fit_counts(hist: np.ndarray, pats: np.ndarray, block: int = 96, rounds: int = 24) -> np.ndarray:
-    """Non-negative repeat counts of patterns by an active-set method that takes in ``block`` patterns at a time.
+def fit_counts(hist: np.ndarray, pats: np.ndarray, block: int = 96, tolerance: float = 0.05) -> np.ndarray:
+    """Non-negative repeat counts of patterns by an active-set method that takes in ``block`` patterns at a time, until no
+    pattern's gradient exceeds the tolerance or the residual falls no more.
 
     A length's residual weighs as much as the length: short pieces that are left over fill gaps, long ones make them."""
     size = len(hist)
@@ -101,12 +104,12 @@ def fit_counts(hist: np.ndarray, pats: np.ndarray, block: int = 96, rounds: int
 
     target = hist * weight
     residual = target.copy()
-    for _ in range(rounds):
+    while True:
         gradient = (residual * weight)[pats].sum(axis=1)
         gradient[used] = -np.inf
         taken, lengths = [], set()
         for j in np.argsort(-gradient)[: 40 * block]:
-            if gradient[j] < 0.05 or len(taken) == block:
+            if gradient[j] < tolerance or len(taken) == block:
                 break
             own = set(pats[j].tolist()) - {0}
             if not own & lengths:
@@ -131,8 +134,8 @@ def fit_counts(hist: np.ndarray, pats: np.ndarray, block: int = 96, rounds: int
             x[:] = 0
             active = [j for j, k in zip(active, keep) if k]
             x[active] = moved[keep]
-        residual = target - matrix(active) @ x[active] if active else target.copy()
-        if len(active) >= size:
+        before, residual = residual, target - matrix(active) @ x[active] if active else target.copy()
+        if len(active) >= size or residual @ residual >= (before @ before) * (1 - 1e-9):
             break
     return x
 
@@ -141,23 +144,26 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ..
     """Sequences as (lengths in order, number of such sequences); every piece of the histogram has one place."""
     left = hist.astype(np.int64).copy()
     left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
+    full = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
     pats = patterns(np.flatnonzero(left), capacity)
-    if len(pats):
-        x = fit_counts(left.astype(float), pats)
-        for j in np.argsort(-x):
-            n = int(np.floor(x[j] + ROUND))
-            if n < 1:
-                break
-            own = [int(v) for v in pats[j] if v]
-            n = min(n, *(int(left[v]) // own.count(v) for v in own))
-            if n:
-                out.append((tuple(own[::-1]), n))
-                for v in own:
-                    left[v] -= n
+    x = fit_counts(left.astype(float), pats) if len(pats) else np.zeros(0)
+    return full + min((_rounded(left, pats, x, r, capacity) for r in ROUND), key=lambda p: sum(n for _, n in p))
+
+
+def _rounded(hist: np.ndarray, pats: np.ndarray, x: np.ndarray, round_by: float, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences of the patterns by their rounded counts, and of what they leave by best fit."""
+    left, out = hist.copy(), []
+    for j in np.argsort(-x, kind="stable"):
+        n = int(np.floor(x[j] + round_by))
+        if n < 1:
+            break
+        own = [int(v) for v in pats[j] if v]
+        n = min(n, *(int(left[v]) // own.count(v) for v in own))
+        if n:
+            out.append((tuple(own[::-1]), n))
+            for v in own:
+                left[v] -= n
     return out + best_fit(left, capacity)
 
 

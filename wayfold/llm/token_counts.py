@@ -6,8 +6,8 @@ limit, and the limit's quantile. Limits between two lengths follow from the next
 each distinct length. Its suffix sums are taken in two steps, within ranges of lengths and over the ranges, so that no
 task holds all of it.
 
-Defined results: null and empty texts have length 0; repeated rows count each; no rows give no rows; other columns
-aren't read.
+Defined results: null and empty texts have length 0; texts of any length are encoded whole; equal lengths share a row;
+repeated rows count each; no rows give no rows; other columns, of whatever name, aren't read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, trim, tune
+from .common import texts, trim, tune, written
 
 #: Lengths of one range of the histogram.
 RANGE = 4096
@@ -75,4 +75,5 @@ def limit_totals(hist: DataFrame, width: int = RANGE) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return limit_totals(histogram(lengths(docs, vocabulary, id_col, text_col)))
+    """``limit_totals`` of all documents. The histogram, a row for each distinct length, is written, so that texts are encoded once."""
+    return limit_totals(written(histogram(lengths(docs, vocabulary, id_col, text_col)), "length-histogram"))

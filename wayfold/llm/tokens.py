@@ -2,7 +2,7 @@
 
 The pattern that splits text before merging never lets a match run from a character that isn't white space into white
 space that follows. A text can thus be cut before every run of white space, and the chunks encoded apart: chunks repeat,
-so a worker looks most of them up.
+so a worker looks most of them up. A look-up compares whole chunks, never hashes of them alone.
 """
 
 from __future__ import annotations
@@ -14,42 +14,18 @@ import numpy as np
 
 #: Unicode's White_Space, on which both tokenizer libraries agree. str.isspace() holds four control characters more.
 SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Chunks a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Chunks, and bytes of chunks, that a worker remembers; then it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 24 << 20
 #: Bytes of text that are taken apart at once, in whole texts.
 BLOCK_BYTES = 1 << 19
 
-_RNG = np.random.default_rng(20240229)
-_LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: White space beyond ASCII, by its last three bytes (two-byte characters: 0 first).
 _WIDE_WHITE = np.array([int.from_bytes(c.encode().rjust(3, b"\0"), "big") for c in SPACES if ord(c) > 127])
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 to the 64."""
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b)])) for b in (_BASE, _INVERSE))
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes, equal for equal spans wherever they stand."""
-    size = max(BLOCK_BYTES * 2, 1 << int(len(data)).bit_length())
-    powers, inverse = _powers(size)
-    with np.errstate(over="ignore"):
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * powers[: len(data)])])
-        h = (prefix[ends] - prefix[starts]) * inverse[starts]
-        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
-
-
 class ChunkTable:
-    """Rows of numbers for the chunks of texts, each distinct chunk made once and then looked up by a 64-bit hash.
+    """Rows of numbers for the chunks of texts. Each distinct chunk is made once and then looked up by its bytes, whole.
 
     ``make(chunks, joined)`` gives the numbers of a list of chunks, flat, and how many each has. ``joined`` says that each
     chunk begins with a space and has no white space at its end, so that all can be encoded as one text."""
@@ -60,40 +36,33 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.epoch = object()  # another one whenever rows are numbered anew
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.order = np.zeros(0, np.int64)  # the row of each key
+        self.index: dict[bytes, int] = {}  # the row of each chunk
+        self.held = 0
         self.flat = np.zeros(0, self.dtype)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
     def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The rows of chunks; new ones are made."""
-        hashes, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-        fresh = self.keys[at] != hashes if len(self.keys) else np.ones(len(hashes), bool)
-        if fresh.any():
-            s, e = starts[first[fresh]], ends[first[fresh]]
-            raw = data.tobytes()
-            chunks = [raw[a:b] for a, b in zip(s.tolist(), e.tolist())]
-            spaced = data[s] == 32
-            spaced &= ~_ends_white(data, e) & (e - s > 1) & ~_WHITE[data[np.minimum(s + 1, len(data) - 1)]]
-            flat, sizes = [], np.zeros(len(chunks), np.int64)
+        raw, index = data.tobytes(), self.index
+        own = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        fresh = [c for c in dict.fromkeys(own) if c not in index]
+        if fresh:
+            spaced = np.array([_spaced(c) for c in fresh])
+            flat, sizes = [], np.zeros(len(fresh), np.int64)
             for joined in (True, False):
-                own = np.flatnonzero(spaced == joined)
-                if len(own):
-                    values, sizes[own] = self.make([chunks[i] for i in own.tolist()], joined)
-                    flat.append((own, values))
+                rows = np.flatnonzero(spaced == joined)
+                if len(rows):
+                    values, sizes[rows] = self.make([fresh[i] for i in rows.tolist()], joined)
+                    flat.append((rows, values))
             order = np.concatenate([o for o, _ in flat])
-            begin = np.zeros(len(chunks), np.int64)
-            begin[order] = len(self.flat) + np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
-            rows = len(self.starts) + np.arange(len(chunks))
+            begin = np.zeros(len(fresh), np.int64)
+            begin[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+            index.update(zip(fresh, range(len(self.starts), len(self.starts) + len(fresh))))
+            self.held += sum(map(len, fresh))
             self.flat = np.concatenate([self.flat, *[v for _, v in flat]])
             self.starts, self.sizes = np.concatenate([self.starts, begin]), np.concatenate([self.sizes, sizes])
-            keys = np.concatenate([self.keys, hashes[fresh]])
-            by = np.argsort(keys, kind="stable")
-            self.keys, self.order = keys[by], np.concatenate([self.order, rows])[by]
-            at = np.searchsorted(self.keys, hashes)
-        return self.order[at][inverse]
+        return np.array([index[c] for c in own], np.int64)
 
     def blocks(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Of an Arrow string column: the first text of a block, the rows of its chunks, where each text's chunks end, and
@@ -103,7 +72,7 @@ class ChunkTable:
         everything = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         i = 0
         while i < len(texts):
-            if len(self.keys) > REMEMBERED:
+            if len(self.index) > REMEMBERED or self.held > REMEMBERED_BYTES:
                 self.clear()
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + self.block_bytes, "right")) - 1)
             data = everything[offsets[i] : offsets[j]]
@@ -129,6 +98,11 @@ class ChunkTable:
                 yield flat[a:b]
 
 
+def _spaced(chunk: bytes) -> bool:
+    """Whether a chunk begins with one space and has no white space at its end."""
+    return len(chunk) > 1 and chunk[0] == 32 and not _WHITE[chunk[1]] and not chunk.decode()[-1] in SPACES
+
+
 def _ends_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether white space stands before each place."""
     last = data[np.maximum(ends - 1, 0)]
