@@ -306,6 +306,60 @@ def test_near(spark, docs, rows, empty):
     assert {r.doc_id for r in kept.collect()} == {min(v) for v in named.values()}
 
 
+def test_near_decides_by_row(spark):
+    from wayfold.llm import near_dedup
+
+    rng = random.Random(8)
+    t = [words(rng, 60) for _ in range(4)]
+    rows = [(1, t[0], 0), (1, t[0], 1), (None, t[0], 2), (None, t[1], 3), (None, t[1], 4), (5, t[2], 5), (5, t[2] + " more", 6), (5, t[3], 7), (None, None, 8), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    got = near_dedup.near_classes(docs).collect()
+    assert sorted((str(r.class_id), r.class_size) for r in got) == sorted([("1", 3)] * 3 + [("None", 2)] * 2 + [("5", 2)] * 2 + [("5", 1)] + [("9", 2)] * 2)
+    assert sum(r.kept for r in got) == 5
+    kept = near_dedup.near_deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept) == ["1", "5", "5", "9", "None"]
+
+
+def test_near_links_unequal_repetition(spark):
+    """Pairs at 0.8 or more of which one side repeats a passage."""
+    from wayfold.llm import near_dedup
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = words(rng, 120).split()
+        rows.append((2 * i, " ".join(w)))
+        rows.append((2 * i + 1, " ".join(w + ["y", f"{i}"] + w[:30] * 9)))
+    want = brute_classes(rows)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(v != k for k, v in want.items()) == 60
+    assert {r.doc_id: r.class_id for r in got.collect()} == want
+
+
+def test_near_deals_out_hot_buckets(spark, monkeypatch):
+    """Texts that share half of their words and, some of them, nearly all; one text of many megabytes."""
+    from wayfold.llm import near_dedup
+
+    rng = random.Random(12)
+    passage, rows = words(rng, 60), []
+    for i in range(90):
+        own = words(rng, 40) if i % 3 else rows[-1][1][len(passage) + 1 :] + " end" if rows else words(rng, 40)
+        rows.append((i, f"{passage} {own}"))
+    rows.append((200, "many words here " * 300_000))
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
+
+
+def test_near_tells_colliding_words_apart(long_texts):
+    from wayfold.llm.near_dedup import shingles
+
+    h, rows = shingles(pa.array([thue_morse(1024), thue_morse(1024, 1)]))
+    assert len(set(h.tolist())) == 2 and rows.tolist() == [0, 1]
+
+
 def test_near_settles_what_leaders_leave(spark, monkeypatch):
     from wayfold.llm import near_dedup
 

@@ -39,11 +39,13 @@ def trim() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in local tests, is one made on this machine.
+    Only where it is unset and Spark runs on this machine alone, as in tests, is one made here.
     """
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import atexit
         import shutil
         import tempfile
@@ -83,6 +85,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is empty."""
     return [x or "" for x in column.to_pylist()]

@@ -1,49 +1,61 @@
 """Near-duplicate detection by ProbMinHash.
 
-A text is the set of its five-word shingles, each with the weight 1 + ln(times it occurs). Every shingle is a Poisson
+A text is the set of its five-word shingles. A shingle that occurs c times weighs 1.5 - 0.5 / c. Every shingle is a Poisson
 process whose arrivals, at the shingle's weight as rate, hit random places of the sketch; a place keeps the shingle of
 its first arrival, and a shingle is given up as soon as its next arrival comes too late for all places. The places of
-two sketches agree with the probability Jaccard similarity of the weighted sets. 32 bands of five places find candidates
-(a pair at 0.8 is missed with a probability of 3e-6), and exact Jaccard similarity of the shingle sets, at 0.8 or more,
-verifies them. Classes are the connected components of the verified pairs.
-
-No bucket emits all its pairs. Equal texts are one node. In each bucket the members meet the bucket's leader, the
-one that has most company in all its buckets, as an original has among its copies. Only buckets whose
-members aren't in one component yet go on; they are settled exactly, in blocks of bounded size, by tasks that compare
-sketches, verify what is close enough and return only the links that connect what wasn't connected yet.
+two sketches agree with the probability Jaccard similarity of the weighted sets. 32 bands of five places find candidates,
+and exact Jaccard similarity of the shingle sets, at 0.8 or more, verifies them. Classes are the connected components of
+the verified pairs.
+
+Both similarities are equal where shingles repeat alike, and a pair at 0.8 is then missed with a probability of 3e-6.
+Weights lie between 1 and 1.5, so that at a Jaccard similarity of 0.8 the other one is at least 0.64 however shingles
+repeat; even then banding finds 97 % of such pairs. Nothing but set sizes, which 0.8 bounds, goes before verification.
+
+No bucket emits all its pairs. Equal texts, by a digest of 128 bits, are one node. In each bucket the members meet the
+bucket's leader, the one that has most company in all its buckets, as an original has among its copies. Only buckets whose
+members aren't in one component yet go on; they are settled exactly, by tasks that verify pairs of a block of bounded size
+and return only the links that connect what wasn't connected yet. A bucket of more than a block is dealt out before by its
+members' rarest shingles: two sets that are similar enough have one in common among the rarest fifth of either, so texts
+that share a passage and nothing else don't meet again. Only members that share even that in great number and yet aren't
+connected meet block by block.
 
 Defined results: null and empty texts are equal texts without words and form one class; texts of fewer than five words
-have one shingle, all their words; equal texts, repeated rows included, are in one class; a class is named by its smallest
-identifier; a null identifier is a document like others; other columns are neither read nor needed. Shingles are
-compared by 64-bit hashes for sketches and by 32-bit hashes in verification.
+have one shingle, all their words; texts of any length are read whole; equal texts, repeated rows included, are in one
+class; a class is named by its smallest identifier and the row that has it stays, of several such rows one; a null
+identifier is a document like others and stays only if its class has no other; no rows give no rows; other columns, of
+whatever name, are neither read nor needed. Words are hashed to 64 bits, once for each distinct word; verification
+compares 32 bits of each shingle's hash, which changes the similarity of texts of n shingles by about n / 2**32.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, texts, trim, tune, written
-from .tokens import BLOCK_BYTES, span_hashes
+from .common import checkpointed, texts, trim, tune, unused, written
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND = 32, 5
 PLACES = BANDS * BAND
 ROUNDS = 1
-#: Nodes of a bucket that meet in one place, and places in which two sketches must agree to be verified there: at 0.8, 128
-#: agree on average, and fewer than this with a probability of 1e-4.
-BLOCK, AGREE = 512, 109
+#: Nodes of a bucket that meet in one place.
+BLOCK = 512
 #: Pairs that are sent to all executors rather than dealt out, at most.
 FEW_PAIRS = 20_000
+#: Bytes of text whose words are taken apart at once.
+BLOCK_BYTES = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,44 +67,59 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def _white() -> np.ndarray:
-    return np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a column of strings, and the row of each. Words are runs without ASCII white space."""
+    lists = pc.ascii_split_whitespace(column)
+    rows, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    solid = pc.not_equal(words, pa.scalar("", words.type))
+    coded = words.filter(solid).dictionary_encode()
+    kinds = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return kinds[coded.indices.to_numpy(zero_copy_only=False)], rows.filter(solid).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles of an Arrow string column, and the row of each; rows in order."""
-    column = column.cast("large_string")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    everything = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    out, rows, i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+def _parts(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Stretches of a column of bounded size, each with the row where it begins. A long text comes in parts, cut at white space."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1)
-        data, limits = everything[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        solid = ~_white()[data]
-        before = np.concatenate([[False], solid[:-1]])
-        first = limits[:-1][limits[1:] > limits[:-1]]
-        before[first] = False
-        starts = np.flatnonzero(solid & ~before)
-        after = np.concatenate([solid[1:], [False]])
-        after[first[1:] - 1] = False
-        ends = np.flatnonzero(solid & ~after) + 1
-        word = span_hashes(data, starts, ends)
-        row = np.searchsorted(limits, starts, "right") - 1
-        with np.errstate(over="ignore"):
-            for n in range(1, words + 1):  # whole shingles; shorter only where a text has no more words
-                if len(word) < n:
-                    break
-                h = np.zeros(len(word) - n + 1, np.uint64)
-                for k in range(n):
-                    h = _mix(h * _GOLD + word[k : len(word) - n + 1 + k])
-                own = row[: len(h)]
-                good = own == row[n - 1 :]
-                if n < words:
-                    count = np.bincount(row, minlength=j - i)
-                    good &= count[own] == n
-                out.append(h[good])
-                rows.append(own[good] + i)
+        j, size = i + 1, int(sizes[i])
+        while j < len(column) and size + sizes[j] <= BLOCK_BYTES:
+            size, j = size + int(sizes[j]), j + 1
+        if size <= BLOCK_BYTES:
+            yield i, column.slice(i, j - i)
+        else:
+            text, at = column[i].as_py(), 0
+            while at < len(text):
+                end = min(at + BLOCK_BYTES, len(text))
+                while end < len(text) and text[end] not in " \t\n\v\f\r":
+                    end += 1
+                yield i, pa.array([text[at:end]], pa.large_string())
+                at = end
         i = j
+
+
+def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of an Arrow string column, and the row of each; rows in order."""
+    found = [(h, rows + i) for i, part in _parts(column.cast(pa.large_string())) for h, rows in [_word_hashes(part)]]
+    word = np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in found]])
+    row = np.concatenate([np.zeros(0, np.int64), *[r for _, r in found]])
+    count = np.bincount(row, minlength=len(column))
+    out, rows = [], []
+    with np.errstate(over="ignore"):
+        for n in range(1, words + 1):  # whole shingles; shorter only where a text has no more words
+            if len(word) < n:
+                break
+            good = row[: len(word) - n + 1] == row[n - 1 :]
+            if n < words:
+                good &= count[row[: len(good)]] == n
+            at = np.flatnonzero(good)
+            h = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                h = _mix(h * _GOLD + word[at + k])
+            out.append(h)
+            rows.append(row[at])
+    if not out:
+        return word, row
     h, r = np.concatenate(out), np.concatenate(rows)
     order = np.argsort(r, kind="stable")
     return h[order], r[order]
@@ -104,7 +131,7 @@ def weighted(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     h, rows = h[order], rows[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]) if len(h) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    return h[at], rows[at], 1 + np.log(np.diff(np.append(at, len(h))))
+    return h[at], rows[at], 1.5 - 0.5 / np.diff(np.append(at, len(h)))
 
 
 def sketches(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
@@ -142,40 +169,35 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """node (a hash of the whole text), doc_id, bands (array of long) and sketch of each document."""
+    """row, doc_id, digest of the whole text (hi, lo), bands (array of long) and shingle set of each row of ``docs`` (row,
+    doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            nodes = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in batch.column(1).to_pylist()]
-            places = sketches(*weighted(*shingles(batch.column(1))), n)
-            keys = band_keys(places)
-            short = [x.tobytes() for x in (places >> np.uint64(32)).astype("<u4")]
+            digests = np.array([np.frombuffer(hashlib.blake2b(x.encode(), digest_size=16).digest(), "<i8") for x in batch.column(2).to_pylist()], np.int64).reshape(n, 2)
+            h, rows, weights = weighted(*shingles(batch.column(2)))
+            keys = band_keys(sketches(h, rows, weights, n))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0), bands, pa.array(short, pa.binary())], names=["node", "doc_id", "bands", "sketch"])
+            cuts = np.searchsorted(rows, np.arange(n + 1)).tolist()
+            short = (h >> np.uint64(32)).astype("<u4")
+            sets = pa.array([np.unique(short[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bands, sets], names=["row", "doc_id", "hi", "lo", "bands", "hashes"])
             trim()
 
-    return docs.mapInArrow(run, f"node long, doc_id {kind}, bands array<long>, sketch binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, hi long, lo long, bands array<long>, hashes binary")
 
 
-@F.arrow_udf(T.BinaryType())
-def _shingle_sets(column: pa.Array) -> pa.Array:
-    """Sorted distinct 32-bit hashes of each text's shingles."""
-    h, rows = shingles(column.fill_null(""))
-    cuts = np.searchsorted(rows, np.arange(len(column) + 1)).tolist()
-    return pa.array([np.unique((h[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
-
-
-@F.arrow_udf(T.LongType())
-def _text_node(column: pa.Array) -> pa.Array:
-    return pa.array([int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "little", signed=True) for x in column.to_pylist()], pa.int64())
+def _fits(a: int, b: int) -> bool:
+    """Whether two sets of these sizes can be similar enough."""
+    return min(a, b) >= SIMILARITY * max(a, b)
 
 
 def _overlap(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sorted sets; 0 if their sizes alone rule it out."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+    if not _fits(len(x), len(y)):
         return 0.0
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(len(x) + len(y) - both, 1)
@@ -186,6 +208,14 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_overlap(x, y) for x, y in zip(a, b)], dtype=float)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _members(column: pa.Array) -> pa.Array:
+    """The hashes of sets, as numbers."""
+    sets = [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)))
+
+
 def _order(node: Column, seed: int) -> Column:
     """One order of all nodes for each seed."""
     return F.xxhash64(node, F.lit(seed))
@@ -222,19 +252,35 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return half.where(_jaccard(F.col("h.x"), F.col("s.hashes")) >= SIMILARITY).select("h.a", "h.b")
 
 
-def _settled(left: DataFrame, sets: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Links (a, b) between components within the buckets of ``left`` (node, key, band, component).
-
-    A bucket is cut into blocks of about ``BLOCK`` nodes, and each two blocks meet once. A pair is looked at in its first
-    common bucket only, verified if its sketches agree in ``AGREE`` places, and passed over once its ends are connected, so
-    that a task returns a forest and never all pairs."""
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = left.join(sizes, "key").withColumn("i", F.pmod(_order(F.col("node"), 7), F.col("blocks")).cast("int"))
+def _rare_keys(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes of large buckets (node, key, component) under keys of the bucket and each of the node's rarest shingles.
+
+    Of sets of n and m shingles that are similar enough, either's rarest n - ceil(0.8 n) + 1, by one order for the whole
+    bucket, hold one of the other's."""
+    spread = hot.join(sets, "node").select("key", "node", "component", F.explode(_members(F.col("hashes"))).alias("h"))
+    often = spread.groupBy("key", "h").agg(F.count("*").alias("n"))
+    ranked = spread.join(often, ["key", "h"]).groupBy("key", "node", "component").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("own"))  # a group is one text's shingles
+    size = F.size("own")
+    prefix = F.slice("own", F.lit(1), (size - F.ceil(size * SIMILARITY - 1e-9) + 1).cast("int"))
+    rare = ranked.select("key", "node", "component", F.explode(prefix).alias("o"))
+    return rare.select("node", F.xxhash64("key", "o.h").alias("key"), "component")
+
+
+def _settled(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components within the buckets of ``left`` (node, key, component).
+
+    A bucket of up to ``BLOCK`` nodes is one block; larger ones are dealt out by rare shingles, and what is larger even
+    then is cut into blocks, each two of which meet once. Pairs whose ends are connected are passed over, so that a task
+    returns a forest and never all pairs."""
+    counts = left.groupBy("key").agg(F.count("*").alias("n"))
+    sized = left.join(counts, "key")
+    finer = checkpointed(_rare_keys(sized.where(F.col("n") > BLOCK).drop("n"), sets))
+    mixed = finer.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    sized = sized.where(F.col("n") <= BLOCK).unionByName(finer.join(mixed, "key"))
+    placed = sized.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(_order(F.col("node"), 7), F.col("blocks")).cast("int"))
     placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "key", "band", "component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
-    own = left.select("node").distinct()
-    info = sets.join(own, "node").join(sketched.join(own, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "node")
-    rows = placed.join(info, "node").select("key", "lo", "hi", "i", "band", "node", "component", "sketch", "hashes")
+    placed = placed.select("node", "key", "component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
+    rows = placed.join(sets, "node").select("key", "lo", "hi", "i", "node", "component", "hashes")
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,44 +305,59 @@ def _settled(left: DataFrame, sets: DataFrame, sketched: DataFrame) -> DataFrame
 
         a_out, b_out = [], []
         for group in groups():
-            block, band, node, component, sketch, hashes = zip(*group)
-            if len({top(c) for c in component}) == 1:
-                continue
-            places = np.array([np.frombuffer(x, "<u4") for x in sketch])
-            comp = np.array(component)
-            side = np.array(block)
-            for k in range(len(group) - 1):
-                rest = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-                if min(block) != max(block):  # within a block, pairs meet where the block meets itself
-                    rest = rest[side[rest] != side[k]]
-                same = places[rest] == places[k]
-                agree = same.sum(axis=1)
-                common = same.reshape(len(rest), BANDS, BAND).all(axis=2)
-                good = np.flatnonzero((agree >= AGREE) & (common.argmax(axis=1) == band[k]))
-                for m in good[np.argsort(-agree[good], kind="stable")].tolist():
-                    other = int(rest[m])
-                    x, y = top(component[k]), top(component[other])
-                    if x != y and _overlap(hashes[k], hashes[other]) >= SIMILARITY:
-                        above[x] = y
-                        a_out.append(node[k])
-                        b_out.append(node[other])
+            side, node, component, hashes = zip(*group)
+            for k, m in _links(np.array(side), np.array(component), [np.frombuffer(x, "<u4") for x in hashes], top, above):
+                a_out.append(node[k])
+                b_out.append(node[m])
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _links(side: np.ndarray, component: np.ndarray, sets: list[np.ndarray], top, above: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Pairs of similar sets that connect components, which ``top`` and ``above`` keep; of two blocks, only pairs across."""
+    if len({top(c) for c in component.tolist()}) == 1:
+        return
+    sizes = np.array(list(map(len, sets)))
+    order = np.argsort(sizes, kind="stable")
+    kinds, codes = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes[order])])
+    has = np.zeros(len(kinds), bool)
+    two = side.min() != side.max()
+    for p, k in enumerate(order.tolist()):
+        # only sets of like size, which stand after it, can be similar enough
+        end = int(np.searchsorted(sizes[order], math.floor(sizes[k] / SIMILARITY + 1e-9), "right"))
+        rest = order[p + 1 : end]
+        keep = component[rest] != component[k]
+        if two:
+            keep &= side[rest] != side[k]
+        if not keep.any() or not sizes[k]:
+            continue
+        own = codes[begin[p] : begin[p + 1]]
+        has[own] = True
+        both = np.add.reduceat(has[codes[begin[p + 1] : begin[end]]], begin[p + 1 : end] - begin[p + 1], dtype=np.int64)
+        has[own] = False
+        for m in np.flatnonzero(keep & (both >= SIMILARITY * (sizes[k] + sizes[rest] - both))).tolist():
+            x, y = top(int(component[k])), top(int(component[rest[m]]))
+            if x != y:
+                above[x] = y
+                yield k, int(rest[m])
+
+
 def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of each document, and (node, component) of the nodes that have near duplicates among other texts.
+    """(row, doc_id, node) of each row, and (node, component) of the nodes that have near duplicates among other texts.
 
-    ``docs``: doc_id and text."""
+    ``docs``: row (unique), doc_id and text. A node is the smallest row of equal texts."""
     sketched = written(_sketched(docs), "sketches")
-    nodes = sketched.select("node", "doc_id")
-    bands = sketched.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.posexplode("bands").alias("band", "key"))
+    firsts = sketched.groupBy("hi", "lo").agg(F.min("row").alias("node"))
+    nodes = sketched.select("row", "doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("row", "doc_id", "node")
+    nodes = written(nodes, "nodes")
+    own = nodes.where("row = node").select("node")
+    bands = sketched.select(F.col("row").alias("node"), "bands").join(own, "node", "left_semi").select("node", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = written(bands.join(sizes, "key"), "buckets")  # node, band, key of the buckets that hold several texts
+    shared = written(bands.join(sizes, "key"), "buckets")  # node, key of the buckets that hold several texts
     wanted = shared.select("node").distinct()
-    sets = docs.select(_text_node(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").select("node", _shingle_sets(F.col("text")).alias("hashes"))
-    sets = written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
+    sets = written(sketched.select(F.col("row").alias("node"), "hashes").join(wanted, "node", "left_semi"), "shingle-sets")
 
     links, labels, left = [], None, shared.withColumn("component", F.col("node"))
     for step in range(ROUNDS + 1):
@@ -308,29 +369,36 @@ def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = left.join(leaders, "key").where("component <> leader.component").select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
             links.append(checkpointed(_similar(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets)))
         else:
-            links.append(checkpointed(_settled(left, sets, sketched)))
+            links.append(checkpointed(_settled(left, sets)))
         labels = written(components(functools.reduce(DataFrame.unionByName, links)), "components")
         if step == ROUNDS:
             break
         placed = left.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        left = written(placed.join(mixed, "key").select("node", "key", "band", "component"), "mixed-buckets")
+        left = written(placed.join(mixed, "key").select("node", "key", "component"), "mixed-buckets")
     return nodes, labels
 
 
+def _decided(rows: DataFrame) -> DataFrame:
+    """row, doc_id, class_id, class_size, kept of each of ``rows`` (row, doc_id, text)."""
+    nodes, labels = node_classes(rows)
+    named = nodes.join(labels, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    sizes = named.groupBy("component").agg(F.min(first).alias("first"), F.count("*").alias("class_size"))
+    return named.join(sizes, "component").select("row", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (the class's smallest doc_id), class_size, kept (its own identifier is that)."""
+    """One row for each document: doc_id, class_id (the class's smallest doc_id), class_size, kept (one row of each class)."""
     tune(docs.sparkSession)
-    nodes, labels = node_classes(texts(docs, id_col, text_col))
-    named = nodes.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    sizes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(sizes, "component").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return _decided(texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())).drop("row")
 
 
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that of its smallest identifier, with all its columns."""
+    """The row of each class that ``near_classes`` keeps, with all its columns."""
     tune(docs.sparkSession)
-    nodes, labels = node_classes(texts(docs, id_col, text_col))
-    named = nodes.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    gone = named.join(named.groupBy("component").agg(F.min("doc_id").alias("keep")), "component").where("doc_id <> keep").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    row = unused(docs, "row")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # numbers that stay the same
+    rows = held.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    gone = _decided(rows).where("NOT kept").select(F.col("row").alias(row))
+    return held.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
