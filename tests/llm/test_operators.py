@@ -255,6 +255,117 @@ def test_exact(docs, rows, empty, limit):
     assert sorted(r.kept for r in exact_dedup.exact_groups(twice).collect()) == [False, True]
 
 
+def test_exact_returns_columns_unchanged(spark):
+    """Microseconds, maps with integer keys, nested and null values; names like those of the operator."""
+    import datetime
+    import decimal
+
+    from wayfold.llm import exact_dedup
+
+    when = datetime.datetime(2024, 5, 1, 10, 0, 0, 123456)
+    rows = [(i, t, when, {7: "x", 8: None}, (i, [1.5, None]), decimal.Decimal("1.10"), bytearray(b"\0\xff"), None, float(i)) for i, t in enumerate(["a", "b", "a", None])]
+    docs = spark.createDataFrame(rows, "payload long, text string, at timestamp_ntz, m map<int,string>, doc_id struct<a:int,b:array<double>>, d decimal(9,2), h binary, rid date, c0 double")
+    got = exact_dedup.exact_deduplicate(docs, id_col="payload")
+    assert got.schema == docs.schema or [f.dataType for f in got.schema] == [f.dataType for f in docs.schema] and got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("payload > 0").fillna("", "text").collect()))
+
+
+def test_clashing_names(spark, sf):
+    """Extra columns under the names that operators use come back unchanged, or don't matter."""
+    from pyspark.sql import functions as F
+
+    from wayfold.llm import bpe, exact_dedup, html_text, language_id, licenses, near_dedup, packing, quality_rules, site_quality, token_counts
+
+    real, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    names = ["_p", "_q", "verdict", "row", "row_", "node", "payload", "_quality", "rid", "gid", "page_id", "html", "site", "section", "u", "length", "piece", "lines", "host", "hi", "lo", "bands", "key"]
+    docs = real.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for run in (language_id.language_filter, lambda d: quality_rules.quality_filter(d, labels), exact_dedup.exact_deduplicate, near_dedup.near_deduplicate):
+        got = run(docs)
+        assert got.columns == docs.columns
+        assert {tuple(r)[5:] for r in got.collect()} <= {tuple(r)[5:] for r in docs.collect()}
+        assert {r.doc_id for r in got.collect()} == {r.doc_id for r in run(real).collect()}
+    runs = [lambda d: packing.pieces(d, JSON), lambda d: bpe.encoded_digests(d, RANKS), language_id.identify, exact_dedup.exact_groups, lambda d: token_counts.lengths(d, JSON), licenses.license_scan, lambda d: quality_rules.quality_rules(d, labels), lambda d: site_quality.site_quality(d, labels, F.col("source"), F.col("lang"))]
+    for run in runs:
+        assert sorted(map(str, run(docs).collect())) == sorted(map(str, run(real).collect()))
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    odd = pages.select("*", *[F.lit(n).alias(n) for n in ("host", "tokens", "token", "salt", "text")])
+    assert sorted(map(str, html_text.extract(odd).collect())) == sorted(map(str, html_text.extract(pages).collect()))
+
+
+def test_site_posteriors_equal_sql(spark):
+    """The grouping in SQL, each document's own evidence left out."""
+    import duckdb
+
+    from wayfold.llm.site_quality import UNIT, posteriors
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "a", "b", ""]), rng.choice(["x", "y", "z"]), rng.randint(0, UNIT)) for i in range(400)] + [(400, "alone", "x", UNIT // 2)]
+    rows = [(i, a, f"{a}/{b}", u) for i, a, b, u in rows]
+    got = {r.doc_id: r for r in posteriors(spark.createDataFrame(rows, "doc_id long, site string, section string, u long")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (doc_id BIGINT, site TEXT, section TEXT, u BIGINT)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(f"""
+WITH d AS (SELECT *, u / {UNIT} AS p FROM e),
+g AS (SELECT site, section, count(*) n, sum(p) s FROM d GROUP BY ALL),
+h AS (SELECT site, sum(n) n, sum(s) s FROM g GROUP BY ALL),
+w AS (SELECT count(*) n, avg(p) m, sum(p * p) q FROM d),
+k AS (
+    SELECT m, least(greatest(greatest((q - hs) / w.n, 1e-4) / greatest((hs - w.n * m * m - greatest((q - hs) / w.n, 1e-4) * hn) / w.n, 1e-6), 1), 1e6) AS hk,
+           least(greatest(greatest((q - gs) / w.n, 1e-4) / greatest((gs - w.n * m * m - greatest((q - gs) / w.n, 1e-4) * gn) / w.n, 1e-6), 1), 1e6) AS gk
+    FROM w, (SELECT sum(s * s / n) hs, count(*) hn FROM h), (SELECT sum(s * s / n) gs, count(*) gn FROM g))
+SELECT doc_id, (h.s - p + hk * m) / (h.n - 1 + hk) AS site, (g.s - p + gk * (h.s - p + hk * m) / (h.n - 1 + hk)) / (g.n - 1 + gk) AS section, m
+FROM d JOIN g USING (section) JOIN h ON h.site = d.site, k""").fetchall()
+    assert len(want) == len(got) == 401
+    for i, site, section, m in want:
+        assert abs(got[i].site_posterior - site) < 1e-5 and abs(got[i].section_posterior - section) < 1e-5
+    assert abs(got[400].site_posterior - want[0][3]) < 1e-6  # a document alone stays at the prior
+
+
+def test_few_labels_are_fitted(spark, sf):
+    from wayfold.llm import quality_rules, site_quality
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    few = labels.where("quality = 0").limit(3).unionByName(labels.where("quality = 1").limit(6))
+    assert quality_rules.fit(docs, few) is not None and site_quality.fit(docs, few, "doc_id", "text") is not None
+    assert quality_rules.quality_rules(docs, few).count() == docs.count()
+    assert site_quality.site_quality(docs, few, F.col("source"), F.col("lang")).count() == docs.count()
+
+
+def test_trees_walk_node_by_node():
+    from wayfold.llm.quality_rules import fit_trees
+
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 4))
+    f = fit_trees(x, (x[:, 1] + 0.2 * rng.random(300) > 0.6).astype(float), [0, 1, 0, 0], rounds=12)
+    for row in x[:40]:
+        total = f.bias
+        for at in f.roots.tolist():
+            for _ in range(f.depth):
+                at = int(f.left[at] if row[f.feature[at]] <= f.threshold[at] else f.right[at])
+            total += f.value[at]
+        assert abs(total - f.margin(row[None])[0]) < 1e-9
+
+
+def test_language_prediction_by_hand(spark):
+    """Cosines of TF-IDF vectors with every centroid, gram by gram."""
+    from wayfold.llm import language_id as li
+
+    rng = random.Random(3)
+    texts = [words(rng, 30) for _ in range(8)] + ["über straße " * 9, "À bientôt, ça va? " * 4, "x"]
+    counts = np.array([li.ngram_counts(t) for t in texts], np.float32)
+    model = li.fit_counts(counts, ["aa"] * 6 + ["bb"] * 5)
+    assert all(model.languages.count(x) >= 2 for x in ("aa", "bb"))
+    best, score = model.predict(counts)
+    for c, b, s in zip(counts, best, score):
+        v = [np.sqrt(n) * w for n, w in zip(c, model.idf)]
+        size = sum(z * z for z in v) ** 0.5
+        sims = [sum(a * z for a, z in zip(v, centre)) / size for centre in model.centres]
+        assert abs(max(sims) - s) < 1e-4 and abs(sims[b] - max(sims)) < 1e-4
+    assert (li.ngram_counts("ab " * 700_000) == 700_000 * li.ngram_counts("ab")).all()  # in blocks
+
+
 def test_token_counts(docs, rows, empty):
     from wayfold.llm import token_counts
 
@@ -393,7 +504,7 @@ def test_quality_statistics():
     from wayfold.llm.quality_rules import BASE, statistics
 
     rng = random.Random(7)
-    texts = TRICKY + ["a b c a b c d", "x\nx\ny\n \n x", "#a $b | c < d >"] + [" ".join(rng.choices("abc", k=60)) for _ in range(20)]
+    texts = TRICKY + ["many words of a long text " * 200_000, "a b c a b c d", "x\nx\ny\n \n x", "#a $b | c < d >"] + [" ".join(rng.choices("abc", k=60)) for _ in range(20)]
     got = statistics(texts)[BASE].to_numpy()
     for t, own in zip(texts, got):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -442,6 +553,10 @@ def test_licenses(spark, empty):
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {i: (r.license_ids, r.n_lines, r.whole_text) for i, r in got.items()} == {0: ("MIT", 1, False), 1: ("MIT", got[1].n_lines, True), 5: ("CC-BY-SA-4.0", 2, False)}
     assert licenses.license_scan(empty).count() == 0
+    gnu = licenses.GNU_HEADER.format("program", *licenses.GNU[1][1:])
+    texts = [licenses.TEXTS["BSD-3-Clause"], "a\n\n" + gnu.replace(" under ", "\nunder ").replace(", either", ",\n   either") + "\n\nb", gnu + " x"]
+    got = {r.doc_id: (r.license_ids, r.n_lines, r.whole_text) for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("BSD-3-Clause", 0, True), 1: ("GPL-3.0", 0, False)}
 
 
 def test_pipeline(spark, sf):

@@ -11,7 +11,9 @@ step as one record for each partition at most. The decisions go back to the rows
 whose large partitions Spark can split.
 
 Defined results: null text equals empty text; null identifiers are smaller than all others; of rows equal in text and
-identifier exactly one is kept; no rows give no rows. Texts are compared whole, without normalisation.
+identifier exactly one is kept; texts of any length are compared whole, without normalisation, and one that exceeds a table
+by itself is held alone; no rows give no rows; other columns, of whatever name and type, aren't read for the decision and
+come back unchanged from ``exact_deduplicate``.
 """
 
 from __future__ import annotations
@@ -146,24 +148,36 @@ def _key(doc_id) -> tuple:
     return (doc_id is not None, doc_id)
 
 
-_LOCAL = "rid long, doc_id {id}, gid long, copies long, h long, text_sha256 string, payload binary, text string"
+def _schema(docs: DataFrame, fields: str) -> T.StructType:
+    """A schema in which ``{id}`` is the identifier's type and ``{payload}`` that of the other columns."""
+    out = T.StructType()
+    for field in fields.split(", "):
+        name, kind = field.split(" ")
+        out.add(name, docs.schema[{"{id}": "doc_id", "{payload}": "payload"}[kind]].dataType if kind[0] == "{" else kind)
+    return out
 
 
-def _arrow(schema: str) -> pa.Schema:
+def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T._parse_datatype_string(schema))
+    return to_arrow_schema(schema)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a struct of all other columns, by place, as payload."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    payload = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(True)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), payload.alias("payload"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
 def local_groups(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     """One row for each document: ``rid`` numbers the row, ``gid`` the group of equal texts within its partition.
 
     The group's row of the largest identifier also has the text, its hashes and the number of copies.
-    ``docs``: doc_id, text and optionally payload (binary).
+    ``docs``: doc_id, payload (what goes with the row that stays) and text.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = _arrow(_LOCAL.format(id=kind))
-    with_payload = "payload" in docs.columns
+    fields = _schema(docs, "rid long, doc_id {id}, gid long, copies long, h long, text_sha256 string, payload {payload}, text string")
+    schema = _arrow(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -173,8 +187,7 @@ def local_groups(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
         def records():
             rid = base
             for batch in batches:
-                payloads = batch.column("payload").to_pylist() if with_payload else [None] * batch.num_rows
-                for doc_id, text, payload in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), payloads):
+                for doc_id, payload, text in zip(*(c.to_pylist() for c in batch.columns)):
                     yield text.encode(), (rid, doc_id, payload)
                     rid += 1
 
@@ -194,15 +207,13 @@ def local_groups(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
 
         yield from _batches(grace(records(), merge, finish, limit), schema)
 
-    cols = ["doc_id", "text"] + ["payload"] * with_payload
-    return docs.select(*cols).mapInArrow(run, _LOCAL.format(id=kind))
+    return docs.select("doc_id", "payload", "text").mapInArrow(run, fields)
 
 
 def merged_groups(local: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     """Joins the partitions' groups of equal text: for each ``gid`` the row that stays, its payload and the group's size;
     ``text`` is there once for each whole group."""
-    kind = local.schema["doc_id"].dataType.simpleString()
-    out = f"gid long, keep_rid long, keep_id {kind}, group_size long, text_sha256 string, payload binary, text string"
+    out = _schema(local, "gid long, keep_rid long, keep_id {id}, group_size long, text_sha256 string, payload {payload}, text string")
     schema = _arrow(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +247,7 @@ def merged_groups(local: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     tune(docs.sparkSession)
-    local = written(local_groups(texts(docs, id_col, text_col), limit), "exact-groups")
+    local = written(local_groups(texts(docs, id_col, text_col).withColumn("payload", F.lit(True)), limit), "exact-groups")
     whole = merged_groups(local, limit).drop("text", "payload")
     rows = local.select("rid", "doc_id", "gid")
     return rows.join(whole, "gid").select("doc_id", "keep_id", F.col("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
@@ -245,10 +256,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
     """The rows that stay, with all their columns; a null text comes back as empty."""
     tune(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    packed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])).cast("binary").alias("payload")) if rest else texts(docs, id_col, text_col)
-    kept = merged_groups(local_groups(packed, limit), limit).where("text IS NOT NULL")
-    if rest:
-        inner = T.StructType([docs.schema[c] for c in rest])
-        kept = kept.withColumn("payload", F.from_json(F.col("payload").cast("string"), inner))
-    return kept.select(*[F.col("keep_id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col("payload").getField(c).alias(c) for c in docs.columns])
+    kept = merged_groups(local_groups(_named(docs, id_col, text_col), limit), limit).where("text IS NOT NULL")
+    rest = iter(range(len(docs.columns)))
+    return kept.select(*[F.col("keep_id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"payload.c{next(rest)}").alias(c) for c in docs.columns])

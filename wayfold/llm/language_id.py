@@ -11,8 +11,9 @@ median cosine of the language at a length, times the share of the median that al
 ``STAYS`` at most. Prediction reads every whole text, long ones in blocks.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and rejected; so is everything if nothing is
-labelled; equal cosines go to the language first in order of name; repeated rows get equal results; other columns are
-neither read nor needed.
+labelled; a language of one labelled row has one centroid, one of more has at least two; equal cosines go to the language
+first in order of name; texts of any length are read whole; repeated rows get equal results; no rows give no rows; other
+columns, of whatever name, are neither read nor needed.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trim, tune
+from .common import trim, tune, unused
 
 SAMPLE_ROWS = 600
 CENTROIDS = 4
@@ -48,9 +49,13 @@ def _letters() -> np.ndarray:
 def ngram_counts(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Counts of hashed 1- to 3-grams; grams don't cross words. All zero if there is no letter."""
     out = np.zeros(dimensions, np.int64)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    for start in range(0, len(points), BLOCK):
-        out += _block(points[start : start + BLOCK], dimensions)
+    start = 0
+    while start < len(text):
+        end = min(start + BLOCK, len(text))
+        while end < len(text) and text[end].isalpha():  # blocks end with words
+            end += 1
+        out += _block(np.frombuffer(text[start:end].lower().encode("utf-32-le", "surrogatepass"), np.uint32), dimensions)
+        start = end
     return out
 
 
@@ -163,7 +168,7 @@ def set_limits(model: Centroids, seen: list[tuple[str, int, float, float]]) -> N
 
 @F.pandas_udf(T.BinaryType())
 def _counts_column(s: pd.Series) -> pd.Series:
-    return pd.Series([np.minimum(ngram_counts(t or ""), 65535).astype(np.uint16).tobytes() for t in s])
+    return pd.Series([ngram_counts(t or "").astype(np.float32).tobytes() for t in s])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,7 +197,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = [(x, c) for x, _, apart, c in got if not apart or x not in lettered]
     if not got:
         return None
-    model = fit_counts(np.array([np.frombuffer(c, np.uint16) for _, c in got]).astype(np.float32), [x for x, _ in got])
+    model = fit_counts(np.array([np.frombuffer(c, np.float32) for _, c in got]), [x for x, _ in got])
     if model is not None:
         seen = drawn.where(kept_apart(F.col(id_col))).select(F.col(lang_col).alias("_lang"), F.explode(_passages_column(F.col(text_col), model)).alias("_p"))
         set_limits(model, sorted((r[0], int(r[1]), r[2], r[3]) for r in seen.select("_lang", "_p.i", "_p.grams", "_p.score").collect()))
@@ -242,5 +247,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that aren't rejected; lang becomes the predicted language."""
     model = fit(docs, id_col, text_col, lang_col)
-    judged = docs.withColumn("_p", language_column(F.col(text_col), model)).where("NOT _p.rejected")
-    return judged.select(*[F.col("_p.lang_pred").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    verdict = unused(docs, "verdict")
+    judged = docs.withColumn(verdict, language_column(F.col(text_col), model)).where(~F.col(verdict).getField("rejected"))
+    return judged.select(*[F.col(verdict).getField("lang_pred").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

@@ -4,9 +4,10 @@
 constraints on the features of which more can only be worse; ``Forest`` holds all trees flattened into numpy arrays and
 scores a batch of rows by stepping all of them through all trees at once. Two fixed base rules come before the trees.
 
-Defined results: null and empty texts have no words and fail the base rules; ties and repeated rows are scored alike,
-row by row; with no labels, or labels of one kind, the trees say nothing and the base rules alone decide; other columns
-of the input don't matter.
+Defined results: null and empty texts have no words and fail the base rules; texts of any length are measured whole; ties
+and repeated rows are scored alike, row by row, and a score equal to the cut passes; with no labels, or labels of one kind,
+there is nothing to fit and the base rules alone decide; labels too few for any split leave trees of one leaf, which pass all
+rows; no rows give no rows; other columns of the input, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, tune
+from .common import trim, tune, unused
 
 #: At most about this many labelled rows are fitted, chosen by a hash of the identifier.
 SAMPLE_ROWS = 20_000
@@ -52,13 +55,8 @@ def statistics(texts: list[str]) -> pd.DataFrame:
     """Counts for each text. Words are runs without ASCII white space; lines are split at newlines."""
     n = len(texts)
     out = {c: np.zeros(n, np.int64) for c in BASE + MORE}
-    words: list[bytes] = []
-    sizes = np.zeros(n, np.int64)
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "surrogatepass")
-        own = raw.split()
-        words += own
-        sizes[i] = len(own)
         out["word_chars"][i] = len(text) - sum(map(raw.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
         out["n_symbols"][i] = sum(map(text.count, SYMBOLS))
         lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
@@ -66,13 +64,17 @@ def statistics(texts: list[str]) -> pd.DataFrame:
         kinds = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=6)
         out["n_upper"][i], out["n_digits"][i], out["n_other_punct"][i] = kinds[1], kinds[2], kinds[3]
         out["n_letters"][i] = kinds[1] + kinds[4] + kinds[5]
-    out["n_words"] = sizes
-    if words:
-        codes, kinds = pd.factorize(np.array(words, dtype=object))
-        doc = np.repeat(np.arange(n), sizes)
-        key = np.unique(doc * len(kinds) + codes)
-        out["n_unique_words"] = np.bincount(key // len(kinds), minlength=n)
-        out["n_repeat_words"] = _repeated(codes.astype(np.int64), doc, n)
+    # words as codes, without an object for each
+    lists = pc.ascii_split_whitespace(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()).cast(pa.large_string()))
+    words = pc.list_flatten(lists)
+    solid = pc.not_equal(words, pa.scalar("", words.type))
+    coded = words.filter(solid).dictionary_encode()
+    codes, kinds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    doc = pc.list_parent_indices(lists).filter(solid).to_numpy(zero_copy_only=False).astype(np.int64)
+    out["n_words"] = np.bincount(doc, minlength=n)
+    if len(codes):
+        out["n_unique_words"] = np.bincount(np.unique(doc * kinds + codes) // kinds, minlength=n)
+        out["n_repeat_words"] = _repeated(codes, doc, n)
     return pd.DataFrame(out)
 
 
@@ -188,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)  # about sample_rows narrow rows
     got = rows.select("_quality", statistics_column(F.col(text_col)).alias("s")).select("_quality", "s.*").toPandas()
     y = (got["_quality"].to_numpy(float) > 0.5).astype(float)
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     x = features(got)
     order = np.lexsort((*x.T, y))  # independent of the order in which rows arrive
@@ -240,5 +242,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of ``docs`` that the rules keep, unchanged."""
     forest = fit(docs, labels, id_col, text_col)
     tune(docs.sparkSession)
-    judged = docs.withColumn("_q", quality_column(F.col(text_col), forest))
-    return judged.where("_q.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    verdict = unused(docs, "verdict")
+    judged = docs.withColumn(verdict, quality_column(F.col(text_col), forest))
+    return judged.where(F.col(verdict).getField("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,17 +1,23 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A document's own evidence is a logistic model on the logarithms and shares of its statistics, fitted to labelled rows.
-Sites and their sections (host and path; for a table without addresses the source, and source and language) add what the
-model says of their other documents: the section's mean is shrunk towards its site's posterior mean, and that towards the
-global mean, each by a prior strength estimated from the groups by the method of moments. A sparse site thus stays at the
-global prior, and a large one speaks for itself. The posterior odds of a document are those of its own evidence times
-the section's posterior odds over the global prior odds, the latter tempered so that no site alone condemns a document.
-
-Groups are summed before they are shuffled; a site with a third of all rows is one sum.
-
-Defined results: null and empty texts have no words and are judged as such; a null site or section is a group like
-others; with no labels, or labels of one kind, the evidence is neutral at 0.5 and all rows are kept; repeated rows are
-judged alike and count each; no rows give no rows; extra columns aren't read.
+Sites and their sections add what the model says of their other documents: the section's mean, without the document's own
+evidence, is shrunk towards its site's posterior mean, likewise without it, and that towards the global mean, each by a prior
+strength estimated from the groups by the method of moments. A sparse site thus stays at the global prior, and a large one
+speaks for itself. The posterior odds of a document are those of its own evidence times the section's posterior odds over
+the global prior odds, the latter tempered so that no site alone condemns a document.
+
+``address_levels`` gives host and first folder of an address as site and section; a table without addresses has its source,
+and source and language.
+
+Groups are summed before they are shuffled; a site with a third of all rows is one sum, and Spark splits its rows in the
+join. Evidence is summed in whole units of 2**-30, so sums don't depend on the order in which rows come.
+
+Defined results: null and empty texts have no words and are judged as such; texts of any length are measured whole; a null
+site or section is a group like others; a document alone in its section has its site's posterior, and one alone in its site
+the global prior; with no labels, or labels of one kind, the evidence is neutral at 0.5 and all rows are kept; a score equal
+to the cut is kept; repeated rows are judged alike and count each; no rows give no rows; other columns, of whatever name,
+aren't read.
 """
 
 from __future__ import annotations
@@ -61,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_r
     rows = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)  # about sample_rows narrow rows
     got = rows.select("_quality", statistics_column(F.col(text_col)).alias("s")).select("_quality", "s.*").toPandas()
     y = (got["_quality"].to_numpy(float) > 0.5).astype(float)
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     x = evidence_features(got)
     order = np.lexsort((*x.T, y))
@@ -91,32 +97,54 @@ def prior_strength(n: Column, total: Column, squares: Column, mean: Column, spre
     return F.least(F.greatest(spread / between, F.lit(1.0)), F.lit(1e6))
 
 
-def site_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Column, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, temper: float = TEMPER) -> DataFrame:
-    """One row for each document: doc_id, evidence, site_posterior, section_posterior, score, kept."""
-    tune(docs.sparkSession)
-    model = fit(docs, labels, id_col, text_col)
-    judged = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.coalesce(section.cast("string"), F.lit("")).alias("section"), evidence_column(F.col(text_col), model).alias("p"))
-    judged = written(judged, "evidence")
-    sections = judged.groupBy("site", "section").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
-    sites = sections.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    # one row: the global mean, the variance within sections and sites, and how far their means lie apart
-    world = sites.agg(F.sum("n").alias("wn"), F.sum("s").alias("ws"), F.sum("q").alias("wq"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("site_sq"), F.count("*").alias("site_n"))
-    world = world.crossJoin(sections.agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("section_sq"), F.count("*").alias("section_n")))
-    mean = F.col("ws") / F.greatest(F.col("wn"), F.lit(1))
-    world = world.select(
-        mean.alias("prior"),
-        prior_strength(F.col("site_n"), F.col("wn"), F.col("site_sq"), mean, F.greatest((F.col("wq") - F.col("site_sq")) / F.greatest(F.col("wn"), F.lit(1)), F.lit(1e-4))).alias("site_k"),
-        prior_strength(F.col("section_n"), F.col("wn"), F.col("section_sq"), mean, F.greatest((F.col("wq") - F.col("section_sq")) / F.greatest(F.col("wn"), F.lit(1)), F.lit(1e-4))).alias("section_k"),
-    )
-    sites = sites.crossJoin(F.broadcast(world))
-    sites = sites.select("site", "prior", "section_k", ((F.col("s") + F.col("site_k") * F.col("prior")) / (F.col("n") + F.col("site_k"))).alias("site_posterior"))
-    groups = sections.join(sites, "site").select("site", "section", "prior", "site_posterior", ((F.col("s") + F.col("section_k") * F.col("site_posterior")) / (F.col("n") + F.col("section_k"))).alias("section_posterior"))
+def address_levels(url: Column) -> tuple[Column, Column]:
+    """Host, and host and first folder, of an address."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    return host, F.concat_ws("/", host, F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]*)/", 1))
+
+
+#: One unit of summed evidence.
+UNIT = 1 << 30
+
+
+def posteriors(judged: DataFrame, cut: float = CUT, temper: float = TEMPER) -> DataFrame:
+    """doc_id, evidence, site_posterior, section_posterior, score, kept of rows of doc_id, site, section and u (evidence in
+    units)."""
+    p = F.col("u") / UNIT
+    sections = judged.groupBy("site", "section").agg(F.count("*").alias("n"), F.sum("u").alias("s"), F.sum((F.col("u") * F.col("u")).cast("decimal(38,0)")).alias("q"))
+    sites = sections.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"), F.sum("q").alias("site_q"))
+
+    def squares(s: str, n: str) -> Column:  # of group means, in whole units, for sums without an order
+        return F.sum(F.floor(F.col(s) / UNIT * F.col(s) / F.col(n)))
+
+    world = sites.agg(F.sum("site_n").alias("wn"), F.sum("site_s").alias("ws"), F.sum("site_q").alias("wq"), squares("site_s", "site_n").alias("site_sq"), F.count("*").alias("groups"))
+    world = world.crossJoin(sections.agg(squares("s", "n").alias("section_sq"), F.count("*").alias("section_groups")))  # one row
+    total = F.greatest(F.col("wn"), F.lit(1))
+    mean, all_sq = F.col("ws") / UNIT / total, F.col("wq").cast("double") / UNIT / UNIT
+
+    def strength(groups: str, sq: str) -> Column:
+        own = F.col(sq) / UNIT
+        return prior_strength(F.col(groups), F.col("wn"), own, mean, F.greatest((all_sq - own) / total, F.lit(1e-4)))
+
+    world = world.select(mean.alias("prior"), strength("groups", "site_sq").alias("site_k"), strength("section_groups", "section_sq").alias("section_k"))
+    groups = sections.join(sites, "site").crossJoin(F.broadcast(world)).drop("q", "site_q")
+    out = judged.join(groups, ["site", "section"])
+    out = out.withColumn("site_posterior", ((F.col("site_s") - F.col("u")) / UNIT + F.col("site_k") * F.col("prior")) / (F.col("site_n") - 1 + F.col("site_k")))
+    out = out.withColumn("section_posterior", ((F.col("s") - F.col("u")) / UNIT + F.col("section_k") * F.col("site_posterior")) / (F.col("n") - 1 + F.col("section_k")))
 
     def logit(p: Column) -> Column:
         q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
         return F.log(q / (1 - q))
 
-    out = judged.join(groups, ["site", "section"])
-    odds = logit(F.col("p")) + temper * (logit(F.col("section_posterior")) - logit(F.col("prior")))
+    odds = logit(p) + temper * (logit(F.col("section_posterior")) - logit(F.col("prior")))
     out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", F.col("p").alias("evidence"), "site_posterior", "section_posterior", "score", (F.col("score") >= cut).alias("kept"))
+    return out.select("doc_id", p.alias("evidence"), "site_posterior", "section_posterior", "score", (F.round("score", 9) >= cut).alias("kept"))
+
+
+def site_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Column, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, temper: float = TEMPER) -> DataFrame:
+    """One row for each document: doc_id, evidence, site_posterior, section_posterior, score, kept."""
+    tune(docs.sparkSession)
+    model = fit(docs, labels, id_col, text_col)
+    units = F.round(evidence_column(F.col(text_col), model) * UNIT).cast("long")
+    judged = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.coalesce(section.cast("string"), F.lit("")).alias("section"), units.alias("u"))
+    return posteriors(written(judged, "evidence"), cut, temper)
