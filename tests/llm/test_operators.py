@@ -236,6 +236,52 @@ def test_html_template_texts_inside_articles(spark):
     assert got[60] == "Write to us for more"
 
 
+def extracted(spark, pages, **options):
+    from wayfold.llm import html_text
+
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_html_template_decides_without_marks(spark):
+    """No article, no telling names: what varies and isn't linked is the content; without a template more comes along."""
+    rng = random.Random(1)
+    body = [(words(rng, 6), words(rng, 50), words(rng, 40)) for _ in range(10)]
+    page = "<body><div id='t'><div><a href='/'>Start</a> <a href='/b'>About</a></div></div><div class='w'><h2>{0}</h2><div><p>{1}</p><p hidden>{2}</p></div></div><div id='z'><p>All rights are ours</p><p>Ask us</p></div></body>"
+    pages = [(i, "http://a.example/x", page.format(*b)) for i, b in enumerate(body)]
+    for options in ({}, {"template_bytes": 0}):  # by broadcast, and by a salted join
+        got = extracted(spark, pages, **options)
+        assert [got[i] for i in range(10)] == [" ".join(b) for b in body]
+    assert extracted(spark, pages[:1])[0] == " ".join(body[0]) + " All rights are ours Ask us"
+
+
+def test_html_template_outranks_marks_elsewhere(spark):
+    """An article that is a teaser in another slot isn't the content."""
+    rng = random.Random(2)
+    body = [words(rng, 80) for _ in range(10)]
+    page = "<body><article><a href='/{1}'>Teaser {1}</a></article><div class='w'><p>{0}</p></div><div><p>One line</p><p>Two lines</p></div></body>"
+    got = extracted(spark, [(i, "http://a.example/x", page.format(b, i)) for i, b in enumerate(body)])
+    assert [got[i] for i in range(10)] == body
+
+
+def test_html_keeps_what_articles_hold(spark):
+    kept = "<article><h1>H</h1><p hidden>one</p><p aria-hidden='true'>two</p><p style='display: none'>three</p><p><math><mi>x</mi></math> four</p><div class='related share search login widget'>five</div><ul><li><a href='/'>six</a></li></ul><header>seven</header></article>"
+    gone = "<article>H<div class='comments'>a</div><aside>b</aside><form>c</form><div class='ad'>d</div><nav>e</nav><script>f</script><footer>g</footer></article>"
+    got = extracted(spark, [(0, None, kept), (1, "x", gone), (2, None, kept), (3, "http://a/", "<article>" + "<p>much text</p>" * 200_000 + "</article>")])
+    assert got[0] == got[2] == "H one two three x four five six seven" and got[1] == "H"
+    assert got[3] == " ".join(["much text"] * 200_000)
+
+
+def test_html_passes_over_classes_out_of_order(spark):
+    rng = random.Random(3)
+    body = [words(rng, 60) for _ in range(12)]
+    page = "<body><div class='w'><p class='x'>{0}</p></div><div><p>First line</p><p>Second line</p></div></body>"
+    turned = page.replace("First", "@").replace("Second", "First").replace("@", "Second")
+    pages = [(i, "http://a.example/x", page.format(b)) for i, b in enumerate(body)] + [(50, "http://a.example/x", turned.format(body[0]).replace("class='w'", "class='v'"))]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(12)] == body
+    assert got[50] == f"{body[0]} Second line First line"
+
+
 @pytest.mark.parametrize("limit", [1, 3000, 1 << 20])
 def test_exact(docs, rows, empty, limit):
     from wayfold.llm import exact_dedup

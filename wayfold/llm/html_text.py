@@ -1,24 +1,29 @@
 """Main text of web pages by equivalence-class template deduction.
 
-First pass: each page becomes tokens, which are elements by their path (tags, classes and ids from the root) and the
-texts of blocks, those inside articles as a kind of their own. A token's occurrence vector over its host's pages is summed up as an order-free
-hash of (page, count), so vectors of any length are aggregated without gathering a host's pages anywhere. Tokens of one
-host with equal vectors form an equivalence class. A class is valid if it has at least two tokens and occurs on enough of
-the host's pages; classes nest by their share of pages, and together they are the host's template. A text inside an
-article needs more pages, and equal pages count once for it: what few pages or copies share there may be content.
-
-Second pass: what a template doesn't fix are its slots. A page's slots are the regions under its template elements; texts
-that belong to the template are no content. Slots under navigation, headers, footers, forms, notices, adverts, sidebars
-and reader comments are left out by the tags, roles and class names of their elements. If the page marks an article or
-main region, its slots are the text, without the texts of the template; an article that is nothing but such texts keeps
-them. Otherwise slots that are mostly links are left out and the others are the text.
-Hosts with too few pages have no template, and only the second part applies.
-
-Templates go to the executors whole while they are under ``TEMPLATE_BYTES``, and by a join on the host beyond that.
-
-Defined results: null and empty pages give an empty text; a null or malformed address is a host of its own; unclosed
-and misnested elements are closed as browsers do; a page that is cut off gives what it has; repeated rows are extracted
-each for itself; other columns aren't read.
+First pass: each page becomes tokens, which are block elements by their path (tags, classes and ids from the root) and the
+texts of blocks, those inside articles as a kind of their own. A token's occurrence vector over its host's pages is summed
+up as an order-free hash of (page, count), so vectors of any length are aggregated without gathering a host's pages
+anywhere. Tokens of one host with equal vectors form an equivalence class, which is valid if it has at least two tokens and
+occurs on enough of the host's pages. Within a class tokens are ordered by where they stand on average; classes nest by their
+elements. A text inside an article needs more pages, and equal pages count once for it: what few pages or copies share
+there may be content. Elements also carry how much text, and how much of it in links, they hold on all pages.
+
+Second pass: the valid classes are the host's template, and what they don't fix are its slots. A class whose tokens aren't all
+there in the template's order is passed over on that page. The template's content region is the innermost element that
+holds most of the text that varies and isn't in links, widened as long as no slot that is constant, linked or marked as
+something else would come in. The texts of a page under that element are its content; texts that belong to the template are
+none, unless the region holds nothing else. Marks break ties: an article or main element that meets the region is taken in
+its place, and elements that tags, roles or class names mark as menus, footers, sidebars, notices, adverts, forms or reader
+comments are left out. Pages without the region, such as those of a host with too few pages for a template, have
+their marked articles, and without any the blocks that aren't marked as something else and aren't mostly links.
+
+Templates go to the executors whole while they are under ``TEMPLATE_BYTES``, and beyond that by a join on the host, whose
+pages are salted. A host's template holds tokens that half of its pages have, so its size is that of a page.
+
+Defined results: null and empty pages give an empty text; a null or malformed address is a host of its own; pages of any
+length are read whole; unclosed and misnested elements are closed as browsers do; a page that is cut off gives what it has;
+of elements with equal text the first in order of their paths' hashes is the region; repeated rows are extracted each for
+itself; no rows give no rows; other columns, of whatever name, aren't read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -40,10 +46,12 @@ LEAST_PAGES, LEAST_SHARE = 4, 0.5
 #: A text inside an article is the template's from so many different pages on.
 LEAST_INSIDE = 8
 TEMPLATE_BYTES = 32 << 20
+#: Tasks that a host's pages go to in a join, at most, and tokens of templates that a task remembers.
+SALTS, KEPT_TOKENS = 64, 200_000
 MOST_LINKS = 0.5
 
 # HTML's element kinds.
-RAW = frozenset("script style textarea title noscript iframe template svg math object select button".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr rp rt".split())
 CLOSES = {
@@ -52,29 +60,29 @@ CLOSES = {
 OUTER = frozenset("nav aside form footer dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"subscribe|subscription|newsletter|signup|social|share|sharing|related|recommended|recommendations|comments?|commentlist|replies|reply|respond|disqus|widget|toolbar|pagination|pager|login|search|form)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
+    r"comments?|commentlist|replies|disqus)(?:$|[\s_-])",
     re.I,
 )
-HEADERS = re.compile(r"(?:^|[\s_-])(?:header|banner|topbar)(?:$|[\s_-])", re.I)
-
+#: Names that count where neither template nor marks tell what the content is.
+OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|banner|topbar|alert|subscribe|subscription|newsletter|signup|social|share|sharing|related|recommended|recommendations|reply|respond|widget|toolbar|pagination|pager|login|search|form)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 
 
 class Node:
-    """An open element: its path's hash, and what holds for all under it."""
+    """An open element: its path's hash and its parent's, and what holds for all under it."""
 
-    __slots__ = ("tag", "path", "dropped", "article", "own")
+    __slots__ = ("tag", "path", "up", "dropped", "outer", "article", "own")
 
-    def __init__(self, tag: str, path: int, dropped: bool, article: int, own: bool) -> None:
-        self.tag, self.path, self.dropped, self.article, self.own = tag, path, dropped, article, own
+    def __init__(self, tag: str, path: int, up: int, dropped: bool, outer: bool, article: int, own: bool) -> None:
+        self.tag, self.path, self.up, self.dropped, self.outer, self.article, self.own = tag, path, up, dropped, outer, article, own
 
 
 def blocks(page: str) -> Iterator[tuple[str, list[Node], bool, bool]]:
     """The pieces of text of a page in order: (text, open elements, whether in a link, whether a new block begins)."""
-    root = Node("", 0, False, 0, False)
+    root = Node("", 0, 0, False, False, 0, False)
     stack, at, fresh, links = [root], 0, True, 0
 
     def pop(n: int) -> int:
@@ -125,17 +133,15 @@ def blocks(page: str) -> Iterator[tuple[str, list[Node], bool, bool]]:
         if rest and "=" in rest:
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)}
         label = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-        bad = tag in OUTER or attributes.get("role", "").lower() in ROLES or bool(label and NAMES.search(label))
-        if not top.article and not bad:
-            bad = tag == "header" or bool(label and HEADERS.search(label))
-        if rest and not bad:
-            bad = bool(re.search(r"\shidden(?=[\s/=]|$)", rest)) or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        path = xxhash.xxh64_intdigest(f"{top.path} {tag} {label}") >> 1
-        begins = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
+        role = attributes.get("role", "").lower()
+        bad = tag in OUTER or role in ROLES or bool(label and NAMES.search(label))
+        outer = top.outer or tag == "header" or bool(label and OUTSIDE.search(label))
+        path = top.path if tag in INLINE else xxhash.xxh64_intdigest(f"{top.path} {tag} {label}") >> 1
+        begins = tag in ("article", "main") or role in ("main", "article")
         if tag == "body" or tag == "html":
             bad = False
         # what an article drops is counted from the article on; what lies above it is kept apart
-        stack.append(Node(tag, path, bad or (top.dropped and not begins), top.article + 1 if begins else top.article, top.own or (begins and top.dropped)))
+        stack.append(Node(tag, path, top.path, bad or (top.dropped and not begins), outer, top.article + 1 if begins else top.article, top.own or (begins and top.dropped)))
         links += tag == "a"
 
 
@@ -149,71 +155,154 @@ def text_token(container: int, text: str, inside: bool) -> int:
     return -2 - (own >> 1) if inside else own
 
 
-def page_tokens(page: str) -> dict[int, int]:
-    """How often each token occurs: elements by path, and block texts."""
-    out: Counter[int] = Counter()
-    seen: dict[int, Node] = {}  # by identity; held so that no identity is used again
-    held: list[str] = []
-    where, state = 0, (False, False)  # dropped, inside an article
+@dataclass
+class Block:
+    """A block of text: where it stands and what holds for it."""
 
-    def text() -> None:
-        if held and (own := _clean("".join(held))):
-            out[text_token(where, own, state[1])] += 1
-        held.clear()
+    text: str
+    path: int  # of its innermost block element
+    chain: tuple[int, ...]  # of all its block elements
+    link: bool
+    dropped: bool
+    outer: bool
+    above: bool
+    article: bool
 
-    for piece, stack, _, fresh in blocks(page):
-        now = (stack[-1].dropped, bool(stack[-1].article))
-        if fresh or state != now:
-            text()
-        for node in stack[1:]:
-            if id(node) not in seen:
-                seen[id(node)] = node
-                out[node.path] += 1
-        held.append(piece)
-        where, state = _container(stack), now
-    text()
-    return out
 
+@dataclass
+class Page:
+    """A page's blocks of text, its elements (path: times, place, parent, dropped) and the length of texts in links."""
 
-def _container(stack: list[Node]) -> int:
-    """The path of the innermost element that isn't inline."""
-    return next((n.path for n in reversed(stack) if n.tag not in INLINE), 0)
+    found: list[Block]
+    elements: dict[int, list]
+    linked: Counter
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The text of a page's content slots."""
-    found: list[tuple[str, int, int, bool, bool, bool]] = []  # text, container, slot, link, dropped, above
-    held: list[str] = []
+def read_page(page: str) -> Page:
+    out, seen, held = Page([], {}, Counter()), {}, []
     state = None
 
     def flush() -> None:
         if held and (own := _clean("".join(held))):
-            found.append((own, *state))
+            out.found.append(Block(own, *state))
         held.clear()
 
     for piece, stack, link, fresh in blocks(page):
         top = stack[-1]
-        slot = next((n.path for n in reversed(stack) if n.path in template), 0)
-        now = (_container(stack), slot, link, top.dropped, top.own, bool(top.article))
-        if fresh or (state and (state[3], state[5]) != (now[3], now[5])):
+        now = (top.path, tuple(dict.fromkeys(n.path for n in stack[1:])), link, top.dropped, top.outer, top.own, bool(top.article))
+        if fresh or (state and (state[3], state[6]) != (now[3], now[6])):
             flush()
-            state = now
         if not held:
             state = now
         held.append(piece)
+        if link:
+            out.linked[top.path] += len(piece.strip())
+        for node in stack[1:]:
+            if id(node) not in seen:  # nodes are held so that no identity is used again
+                seen[id(node)] = node
+                if node.tag not in INLINE:
+                    own = out.elements.setdefault(node.path, [0, len(out.elements), node.up, node.dropped])
+                    own[0] += 1
     flush()
+    return out
+
+
+def text_token(container: int, text: str, inside: bool) -> int:
+    """A block text's token; under -1 for texts inside articles."""
+    own = xxhash.xxh64_intdigest(f"{container} {text}", seed=1) >> 1
+    return -2 - (own >> 1) if inside else own
+
+
+def page_tokens(page: Page) -> list[tuple]:
+    """token, parent, times, place, characters, those in links, whether dropped, whether a text."""
+    chars: Counter[int] = Counter()
+    texts: dict[int, list] = {}
+    for i, f in enumerate(page.found):
+        chars[f.path] += len(f.text)
+        own = texts.setdefault(text_token(f.path, f.text, f.article), [f.path, 0, i, 0])
+        own[1] += 1
+        own[3] += len(f.text)
+    out = [(path, up, n, place, chars[path], min(page.linked[path], chars[path]), dropped, False) for path, (n, place, up, dropped) in page.elements.items()]
+    return out + [(token, path, n, place, size, 0, False, True) for token, (path, n, place, size) in texts.items()]
+
+
+class Template:
+    """A host's valid classes: tokens in order, and the content region that their slots give."""
+
+    def __init__(self, rows: list) -> None:
+        rows = sorted(rows, key=lambda r: (r["place"], r["token"]))
+        self.size = len(rows)
+        self.classes: dict[tuple, list[int]] = {}  # texts and elements are ordered apart
+        for r in rows:
+            self.classes.setdefault((r["class"], r["text"]), []).append(r["token"])
+        self.texts = {r["token"] for r in rows if r["text"]}
+        self.region = self._region([r for r in rows if not r["text"]], [r for r in rows if r["text"]])
+
+    def _region(self, elements: list, texts: list) -> int | None:
+        up = {r["token"]: r["up"] for r in elements}
+        fixed: Counter[int] = Counter()
+        for r in texts:
+            fixed[r["up"]] += r["chars"]
+        own = {r["token"]: max(r["chars"] - r["links"] - fixed[r["token"]], 0) for r in elements}
+        poor = {r["token"] for r in elements if r["dropped"] or 2 * own[r["token"]] < r["chars"]}
+        mass: Counter[int] = Counter()
+        tokens: dict[int, list[int]] = {}  # all elements under one, itself too
+        for token in up:
+            at = token
+            while True:
+                mass[at] += 0 if token in poor else own[token]
+                tokens.setdefault(at, []).append(token)
+                if at not in up or up[at] == at:
+                    break
+                at = up[at]
+        total = sum(own[t] for t in own if t not in poor)
+        if not total:
+            return None
+        heavy = [t for t in up if t not in poor or len(tokens[t]) > 1]
+        heavy = [t for t in heavy if 2 * mass[t] > total]
+        if not heavy:
+            return None
+        region = min(heavy, key=lambda t: (len(tokens[t]), t))
+        while up[region] in up and not poor.intersection(tokens[up[region]]) - set(tokens[region]):
+            region = up[region]
+        return region
+
+    def on(self, page: Page) -> tuple[set[int], int | None]:
+        """The texts of the template and its region, of the classes that the page follows."""
+        place = {path: e[1] for path, e in page.elements.items()}
+        words: dict[int, int] = {}
+        for i, f in enumerate(page.found):
+            words.setdefault(text_token(f.path, f.text, f.article), i)
+        valid: set[int] = set()
+        for (_, text), tokens in self.classes.items():
+            at = [(words if text else place).get(t) for t in tokens]
+            if None not in at and at == sorted(at):
+                valid.update(tokens)
+        return self.texts & valid, self.region if self.region in valid else None
+
+
+def main_text(page: str | Page, template: Template | None = None) -> str:
+    """The text of a page's content slots."""
+    page = read_page(page) if isinstance(page, str) else page
+    fixed, region = template.on(page) if template else (set(), None)
+
+    def content(found: list[Block]) -> list[Block]:
+        return [f for f in found if text_token(f.path, f.text, f.article) not in fixed] or found
+
+    slot = [f for f in page.found if region in f.chain and not f.dropped] if region is not None else []
     for above in (False, True):  # articles under dropped elements count only if there are no others
-        inside = [f for f in found if f[6] and not f[4] and (above or not f[5])]
-        if inside:
-            return " ".join(f[0] for f in [f for f in inside if text_token(f[1], f[0], True) not in template] or inside)
-    rest = [f for f in found if not f[4] and not f[6] and text_token(f[1], f[0], False) not in template]
+        marked = [f for f in page.found if f.article and not f.dropped and (above or not f.above)]
+        if marked and (not slot or any(region in f.chain for f in marked)):
+            return " ".join(f.text for f in content(marked))
+    if slot:
+        return " ".join(f.text for f in content(slot))
+    rest = [f for f in page.found if not (f.dropped or f.outer or f.article) and text_token(f.path, f.text, False) not in fixed]
     mass: Counter[int] = Counter()
     links: Counter[int] = Counter()
     for f in rest:
-        key = f[2] or f[1]
-        mass[key] += len(f[0])
-        links[key] += len(f[0]) * f[3]
-    return " ".join(f[0] for f in rest if links[f[2] or f[1]] <= MOST_LINKS * mass[f[2] or f[1]])
+        mass[f.path] += len(f.text)
+        links[f.path] += len(f.text) * f.link
+    return " ".join(f.text for f in rest if links[f.path] <= MOST_LINKS * mass[f.path])
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -222,31 +311,31 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def templates(hosted: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_inside: int = LEAST_INSIDE) -> DataFrame:
-    """host, tokens (array of long): the tokens of each host's valid equivalence classes."""
+    """host, tokens (array of structs): the tokens of each host's valid equivalence classes."""
+    names = ["host", "token", "up", "vector", "place", "chars", "links", "dropped", "text"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, tokens, vectors = [], [], []
+            rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page_hash = xxhash.xxh64_intdigest(page)
-                own = page_tokens(page)
-                own[-1] = 1
-                for token, n in own.items():
-                    hosts.append(host)
-                    tokens.append(token)
-                    vectors.append(xxhash.xxh64_intdigest(f"{page_hash} {n}") >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(vectors, pa.int64())], names=["host", "token", "vector"])
-
-    rows = hosted.select("host", "html").mapInArrow(run, "host string, token long, vector long")
+                for token, up, n, place, chars, links, dropped, text in [*page_tokens(read_page(page)), (-1, 0, 1, 0, 0, 0, False, False)]:
+                    rows.append((host, token, up, xxhash.xxh64_intdigest(f"{page_hash} {n}") >> 1, place, chars, links, dropped, text))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
+
+    rows = hosted.select("host", "html").mapInArrow(run, "host string, token long, up long, vector long, place long, chars long, links long, dropped boolean, text boolean")
     # equal pages have equal vectors
-    kinds = rows.groupBy("host", "token", "vector").agg(F.count("*").alias("n"))
-    sums = kinds.groupBy("host", "token").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"), F.bit_xor("vector").alias("x"), F.sum(F.shiftright("vector", 31) * F.col("n")).alias("y"))
-    sums = written(sums.where((F.col("token") >= -1) | (F.col("kinds") >= least_inside)), "tokens")
+    of = [F.sum(c).alias(c) for c in ("place", "chars", "links")] + [F.min("up").alias("up"), F.max("dropped").alias("dropped"), F.max("text").alias("text")]
+    same = rows.groupBy("host", "token", "vector").agg(F.count("*").alias("n"), *of)
+    sums = same.groupBy("host", "token").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"), F.bit_xor("vector").alias("x"), F.sum(F.shiftright("vector", 31) * F.col("n")).alias("y"), *of)
+    sums = written(sums.where(F.col("pages") >= F.when(F.col("token") == -1, 0).otherwise(least_pages)).where((F.col("token") >= -1) | (F.col("kinds") >= least_inside)), "tokens")
     sizes = sums.where("token = -1").select("host", F.col("pages").alias("of"), F.col("kinds").alias("kinds_of"))
-    often = sums.where(F.col("pages") >= least_pages).where("token <> -1").join(sizes, "host")
+    often = sums.where("token <> -1").join(sizes, "host")
     often = often.where(F.when(F.col("token") < -1, F.col("kinds") >= least_share * F.col("kinds_of")).otherwise(F.col("pages") >= least_share * F.col("of")))
-    classes = often.groupBy("host", "pages", "x", "y").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= 2)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    row = F.struct("token", "up", (F.col("place") / F.col("pages")).alias("place"), "chars", "links", "dropped", "text", F.xxhash64("pages", "x", "y").alias("class"))
+    classes = often.select("host", "pages", "x", "y", row.alias("row")).groupBy("host", "pages", "x", "y").agg(F.collect_list("row").alias("rows")).where(F.size("rows") >= 2)
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("rows")).alias("tokens"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template_bytes: int = TEMPLATE_BYTES) -> DataFrame:
@@ -254,21 +343,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     tune(pages.sparkSession)
     hosted = _hosted(pages, id_col, url_col, html_col)
     found = written(templates(hosted), "templates")
-    size = found.agg(F.sum(F.size("tokens") * 8 + F.length("host") + 32)).first()[0] or 0
-    joined = hosted.join(F.broadcast(found) if size <= template_bytes else found, "host", "left").select("page_id", "url", "html", "tokens", "host")
+    size = found.agg(F.sum(F.size("tokens") * 64 + F.length("host") + 32)).first()[0] or 0
+    if size <= template_bytes:
+        joined = hosted.join(F.broadcast(found), "host", "left")
+    else:  # a host with many pages goes to many tasks
+        salted = hosted.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "tokens", "host")
     kind = joined.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, frozenset[int]] = {}
+        kept: dict[str, Template | None] = {}
+        held = 0
         for batch in batches:
             out = []
             tokens = batch.column(3)
             for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())):
                 if host not in kept:
-                    if len(kept) > 10_000:
-                        kept.clear()
-                    kept[host] = frozenset(tokens[i].as_py() or ())
+                    rows = tokens[i].as_py()
+                    kept[host] = Template(rows) if rows else None
+                    held += len(rows or ()) + 1
                 out.append(main_text(page, kept[host]))
+                if held > KEPT_TOKENS:
+                    kept.clear()
+                    held = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
