@@ -17,7 +17,7 @@ members aren't in one component yet go on; they are settled exactly, by tasks th
 and return only the links that connect what wasn't connected yet. A bucket of more than a block is dealt out before by its
 members' rarest shingles: two sets that are similar enough have one in common among the rarest fifth of either, so texts
 that share a passage and nothing else don't meet again. Only members that share even that in great number and yet aren't
-connected meet block by block.
+connected meet block by block. The largest component of a bucket never meets itself.
 
 Defined results: null and empty texts are equal texts without words and form one class; texts of fewer than five words
 have one shingle, all their words; texts of any length are read whole; equal texts, repeated rows included, are in one
@@ -266,20 +266,40 @@ def _rare_keys(hot: DataFrame, sets: DataFrame) -> DataFrame:
     return rare.select("node", F.xxhash64("key", "o.h").alias("key"), "component")
 
 
+def _sized(left: DataFrame) -> DataFrame:
+    """Adds each bucket's size, its largest component and how many nodes others have; buckets of one component go."""
+    parts = left.groupBy("key", "component").agg(F.count("*").alias("c"))
+    sizes = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("most"))
+    sizes = sizes.select("key", "n", F.col("most.component").alias("main"), (F.col("n") - F.col("most.c")).alias("others"))
+    return left.join(sizes.where("others > 0"), "key")
+
+
+def _placed(sized: DataFrame) -> DataFrame:
+    """The nodes of buckets in the blocks where they meet: key, lo, hi, i, node, component.
+
+    A bucket of up to ``BLOCK`` nodes is one block. In larger ones the nodes outside the largest component are cut into
+    blocks and that component into others, and each two blocks meet once, except for two of the largest component."""
+    small = F.col("n") <= BLOCK
+    blocks = F.when(small, 1).otherwise(F.ceil(F.col("others") / BLOCK)).cast("int")
+    mains = F.when(small, 0).otherwise(F.ceil((F.col("n") - F.col("others")) / BLOCK)).cast("int")
+    sized = sized.withColumn("blocks", blocks).withColumn("mains", mains)
+    spread = _order(F.col("node"), 7)
+    other = small | (F.col("component") != F.col("main"))
+    sized = sized.withColumn("i", F.when(other, F.pmod(spread, F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(spread, F.greatest("mains", F.lit(1)))).cast("int"))
+    meets = F.when(F.col("i") < F.col("blocks"), F.col("blocks") + F.col("mains")).otherwise(F.col("blocks"))
+    placed = sized.withColumn("j", F.explode(F.sequence(F.lit(0), meets - 1)))
+    return placed.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "component")
+
+
 def _settled(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components within the buckets of ``left`` (node, key, component).
 
-    A bucket of up to ``BLOCK`` nodes is one block; larger ones are dealt out by rare shingles, and what is larger even
-    then is cut into blocks, each two of which meet once. Pairs whose ends are connected are passed over, so that a task
-    returns a forest and never all pairs."""
-    counts = left.groupBy("key").agg(F.count("*").alias("n"))
-    sized = left.join(counts, "key")
-    finer = checkpointed(_rare_keys(sized.where(F.col("n") > BLOCK).drop("n"), sets))
-    mixed = finer.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    sized = sized.where(F.col("n") <= BLOCK).unionByName(finer.join(mixed, "key"))
-    placed = sized.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(_order(F.col("node"), 7), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "key", "component", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
+    Buckets with more than a block of nodes outside their largest component are dealt out by rare shingles first. Pairs
+    whose ends are connected are passed over, so that a task returns a forest and never all pairs."""
+    sized = checkpointed(_sized(left))
+    hot = (F.col("n") > BLOCK) & (F.col("others") > BLOCK)
+    finer = checkpointed(_rare_keys(sized.where(hot).select("node", "key", "component"), sets))
+    placed = _placed(sized.where(~hot)).unionByName(_placed(_sized(finer)))
     rows = placed.join(sets, "node").select("key", "lo", "hi", "i", "node", "component", "hashes")
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
