@@ -6,17 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.plans import store
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; one on this machine only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        path = context.getConf().get("spark.checkpoint.dir")
-        if not path:
-            import tempfile
 
-            path = tempfile.mkdtemp(prefix="wayfold-")
-        context.setCheckpointDir(path)
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names."""
+    store.shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -12,8 +12,8 @@ GRID = 1 << 16
 
 # --- snapping: cells meet the pieces of roads in the nine buckets around them -------------------------------------------------
 _bx, _by = (lambda c: f"CAST(floor(({c} + 180.0) / 360.0 * {GRID}) AS BIGINT)"), (lambda c: f"CAST(floor(({c} + 90.0) / 360.0 * {GRID}) AS BIGINT)")
-# crowd cells stand beside roads of the lattice: every road of a tenth of the nodes has one, near its middle
-add("snap_points", """SELECT seg_id AS cell, mid_lat + ((seg_id * 37) % 100 - 50) * 0.00001 AS lat, mid_lon + ((seg_id * 53) % 100 - 50) * 0.000012 AS lon, CASE WHEN seg_id % 11 = 0 THEN NULL ELSE CASE WHEN seg_id % 2 = 0 THEN 90.0 ELSE 0.0 END + (seg_id * 17) % 80 END AS hdg, (seg_id * 7) % 40 + 1 AS n_points, n_trips, lean_p95, speed_mean, abs_rate * 3.0 AS abs_events, length_m AS path_m, curviness AS lean_delta FROM {seg} WHERE seg_id % 10 < 4""", query=False)
+# a crowd cell stands beside every road, near its middle
+add("snap_points", """SELECT seg_id AS cell, mid_lat + ((seg_id * 37) % 100 - 50) * 0.00001 AS lat, mid_lon + ((seg_id * 53) % 100 - 50) * 0.000012 AS lon, CASE WHEN seg_id % 11 = 0 THEN NULL ELSE CASE WHEN seg_id % 2 = 0 THEN 90.0 ELSE 0.0 END + (seg_id * 17) % 80 END AS hdg, (seg_id * 7) % 40 + 1 AS n_points, n_trips, lean_p95, speed_mean, abs_rate * 3.0 AS abs_events, length_m AS path_m, curviness AS lean_delta FROM {seg}""", query=False)
 # a road is cut into pieces short against a bucket, each of which is listed where its ends lie
 add("pieces", "SELECT seg_id, k, a_lat + (b_lat - a_lat) * k / 12.0 AS p_lat, a_lon + (b_lon - a_lon) * k / 12.0 AS p_lon, a_lat + (b_lat - a_lat) * (k + 1) / 12.0 AS q_lat, a_lon + (b_lon - a_lon) * (k + 1) / 12.0 AS q_lon FROM (SELECT seg_id, a_lat, a_lon, b_lat, b_lon, SERIES(0, 11) AS k FROM {seg})", query=False)
 add("y9_piece_index", f"SELECT DISTINCT {_bx('lon')} AS bx, {_by('lat')} AS by_, seg_id, k FROM (SELECT seg_id, k, p_lat AS lat, p_lon AS lon FROM {{pieces}} UNION ALL SELECT seg_id, k, q_lat, q_lon FROM {{pieces}})")
@@ -24,34 +24,56 @@ add("snap_candidates", f"""SELECT cell, seg_id, k, min({geo.piece_distance('lat'
 WHERE hdg IS NULL OR {geo.undirected('hdg', geo.bearing('p_lat', 'p_lon', 'q_lat', 'q_lon'))} <= 55.0 GROUP BY cell, seg_id, k""", query=False)
 add("snapped", "SELECT cell, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(d, 6), seg_id, k) AS r FROM {snap_candidates} WHERE d < 46.0) WHERE r = 1", query=False)
 add("j1_snap_cells", "SELECT cell, seg_id, round(d, 3) AS d FROM {snapped}")
-add("j2_snap_rider", "SELECT cell, seg_id FROM {snapped} WHERE cell % 3 = 0")
+# the cells of a rider's trips, by their number of trips, meet the roads alike
+add("j2_snap_rider", "SELECT s.cell, s.seg_id, p.n_trips FROM {snapped} s JOIN {snap_points} p ON p.cell = s.cell WHERE p.n_trips > 0")
 add("snap_pool", """SELECT s.seg_id, CAST(sum(p.n_points) AS BIGINT) AS n_points, max(p.n_trips) AS n_trips, sum(p.path_m) AS path_m, sum(p.lean_delta) AS lean_delta, sum(p.abs_events) AS abs_events, sum(p.lean_p95 * p.n_points) / sum(p.n_points) AS lean_p95, coalesce(sum(nullif(p.speed_mean, 0.0) * p.n_points) / sum(CASE WHEN p.speed_mean <> 0 THEN p.n_points END), 0.0) AS speed_mean
 FROM {snapped} s JOIN {snap_points} p ON p.cell = s.cell GROUP BY s.seg_id""", query=False)
 add("a11_snap_pooling", "SELECT seg_id, n_points, n_trips, round(path_m, 4) AS path_m, round(lean_delta, 4) AS lean_delta, round(lean_p95, 6) AS lean_p95, round(speed_mean, 6) AS speed_mean FROM {snap_pool}")
 add("a12_rates", "SELECT seg_id, round(lean_delta / greatest(path_m / 1000.0, 0.000001), 6) AS curviness, round(abs_events / greatest(path_m / 1000.0, 0.000001), 6) AS abs_rate FROM {snap_pool}")
 
 # --- nearest and range --------------------------------------------------------------------------------------------------------
-# nodes and probes meet in growing squares of the lattice's own cells; the first ring with a node and the next settle it
-add("main_nodes", "SELECT n.node, n.lat, n.lon, d.degree FROM {node} n JOIN {degree} d ON d.node = n.node", query=False)
-
+# Points are counted in squares of 13 sizes, each twice as wide as the one before. The smallest size at which the nine squares
+# around a probe hold a point bounds its distance; the nearest point then lies in the nine squares of that size or, if it is
+# farther than they surely reach, of one that reaches as far as the nearest point found so far.
+LEVELS = "SELECT l, power(2.0, l) * 0.02 AS w FROM (SELECT SERIES(0, 14) AS l)"
+add("widths", LEVELS, query=False)
+_gy, _gx = "CAST(floor({0}.lat / {1}.w) AS BIGINT)", "CAST(floor({0}.lon / {1}.w) AS BIGINT)"
+
+
+def nearest(name: str, probes: str, points: str, key: str, where: str = "TRUE", shown: str = "round(d, 3) AS d", query: bool = True) -> None:
+    """The nearest point of each probe, at any distance; ties go to the smaller key. Probes: poi_id, lat, lon."""
+    d = H("p.lat", "p.lon", "n.lat", "n.lon")
+    add(f"{name}_points", f"SELECT n.{key} AS id, n.lat, n.lon FROM {{{points}}} n WHERE {where}", query=False)
+    add(f"{name}_squares", f"SELECT l.l, {_gy.format('n', 'l')} AS gy, {_gx.format('n', 'l')} AS gx FROM {{{name}_points}} n CROSS JOIN {{widths}} l GROUP BY ALL", query=False)
+    add(f"{name}_around", f"SELECT p.poi_id, p.lat, p.lon, l.l, l.w, {_gy.format('p', 'l')} + k.dy AS gy, {_gx.format('p', 'l')} + k.dx AS gx FROM {{{probes}}} p CROSS JOIN {{widths}} l CROSS JOIN {{nine}} k", query=False)
+    add(f"{name}_first", f"SELECT a.poi_id, min(a.l) AS l FROM {{{name}_around}} a JOIN {{{name}_squares}} s ON s.l = a.l AND s.gy = a.gy AND s.gx = a.gx GROUP BY a.poi_id", query=False)
+    add(f"{name}_placed", f"SELECT n.id, n.lat, n.lon, l.l, {_gy.format('n', 'l')} AS gy, {_gx.format('n', 'l')} AS gx FROM {{{name}_points}} n CROSS JOIN {{widths}} l", query=False)
+
+    def met(levels: str) -> str:
+        return f"SELECT p.poi_id, p.l, p.w, p.lat, n.id, {d} AS d FROM {{{name}_around}} p JOIN {{{levels}}} f ON f.poi_id = p.poi_id AND f.l = p.l JOIN {{{name}_placed}} n ON n.l = p.l AND n.gy = p.gy AND n.gx = p.gx"
+
+    # what the nine squares surely reach: a square's width, shorter along the parallel towards the pole
+    reach = "111000.0 * w * greatest(0.01, cos(radians(least(89.0, abs(lat) + w))))"
+    add(f"{name}_bound", f"SELECT poi_id, min(l.l) AS l FROM (SELECT poi_id, lat, min(d) AS d FROM ({met(f'{name}_first')}) GROUP BY poi_id, lat) b JOIN {{widths}} l ON {reach} >= d OR l.l = 14 GROUP BY poi_id", query=False)
+    add(f"{name}_level", f"SELECT f.poi_id, greatest(f.l, b.l) AS l FROM {{{name}_first}} f JOIN {{{name}_bound}} b ON b.poi_id = f.poi_id", query=False)
+    full = f"SELECT poi_id, id AS {key}, {shown} FROM (SELECT p.poi_id, n.{key} AS id, {d} AS d, row_number() OVER (PARTITION BY p.poi_id ORDER BY round({d}, 6), n.{key}) AS r FROM {{{probes}}} p CROSS JOIN {{{points}}} n WHERE {where}) WHERE r = 1"
+    add(name, f"SELECT poi_id, id AS {key}, {shown} FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(d, 6), id) AS r FROM ({met(f'{name}_level')})) WHERE r = 1", query, oracle=full)
 
-def nearest(name: str, probes: str, where: str = "TRUE", query: bool = True) -> None:
-    """The nearest node of each probe among the buckets around it; ties go to the smaller node."""
-    k = "CAST(floor({}.lat / 0.02) AS BIGINT)", "CAST(floor({}.lon / 0.02) AS BIGINT)"
-    add(name, f"""SELECT poi_id, node, round(d, 3) AS d FROM (SELECT p.poi_id, n.node, {H('p.lat', 'p.lon', 'n.lat', 'n.lon')} AS d, row_number() OVER (PARTITION BY p.poi_id ORDER BY round({H('p.lat', 'p.lon', 'n.lat', 'n.lon')}, 6), n.node) AS r
-FROM (SELECT p.*, {k[0].format('p')} + dy AS gy, {k[1].format('p')} + dx AS gx FROM {{{probes}}} p CROSS JOIN {{nine}}) p JOIN {{main_nodes}} n ON {k[0].format('n')} = p.gy AND {k[1].format('n')} = p.gx WHERE {where}) WHERE r = 1""", query)
 
-
-nearest("j9_nearest_node", "poi")
-nearest("j7_nearest_junction", "poi", "n.degree >= 3")
-add("j8_nearest_cell", f"SELECT poi_id, code FROM (SELECT p.poi_id, c.code, row_number() OVER (PARTITION BY p.poi_id ORDER BY round(power(c.lat - p.lat, 2) + power((c.lon - p.lon) * cos(radians(p.lat)), 2), 12), c.code) AS r FROM {{poi}} p JOIN {{cells}} c ON c.lat BETWEEN p.lat - 1.0 AND p.lat + 1.0 WHERE p.poi_id % 4 = 0) WHERE r = 1")
+add("main_nodes", "SELECT n.node, n.lat, n.lon, d.degree FROM {node} n JOIN {degree} d ON d.node = n.node", query=False)
+nearest("j9_nearest_node", "poi", "main_nodes", "node")
+nearest("j7_nearest_junction", "poi", "main_nodes", "node", "n.degree >= 3")
+nearest("j8_nearest_cell", "poi", "cells", "code")
 add("j10_box_range", "SELECT p.poi_id, CAST(count(n.node) AS BIGINT) AS n FROM (SELECT *, CAST(floor(lat / 0.02) AS BIGINT) AS gy, CAST(floor(lon / 0.02) AS BIGINT) AS gx FROM {poi}) p CROSS JOIN {nine} k JOIN {node} n ON CAST(floor(n.lat / 0.02) AS BIGINT) = p.gy + k.dy AND CAST(floor(n.lon / 0.02) AS BIGINT) = p.gx + k.dx WHERE n.lat BETWEEN p.lat - 0.01 AND p.lat + 0.01 AND n.lon BETWEEN p.lon - 0.015 AND p.lon + 0.015 GROUP BY p.poi_id")
 add("viewpoint_ok", "SELECT p.poi_id, p.lat, p.lon, p.name, n.node, n.d FROM {poi} p JOIN {j9_nearest_node} n ON n.poi_id = p.poi_id WHERE p.kind = 'viewpoint' AND n.d <= 700.0", query=False)
-add("lake_targets", f"SELECT poi_id, target FROM (SELECT l.poi_id, v.poi_id AS target, row_number() OVER (PARTITION BY l.poi_id ORDER BY round({H('l.lat', 'l.lon', 'v.lat', 'v.lon')}, 6), v.poi_id) AS r FROM {{poi}} l JOIN {{viewpoint_ok}} v ON v.lat BETWEEN l.lat - 0.08 AND l.lat + 0.08 WHERE l.kind = 'lake' AND {H('l.lat', 'l.lon', 'v.lat', 'v.lon')} <= 8000.0) WHERE r = 1", query=False)
+add("lake_targets", f"SELECT poi_id, target FROM (SELECT l.poi_id, v.poi_id AS target, row_number() OVER (PARTITION BY l.poi_id ORDER BY round({H('l.lat', 'l.lon', 'v.lat', 'v.lon')}, 6), v.poi_id) AS r FROM {{poi}} l JOIN {{viewpoint_ok}} v ON v.lat BETWEEN l.lat - 0.08 AND l.lat + 0.08 AND CAST(floor(v.lat / 0.08) AS BIGINT) BETWEEN CAST(floor(l.lat / 0.08) AS BIGINT) - 1 AND CAST(floor(l.lat / 0.08) AS BIGINT) + 1 WHERE l.kind = 'lake' AND {H('l.lat', 'l.lon', 'v.lat', 'v.lon')} <= 8000.0) WHERE r = 1", query=False)
 add("poi_roads", "SELECT p.poi_id, p.name, p.kind, p.weight, p.ele, coalesce(t.target, p.poi_id) AS target, n.node, n.d AS snap_m, m.lat, m.lon FROM {poi} p LEFT JOIN {lake_targets} t ON t.poi_id = p.poi_id JOIN {j9_nearest_node} n ON n.poi_id = coalesce(t.target, p.poi_id) JOIN {node} m ON m.node = n.node WHERE n.d <= 2500.0", query=False)
 add("j11_poi_roads", "SELECT poi_id, target, node, snap_m FROM {poi_roads}")
+# every third point of a route, which is the operator's own stride; the first is always one
 add("route_points", "SELECT r.route, r.pos, s.mid_lat AS lat, s.mid_lon AS lon FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id WHERE (r.pos - 1) % 3 = 0", query=False)
-add("j12_route_visits", f"SELECT r.route, p.poi_id, round(min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}), 3) AS d FROM {{poi_roads}} p JOIN {{route_points}} r ON CAST(floor(r.lat / 0.02) AS BIGINT) BETWEEN CAST(floor((p.lat - 0.0064) / 0.02) AS BIGINT) AND CAST(floor((p.lat + 0.0064) / 0.02) AS BIGINT) AND r.lat BETWEEN p.lat - 0.0064 AND p.lat + 0.0064 AND r.lon BETWEEN p.lon - 0.01 AND p.lon + 0.01 GROUP BY r.route, p.poi_id HAVING min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}) <= 700.0")
+_by7, _bx7 = "CAST(floor({0}.lat / 0.0064) AS BIGINT)", "CAST(floor({0}.lon / 0.01) AS BIGINT)"
+add("j12_route_visits", f"SELECT r.route, p.poi_id, round(min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}), 3) AS d FROM (SELECT p.*, {_by7.format('p')} + k.dy AS gy, {_bx7.format('p')} + k.dx AS gx FROM {{poi_roads}} p CROSS JOIN {{nine}} k) p JOIN {{route_points}} r ON {_by7.format('r')} = p.gy AND {_bx7.format('r')} = p.gx GROUP BY r.route, p.poi_id HAVING min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}) <= 700.0",
+    oracle=f"SELECT r.route, p.poi_id, round(min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}), 3) AS d FROM {{poi_roads}} p, {{route_points}} r GROUP BY r.route, p.poi_id HAVING min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}) <= 700.0")
 
 # --- points of interest -----------------------------------------------------------------------------------------------------
 add("f41_classify", "SELECT poi_id, kind, round(weight, 6) AS weight FROM (SELECT poi_id, CASE s_nationkey % 5 WHEN 0 THEN 'viewpoint' WHEN 1 THEN 'pass' WHEN 2 THEN CASE WHEN ele >= 1000.0 THEN 'peak' END WHEN 3 THEN CASE WHEN weight * 120000.0 >= 150000.0 THEN 'lake' END END AS kind, CASE s_nationkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.4 WHEN 2 THEN 1.0 + least(ele, 2500.0) / 2500.0 ELSE 1.0 + least(weight * 120000.0 / 5000000.0, 0.8) END AS weight FROM {poi}) WHERE kind IS NOT NULL")
@@ -71,8 +93,14 @@ add("f43_objective", "SELECT poi_id, round(objective, 5) AS objective, round(0.6
 add("l7_poi_ranks", " UNION ALL ".join(f"SELECT poi_id, '{r.upper()}' AS rider, CAST(row_number() OVER (ORDER BY round(0.65 * aff_{r} + 0.35 * objective, 3) DESC, name, node, poi_id) AS BIGINT) AS rk FROM {{poi_scores}}" for r in "abc"))
 add("l8_style_owner", """SELECT poi_id, cr, sr, CASE WHEN cr <= top AND (sr > top OR cr + margin < sr) THEN 'B' WHEN sr <= top AND (cr > top OR sr + margin < cr) THEN 'C' ELSE 'A' END AS owner FROM
 (SELECT poi_id, CAST(row_number() OVER (ORDER BY round(curve, 3) DESC, name, node, poi_id) AS BIGINT) AS cr, CAST(row_number() OVER (ORDER BY round(kmh, 2) DESC, name, node, poi_id) AS BIGINT) AS sr, greatest(1, ceil(count(*) OVER () * 0.30)) AS top, greatest(1, ceil(count(*) OVER () * 0.05)) AS margin FROM {poi_scores})""")
-add("j13_spot_density", f"SELECT a.poi_id, round(sum(0.25 + 0.75 * (1.0 - {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 12000.0)), 4) AS density, CAST(count(*) AS BIGINT) AS spots FROM {{poi_roads}} a JOIN {{poi_roads}} b ON b.kind = a.kind AND b.lat BETWEEN a.lat - 0.109 AND a.lat + 0.109 WHERE {H('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 12000.0 GROUP BY a.poi_id")
-add("a33_spot_search_score", "SELECT v.route, round(10.0 * count(*) + 2.0 * sum(p.aff_a) + sum(p.objective), 3) AS score FROM {j12_route_visits} v JOIN {poi_scores} p ON p.poi_id = v.poi_id GROUP BY v.route")
+# spots of one owner within 12 km of each other, targets in squares of that size
+add("spots", "SELECT p.poi_id, p.aff_a, p.aff_b, p.aff_c, p.objective, p.node, p.weight, o.owner, t.lat, t.lon FROM {poi_scores} p JOIN {l8_style_owner} o ON o.poi_id = p.poi_id JOIN {poi} t ON t.poi_id = p.target", query=False)
+_by12, _bx12 = "CAST(floor({0}.lat / 0.11) AS BIGINT)", "CAST(floor({0}.lon / 0.19) AS BIGINT)"
+_d12 = H("a.lat", "a.lon", "b.lat", "b.lon")
+add("j13_spot_density", f"SELECT a.poi_id, round(sum(0.25 + 0.75 * (1.0 - {_d12} / 12000.0)), 4) AS density, CAST(count(*) AS BIGINT) AS spots FROM (SELECT s.*, {_by12.format('s')} + k.dy AS gy, {_bx12.format('s')} + k.dx AS gx FROM {{spots}} s CROSS JOIN {{nine}} k) a JOIN {{spots}} b ON b.owner = a.owner AND {_by12.format('b')} = a.gy AND {_bx12.format('b')} = a.gx WHERE {_d12} <= 12000.0 GROUP BY a.poi_id",
+    oracle=f"SELECT a.poi_id, round(sum(0.25 + 0.75 * (1.0 - {_d12} / 12000.0)), 4) AS density, CAST(count(*) AS BIGINT) AS spots FROM {{spots}} a, {{spots}} b WHERE b.owner = a.owner AND {_d12} <= 12000.0 GROUP BY a.poi_id")
+# for rider A: visited spots of its own style, how well they suit it, and how much of a 150-minute budget the route uses
+add("a33_spot_search_score", "SELECT route, round(10.0 * n + 2.0 * aff + objective + least(1.0, minutes / 150.0), 3) AS score FROM (SELECT v.route, count(*) AS n, sum(0.65 * p.aff_a + 0.35 * p.objective) AS aff, sum(p.objective) AS objective, max(k.minutes) AS minutes FROM {j12_route_visits} v JOIN {spots} p ON p.poi_id = v.poi_id AND p.owner = 'A' JOIN {a23_road_kpis} k ON k.route = v.route GROUP BY v.route)")
 
 # --- terrain ---------------------------------------------------------------------------------------------------------------------
 _rc = (geo.half_even("(48.60 - lat) / 0.01"), geo.half_even("(lon - 11.25) / 0.01"))
@@ -97,9 +125,10 @@ FROM {{chainage}} c JOIN (SELECT way_id, SERIES(0, CAST(floor(total / {spacing})
 
 resampled("points_100", 100.0)
 resampled("points_45", 45.0)
+resampled("points_15", 15.0)
 add("y2_subdivide", "SELECT way_id, k, round(lat, 7) AS lat, round(lon, 7) AS lon, 10000000 + CAST(way_id AS BIGINT) * 10000 + CAST(k AS BIGINT) AS node FROM {points_100}")
 add("y4_interpolate", "SELECT way_id, k, round(lat, 7) AS lat, round(lon, 7) AS lon FROM {points_45}")
-add("headings", f"SELECT way_id, k, {geo.bearing('p_lat', 'p_lon', 'lat', 'lon')} AS b, d FROM (SELECT *, {H('p_lat', 'p_lon', 'lat', 'lon')} AS d FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM {{points_45}} WINDOW w AS (PARTITION BY way_id ORDER BY k))) WHERE d > 0.5", query=False)
+add("headings", f"SELECT way_id, k, {geo.bearing('p_lat', 'p_lon', 'lat', 'lon')} AS b, d FROM (SELECT *, {H('p_lat', 'p_lon', 'lat', 'lon')} AS d FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM {{points_15}} WINDOW w AS (PARTITION BY way_id ORDER BY k))) WHERE d > 0.5", query=False)
 add("turns", f"SELECT way_id, k, {geo.turn('p', 'b')} AS t FROM (SELECT *, lag(b) OVER (PARTITION BY way_id ORDER BY k) AS p FROM {{headings}}) WHERE p IS NOT NULL", query=False)
 add("y3_curviness", "SELECT t.way_id, round(sum(t.t) / greatest(max(c.total) / 1000.0, 0.000001), 3) AS deg_per_km FROM {turns} t JOIN (SELECT DISTINCT way_id, total FROM {chainage}) c ON c.way_id = t.way_id GROUP BY t.way_id")
 add("look", f"SELECT way_id, k, {geo.turn('b1', 'b2')} AS t FROM (SELECT way_id, k, {geo.bearing('lat3', 'lon3', 'lat', 'lon')} AS b1, {geo.bearing('lat', 'lon', 'lat4', 'lon4')} AS b2 FROM (SELECT *, lag(lat, 3) OVER w AS lat3, lag(lon, 3) OVER w AS lon3, lead(lat, 3) OVER w AS lat4, lead(lon, 3) OVER w AS lon4 FROM {{points_45}} WINDOW w AS (PARTITION BY way_id ORDER BY k)) WHERE lat3 IS NOT NULL AND lat4 IS NOT NULL)", query=False)

@@ -15,7 +15,8 @@ _e, _a = S.sun_terms("n", "lat", "lon")
 add("sun", f"SELECT i, {_e} AS elev, {_a} AS az FROM {{hours}}", query=False)
 add("f34_sun_position", "SELECT i, round(elev, 6) AS elevation, round(az, 6) AS azimuth FROM {sun}")
 add("f35_light", f"SELECT i, {S.daylight('elev')} AS daylight, round({S.golden('elev')}, 6) AS golden, round({S.facing('200.0', 'az')}, 6) AS facing, {S.phase('elev')} AS phase FROM {{sun}}")
-add("f36_time_factor", f"SELECT s.seg_id, u.i, {S.daylight('u.elev')} AS light, round(0.30 * {S.golden('u.elev')} * {S.facing('s.bearing_mean', 'u.az')}, 6) AS bonus FROM {{seg}} s CROSS JOIN {{sun}} u WHERE u.i % 40 = 15 AND s.seg_id % 10 = 0")
+# every segment at one hour, which is the request
+add("f36_time_factor", f"SELECT s.seg_id, u.i, {S.daylight('u.elev')} AS light, round(0.30 * {S.golden('u.elev')} * {S.facing('s.bearing_mean', 'u.az')}, 6) AS bonus FROM {{seg}} s CROSS JOIN (SELECT * FROM {{sun}} WHERE i = 15) u")
 add("f5_scenic_at_dusk", f"SELECT s.seg_id, round({S.seg_scenic('l.light', '0.30 * l.gold * ' + S.facing('s.bearing_mean', 'l.az'))}, 6) AS scenic FROM {{scored}} s CROSS JOIN (SELECT {S.daylight('elev')} AS light, {S.golden('elev')} AS gold, az FROM {{sun}} WHERE i = 15) l")
 
 # --- weather and windows -----------------------------------------------------------------------------------------------------

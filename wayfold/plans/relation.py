@@ -2,7 +2,8 @@
 
 An operator is a relation whose inputs are DataFrames: ``apply`` runs it on any DataFrames with the columns it reads, so
 Catalyst sees one declarative plan from scan to result. ``build`` runs it over the tables of a folder, and ``oracle``
-gives the same query, inputs spelled out as common table expressions, to another engine.
+gives the same query, inputs spelled out as common table expressions, to another engine, or SQL that was written for it
+apart. Relations that many others read, such as roads and cells, are written once for each state of the tables.
 
 The shared dialect has a few macros for what the engines spell differently, and numbers with a point are always doubles.
 """
@@ -14,6 +15,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.plans import store
+
 #: Macro: (Spark, DuckDB).
 MACROS = {
     "PCTL(": ("percentile(", "quantile_cont("),
@@ -62,19 +65,46 @@ class Catalog:
     def __init__(self) -> None:
         self.relations: dict[str, Relation] = {}
         self.queries: list[str] = []
+        self.oracles: dict[str, str] = {}
+        self.shared: set[str] = set()
 
-    def add(self, name: str, sql: str, query: bool = True) -> Relation:
+    def add(self, name: str, sql: str, query: bool = True, oracle: str | None = None) -> Relation:
+        """``oracle``: SQL written apart for the other engine, with its inputs named likewise."""
         out = self.relations[name] = Relation(name, sql)
         if query:
             self.queries.append(name)
+        if oracle:
+            self.oracles[name] = oracle
         return out
 
+    def share(self, *names: str) -> None:
+        """Relations that others read several times: they are written once and read from then on."""
+        self.shared.update(names)
+
+    def tables(self, name: str) -> list[str]:
+        """The tables that a relation reads, directly or not."""
+        if name not in self.relations:
+            return [name]
+        return sorted({t for i in self.relations[name].inputs for t in self.tables(i)})
+
+    def text(self, name: str) -> str:
+        """A relation's definition with those of its inputs."""
+        return "" if name not in self.relations else self.relations[name].sql + "".join(self.text(i) for i in self.relations[name].inputs)
+
     def build(self, name: str, spark: SparkSession, sf_dir: str, frames: dict[str, DataFrame] | None = None) -> DataFrame:
         frames = {} if frames is None else frames
         if name not in frames:
             if name in self.relations:
                 own = self.relations[name]
-                frames[name] = own.apply(spark, **{i: self.build(i, spark, sf_dir, frames) for i in own.inputs})
+
+                def make() -> DataFrame:
+                    return own.apply(spark, **{i: self.build(i, spark, sf_dir, frames) for i in own.inputs})
+
+                if name in self.shared:
+                    digest = store.key(spark, self.text(name), [f"{sf_dir}/{t}.parquet" for t in self.tables(name)])
+                    frames[name] = store.kept(spark, name, digest, make)
+                else:
+                    frames[name] = make()
             else:
                 frames[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return frames[name]
@@ -82,14 +112,16 @@ class Catalog:
     def oracle(self, name: str) -> str:
         order: list[str] = []
 
+        own = {n: Relation(n, self.oracles.get(n, r.sql)) for n, r in self.relations.items()}
+
         def visit(n: str) -> None:
-            if n in self.relations and n not in order:
-                for i in self.relations[n].inputs:
+            if n in own and n not in order:
+                for i in own[n].inputs:
                     visit(i)
                 order.append(n)
 
         visit(name)
-        text = {n: _dialect(self.relations[n].sql, True).format(**{i: i for i in self.relations[n].inputs}) for n in order}
+        text = {n: _dialect(own[n].sql, True).format(**{i: i for i in own[n].inputs}) for n in order}
         ctes = ",\n".join(f"{n} AS ({text[n]})" for n in order[:-1])
         return (f"WITH {ctes}\n" if ctes else "") + f"SELECT * FROM ({text[name]})"
 
