@@ -48,13 +48,34 @@ def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "j17_terrain")
 
 
-def plan(spark: SparkSession, sf_dir: str, mode: str, start: int, goal: int | None = None, minutes: float | None = None, **options) -> DataFrame:
-    """Routes by one of the planners: destination, avoiding, budgeted, round_trip, alternatives, heatmap, scenic_loop."""
+def plan(spark: SparkSession, sf_dir: str, mode: str, start: int, goal: int | None = None, minutes: float | None = None, network: str = "segments", **options) -> DataFrame:
+    """Routes by one of the planners (destination, avoiding, budgeted, round_trip, alternatives, greedy, heatmap, scenic_loop) on
+    segments, roads or cells."""
+    if mode == "scenic_loop":
+        rider = options.pop("rider", "A")
+        return search.scenic_loops(planning._requests(spark, (start, None, minutes)), planning._roads(spark, sf_dir), planning._stops(spark, sf_dir, rider), **options)
     if mode not in search.PLANNERS:
         raise ValueError(f"no planner is named {mode}")
-    if mode == "scenic_loop" and "stops" not in options:
-        options["stops"] = planning._stops(spark, sf_dir)
-    return search.plan(planning._requests(spark, (start, goal, minutes)), planning._net(spark, sf_dir), mode, **options)
+    net = {"segments": planning._net, "roads": planning._roads, "cells": planning._cells}[network](spark, sf_dir)
+    return search.plan(planning._requests(spark, (start, goal, minutes)), net, mode, **options)
+
+
+def cell_route(spark: SparkSession, sf_dir: str, start: int, goal: int, minutes: float | None = None) -> DataFrame:
+    """A way between two cells, at fixed alphas or within a budget."""
+    if minutes is None:
+        return plan(spark, sf_dir, "destination", start, goal, network="cells")
+    return plan(spark, sf_dir, "budgeted", start, goal, minutes, network="cells", most=8.0, tolerance=0.0, junctions=False)
+
+
+def cell_joyride(spark: SparkSession, sf_dir: str, start: int, minutes: float) -> DataFrame:
+    return plan(spark, sf_dir, "round_trip", start, minutes=minutes, network="cells", kind="cell")
+
+
+def heatmap(spark: SparkSession, sf_dir: str, start: int, goal: int) -> tuple[DataFrame, DataFrame]:
+    """Sampled routes, and how much of them each segment carries."""
+    routes = plan(spark, sf_dir, "heatmap", start, goal)
+    used = routes.join(relation(spark, sf_dir, "scored").select("seg_id", "scenic", "length_m"), "seg_id").groupBy("seg_id").agg(F.sum(F.col("scenic") * F.col("length_m")).alias("w"))
+    return routes, used.crossJoin(F.broadcast(used.agg(F.max("w").alias("top")))).select("seg_id", F.round(F.col("w") / F.col("top"), 5).alias("weight"))
 
 
 def sorted_routes(routes: DataFrame, by: str = "value") -> DataFrame:

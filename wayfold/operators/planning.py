@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import column
@@ -21,11 +21,39 @@ def _plain(spark: SparkSession, sf_dir: str) -> search.Network:
     return search.network(seg)
 
 
-def _net(spark: SparkSession, sf_dir: str) -> search.Network:
-    roads = _seg(spark, sf_dir).select("seg_id", "node_a", "node_b", "length_m", "seconds", "value", "risk", "oneway", column(S.seg_excluded(30.0, 0.9, 1.15)).alias("excluded"), "highway", "urban", F.col("a_lat").alias("lat_a"), F.col("a_lon").alias("lon_a"), F.col("b_lat").alias("lat_b"), F.col("b_lon").alias("lon_b"))
+def _net(spark: SparkSession, sf_dir: str, highway: float = 0.0, twist: float = 0.0, traffic: float = 0.0) -> search.Network:
+    """Segments with their scenic value, one-way roads, exclusions and a rider's aversions."""
+    avoid = f"({S.seg_cost(0.0, highway, twist, traffic)} - {S.seg_cost(0.0)}) / greatest(seconds, 0.000001)"
+    scored = _seg(spark, sf_dir, "scored").select("seg_id", "node_a", "node_b", "length_m", "seconds", F.col("scenic").alias("value"), "risk", "oneway", column(S.seg_excluded(30.0, 0.9, 1.15)).alias("excluded"), "highway", column(avoid).alias("avoid"), F.col("a_lat").alias("lat_a"), F.col("a_lon").alias("lon_a"), F.col("b_lat").alias("lat_b"), F.col("b_lon").alias("lon_b"))
+    return search.network(scored)
+
+
+#: The lean that the requests' rider rides, in degrees; cells beyond it by the margin are left out.
+RIDER_LEAN = 45.0
+
+
+def _beyond() -> Column:
+    return F.coalesce(F.col("cell_lean") - RIDER_LEAN > S.LEAN_MARGIN, F.lit(False)).alias("excluded")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> search.Network:
+    """Cells and the edges between them, both ways; an arc is named by a hash of its ends."""
+    arcs = _seg(spark, sf_dir, "cell_arcs").select(F.xxhash64("a", "b").alias("seg_id"), F.col("a").alias("node_a"), F.col("b").alias("node_b"), "len_m", "seconds", "value", "risk", _beyond(), "lat_a", "lon_a", "lat_b", "lon_b")
+    return search.network(arcs.withColumnRenamed("len_m", "length_m").withColumn("oneway", F.lit(True)))
+
+
+def _roads(spark: SparkSession, sf_dir: str) -> search.Network:
+    """Roads with cell values, urban fade and the factors for highways, straights and style; one-way roads aren't heeded."""
+    factor = F.col("highway_factor") * F.col("straight_factor") * F.col("style_factor")
+    roads = _seg(spark, sf_dir).select("seg_id", "node_a", "node_b", "length_m", "seconds", "value", "risk", _beyond(), "highway", "urban", (1 - F.col("urban")).alias("fade"), factor.alias("factor"), F.col("a_lat").alias("lat_a"), F.col("a_lon").alias("lon_a"), F.col("b_lat").alias("lat_b"), F.col("b_lon").alias("lon_b"))
     return search.network(roads)
 
 
+def _home_cell(net: search.Network) -> int:
+    """The cell with most edges; of several, the first."""
+    return int(net.names[net.degrees.argmax()])
+
+
 def _requests(spark: SparkSession, *rows: tuple) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "request long, start long, goal long, minutes double").repartition(len(rows), "request")
 
@@ -53,11 +81,18 @@ def r3_junction_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r4_budget_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.costs_from(_requests(spark, (0, None, None)), _net(spark, sf_dir), alpha=3.0, most_seconds=1500.0)
+    """On cells, edges used before at four times their cost: here those at the start."""
+    net = _cells(spark, sf_dir)
+    home = _home_cell(net)
+    used = frozenset(net.seg.loc[(net.seg["node_a"] == home) | (net.seg["node_b"] == home), "seg_id"].tolist())
+    return search.costs_from(_requests(spark, (home, None, None)), net, alpha=3.0, most_seconds=1500.0, used=used, reuse=4.0)
 
 
 def r5_reuse_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.plan(_requests(spark, (0, 125, None)), _net(spark, sf_dir), "alternatives", n=2)
+    """On roads, with a route ridden before at twelve times its cost."""
+    net = _roads(spark, sf_dir)
+    before = search.path(search.shortest(net, 0, net.costs(3.0), 125)[2], 0, 125)
+    return search.costs_from(_requests(spark, (125, None, None)), net, alpha=3.0, used=frozenset(net.seg["seg_id"].to_numpy()[before].tolist()), reuse=12.0)
 
 
 def r6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +111,26 @@ def r9_time_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.plan(_requests(spark, (0, 170, 12.0)), _net(spark, sf_dir), "budgeted")
 
 
+def r9_cell_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On cells: alphas up to 8, all seven steps; to the cell that is farthest from the one with most edges."""
+    net = _cells(spark, sf_dir)
+    home = _home_cell(net)
+    reached = search.shortest(net, home, net.costs(0.0))[1]
+    goal = max(reached, key=lambda n: (reached[n], -n))
+    return search.plan(_requests(spark, (home, goal, 1.2 * reached[goal] / 60)), net, "budgeted", most=8.0, tolerance=0.0, junctions=False)
+
+
 def r10_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.plan(_requests(spark, (66, None, 12.0)), _net(spark, sf_dir), "round_trip", kind="segment")
 
 
 def r11_cell_joyride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.plan(_requests(spark, (66, None, 12.0)), _net(spark, sf_dir), "round_trip", kind="cell")
+    net = _cells(spark, sf_dir)
+    return search.plan(_requests(spark, *[(_home_cell(net), None, m) for m in (10.0, 20.0, 40.0)]), net, "round_trip", kind="cell")
 
 
 def r12_road_joyride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.plan(_requests(spark, (66, None, 12.0)), _net(spark, sf_dir), "round_trip", kind="road")
+    return search.plan(_requests(spark, (66, None, 20.0)), _roads(spark, sf_dir), "round_trip", kind="road")
 
 
 def r13_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,22 +144,30 @@ def r14_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.crossJoin(F.broadcast(weights.agg(F.max("w").alias("top")))).select("seg_id", F.round(F.col("w") / F.col("top"), 5).alias("weight"))
 
 
-def _stops(spark: SparkSession, sf_dir: str) -> dict[int, float]:
-    """The best points of interest by node: a top list, not a collection of all."""
-    top = _seg(spark, sf_dir, "poi_scores").groupBy("node").agg(F.max("aff_b").alias("score")).orderBy(F.desc("score"), "node").limit(200)
-    return {r["node"]: round(r["score"], 4) for r in top.collect()}
+def _stops(spark: SparkSession, sf_dir: str, rider: str = "A") -> DataFrame:
+    """The points of interest of a rider's style outside towns: poi_id, name, node, lat, lon, preference, weight, density."""
+    scores = _seg(spark, sf_dir, "poi_scores").where(F.col("rural") >= 1 - search.RURAL)
+    owners = _seg(spark, sf_dir, "l8_style_owner").where(F.col("owner") == rider).select("poi_id")
+    density = _seg(spark, sf_dir, "j13_spot_density").select("poi_id", "density")
+    cool = (0.65 * F.col(f"aff_{rider.lower()}") + 0.35 * F.col("objective")) / 10
+    return scores.join(owners, "poi_id").join(density, "poi_id").select("poi_id", "name", "node", "lat", "lon", cool.alias("preference"), "weight", "density")
 
 
 def r15_scenic_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.plan(_requests(spark, (64, None, 20.0)), _net(spark, sf_dir), "scenic_loop", stops=_stops(spark, sf_dir))
+    return search.scenic_loops(_requests(spark, (64, None, 45.0), (20, None, 90.0)), _roads(spark, sf_dir), _stops(spark, sf_dir))
+
+
+def r18_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without any point of interest: round trips that ride little of a road twice."""
+    return search.scenic_loops(_requests(spark, (66, None, 20.0)), _roads(spark, sf_dir), _stops(spark, sf_dir).where("false"))
 
 
 def l6_distinct_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = search.plan(_requests(spark, (44, 130, None)), _net(spark, sf_dir), "alternatives", n=4)
+    routes = search.plan(_requests(spark, (44, 130, None)), _net(spark, sf_dir), "greedy")
     return routes.groupBy("request", "label").agg(F.count("*").alias("segments"), F.max("km").alias("km"), F.max("value").alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (r1_components, r1_main_component, r2_chains, r3_shortest_costs, r3_junction_costs, r4_budget_flood, r5_reuse_costs, r6_paths, r7_fixed_alphas, r8_motorway_free, r9_time_budget, r10_round_trip, r11_cell_joyride, r12_road_joyride, r13_alternatives, r14_heatmap, r15_scenic_loop, l6_distinct_routes)}
+QUERIES = {f.__name__: f for f in (r1_components, r1_main_component, r2_chains, r3_shortest_costs, r3_junction_costs, r4_budget_flood, r5_reuse_costs, r6_paths, r7_fixed_alphas, r8_motorway_free, r9_time_budget, r9_cell_budget, r10_round_trip, r11_cell_joyride, r12_road_joyride, r13_alternatives, r14_heatmap, r15_scenic_loop, r18_fallback, l6_distinct_routes)}
 
 
 def oracles() -> dict[str, str]:

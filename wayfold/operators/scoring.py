@@ -77,6 +77,8 @@ add("f21_cell_value", "SELECT code, round(value, 6) AS value FROM {cell_scores}"
 add("f22_growth", f"SELECT code, 0.5 * CASE WHEN lean_p50 BETWEEN {LEAN * 0.85} AND {LEAN} THEN 1.0 ELSE 0.0 END + 0.5 * fresh AS growth FROM {{cell_scores}}")
 add("f23_cell_risk", f"SELECT code, round({S.cell_risk()}, 6) AS risk, round({S.cell_risk('0.5')}, 6) AS risk_wet FROM {{cell_scores}}")
 add("f24_cell_exclusion", f"SELECT code, lean_p95 - {LEAN} > {S.LEAN_MARGIN} AS excluded FROM {{cells}}")
+# both ways over each edge, at the value of the cell that is entered
+add("cell_arcs", f"SELECT e.a, e.b, e.len_m, {S.cell_seconds('e.len_m', 'e.v_kmh', 'r.region')} AS seconds, c.value, {S.cell_risk()} AS risk, c.lean_p95 AS cell_lean, x.lat AS lat_a, x.lon AS lon_a, c.lat AS lat_b, c.lon AS lon_b FROM (SELECT a, b, max(len_m) AS len_m, max(v_kmh) AS v_kmh FROM (SELECT a, b, len_m, v_kmh FROM {{edges}} UNION ALL SELECT b, a, len_m, v_kmh FROM {{edges}}) WHERE a <> b GROUP BY a, b) e JOIN {{cell_scores}} c ON c.code = e.b JOIN (SELECT code, lat, lon FROM {{cells}}) x ON x.code = e.a CROSS JOIN {{region_speed}} r", query=False)
 add("cell_costs", f"SELECT e.a, e.b, e.len_m, {S.cell_seconds('e.len_m', 'e.v_kmh', 'r.region')} AS seconds, c.value, {S.cell_risk()} AS risk, c.lean_p95 - {LEAN} > {S.LEAN_MARGIN} AS excluded FROM {{edges}} e JOIN {{cell_scores}} c ON c.code = e.b CROSS JOIN {{region_speed}} r", query=False)
 add("f25_cell_edge_cost", "SELECT a, b, round(seconds, 4) AS seconds, round(seconds * (1.0 + 1.5 * (1.0 - value) + risk), 4) AS cost FROM {cell_costs}")
 add("f50_clip_weights", "SELECT feature, round(CASE WHEN sum(raw) OVER () = 0 THEN 1.0 / 3.0 ELSE raw / sum(raw) OVER () END, 6) AS w FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, greatest(0.0, avg({_z(k)})) AS raw FROM {{cells}} c JOIN {{ridden}} r ON r.code = c.code CROSS JOIN {{cell_norms}}" for k in ("lean_p50", "elev_m", "throttle")) + ")")
@@ -88,12 +90,12 @@ add("junction_density", f"SELECT {_gy} AS gy, {_gx} AS gx, count(*) AS n FROM {{
 global_pick("urban_top", "junction_density", "n", "gy * 100000 + gx", ranked(0.95, "n", False), "top")
 add("urban", "SELECT gy, gx, least(1.0, n * 1.0 / greatest(top, 1)) AS urban FROM {junction_density} CROSS JOIN {urban_top}", query=False)
 add("a17_urbanness", "SELECT gy, gx, round(urban, 6) AS urban FROM {urban}")
-add("seg_cells", f"SELECT s.seg_id, c.code, c.value, CASE WHEN c.code IS NULL THEN 0.1 ELSE {S.cell_risk()} END AS risk, coalesce(c.lean_p95 - {LEAN} > {S.LEAN_MARGIN}, false) AS excluded, c.lean_p50, c.elev_m FROM (SELECT seg_id, CAST(floor((a_lat + 90.0) / 360.0 * 262144) AS BIGINT) * 262144 + CAST(floor((11.5 + (seg_id % 7) * 0.0006 + 180.0) / 360.0 * 262144) AS BIGINT) AS cell FROM {{seg}}) s LEFT JOIN {{cell_scores}} c ON c.code = s.cell", query=False)
+add("seg_cells", f"SELECT s.seg_id, c.code, c.value, CASE WHEN c.code IS NULL THEN 0.1 ELSE {S.cell_risk()} END AS risk, coalesce(c.lean_p95 - {LEAN} > {S.LEAN_MARGIN}, false) AS excluded, c.lean_p95 AS cell_lean, c.lean_p50, c.elev_m FROM (SELECT seg_id, CAST(floor((a_lat + 90.0) / 360.0 * 262144) AS BIGINT) * 262144 + CAST(floor((11.5 + (seg_id % 7) * 0.0006 + 180.0) / 360.0 * 262144) AS BIGINT) AS cell FROM {{seg}}) s LEFT JOIN {{cell_scores}} c ON c.code = s.cell", query=False)
 add("j3_segment_cells", "SELECT seg_id, code FROM {seg_cells}")
 add("a28_coverage", "SELECT round(avg(CASE WHEN code IS NULL THEN 0.0 ELSE 1.0 END), 6) AS covered, CAST(count(code) AS BIGINT) AS n FROM {seg_cells}")
 _pace = "greatest(58.0, 1.0)"
 add("roads", f"""SELECT *, seconds * (1.0 + 3.0 * (1.0 - urban) * (1.0 - value) + risk) * highway_factor * straight_factor * style_factor AS cost, seconds * (1.0 + risk) * highway_factor * straight_factor * style_factor AS cost_fast FROM
-(SELECT s.*, r.road_run_km, s.length_m / 1000.0 / greatest({S.lookup('s.highway', S.ROAD_SPEED, 45.0)}, 3.0) * 3600.0 * 66.0 / {_pace} AS seconds, coalesce(c.value, 0.5) AS value, c.risk, c.excluded, c.code, c.lean_p50, c.elev_m, coalesce(u.urban, 0.0) AS urban,
+(SELECT s.*, r.road_run_km, s.length_m / 1000.0 / greatest({S.lookup('s.highway', S.ROAD_SPEED, 45.0)}, 3.0) * 3600.0 * 66.0 / {_pace} AS seconds, coalesce(c.value, 0.5) AS value, c.risk, c.excluded, c.cell_lean, c.code, c.lean_p50, c.elev_m, coalesce(u.urban, 0.0) AS urban,
         {S.road_highway_factor()} AS highway_factor, {S.road_straight_factor()} AS straight_factor, {S.road_style_factor("'A'")} AS style_factor
  FROM {{seg}} s JOIN {{road_runs}} r ON r.seg_id = s.seg_id JOIN {{seg_cells}} c ON c.seg_id = s.seg_id
  LEFT JOIN {{urban}} u ON u.gy = CAST(floor(s.mid_lat / 0.018) AS BIGINT) AND u.gx = CAST(floor(s.mid_lon / 0.027) AS BIGINT))""", query=False)
@@ -132,5 +134,5 @@ add("l5_diversity_pick", "SELECT route, octant, score FROM (SELECT *, row_number
 add("l9_overlap", "SELECT a.route AS route_a, b.route AS route_b, CAST(count(*) AS BIGINT) AS shared FROM {routes} a JOIN {routes} b ON a.seg_id = b.seg_id GROUP BY a.route, b.route")
 add("l11_same_routes", "SELECT key, min(route) AS route, CAST(count(*) AS BIGINT) AS n FROM (SELECT route, round(sum(length_m), 3) AS key FROM {j15_route_segments} GROUP BY route) GROUP BY key")
 add("l12_seeded_jitter", "SELECT seg_id, CAST(row_number() OVER (ORDER BY score DESC, seg_id) AS BIGINT) AS place FROM (SELECT seg_id, round(scenic, 4) + ((seg_id * 7919 + 42 * 104729) % 1801 - 900) / 10000.0 AS score FROM {scored})")
-add("j14_membership", "SELECT s.seg_id, r.seg_id IS NOT NULL AS used FROM {seg} s LEFT JOIN (SELECT DISTINCT seg_id FROM {routes} WHERE route % 5 = 0) r ON r.seg_id = s.seg_id")
+add("j14_membership", "SELECT s.seg_id, r.seg_id IS NOT NULL AS used FROM {seg} s LEFT JOIN (SELECT DISTINCT q.seg_id FROM {routes} q JOIN {j12_route_visits} v ON v.route = q.route) r ON r.seg_id = s.seg_id")
 add("q8_alpha_inversion", "SELECT x.seg_id AS fast, y.seg_id AS fine, round((y.seconds * (1.0 + y.risk) - x.seconds * (1.0 + x.risk)) / nullif(x.seconds * (1.0 - x.scenic) - y.seconds * (1.0 - y.scenic), 0.0), 4) AS alpha FROM {scored} x JOIN {scored} y ON y.seg_id = x.seg_id + 1 WHERE x.highway = 'motorway'")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 from collections.abc import Callable
 
 import numpy as np
@@ -14,14 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Arcs that are handed to every task at most: 40 bytes each.
+#: Arcs that are handed to every task at most; an arc takes about 120 bytes in arrays.
 MOST_ARCS = 5_000_000
 INF = math.inf
 
 
 class Network:
-    """Arcs by their start node. Columns of ``seg``: seg_id, node_a, node_b, length_m, seconds, value, risk, and
-    optionally oneway, excluded, highway, urban, lat_a, lon_a, lat_b, lon_b."""
+    """Arcs by their start node, all in arrays. Columns of ``seg``: seg_id, node_a, node_b, length_m, seconds, value, risk, and
+    optionally oneway, excluded, highway, urban, lat_a, lon_a, lat_b, lon_b; avoid (a rider's aversions, added to the
+    multiplier of seconds), factor (a factor of the cost) and fade (a factor of alpha)."""
 
     def __init__(self, seg: pd.DataFrame, oneway: bool = True) -> None:
         self.seg = seg.sort_values("seg_id").reset_index(drop=True)
@@ -29,51 +31,68 @@ class Network:
         n = len(s)
         both = ~s["oneway"].to_numpy(bool) if oneway and "oneway" in s else np.ones(n, bool)
         gone = s["excluded"].to_numpy(bool) if "excluded" in s else np.zeros(n, bool)
+        ends = np.concatenate([s["node_a"].to_numpy(), s["node_b"].to_numpy()])
+        self.names, index = np.unique(ends, return_inverse=True)  # nodes are numbered by place in here
+        a, b = index[:n], index[n:]
+        self.degrees = np.bincount(index, minlength=len(self.names))
         row = np.concatenate([np.flatnonzero(~gone), np.flatnonzero(~gone & both)])
         head = np.arange(len(row)) < (~gone).sum()
-        a, b = s["node_a"].to_numpy(), s["node_b"].to_numpy()
         start, end = np.where(head, a[row], b[row]), np.where(head, b[row], a[row])
         order = np.lexsort((row, start))
-        self.start, self.end, self.row = start[order], end[order], row[order]
-        self.nodes, first = np.unique(self.start, return_index=True)
-        self.range = {int(v): (int(f), int(t)) for v, f, t in zip(self.nodes, first, np.append(first[1:], len(order)))}
+        self.end, self.row = end[order], row[order]
+        self.first = np.searchsorted(start[order], np.arange(len(self.names) + 1))
         self.seconds, self.value, self.risk = (s[c].to_numpy(float) for c in ("seconds", "value", "risk"))
         self.length = s["length_m"].to_numpy(float)
-        ends = pd.concat([s["node_a"], s["node_b"]])
-        self.degree = ends.value_counts().to_dict()
-        self.place = {}
+        self.avoid, self.factor, self.fade = (s[c].to_numpy(float) if c in s else np.full(n, x) for c, x in (("avoid", 0.0), ("factor", 1.0), ("fade", 1.0)))
+        self.places = np.full((len(self.names), 2), np.nan)
         if "lat_a" in s:
-            for side in "ab":
-                self.place.update(zip(s[f"node_{side}"].tolist(), zip(s[f"lat_{side}"].tolist(), s[f"lon_{side}"].tolist())))
+            self.places[b] = s[["lat_b", "lon_b"]].to_numpy(float)
+            self.places[a] = s[["lat_a", "lon_a"]].to_numpy(float)
+
+    def node(self, name: int) -> int:
+        """A node's number, or -1."""
+        at = int(np.searchsorted(self.names, name))
+        return at if at < len(self.names) and self.names[at] == name else -1
+
+    def place(self, name: int) -> tuple[float, float]:
+        return tuple(self.places[self.node(name)])
 
     def costs(self, alpha: float, beta: float = 1.0) -> np.ndarray:
         """The cost of each segment; every term is positive."""
-        return self.seconds * (1 + alpha * (1 - self.value) + beta * self.risk)
+        return self.seconds * (1 + alpha * self.fade * (1 - self.value) + beta * self.risk + self.avoid) * self.factor
 
 
-def shortest(net: Network, start: int, cost: np.ndarray, goal: int | None = None, most_seconds: float = INF, used: frozenset = frozenset(), reuse: float = 4.0, junctions: bool = False, extra: dict | None = None, keep: Callable[[int], bool] | None = None) -> tuple[dict, dict, dict]:
+def shortest(net: Network, start: int, cost: np.ndarray, goal: int | None = None, most_seconds: float = INF, used: frozenset = frozenset(), reuse: float = 1.0, again: float = 0.0, junctions: bool = False, extra: dict | None = None, keep: Callable[[int], bool] | None = None) -> tuple[dict, dict, dict]:
     """Cost, seconds and (segment, node) before each node that is reached.
 
-    Labels beyond ``most_seconds`` of elapsed time are pruned; ``used`` segments cost ``reuse`` times as much; ``extra``
-    multiplies the cost of single segments; junctions add a delay that depends on the node left behind."""
+    Labels beyond ``most_seconds`` of elapsed time are pruned. ``used`` segments cost ``reuse`` times as much (cells and
+    roads) and ``again`` times their seconds on top (segments); ``extra`` adds so many times a segment's seconds; junctions
+    add a delay that depends on the node left behind, except at the start."""
     best, elapsed, before = {start: 0.0}, {start: 0.0}, {}
     heap = [(0.0, start)]
+    end, arc_row, first, seconds, names = net.end, net.row, net.first, net.seconds, net.names
     while heap:
         d, u = heapq.heappop(heap)
         if d > best.get(u, INF):
             continue
         if u == goal:
             break
-        at, to = net.range.get(u, (0, 0))
-        delay = 5.0 + 3.0 * max(0, net.degree.get(u, 2) - 2) if junctions and u != start else 0.0
-        for k in range(at, to):
-            row, v = int(net.row[k]), int(net.end[k])
+        at = net.node(u)
+        if at < 0:
+            continue
+        delay = 5.0 + 3.0 * max(0, int(net.degrees[at]) - 2) if junctions and u != start else 0.0
+        for k in range(int(first[at]), int(first[at + 1])):
+            row, v = int(arc_row[k]), int(names[end[k]])
             if v == u or (keep and not keep(row)):
                 continue
-            time = elapsed[u] + net.seconds[row] + delay
+            time = elapsed[u] + float(seconds[row]) + delay
             if time > most_seconds:
                 continue
-            step = cost[row] * (reuse if row in used else 1.0) * (extra.get(row, 1.0) if extra else 1.0)
+            step = float(cost[row])
+            if row in used:
+                step = step * reuse + again * float(seconds[row])
+            if extra and row in extra:
+                step += float(seconds[row]) * extra[row]
             if (nd := d + step + delay) < best.get(v, INF):
                 best[v], elapsed[v], before[v] = nd, time, (row, u)
                 heapq.heappush(heap, (nd, v))
@@ -130,12 +149,12 @@ def avoiding(net: Network, start: int, goal: int, alpha: float = 1.5, blocked: t
     return []
 
 
-def budgeted(net: Network, start: int, goal: int, minutes: float, most: float = 12.0, rounds: int = 7, tolerance: float = 0.12) -> list[tuple]:
-    """Bisection on alpha: a larger one makes longer and finer routes."""
+def budgeted(net: Network, start: int, goal: int, minutes: float, most: float = 12.0, rounds: int = 7, tolerance: float = 0.12, junctions: bool = True) -> list[tuple]:
+    """Bisection on alpha: a larger one makes longer and finer routes. Cells take alphas up to 8, no tolerance, no junctions."""
     lo, hi, best = 0.0, most, None
     for _ in range(rounds):
         alpha = (lo + hi) / 2
-        rows = path(shortest(net, start, net.costs(alpha), goal)[2], start, goal)
+        rows = path(shortest(net, start, net.costs(alpha), goal, junctions=junctions)[2], start, goal)
         if not rows:
             hi = alpha
             continue
@@ -148,11 +167,12 @@ def budgeted(net: Network, start: int, goal: int, minutes: float, most: float =
     return [("Budget", best[1], best[2])] if best else []
 
 
-#: For the three kinds of round trip: flood and ring as parts of half the budget, reuse factor, overrun, bound of the way home.
+#: For the three kinds of round trip: flood and ring as parts of half the budget, reuse (factor, seconds), overrun, bound of the way home.
+RURAL = 0.18
 LOOPS = {
-    "segment": {"flood": 1.3, "ring": (0.6, 1.2), "reuse": 4.0, "over": math.inf, "home": math.inf, "km": 3, "per_octant": 2, "rank": "scenic"},
-    "cell": {"flood": 1.25, "ring": (0.40, 0.85), "reuse": 4.0, "over": 1.15, "home": 1.25, "km": 5, "per_octant": 1, "rank": "hourly"},
-    "road": {"flood": 1.1, "ring": (0.62, 1.0), "reuse": 12.0, "over": 1.08, "home": 1.25, "km": 5, "per_octant": 1, "rank": "middle"},
+    "segment": {"flood": 1.3, "ring": (0.6, 1.2), "reuse": (1.0, 4.0), "over": math.inf, "home": math.inf, "km": 3, "per_octant": 2, "rank": "scenic"},
+    "cell": {"flood": 1.25, "ring": (0.40, 0.85), "reuse": (4.0, 0.0), "over": 1.15, "home": 1.25, "km": 5, "per_octant": 1, "rank": "hourly"},
+    "road": {"flood": 1.1, "ring": (0.62, 1.0), "reuse": (12.0, 0.0), "over": 1.08, "home": 1.25, "km": 5, "per_octant": 1, "rank": "middle"},
 }
 
 
@@ -161,25 +181,26 @@ def round_trip(net: Network, start: int, minutes: float, kind: str = "cell", alp
     own = LOOPS[kind]
     half = minutes * 30.0
     cost = net.costs(alpha)
-    _, elapsed, before = shortest(net, start, cost, most_seconds=half * own["flood"])
+    junctions = kind == "segment"
+    _, elapsed, before = shortest(net, start, cost, most_seconds=half * own["flood"], junctions=junctions)
     lo, hi = own["ring"]
     ring = [(n, t) for n, t in elapsed.items() if lo * half <= t <= hi * half and n != start]
     if kind == "segment" and not ring:
         ring = [(n, t) for n, t in elapsed.items() if t > 0.3 * half]
     if kind == "road" and "urban" in net.seg:
-        urban: dict[int, float] = {}
-        for a, b, u in zip(net.seg["node_a"], net.seg["node_b"], net.seg["urban"]):
-            urban[a] = urban[b] = u
-        ring = [(n, t) for n, t in ring if urban.get(n, 0.0) <= 0.18] or ring
+        town = np.zeros(len(net.names))
+        for side in "ab":
+            np.maximum.at(town, np.searchsorted(net.names, net.seg[f"node_{side}"]), net.seg["urban"].to_numpy(float))
+        ring = [(n, t) for n, t in ring if town[net.node(n)] <= RURAL] or ring
     octants: dict[int, list] = {}
     for n, t in ring:
-        octants.setdefault(int(bearing(net.place[start], net.place[n]) // 45), []).append((-t, n))
+        octants.setdefault(int(bearing(net.place(start), net.place(n)) // 45), []).append((-t, n))
     turns = [n for o in octants.values() for _, n in sorted(o)[: own["per_octant"]]][:14]
     out = []
     for turn in turns:
         there = path(before, start, turn)
         left = minutes * 60 - float(net.seconds[there].sum())
-        back = path(shortest(net, turn, cost, start, max(left, 60.0) * own["home"], frozenset(there), own["reuse"])[2], turn, start)
+        back = path(shortest(net, turn, cost, start, max(left, 60.0) * own["home"], frozenset(there), *own["reuse"], junctions=junctions)[2], turn, start)
         if not there or not back:
             continue
         rows = there + back
@@ -191,13 +212,14 @@ def round_trip(net: Network, start: int, minutes: float, kind: str = "cell", alp
         elif own["rank"] == "hourly":
             score = q["value"] / max(q["minutes"] / 60, 0.25)
         else:
-            score = thirds(net, rows)[1] * (0.35 + 0.65 * min(1.0, q["minutes"] / minutes))
+            town = float((net.seg["urban"].to_numpy(float)[rows] * net.length[rows]).sum() / max(net.length[rows].sum(), 1e-6)) if "urban" in net.seg else 0.0
+            score = thirds(net, rows)[1] * (1 - 0.5 * town) * (0.35 + 0.65 * min(1.0, q["minutes"] / minutes))
         out.append((score, turn, rows))
     out.sort(key=lambda x: (-x[0], x[1]))
     if kind == "segment":  # one for each octant
         first: dict[int, tuple] = {}
         for x in out:
-            first.setdefault(int(bearing(net.place[start], net.place[x[1]]) // 45), x)
+            first.setdefault(int(bearing(net.place(start), net.place(x[1])) // 45), x)
         out = list(first.values())
     labels = ["Round trip", "Alternative", "Long way round"] + [f"Loop {i}" for i in range(4, 15)]
     return [(label, alpha, rows) for label, (_, _, rows) in zip(labels, out[:k])]
@@ -221,92 +243,138 @@ def distinct_routes(net: Network, routes: list[tuple], most: float = 0.55, k: in
 
 
 def alternatives(net: Network, start: int, goal: int, n: int = 3, alpha: float = 1.5) -> list[tuple]:
-    """Iterated penalties: after each try its segments cost more, by 0.8 if it was new and by 2 if not."""
+    """Iterated penalties: after each try its segments cost more seconds, by 0.8 if it was new and by 2 if not. Finest first."""
     extra: dict[int, float] = {}
     found: list[tuple] = []
     for _ in range(3 * n):
-        rows = path(shortest(net, start, net.costs(alpha), goal, extra=extra)[2], start, goal)
+        rows = path(shortest(net, start, net.costs(alpha), goal, extra=extra, junctions=True)[2], start, goal)
         if not rows:
             break
         novel = all(overlap(net, rows, f[2]) <= 0.55 for f in found)
         if novel:
-            found.append((f"Route {len(found) + 1}", alpha, rows))
+            found.append(("", alpha, rows))
         for row in rows:
-            extra[row] = extra.get(row, 1.0) + (0.8 if novel else 2.0)
+            extra[row] = extra.get(row, 0.0) + (0.8 if novel else 2.0)
         if len(found) == n:
             break
-    return found
+    found.sort(key=lambda f: -round(kpis(net, f[2])["value"], 9))
+    return [(f"Route {i + 1}", a, rows) for i, (_, a, rows) in enumerate(found)]
 
 
-def heatmap(net: Network, start: int, goal: int, alphas: tuple = (0.0, 2.0, 4.0, 6.0, 8.0, 10.0), tries: int = 7, stretch: float = 1.6) -> list[tuple]:
-    """Many routes over a range of alphas; penalties stay from one alpha to the next, and far longer routes are left out."""
+def metres(p: tuple, q: tuple) -> float:
+    """Great-circle distance of two places."""
+    lat1, lon1, lat2, lon2 = map(math.radians, (*p, *q))
+    h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+    return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def heatmap(net: Network, start: int, goal: int, alphas: tuple = (0.0, 2.0, 4.0, 6.0, 8.0, 10.0), tries: int = 7, radius_km: float = 100.0, n: int = 30) -> list[tuple]:
+    """Up to ``n`` routes over a range of alphas, none over 0.55 on another and none far longer than the straight line;
+    penalties stay from one alpha to the next. Finest first."""
+    straight = metres(net.place(start), net.place(goal)) / 1000
+    most = min(1.6 * straight, straight + radius_km)
     extra: dict[int, float] = {}
-    found, least = [], None
+    found: list[tuple] = []
     for alpha in alphas:
         for _ in range(tries):
-            rows = path(shortest(net, start, net.costs(alpha), goal, extra=extra)[2], start, goal)
-            if not rows:
-                return found
-            km = kpis(net, rows)["km"]
-            least = km if least is None else least
-            if km <= least * stretch and all(rows != f[2] for f in found):
-                found.append((f"Sample {len(found) + 1}", alpha, rows))
-            for row in rows:
-                extra[row] = extra.get(row, 1.0) + 0.8
-    return found
-
-
-def scenic_loop(net: Network, start: int, minutes: float, stops: dict[int, float], alpha: float = 3.0, most_stops: int = 3, anchors: int = 18) -> list[tuple]:
-    """A loop over points of interest (node: score). A chain of stops starts at an anchor within the flood and hops on by 3 to
-    28 km, away from home and at least 2.5 km apart; legs avoid roads used before; a loop that takes over 1.12 of the
-    budget loses its least preferred stop, and one that rides too much of a road twice is refused."""
-    cost = net.costs(alpha)
-    budget = minutes * 60
-    _, elapsed, _ = shortest(net, start, cost, most_seconds=0.62 * budget)
-    near = [(score, n) for n, score in stops.items() if n in elapsed and n != start]
-    near.sort(key=lambda x: (-x[0], x[1]))
-
-    def km(a: int, b: int) -> float:
-        (p, q), (r, s) = net.place[a], net.place[b]
-        return math.hypot((p - r) * 111.32, (q - s) * 111.32 * math.cos(math.radians(p)))
-
-    loops = []
-    for _, anchor in near[:anchors]:
-        chain = [anchor]
-        for _, n in near:
-            if len(chain) == most_stops:
-                break
-            if 3 <= km(chain[-1], n) <= 28 and km(start, n) >= 0.55 * km(start, chain[-1]) and all(km(n, c) >= 2.5 for c in chain):
-                chain.append(n)
-        while chain:
-            used: set[int] = set()
-            rows: list[int] = []
-            at, twice = start, 0.0
-            for stop in [*chain, start]:
-                leg = path(shortest(net, at, cost, stop, used=frozenset(used), reuse=30.0)[2], at, stop)
-                if not leg:
-                    rows = []
-                    break
-                twice += float(net.length[[r for r in leg if r in used]].sum())
-                used |= set(leg)
-                rows += leg
-                at = stop
-            if not rows:
+            rows = path(shortest(net, start, net.costs(alpha), goal, extra=extra, junctions=True)[2], start, goal)
+            if not rows or len(found) == n:
                 break
-            q = kpis(net, rows)
-            if q["minutes"] > 1.12 * minutes:
-                chain.remove(min(chain, key=lambda n: (stops[n], n)))
-                continue
-            if twice <= 8000.0 and twice <= 0.10 * q["km"] * 1000:
-                score = 10 * len(chain) + 2 * sum(stops[n] for n in chain) + q["value"]
-                loops.append((score, anchor, rows))
+            if kpis(net, rows)["km"] <= most and all(overlap(net, rows, f[2]) <= 0.55 for f in found):
+                found.append(("", alpha, rows))
+            for row in rows:
+                extra[row] = extra.get(row, 0.0) + 0.8
+    found.sort(key=lambda f: -round(kpis(net, f[2])["value"], 9))
+    return [(f"Alternative #{i + 1}" if i else "Heatmap route", a, rows) for i, (_, a, rows) in enumerate(found)]
+
+
+def greedy(net: Network, start: int, goal: int, alphas: tuple = (0.0, 0.75, 1.5, 3.0, 6.0, 12.0), k: int = 3) -> list[tuple]:
+    """The routes at several alphas, in order, that overlap none taken before."""
+    return distinct_routes(net, [(f"Alpha {alpha}", alpha, rows) for alpha in alphas if (rows := path(shortest(net, start, net.costs(alpha), goal)[2], start, goal))], k=k)
+
+
+# --- the scenic loop: anchors, chains of stops, rides ------------------------------------------------------------------------
+def anchors(stops: pd.DataFrame, budget: float, ideal_reach: float = 0.55, seed: int = 42, most: int = 18) -> list[int]:
+    """The rows of ``stops`` to start chains from: the best by score, the first eight shuffled a little."""
+    reach = (1 - (stops["t"] / max(budget * 0.5, 1.0) - ideal_reach).abs()).clip(lower=0)
+    scenic = ((stops["weight"] - 1) / 0.8).clip(0, 1)
+    score = 0.48 * stops["preference"] + 0.16 * reach + 0.11 * scenic + 0.25 * (stops["density"] / 8).clip(0, 1)
+    order = sorted(range(len(stops)), key=lambda i: (-round(score.iloc[i], 9), stops["poi_id"].iloc[i]))
+    rng = random.Random(seed)
+    head = [(-(score.iloc[i] + rng.uniform(-0.09, 0.09)), i) for i in order[:8]]
+    return [i for _, i in sorted(head)] + order[8:most]
+
+
+def chain(stops: pd.DataFrame, anchor: int, home: tuple, most_stops: int, rng: random.Random) -> list[int]:
+    """Stops from an anchor on: 3 to 28 km apart, not back towards home, 2.5 km from every other; the farthest in the middle."""
+    place = list(zip(stops["lat"], stops["lon"]))
+    dist = [metres(home, p) for p in place]
+    liking = [(-(p + 0.035 * min(d, 8.0) + rng.uniform(-0.055, 0.055)), -w, i) for i, (p, d, w) in enumerate(zip(stops["preference"], stops["density"], stops["weight"]))]
+    own = [anchor]
+    for _, _, i in sorted(liking):
+        if len(own) >= most_stops:
             break
-    loops.sort(key=lambda x: (-x[0], x[1]))
-    found = distinct_routes(net, [("Scenic loop", alpha, rows) for _, _, rows in loops])
-    return found or [(f"Fallback {label.lower()}", a, rows) for label, a, rows in round_trip(net, start, minutes, "road", alpha)]
+        if stops["node"].iloc[i] == stops["node"].iloc[anchor] or not 3000 <= metres(place[own[-1]], place[i]) <= 28000 or dist[i] < 0.55 * dist[own[-1]]:
+            continue
+        if all(metres(place[j], place[i]) >= 2500 for j in own):
+            own.append(i)
+    own.sort(key=lambda i: (dist[i], i))
+    return own[1::2] + own[::2][::-1] if len(own) > 2 else own
+
+
+def ride(net: Network, start: int, cost: np.ndarray, stops: pd.DataFrame, order: list[int], minutes: float, most_retrace: tuple = (8000.0, 0.10)) -> tuple[list[int], list[int]] | None:
+    """The segments over stops and home, roads used before at 30 times their cost. Too much of a road ridden twice refuses the
+    ride; over 1.12 of the budget the least preferred stop goes."""
+    while order:
+        rows: list[int] = []
+        used: set[int] = set()
+        twice: set[int] = set()
+        at = start
+        for node in [*(int(stops["node"].iloc[i]) for i in order), start]:
+            leg = path(shortest(net, at, cost, node, used=frozenset(used), reuse=30.0)[2], at, node) if node != at else []
+            if not leg and node != at:
+                return None
+            twice |= set(leg) & used
+            used |= set(leg)
+            rows += leg
+            at = node
+        if not rows:
+            return None
+        q = kpis(net, rows)
+        again = float(net.length[list(twice)].sum())
+        if again > most_retrace[0] or again > most_retrace[1] * max(q["km"] * 1000, 1.0):
+            return None
+        if q["minutes"] <= 1.12 * minutes:
+            return rows, order
+        drop = min(order, key=lambda i: (stops["preference"].iloc[i], stops["weight"].iloc[i], i))
+        order = [i for i in order if i != drop]
+    return None
+
+
+def scenic_loop(net: Network, start: int, minutes: float, stops: pd.DataFrame, alpha: float = 3.0, most_stops: int = 3, seed: int = 42) -> list[tuple]:
+    """A loop over points of interest: the first chain of an anchor that can be ridden. ``stops``: poi_id, name, node, lat, lon,
+    t (seconds of the flood), preference, weight, density of the points that were reached. Without one, the round trips that
+    ride little of a road twice, best first."""
+    cost = net.costs(alpha)
+    if len(stops):
+        stops = stops.sort_values("poi_id").reset_index(drop=True)
+        rng = random.Random(seed)
+        for anchor in anchors(stops, minutes * 60, seed=seed):
+            found = ride(net, start, cost, stops, chain(stops, anchor, net.place(start), most_stops, rng), minutes)
+            if found:
+                return [(" - ".join(stops["name"].iloc[i] for i in found[1]), alpha, found[0])]
+    out = []
+    for _, a, rows in round_trip(net, start, minutes, "road", alpha, k=14):
+        there, seen = set(), 0
+        for row in rows:
+            seen += row in there
+            there.add(row)
+        if seen <= (0.15 if minutes <= 45 else 0.10) * max(len(there), 1):
+            out.append((f"Fallback {len(out) + 1}", a, rows))
+    return out[:3]
 
 
-PLANNERS: dict[str, Callable] = {"destination": destination, "avoiding": avoiding, "budgeted": budgeted, "round_trip": round_trip, "alternatives": alternatives, "heatmap": heatmap, "scenic_loop": scenic_loop}
+PLANNERS: dict[str, Callable] = {"greedy": greedy, "destination": destination, "avoiding": avoiding, "budgeted": budgeted, "round_trip": round_trip, "alternatives": alternatives, "heatmap": heatmap}
 
 
 def network(seg: DataFrame, most_arcs: int = MOST_ARCS) -> Network:
@@ -317,33 +385,57 @@ def network(seg: DataFrame, most_arcs: int = MOST_ARCS) -> Network:
     return Network(seg.toPandas())
 
 
+_ROUTES = "request long, label string, alpha double, pos long, seg_id long, km double, minutes double, value double, risk double"
+
+
+def _rows(net: Network, request: int, routes: list[tuple]) -> pd.DataFrame:
+    out = []
+    for label, alpha, route in routes:
+        q = kpis(net, route)
+        out.append(pd.DataFrame({"request": request, "label": label, "alpha": float(alpha), "pos": range(len(route)), "seg_id": net.seg["seg_id"].to_numpy()[route], "km": round(q["km"], 3), "minutes": round(q["minutes"], 2), "value": round(q["value"], 4), "risk": round(q["risk"], 4)}))
+    columns = ["request", "label", "alpha", "pos", "seg_id", "km", "minutes", "value", "risk"]
+    return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+
+
 def plan(requests: DataFrame, net: Network, planner: str, **options) -> DataFrame:
     """Routes of requests (request, start, goal or null, minutes or null), each planned in a task of its own: request, label,
     alpha, pos, seg_id and the route's km, minutes, value and risk."""
     shared = requests.sparkSession.sparkContext.broadcast(net)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own, out = shared.value, []
+        out = []
         for r in rows.itertuples():
             args = {"start": int(r.start)} | ({"goal": int(r.goal)} if r.goal is not None and r.goal == r.goal else {}) | ({"minutes": float(r.minutes)} if r.minutes is not None and r.minutes == r.minutes else {})
-            for label, alpha, route in PLANNERS[planner](own, **args, **options):
-                q = kpis(own, route)
-                ids = own.seg["seg_id"].to_numpy()[route]
-                out.append(pd.DataFrame({"request": r.request, "label": label, "alpha": float(alpha), "pos": range(len(route)), "seg_id": ids, "km": round(q["km"], 3), "minutes": round(q["minutes"], 2), "value": round(q["value"], 4), "risk": round(q["risk"], 4)}))
-        columns = ["request", "label", "alpha", "pos", "seg_id", "km", "minutes", "value", "risk"]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+            out.append(_rows(shared.value, r.request, PLANNERS[planner](shared.value, **args, **options)))
+        return pd.concat(out)
+
+    return requests.groupBy("request").applyInPandas(run, _ROUTES)
+
+
+def scenic_loops(requests: DataFrame, net: Network, stops: DataFrame, alpha: float = 3.0, most_stops: int = 3) -> DataFrame:
+    """Loops of requests over ``stops`` (poi_id, name, node, lat, lon, preference, weight, density): what a request's flood of
+    0.62 of its budget reaches meets all stops by a join, and each request is planned from its own."""
+    shared = requests.sparkSession.sparkContext.broadcast(net)
+    reached = costs_from(requests, net, alpha=alpha, share=0.62).select("request", "node", F.col("seconds").alias("t"))
+    near = reached.join(stops, "node")
+
+    def run(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_rows(shared.value, r.request, scenic_loop(shared.value, int(r.start), float(r.minutes), own, alpha, most_stops)) for r in rows.itertuples()] or [pd.DataFrame()])
 
-    return requests.groupBy("request").applyInPandas(run, "request long, label string, alpha double, pos long, seg_id long, km double, minutes double, value double, risk double")
+    return requests.groupBy("request").cogroup(near.groupBy("request")).applyInPandas(run, _ROUTES)
 
 
-def costs_from(requests: DataFrame, net: Network, junctions: bool = False, alpha: float = 0.0, most_seconds: float = INF) -> DataFrame:
-    """request, node, cost, seconds of all nodes that a request's start reaches."""
+def costs_from(requests: DataFrame, net: Network, junctions: bool = False, alpha: float = 0.0, most_seconds: float = INF, share: float | None = None, used: frozenset = frozenset(), reuse: float = 1.0, again: float = 0.0) -> DataFrame:
+    """request, node, cost, seconds of all nodes that a request's start reaches, within a share of its minutes if one is given.
+    ``used``: identifiers of segments that were ridden before."""
     shared = requests.sparkSession.sparkContext.broadcast(net)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own, out = shared.value, []
+        gone = frozenset(np.flatnonzero(own.seg["seg_id"].isin(used)).tolist())
         for r in rows.itertuples():
-            best, elapsed, _ = shortest(own, int(r.start), own.costs(alpha), junctions=junctions, most_seconds=most_seconds)
+            most = share * float(r.minutes) * 60 if share else most_seconds
+            best, elapsed, _ = shortest(own, int(r.start), own.costs(alpha), junctions=junctions, most_seconds=most, used=gone, reuse=reuse, again=again)
             out.append(pd.DataFrame({"request": r.request, "node": list(best), "cost": list(best.values()), "seconds": [elapsed[n] for n in best]}))
         return pd.concat(out)
 

@@ -59,6 +59,14 @@ class Relation:
         return spark.sql(_dialect(self.sql, False), **{k: frames[k] for k in self.inputs})
 
 
+class _Frames(dict):
+    """Frames of relations that were built, and whether some were given from outside."""
+
+    def __init__(self, frames: dict, given: bool) -> None:
+        super().__init__(frames)
+        self.given = given
+
+
 class Catalog:
     """Relations by name; names that are none are tables."""
 
@@ -92,7 +100,8 @@ class Catalog:
         return "" if name not in self.relations else self.relations[name].sql + "".join(self.text(i) for i in self.relations[name].inputs)
 
     def build(self, name: str, spark: SparkSession, sf_dir: str, frames: dict[str, DataFrame] | None = None) -> DataFrame:
-        frames = {} if frames is None else frames
+        own_inputs = frames is not None and not isinstance(frames, _Frames)
+        frames = frames if isinstance(frames, _Frames) else _Frames(frames or {}, own_inputs)
         if name not in frames:
             if name in self.relations:
                 own = self.relations[name]
@@ -100,7 +109,7 @@ class Catalog:
                 def make() -> DataFrame:
                     return own.apply(spark, **{i: self.build(i, spark, sf_dir, frames) for i in own.inputs})
 
-                if name in self.shared:
+                if name in self.shared and not frames.given:  # inputs given by hand are no state of the tables
                     digest = store.key(spark, self.text(name), [f"{sf_dir}/{t}.parquet" for t in self.tables(name)])
                     frames[name] = store.kept(spark, name, digest, make)
                 else:
