@@ -117,7 +117,8 @@ def test_word_of_many_megabytes():
     rng = random.Random(1)
     merger = Merger(RANKS)
     word = "".join(rng.choices("abcdefgh", k=1000)) + "ab" * 2_500_000
-    own = merger.merge([word.encode()])[0]
+    own, sizes = merger.merge([word.encode()])
+    assert sizes.tolist() == [len(own)]
     assert merger.lengths[own].sum() == len(word)
     head = tiktoken_ids([word[:400_000]])[0]
     assert own[: len(head) - 50].tolist() == head[:-50]

@@ -98,6 +98,10 @@ FROM id_rows i JOIN vocabulary v ON v.id = i.id GROUP BY seq ORDER BY seq
 """
 
 
+def _each(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(sizes)[:-1])
+
+
 def _windows(start: int, end: int, size: int) -> list[tuple[int, int]]:
     """Windows of a size over a stretch, each half over the next."""
     return [(a, min(a + size, end)) for a in range(start, max(end - size // 2, start + 1), size // 2)]
@@ -140,20 +144,20 @@ class Merger:
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         self.lengths[list(ranks.values())] = list(map(len, ranks))
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word; long words by windows."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, flat, and how many each has; long words by windows."""
         long = [i for i, w in enumerate(words) if len(w) > LONG]
         if not long or not self.regular():
             return self.merge_whole(words)
         kinds = set(long)
-        out = self.merge_whole([b"" if i in kinds else w for i, w in enumerate(words)])
+        each = _each(*self.merge_whole([b"" if i in kinds else w for i, w in enumerate(words)]))
         for i in long:
-            out[i] = self.merge_windows(words[i])
-        return out
+            each[i] = self.merge_windows(words[i])
+        return np.concatenate(each), np.array(list(map(len, each)), np.int64)
 
-    def merge_whole(self, words: list[bytes], query: str = _MERGE) -> list[np.ndarray]:
-        """The ids of each word, by a recursive query."""
-        out: list[np.ndarray] = []
+    def merge_whole(self, words: list[bytes], query: str = _MERGE) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, flat, and how many each has, by a recursive query."""
+        flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         i = 0
         while i < len(words):
             own, size = [], 0
@@ -166,11 +170,14 @@ class Merger:
             word = np.repeat(np.arange(len(own)), lengths)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             k = (word << 32) | pos
-            self.db.register("start_rows", pa.table({"k": k, "id": self.byte_ids[data], "nk": pa.array(k + 1, mask=pos == lengths[word] - 1)}))
+            rows = {"k": k, "id": self.byte_ids[data]}
+            if query is not _MERGE:
+                rows["nk"] = pa.array(k + 1, mask=pos == lengths[word] - 1)
+            self.db.register("start_rows", pa.table(rows))
             got = self.db.execute(query).fetchnumpy()
-            ends = np.cumsum(np.bincount(np.asarray(got["word"], np.int64), minlength=len(own)))
-            out += np.split(np.asarray(got["id"], np.int32), ends[:-1])
-        return out
+            flat.append(np.asarray(got["id"], np.int32))
+            sizes.append(np.bincount(np.asarray(got["word"], np.int64), minlength=len(own)))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def merge_windows(self, word: bytes) -> np.ndarray:
         """The ids of a long word, by windows that are joined at common tokens."""
@@ -180,9 +187,9 @@ class Merger:
             fresh = [s for s in spans if s not in known]
             distinct = list(dict.fromkeys(word[a:b] for a, b in fresh))
             small = [w for w in distinct if len(w) <= WINDOW]
-            ids = dict(zip(small, self.merge_whole(small)))
+            ids = dict(zip(small, _each(*self.merge_whole(small))))
             wide = [w for w in distinct if len(w) > WINDOW]
-            ids.update(zip(wide, self.merge_whole(wide, _MERGE_LONG)))
+            ids.update(zip(wide, _each(*self.merge_whole(wide, _MERGE_LONG))))
             for a, b in fresh:
                 own = ids[word[a:b]]
                 known[a, b] = own, a + np.cumsum(self.lengths[own]) - self.lengths[own]
@@ -219,7 +226,7 @@ class Merger:
             odd = [t for t, rank in self.whole.items() for c in range(1, len(t)) if max(self.whole.get(t[:c], -1), self.whole.get(t[c:], -1)) >= rank and t[:c] in self.whole and t[c:] in self.whole]
             odd = list(dict.fromkeys(odd))
             self.db.execute("ALTER TABLE merges RENAME TO all_merges; CREATE TABLE merges AS SELECT * FROM all_merges WHERE rank > greatest(pair >> 17, pair & 131071)")
-            own = self.merge_whole(odd)
+            own = _each(*self.merge_whole(odd))
             self._regular = all(len(x) == 1 and x[0] == self.whole[t] for t, x in zip(odd, own))
             self.db.execute("DROP TABLE merges; ALTER TABLE all_merges RENAME TO merges")
         return self._regular
@@ -233,9 +240,7 @@ class Merger:
             found = self.find(chunk.decode())
             counts[i] = len(found)
             owner += [index.setdefault(w, len(index)) for w in found]
-        each = self.merge([w.encode() for w in index])
-        flat = np.concatenate([np.zeros(0, np.int32), *each])
-        sizes = np.array(list(map(len, each)), np.int64)
+        flat, sizes = self.merge([w.encode() for w in index])
         starts = np.cumsum(sizes) - sizes
         rows = np.array(owner, np.int64)
         own = sizes[rows]

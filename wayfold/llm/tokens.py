@@ -46,15 +46,16 @@ class ChunkTable:
         """The rows of chunks; new ones are made."""
         raw, index = data.tobytes(), self.index
         own = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        fresh = [c for c in dict.fromkeys(own) if c not in index]
+        rows = list(map(index.get, own))
+        fresh = list(dict.fromkeys(c for c, row in zip(own, rows) if row is None))
         if fresh:
             spaced = np.array([_spaced(c) for c in fresh])
             flat, sizes = [], np.zeros(len(fresh), np.int64)
             for joined in (True, False):
-                rows = np.flatnonzero(spaced == joined)
-                if len(rows):
-                    values, sizes[rows] = self.make([fresh[i] for i in rows.tolist()], joined)
-                    flat.append((rows, values))
+                some = np.flatnonzero(spaced == joined)
+                if len(some):
+                    values, sizes[some] = self.make([fresh[i] for i in some.tolist()], joined)
+                    flat.append((some, values))
             order = np.concatenate([o for o, _ in flat])
             begin = np.zeros(len(fresh), np.int64)
             begin[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
@@ -62,7 +63,8 @@ class ChunkTable:
             self.held += sum(map(len, fresh))
             self.flat = np.concatenate([self.flat, *[v for _, v in flat]])
             self.starts, self.sizes = np.concatenate([self.starts, begin]), np.concatenate([self.sizes, sizes])
-        return np.array([index[c] for c in own], np.int64)
+            rows = list(map(index.__getitem__, own))
+        return np.array(rows, np.int64)
 
     def blocks(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Of an Arrow string column: the first text of a block, the rows of its chunks, where each text's chunks end, and
