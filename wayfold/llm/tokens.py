@@ -11,6 +11,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Unicode's White_Space, on which both tokenizer libraries agree. str.isspace() holds four control characters more.
 SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -42,12 +43,13 @@ class ChunkTable:
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
-    def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The rows of chunks; new ones are made."""
-        raw, index = data.tobytes(), self.index
-        own = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    def _rows(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The rows of chunks, which lie one after another; new ones are made."""
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        index, own = self.index, chunks.dictionary.to_pylist()  # the block's distinct chunks
         rows = list(map(index.get, own))
-        fresh = list(dict.fromkeys(c for c, row in zip(own, rows) if row is None))
+        fresh = [c for c, row in zip(own, rows) if row is None]
         if fresh:
             spaced = np.array([_spaced(c) for c in fresh])
             flat, sizes = [], np.zeros(len(fresh), np.int64)
@@ -64,7 +66,7 @@ class ChunkTable:
             self.flat = np.concatenate([self.flat, *[v for _, v in flat]])
             self.starts, self.sizes = np.concatenate([self.starts, begin]), np.concatenate([self.sizes, sizes])
             rows = list(map(index.__getitem__, own))
-        return np.array(rows, np.int64)
+        return np.array(rows, np.int64)[chunks.indices.to_numpy(zero_copy_only=False)]
 
     def blocks(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Of an Arrow string column: the first text of a block, the rows of its chunks, where each text's chunks end, and
@@ -80,8 +82,7 @@ class ChunkTable:
             data = everything[offsets[i] : offsets[j]]
             limits = offsets[i : j + 1] - offsets[i]
             starts = _chunk_starts(data, limits)
-            ends = np.append(starts[1:], len(data)).astype(np.int64)
-            yield i, self._rows(data, starts, ends) if len(starts) else np.zeros(0, np.int64), np.searchsorted(starts, limits[1:]), data
+            yield i, self._rows(data, starts) if len(starts) else np.zeros(0, np.int64), np.searchsorted(starts, limits[1:]), data
             i = j
 
     def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
