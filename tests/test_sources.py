@@ -14,6 +14,52 @@ def test_telemetry(spark, tmp_path):
     assert sources.telemetry(spark, str(tmp_path), bbox=(47, 11, 48, 11.55)).count() == 1
 
 
+def test_telemetry_by_name(spark, tmp_path):
+    """Files with other columns, in another order."""
+    (tmp_path / "__MACOSX").mkdir()
+    (tmp_path / "__MACOSX" / "x.csv").write_text("timestampinmillis,positionmapmatchedlatitude\n1,2\n")
+    (tmp_path / "a.csv").write_text("timestampinmillis,positionmapmatchedlatitude,positionmapmatchedlongitude,sensorsbankingangle\n1000,47.7,11.5,12\n")
+    (tmp_path / "b.csv").write_text("sensorsbankingangle,ridinggear,positionmapmatchedlongitude,timestampinmillis,positionmapmatchedlatitude\n-3,4,11.6,2000,47.8\n")
+    rows = sources.telemetry(spark, str(tmp_path)).orderBy("t_ms").collect()
+    assert [(r.t_ms, r.lat, r.lon, r.lean, r.gear) for r in rows] == [(1000, 47.7, 11.5, 12.0, None), (2000, 47.8, 11.6, -3.0, 4)]
+    assert [f.rsplit("/", 1)[1] for f in sources.discover(spark, str(tmp_path), str(tmp_path))] == ["a.csv", "b.csv"] and len(sources.discover(spark, str(tmp_path), limit=1)) == 1
+    (tmp_path / "none").mkdir()
+    assert sources.telemetry(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_turns_and_coordinates(spark):
+    from wayfold.operators.terrain import check_coordinates, turns
+
+    look = spark.createDataFrame([(1, k, t) for k, t in [(3, 60.0), (4, 150.0), (6, 149.0), (8, 140.0), (9, 70.0), (20, 55.0), (21, 20.0)]] + [(2, 5, 30.0)], "way_id long, k long, t double")
+    lines = spark.createDataFrame([(1, 2000.0), (2, 900.0)], "way_id long, total double")
+    got = {r.way_id: tuple(r)[1:] for r in turns(look, lines).collect()}
+    assert got == {1: (3, 1, 15.0, 150.0), 2: (0, 0, 0.0, 0.0)}
+    assert check_coordinates([[47, 11], (48.5, -11)]) == [(47.0, 11.0), (48.5, -11.0)]
+    for bad in ([], [[1, 2]], [[1, 2], [float("nan"), 1]], [[1, 2], [91, 0]], [[1, 2], "x"], [[1, 2]] * 20_001, None):
+        with pytest.raises(ValueError):
+            check_coordinates(bad)
+
+
+def test_cached_and_recovered(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(2)
+
+    for _ in range(2):
+        assert sources.cached(spark, "k", str(tmp_path), make).count() == 2
+    assert len(made) == 1
+    assert sources.cached(spark, "k", str(tmp_path), make, version=2).count() == 2 and len(made) == 2
+    path = tmp_path / "out"
+    sources.publish(spark.range(3), str(path))
+    sources.publish(spark.range(4), str(path))
+    path.rename(tmp_path / "out.old")  # as a crash between the two renames leaves it
+    sources.recover(spark, str(path))
+    assert spark.read.parquet(str(path)).count() == 4
+    assert [sources.forecast_policy(100.0, f, e, 50.0, 60.0) for f, e in ((60.0, None), (10.0, None), (10.0, 90.0), (None, 90.0), (None, None), (10.0, 30.0))] == ["cache", "live", "stale", "none", "live", "live"]
+
+
 def test_ways_and_forecast(spark, tmp_path):
     way = {"id": 1, "type": "way", "geometry": [{"lat": 1.0, "lon": 2.0}], "tags": {"highway": "primary"}}
     (tmp_path / "1.json").write_text(json.dumps({"elements": [way, {"id": 3, "type": "node"}]}))

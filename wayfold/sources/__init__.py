@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,22 +19,39 @@ TELEMETRY = {
 }
 
 
+def discover(spark: SparkSession, *paths: str, pattern: str = "*.csv", limit: int | None = None) -> list[str]:
+    """Files under folders, each once, in order; leftovers of archives are passed over. Reads names alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(paths))
+    names = files.select("path").where(~F.col("path").contains("__MACOSX")).distinct().orderBy("path")
+    return [r[0] for r in (names.limit(limit) if limit else names).collect()]
+
+
 def telemetry(spark: SparkSession, *paths: str, bbox: tuple | None = None) -> DataFrame:
     """Samples of CSV files found recursively; bad numbers are null, a row without time or place is dropped, and the trip is
-    the file. Files are matched by column name, so each may lack columns or have others."""
-    header = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
-    names = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).csv(list(paths)).columns
-    raw = header.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(list(paths))
-    columns = []
-    for source, spec in TELEMETRY.items():
-        name, kind = spec.split()
-        value = F.expr(f"try_cast(try_cast(`{source}` AS DOUBLE) AS {kind})") if source in names else F.lit(None).cast(kind)
-        columns.append(value.alias(name))
-    out = raw.select(F.col("_metadata.file_path").alias("trip"), *columns).where("t_ms IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
+    the file. Columns are matched by name, file by file: each may lack columns, have others, and have them in any order.
+
+    A first scan takes the header of each file; files with equal headers are then read together."""
+    find = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+    lines = spark.read.options(**find).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.trim(F.regexp_replace("value", "[\r\ufeff]", "")).alias("header"))
+    headers = lines.where(F.lower("header").contains("timestampinmillis") & ~F.col("file").contains("__MACOSX")).distinct()
+    kinds = [(r["header"], r["files"]) for r in headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()]
+    parts = []
+    for header, files in kinds:
+        names = [c.strip().strip('"').lower() for c in header.split(",")]
+        raw = spark.read.option("header", True).option("enforceSchema", True).schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])).csv(files)
+        columns = []
+        for source, spec in TELEMETRY.items():
+            name, kind = spec.split()
+            value = F.expr(f"try_cast(try_cast(c{names.index(source)} AS DOUBLE) AS {kind})") if source in names else F.lit(None).cast(kind)
+            columns.append(value.alias(name))
+        parts.append(raw.select(F.col("_metadata.file_path").alias("trip"), *columns))
+    if not parts:
+        return spark.createDataFrame([], "trip string, " + ", ".join(TELEMETRY.values()))
+    out = functools.reduce(DataFrame.unionByName, parts).where("t_ms IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
     if bbox:
         south, west, north, east = bbox
         out = out.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-    return out.where(~F.col("trip").contains("__MACOSX"))
+    return out
 
 
 def ways(spark: SparkSession, *paths: str) -> DataFrame:
@@ -64,27 +84,65 @@ def signature(df_path: str, spark: SparkSession) -> str:
 
 
 def publish(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Writes Parquet beside the target and swaps it in; an empty result leaves the old one in place and fails."""
+    """Writes Parquet beside the target and swaps it in; an empty result leaves the old one in place and fails.
+
+    The old result is set aside before the new one takes its name, and goes last: a crash in between leaves both, and the
+    next call, or ``recover``, puts it back."""
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    path = path.rstrip("/")
+    recover(spark, path)
+    fresh = f"{path}.{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(fresh)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = target.getFileSystem(conf)
+    fs, new, target, aside = _places(spark, fresh, path, f"{path}.old")
     if spark.read.parquet(fresh).isEmpty():
         fs.delete(new, True)
         raise ValueError("the result is empty; the old one stays")
-    fs.delete(target, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"can't set {path} aside")
     if not fs.rename(new, target):
+        fs.rename(aside, target)
         raise OSError(f"can't rename {fresh}")
-
-
-def cached(spark: SparkSession, key: str, folder: str, make) -> DataFrame:
-    """A derived table, made once for each key; what can't be read is made again."""
-    path = f"{folder.rstrip('/')}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  absent or broken: both mean to make it
-        make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back a result that was set aside when nothing has its name, and deletes it otherwise."""
+    fs, target, aside = _places(spark, path.rstrip("/"), f"{path.rstrip('/')}.old")
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, target)
+
+
+def _places(spark: SparkSession, *paths: str) -> tuple:
+    own = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return own[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *own
+
+
+def cached(spark: SparkSession, key: str, folder: str, make, version: int = 1) -> DataFrame:
+    """A derived table, made once for each key and version. One that isn't whole or can't be opened is made again; other
+    errors, such as a lost connection, are raised."""
+    path = f"{folder.rstrip('/')}/v{version}-{key}"
+    fs, done = _places(spark, f"{path}/_SUCCESS")
+    if fs.exists(done):
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:  # no schema can be read: the files are broken
+            pass
+        except Py4JJavaError as e:
+            if "is not a Parquet file" not in str(e) and "CANNOT_READ_FILE_FOOTER" not in str(e):
+                raise
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def forecast_policy(now: float, fetched: float | None, failed: float | None, ttl: float = 1800.0, cooldown: float = 60.0) -> str:
+    """What to do with a cached forecast, by seconds: ``cache`` while it is fresh, ``live`` otherwise; within the cooldown after
+    a failure ``stale`` if there is any, and ``none`` if not."""
+    if fetched is not None and now - fetched <= ttl:
+        return "cache"
+    if failed is not None and now - failed < cooldown:
+        return "stale" if fetched is not None else "none"
+    return "live"
