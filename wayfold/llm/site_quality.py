@@ -10,8 +10,9 @@ the global prior odds, the latter tempered so that no site alone condemns a docu
 ``address_levels`` gives host and first folder of an address as site and section; a table without addresses has its source,
 and source and language.
 
-Groups are summed before they are shuffled; a site with a third of all rows is one sum, and Spark splits its rows in the
-join. Evidence is summed in whole units of 2**-30, so sums don't depend on the order in which rows come.
+Groups are summed before they are shuffled; a site with a third of all rows is one sum. Sections with more than a
+thousandth of all rows, of which there are fewer than a thousand, are broadcast, so that their rows stay where they are;
+the rest is joined by a shuffle. Evidence is summed in whole units of 2**-30, so sums don't depend on the order in which rows come.
 
 Defined results: null and empty texts have no words and are judged as such; texts of any length are measured whole; a null
 site or section is a group like others; a document alone in its section has its site's posterior, and one alone in its site
@@ -105,6 +106,8 @@ def address_levels(url: Column) -> tuple[Column, Column]:
 
 #: One unit of summed evidence.
 UNIT = 1 << 30
+#: Sections with more than one in this many rows are joined by a broadcast.
+HOT = 1000
 
 
 def posteriors(judged: DataFrame, cut: float = CUT, temper: float = TEMPER) -> DataFrame:
@@ -126,9 +129,12 @@ def posteriors(judged: DataFrame, cut: float = CUT, temper: float = TEMPER) -> D
         own = F.col(sq) / UNIT
         return prior_strength(F.col(groups), F.col("wn"), own, mean, F.greatest((all_sq - own) / total, F.lit(1e-4)))
 
-    world = world.select(mean.alias("prior"), strength("groups", "site_sq").alias("site_k"), strength("section_groups", "section_sq").alias("section_k"))
-    groups = sections.join(sites, "site").crossJoin(F.broadcast(world)).drop("q", "site_q")
-    out = judged.join(groups, ["site", "section"])
+    world = world.select(F.col("wn").alias("all_n"), mean.alias("prior"), strength("groups", "site_sq").alias("site_k"), strength("section_groups", "section_sq").alias("section_k"))
+    groups = written(sections.join(sites, "site").crossJoin(F.broadcast(world)).drop("q", "site_q"), "section-sums")
+    hot = F.col("n") * HOT > F.col("all_n")
+    large = F.broadcast(groups.where(hot))  # fewer than HOT rows
+    rest = judged.join(large.select("site", "section"), ["site", "section"], "left_anti")
+    out = judged.join(large, ["site", "section"]).unionByName(rest.join(groups.where(~hot), ["site", "section"]))
     out = out.withColumn("site_posterior", ((F.col("site_s") - F.col("u")) / UNIT + F.col("site_k") * F.col("prior")) / (F.col("site_n") - 1 + F.col("site_k")))
     out = out.withColumn("section_posterior", ((F.col("s") - F.col("u")) / UNIT + F.col("section_k") * F.col("site_posterior")) / (F.col("n") - 1 + F.col("section_k")))
 
