@@ -32,7 +32,9 @@ add("g14_heading_mismatch", f"SELECT seg_id, round({G.undirected('bearing_mean',
 add("g15_piece_distance", f"SELECT p.poi_id, s.seg_id, round({G.piece_distance('p.lat', 'p.lon', 's.a_lat', 's.a_lon', 's.b_lat', 's.b_lon')}, 4) AS m FROM {{poi}} p JOIN {{seg}} s ON s.node_a = (p.poi_id * 7) % 160")
 add("g16_sector", f"SELECT seg_id, {G.in_sector('bearing_mean', 140.0, 235.0)} AS south, {G.in_sector('bearing_mean', 315.0, 45.0)} AS north FROM {{seg}} WHERE bearing_mean IS NOT NULL")
 add("g17_bbox", "SELECT event_id, lat BETWEEN 47.60 AND 47.75 AND lon BETWEEN 11.15 AND 11.503 AS inside FROM {tele}")
-add("g18_poi_area", "SELECT poi_id, round(abs((weight * 0.01) * 111320.0 * ((s_nationkey + 1) * 0.002) * 111320.0 * 0.67), 4) AS area_m2 FROM {poi}")
+# bounding boxes of waters; some have none
+add("bounds", "SELECT poi_id, CASE WHEN poi_id % 6 > 0 THEN lat - weight * 0.002 END AS minlat, lat + s_nationkey * 0.0001 AS maxlat, lon - weight * 0.001 AS minlon, lon + s_nationkey * 0.0002 AS maxlon FROM {poi}", query=False)
+add("g18_poi_area", "SELECT poi_id, round(coalesce(abs((maxlat - minlat) * 111320.0 * (maxlon - minlon) * 111320.0 * 0.67), 0.0), 4) AS area_m2 FROM {bounds}")
 _gy, _gx = G.urban_grid("lat", "lon")
 add("g19_urban_grid", f"SELECT node, {_gy} AS gy, {_gx} AS gx FROM {{node}}")
 add("g20_octant", f"SELECT seg_id, {G.octant('bearing_mean')} AS octant FROM {{seg}} WHERE bearing_mean IS NOT NULL")

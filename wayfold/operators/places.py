@@ -76,7 +76,13 @@ add("j12_route_visits", f"SELECT r.route, p.poi_id, round(min({H('p.lat', 'p.lon
     oracle=f"SELECT r.route, p.poi_id, round(min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}), 3) AS d FROM {{poi_roads}} p, {{route_points}} r GROUP BY r.route, p.poi_id HAVING min({H('p.lat', 'p.lon', 'r.lat', 'r.lon')}) <= 700.0")
 
 # --- points of interest -----------------------------------------------------------------------------------------------------
-add("f41_classify", "SELECT poi_id, kind, round(weight, 6) AS weight FROM (SELECT poi_id, CASE s_nationkey % 5 WHEN 0 THEN 'viewpoint' WHEN 1 THEN 'pass' WHEN 2 THEN CASE WHEN ele >= 1000.0 THEN 'peak' END WHEN 3 THEN CASE WHEN weight * 120000.0 >= 150000.0 THEN 'lake' END END AS kind, CASE s_nationkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.4 WHEN 2 THEN 1.0 + least(ele, 2500.0) / 2500.0 ELSE 1.0 + least(weight * 120000.0 / 5000000.0, 0.8) END AS weight FROM {poi}) WHERE kind IS NOT NULL")
+# tags of what a map holds; heights are texts, some with a unit, some none
+add("tagged", """SELECT poi_id, CASE WHEN s_nationkey % 5 = 0 THEN 'viewpoint' END AS tourism, CASE WHEN s_nationkey % 5 = 1 THEN CASE WHEN poi_id % 3 = 0 THEN 'no' ELSE 'yes' END END AS mountain_pass,
+ CASE WHEN s_nationkey % 5 = 2 THEN 'peak' WHEN s_nationkey % 5 = 3 THEN 'water' END AS nature, CASE poi_id % 4 WHEN 0 THEN CAST(ele AS STR) WHEN 1 THEN ' ' || CAST(ele AS STR) || ' m' WHEN 2 THEN 'about ' || CAST(ele AS STR) END AS ele FROM {poi}""", query=False)
+add("f41_classify", """SELECT poi_id, kind, round(weight, 6) AS weight FROM
+(SELECT poi_id, CASE WHEN tourism = 'viewpoint' THEN 'viewpoint' WHEN mountain_pass = 'yes' THEN 'pass' WHEN nature = 'peak' THEN CASE WHEN m >= 1000.0 AND NOT isnan(m) THEN 'peak' END WHEN nature = 'water' AND area_m2 >= 150000.0 THEN 'lake' END AS kind,
+ CASE WHEN tourism = 'viewpoint' THEN 1.0 WHEN mountain_pass = 'yes' THEN 1.4 WHEN nature = 'peak' THEN 1.0 + least(m, 2500.0) / 2500.0 ELSE 1.0 + least(area_m2 / 5000000.0, 0.8) END AS weight
+ FROM (SELECT t.*, try_cast(split_part(trim(t.ele), ' ', 1) AS DOUBLE) AS m, a.area_m2 FROM {tagged} t JOIN {g18_poi_area} a ON a.poi_id = t.poi_id)) WHERE kind IS NOT NULL""")
 add("poi_segments", "SELECT p.poi_id, s.* FROM {poi_roads} p JOIN (SELECT node_a AS node, seg_id FROM {seg} UNION ALL SELECT node_b, seg_id FROM {seg}) e ON e.node = p.node JOIN {roads} s ON s.seg_id = e.seg_id", query=False)
 add("poi_features", f"SELECT poi_id, avg(least(curvature_geo, 300.0)) AS curve300, avg(curvature_geo) AS curve, sum(length_m) / greatest(sum(seconds), 0.001) * 3.6 AS kmh, avg(CASE WHEN highway IN {S.HIGHWAYS} THEN 0.0 ELSE 1.0 END) AS non_highway, max(CASE WHEN highway IN ('secondary', 'tertiary') THEN 2 WHEN highway = 'primary' THEN 1 ELSE 0 END) AS road_kind, avg(urban) AS urban FROM {{poi_segments}} GROUP BY poi_id", query=False)
 add("a29_poi_road_features", "SELECT poi_id, round(curve, 3) AS curvature, round(kmh, 3) AS kmh FROM {poi_features}")
@@ -111,8 +117,21 @@ add("j17_terrain", f"""SELECT seg_id, round(CASE WHEN e0 IS NOT NULL AND e1 IS N
 
 # --- polylines in long form: one row for each vertex --------------------------------------------------------------------------------
 add("vertices", "SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY seg_id) AS i, node_a AS node, a_lat + ((seg_id * 13) % 7) * 0.0004 AS lat, a_lon AS lon FROM {seg}", query=False)
-add("y1_junction_split", """SELECT way_id, i, node, CAST(sum(cut) OVER (PARTITION BY way_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS piece FROM
-(SELECT v.*, CASE WHEN v.i > 1 AND u.ways > 1 THEN 1 ELSE 0 END AS cut FROM {vertices} v JOIN (SELECT round(lat, 7) AS la, round(lon, 7) AS lo, count(DISTINCT way_id) AS ways FROM {vertices} GROUP BY round(lat, 7), round(lon, 7)) u ON u.la = round(v.lat, 7) AND u.lo = round(v.lon, 7))""")
+# streets along some rows and columns of the lattice, which cross at vertices
+add("streets", """SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY node) AS i, count(*) OVER (PARTITION BY way_id) AS n, node, lat, lon FROM
+(SELECT 2 * CAST(floor(node / 40.0) AS BIGINT) AS way_id, node, lat, lon FROM {node} WHERE CAST(floor(node / 40.0) AS BIGINT) % 3 = 0 UNION ALL SELECT 2 * (node % 40) + 1, node, lat, lon FROM {node} WHERE node % 4 = 0)""", query=False)
+add("crossings", "SELECT round(lat, 7) AS la, round(lon, 7) AS lo FROM {streets} GROUP BY round(lat, 7), round(lon, 7) HAVING count(DISTINCT way_id) > 1", query=False)
+add("cut_marks", f"""SELECT way_id, i, node, cut, CAST(sum(cut) OVER w AS BIGINT) AS piece, {H('p_lat', 'p_lon', 'lat', 'lon')} AS m FROM
+(SELECT v.*, CASE WHEN v.i > 1 AND v.i < v.n AND u.la IS NOT NULL THEN 1 ELSE 0 END AS cut, lag(v.lat) OVER o AS p_lat, lag(v.lon) OVER o AS p_lon FROM {{streets}} v LEFT JOIN {{crossings}} u ON u.la = round(v.lat, 7) AND u.lo = round(v.lon, 7) WHERE v.n > 1 WINDOW o AS (PARTITION BY v.way_id ORDER BY v.i))
+WINDOW w AS (PARTITION BY way_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", query=False)
+# a leg belongs to the piece that it ends in; pieces of less than five metres go
+add("pieces", "SELECT way_id, piece, min(i) - 1 AS first_i, max(i) AS last_i, round(sum(m), 6) AS total FROM (SELECT way_id, i, piece - cut AS piece, m FROM {cut_marks} WHERE m IS NOT NULL) GROUP BY way_id, piece HAVING sum(m) >= 5.0", query=False)
+add("y1_junction_split", "SELECT v.way_id, p.piece, CAST(v.i AS BIGINT) AS i, v.node FROM (SELECT way_id, i, node, piece FROM {cut_marks} UNION ALL SELECT way_id, i, node, piece - 1 FROM {cut_marks} WHERE cut = 1) v JOIN {pieces} p ON p.way_id = v.way_id AND p.piece = v.piece",
+    oracle=f"""WITH used AS (SELECT node, count(DISTINCT way_id) AS ways FROM {{streets}} GROUP BY node),
+cuts AS (SELECT way_id, i, lead(i) OVER (PARTITION BY way_id ORDER BY i) AS e, row_number() OVER (PARTITION BY way_id ORDER BY i) - 1 AS piece FROM {{streets}} JOIN used USING (node) WHERE i = 1 OR i = n OR ways > 1),
+held AS (SELECT c.way_id, c.piece, v.i, v.node, v.lat, v.lon FROM cuts c JOIN {{streets}} v ON v.way_id = c.way_id AND v.i BETWEEN c.i AND c.e),
+long_enough AS (SELECT way_id, piece FROM (SELECT *, {H('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS m FROM held WINDOW w AS (PARTITION BY way_id, piece ORDER BY i)) GROUP BY way_id, piece HAVING sum(m) >= 5)
+SELECT way_id, piece, i, node FROM held JOIN long_enough USING (way_id, piece)""")
 add("legs", f"SELECT way_id, i, lat, lon, p_lat, p_lon, {H('p_lat', 'p_lon', 'lat', 'lon')} AS m FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM {{vertices}} WINDOW w AS (PARTITION BY way_id ORDER BY i)) WHERE p_lat IS NOT NULL", query=False)
 add("chainage", "SELECT *, sum(m) OVER (PARTITION BY way_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(m) OVER (PARTITION BY way_id) AS total FROM {legs}", query=False)
 
@@ -126,13 +145,33 @@ FROM {{chainage}} c JOIN (SELECT way_id, SERIES(0, CAST(floor(total / {spacing})
 resampled("points_100", 100.0)
 resampled("points_45", 45.0)
 resampled("points_15", 15.0)
-add("y2_subdivide", "SELECT way_id, k, round(lat, 7) AS lat, round(lon, 7) AS lon, 10000000 + CAST(way_id AS BIGINT) * 10000 + CAST(k AS BIGINT) AS node FROM {points_100}")
+# pieces of over 150 m in chunks of 100 m; ids of new nodes run on from piece to piece: sums within blocks of ways, and of blocks
+add("piece_cuts", "SELECT p.way_id, CAST(floor(p.way_id / 1000.0) AS BIGINT) AS block, p.piece, p.total, a.node AS a, b.node AS b, CASE WHEN p.total > 150.0 THEN CAST(floor(p.total / 100.0) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS cuts FROM {pieces} p JOIN {streets} a ON a.way_id = p.way_id AND a.i = p.first_i JOIN {streets} b ON b.way_id = p.way_id AND b.i = p.last_i", query=False)
+add("cut_blocks", "SELECT block, sum(cuts) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cuts AS before FROM (SELECT block, sum(cuts) AS cuts FROM {piece_cuts} GROUP BY block)", query=False)
+add("y2_subdivide", """SELECT way_id, piece, CAST(k AS BIGINT) AS k, CAST(CASE WHEN k = 0 THEN a ELSE 10000000 + base + k - 1 END AS BIGINT) AS node_a, CAST(CASE WHEN k = cuts THEN b ELSE 10000000 + base + k END AS BIGINT) AS node_b, round(m, 3) AS length_m FROM
+(SELECT *, CASE WHEN cuts = 0 THEN total WHEN k = cuts THEN total - 100.0 * k ELSE 100.0 END AS m FROM (SELECT *, SERIES(CAST(0 AS BIGINT), cuts) AS k FROM
+ (SELECT p.*, w.before + sum(p.cuts) OVER (PARTITION BY p.block ORDER BY p.way_id, p.piece ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p.cuts AS base FROM {piece_cuts} p JOIN {cut_blocks} w ON w.block = p.block))) WHERE m >= 1.0""",
+    oracle="""WITH RECURSIVE numbered AS (SELECT *, 10000000 + coalesce(sum(cuts) OVER (ORDER BY way_id, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS fresh FROM {piece_cuts}),
+walk AS (SELECT way_id, piece, b, fresh, 0::BIGINT AS k, a AS node_a, total AS ahead, total <= 150 AS whole FROM numbered
+ UNION ALL SELECT way_id, piece, b, fresh + 1, k + 1, fresh, ahead - 100, whole FROM walk WHERE NOT whole AND ahead >= 100)
+SELECT way_id, piece, k, node_a, CASE WHEN whole OR ahead < 100 THEN b ELSE fresh END AS node_b, round(CASE WHEN whole THEN ahead ELSE least(ahead, 100.0) END, 3) AS length_m FROM walk WHERE ahead >= 1""")
 add("y4_interpolate", "SELECT way_id, k, round(lat, 7) AS lat, round(lon, 7) AS lon FROM {points_45}")
 add("headings", f"SELECT way_id, k, {geo.bearing('p_lat', 'p_lon', 'lat', 'lon')} AS b, d FROM (SELECT *, {H('p_lat', 'p_lon', 'lat', 'lon')} AS d FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM {{points_15}} WINDOW w AS (PARTITION BY way_id ORDER BY k))) WHERE d > 0.5", query=False)
 add("turns", f"SELECT way_id, k, {geo.turn('p', 'b')} AS t FROM (SELECT *, lag(b) OVER (PARTITION BY way_id ORDER BY k) AS p FROM {{headings}}) WHERE p IS NOT NULL", query=False)
 add("y3_curviness", "SELECT t.way_id, round(sum(t.t) / greatest(max(c.total) / 1000.0, 0.000001), 3) AS deg_per_km FROM {turns} t JOIN (SELECT DISTINCT way_id, total FROM {chainage}) c ON c.way_id = t.way_id GROUP BY t.way_id")
 add("look", f"SELECT way_id, k, {geo.turn('b1', 'b2')} AS t FROM (SELECT way_id, k, {geo.bearing('lat3', 'lon3', 'lat', 'lon')} AS b1, {geo.bearing('lat', 'lon', 'lat4', 'lon4')} AS b2 FROM (SELECT *, lag(lat, 3) OVER w AS lat3, lag(lon, 3) OVER w AS lon3, lead(lat, 3) OVER w AS lat4, lead(lon, 3) OVER w AS lon4 FROM {{points_45}} WINDOW w AS (PARTITION BY way_id ORDER BY k)) WHERE lat3 IS NOT NULL AND lat4 IS NOT NULL)", query=False)
 add("y5_turn_candidates", "SELECT way_id, k, round(t, 3) AS turn FROM {look} WHERE t >= 50.0")
-add("y6_elevation_profile", "SELECT route, round(sum(CASE WHEN d > 2.0 THEN d ELSE 0.0 END), 4) AS gain, round(sum(CASE WHEN d < -2.0 THEN -d ELSE 0.0 END), 4) AS loss, round(min(e), 4) AS lo, round(max(e), 4) AS hi FROM (SELECT route, e, med - lag(med) OVER (PARTITION BY route ORDER BY pos) AS d FROM (SELECT route, pos, e, CASE WHEN a IS NULL AND c IS NULL THEN e WHEN a IS NULL THEN (e + c) / 2.0 WHEN c IS NULL THEN (e + a) / 2.0 ELSE greatest(least(a, e), least(greatest(a, e), c)) END AS med FROM (SELECT r.route, r.pos, s.dem_elev_m AS e, lag(s.dem_elev_m) OVER w AS a, lead(s.dem_elev_m) OVER w AS c FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id WHERE s.dem_elev_m IS NOT NULL WINDOW w AS (PARTITION BY r.route ORDER BY r.pos)))) GROUP BY route")
+# at most 160 places along a route, one for each 500 m, with the height of the road there
+add("spans", "SELECT r.route, r.pos, coalesce(s.dem_elev_m, s.elev_mean) AS e, s.length_m, sum(s.length_m) OVER (PARTITION BY r.route ORDER BY r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(s.length_m) OVER (PARTITION BY r.route) AS total FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id", query=False)
+add("heights", """SELECT p.route, p.j, p.n, s.e FROM (SELECT route, n, j, CASE WHEN j = n - 1 THEN total ELSE total * j / (n - 1) END AS at_m FROM (SELECT *, SERIES(CAST(0 AS BIGINT), n - 1) AS j FROM
+(SELECT route, max(total) AS total, least(160, greatest(2, CAST(floor(max(total) / 500.0) AS BIGINT) + 1)) AS n FROM {spans} GROUP BY route))) p JOIN {spans} s ON s.route = p.route AND p.at_m >= s.upto - s.length_m AND (p.at_m < s.upto OR (p.j = p.n - 1 AND s.upto = s.total))""", query=False)
+add("smooth_heights", "SELECT route, j, CASE WHEN a IS NULL THEN (e + c) / 2.0 WHEN c IS NULL THEN (e + a) / 2.0 ELSE greatest(least(a, e), least(greatest(a, e), c)) END AS med FROM (SELECT route, j, e, lag(e) OVER w AS a, lead(e) OVER w AS c FROM {heights} WINDOW w AS (PARTITION BY route ORDER BY j))", query=False)
+add("y6_elevation_profile", f"SELECT route, {geo.half_even('sum(CASE WHEN d > 2.0 THEN d ELSE 0.0 END)')} AS gain, {geo.half_even('sum(CASE WHEN d < -2.0 THEN -d ELSE 0.0 END)')} AS loss, {geo.half_even('min(med)')} AS lo, {geo.half_even('max(med)')} AS hi, CAST(count(*) AS BIGINT) AS samples FROM (SELECT route, med, med - lag(med) OVER (PARTITION BY route ORDER BY j) AS d FROM {{smooth_heights}}) GROUP BY route",
+    oracle="""WITH sizes AS (SELECT route, max(upto) AS total FROM {spans} GROUP BY route),
+places AS (SELECT route, total, n, unnest(range(n)) AS j FROM (SELECT *, least(160, greatest(2, floor(total / 500)::BIGINT + 1)) AS n FROM sizes)),
+met AS (SELECT p.route, p.j, s.e FROM places p ASOF JOIN (SELECT route, e, upto - length_m AS since FROM {spans}) s ON s.route = p.route AND s.since <= CASE WHEN p.j = p.n - 1 THEN p.total - 0.5 ELSE p.total * p.j / (p.n - 1) END),
+mid AS (SELECT route, j, median(e) OVER (PARTITION BY route ORDER BY j ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM met),
+d AS (SELECT *, m - lag(m) OVER (PARTITION BY route ORDER BY j) AS d FROM mid)
+SELECT route, round_even(coalesce(sum(d) FILTER (d > 2), 0), 0)::BIGINT AS gain, round_even(coalesce(sum(-d) FILTER (d < -2), 0), 0)::BIGINT AS loss, round_even(min(m), 0)::BIGINT AS lo, round_even(max(m), 0)::BIGINT AS hi, count(*) AS samples FROM d GROUP BY route""")
 add("y7_stitch", "SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY pos, side) AS BIGINT) AS i, lat, lon FROM (SELECT *, lag(lat) OVER (PARTITION BY route ORDER BY pos, side) AS q_lat, lag(lon) OVER (PARTITION BY route ORDER BY pos, side) AS q_lon FROM (SELECT r.route, r.pos, 0 AS side, round(s.a_lat, 7) AS lat, round(s.a_lon, 7) AS lon FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id UNION ALL SELECT r.route, r.pos, 1, round(s.b_lat, 7), round(s.b_lon, 7) FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id)) WHERE q_lat IS NULL OR q_lat <> lat OR q_lon <> lon")
 add("y8_middle_vertex", "SELECT v.way_id, v.node FROM {vertices} v JOIN (SELECT way_id, CAST(floor(count(*) / 2.0) AS BIGINT) + 1 AS mid FROM {vertices} GROUP BY way_id) m ON m.way_id = v.way_id AND m.mid = v.i")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wayfold.functions import geo
 from wayfold.functions import scores as S
 from wayfold.operators.crowd import global_pick, picked, ranked
 from wayfold.plans.relation import CATALOG
@@ -14,6 +15,12 @@ add("hours", "SELECT i, 8765.5 + i / 24.0 AS n, 48.137154 AS lat, 11.576124 AS l
 _e, _a = S.sun_terms("n", "lat", "lon")
 add("sun", f"SELECT i, {_e} AS elev, {_a} AS az FROM {{hours}}", query=False)
 add("f34_sun_position", "SELECT i, round(elev, 6) AS elevation, round(az, 6) AS azimuth FROM {sun}")
+# the civil calendar's terms; January and February count as months of the year before
+add("julian", """SELECT h, floor(365.25 * (y + 4716)) + floor(30.6001 * (m + 1)) + day(h) + hour(h) / 24.0 + minute(h) / 1440.0 + second(h) / 86400.0 + (2 - floor(y / 100.0) + floor(floor(y / 100.0) / 4.0)) - 1524.5 AS jd
+FROM (SELECT h, CASE WHEN month(h) <= 2 THEN year(h) - 1 ELSE year(h) END AS y, CASE WHEN month(h) <= 2 THEN month(h) + 12 ELSE month(h) END AS m FROM {forecast})""", query=False)
+_je, _ja = S.sun_terms("(jd - 2451545.0)", "48.137154", "11.576124")
+add("f34_julian_day", f"SELECT h, round(jd, 6) AS jd, round({_je}, 4) AS elevation, round({_ja}, 4) AS azimuth FROM {{julian}}",
+    oracle=f"SELECT h, round(jd, 6) AS jd, round({_je}, 4) AS elevation, round({_ja}, 4) AS azimuth FROM (SELECT h, epoch(h) / 86400.0 + 2440587.5 AS jd FROM {{forecast}})")
 add("f35_light", f"SELECT i, {S.daylight('elev')} AS daylight, round({S.golden('elev')}, 6) AS golden, round({S.facing('200.0', 'az')}, 6) AS facing, {S.phase('elev')} AS phase FROM {{sun}}")
 # every segment at one hour, which is the request
 add("f36_time_factor", f"SELECT s.seg_id, u.i, {S.daylight('u.elev')} AS light, round(0.30 * {S.golden('u.elev')} * {S.facing('s.bearing_mean', 'u.az')}, 6) AS bonus FROM {{seg}} s CROSS JOIN (SELECT * FROM {{sun}} WHERE i = 15) u")
@@ -35,7 +42,13 @@ add("windows", """SELECT sunset, round(avg(weather_s), 3) AS score, round(avg(te
  CASE WHEN max(temp) > 30.0 OR max(temp) IS NULL THEN 'too hot' WHEN min(weather_s) < 0.55 THEN MINBY(worst, round(weather_s, 4) * 1000000.0 + hour(h)) END AS rejection FROM {window_hours} GROUP BY sunset""", query=False)
 add("q5_sunset_windows", "SELECT *, CASE WHEN good_hours = hours THEN 'full' WHEN good_hours > 0 THEN 'partial' ELSE 'none' END AS availability FROM {windows}")
 add("q6_current_hour", "SELECT h, round(temp, 4) AS temp, round(score, 4) AS score, reason FROM {hour_scores} WHERE h = (SELECT max(h) FROM {forecast} WHERE h <= (SELECT min(h) + INTERVAL 100 HOUR FROM {forecast}))")
-add("f40_headline", "SELECT sunset, CAST(floor(temp_c + 0.5) AS BIGINT) || ' C, gusts ' || CAST(gust_kmh AS BIGINT) || ' km/h, rain ' || CAST(rain_pct AS BIGINT) || '%' AS headline FROM {windows}".replace("CAST(floor(temp_c + 0.5) AS BIGINT)", "CAST(CAST(floor(temp_c + 0.5) AS BIGINT) AS STR)").replace("CAST(gust_kmh AS BIGINT)", "CAST(CAST(gust_kmh AS BIGINT) AS STR)").replace("CAST(rain_pct AS BIGINT)", "CAST(CAST(rain_pct AS BIGINT) AS STR)"))
+# today is the second day of the forecast
+_whole = "CAST(CAST({} AS BIGINT) AS STR)"
+_rest = f"|| ' · ' || {_whole.format(geo.half_even('temp_c'))} || '°C, ' || {_whole.format('rain_pct')} || '% rain, gusts ' || {_whole.format('gust_kmh')} || ' km/h' AS headline"
+add("f40_headline", f"""SELECT sunset, CASE WHEN day0 = today THEN 'Today' WHEN day0 = today + INTERVAL 24 HOUR THEN 'Tomorrow' ELSE date_format(sunset - INTERVAL 3 HOUR, 'EEEE') END || ' ' || date_format(sunset - INTERVAL 3 HOUR, 'HH:mm') || '–' || date_format(sunset + INTERVAL 1 HOUR, 'HH:mm') {_rest}
+FROM (SELECT *, date_trunc('day', sunset - INTERVAL 3 HOUR) AS day0 FROM {{windows}}) CROSS JOIN (SELECT min(d) + INTERVAL 24 HOUR AS today FROM {{sunset}})""",
+    oracle=f"""SELECT sunset, coalesce({{{{0: 'Today', 1: 'Tomorrow'}}}}[date_diff('day', today, start_at::DATE)], dayname(start_at)) || strftime(start_at, ' %H:%M–') || strftime(end_at, '%H:%M') {_rest}
+FROM (SELECT *, sunset - INTERVAL 3 HOUR AS start_at, sunset + INTERVAL 1 HOUR AS end_at FROM {{windows}}) CROSS JOIN (SELECT (min(d) + INTERVAL 1 DAY)::DATE AS today FROM {{sunset}})""".replace("{{0: 'Today', 1: 'Tomorrow'}}", "MAP {{0: 'Today', 1: 'Tomorrow'}}"))
 
 # --- rider profile --------------------------------------------------------------------------------------------------------------
 TASTE = ("curviness", "leaned_share", "speed_mean", "band_share", "elev_mean")

@@ -50,7 +50,8 @@ global_pick("curviness_p70", "seg", "coalesce(curviness, 0.0)", "seg_id", ranked
 add("f14_curviness_p70", "SELECT p70 FROM {curviness_p70}")
 add("f13_capability_exclusion", f"SELECT seg_id, {S.seg_excluded(30.0, 0.9, 1.15)} AS excluded, {S.nz('curviness')} > p70 AS excluded_novice FROM {{seg}} CROSS JOIN {{curviness_p70}}")
 add("a34_excluded_count", "SELECT CAST(sum(CASE WHEN excluded THEN 1 ELSE 0 END) AS BIGINT) AS excluded, CAST(sum(CASE WHEN excluded_novice THEN 1 ELSE 0 END) AS BIGINT) AS excluded_novice FROM {f13_capability_exclusion}")
-add("f33_junction_cost", f"SELECT node, {S.junction_seconds('degree')} AS seconds FROM {{degree}}")
+# the first node is the origin of the request, where nothing turns
+add("f33_junction_cost", f"SELECT node, CASE WHEN node = (SELECT min(node) FROM {{degree}}) THEN 0.0 ELSE {S.junction_seconds('degree')} END AS seconds FROM {{degree}}")
 add("f2_cell_confidence", f"SELECT code, round({S.confidence('n_trips', 3.0)}, 6) AS confidence FROM {{cells}}")
 add("l1_top_scenic", "SELECT seg_id, round(scenic, 6) AS scenic FROM {scored} ORDER BY round(scenic, 6) DESC, seg_id LIMIT 50")
 add("l2_coverage_sample", "SELECT seg_id, n_trips FROM (SELECT seg_id, n_trips, row_number() OVER (ORDER BY n_trips DESC, seg_id) AS r FROM {seg} WHERE n_trips > 0) WHERE (r - 1) % 7 = 0 ORDER BY r LIMIT 100")
@@ -106,6 +107,7 @@ def road(name: str, *columns: str) -> None:
 
 
 road("f26_road_seconds", "seconds")
+add("f26_rider_pace", f"SELECT r.seg_id, round(r.seconds * {_pace} / 66.0, 6) AS base, round(r.seconds * {_pace} / 66.0 * CASE WHEN q.speed_mean > 0 THEN 66.0 / greatest(q.speed_mean, 1.0) ELSE 1.0 END, 6) AS paced FROM {{roads}} r CROSS JOIN {{a5_rider_quantiles}} q")
 road("f27_road_value_risk", "value", "risk")
 road("f28_alpha_fade", "3.0 * (1.0 - urban) AS alpha")
 road("f29_highway_factor", "highway_factor")
@@ -128,11 +130,23 @@ add("a23_road_kpis", f"""SELECT r.route, round(sum(s.length_m) / 1000.0, 3) AS k
 add("a22_cell_path_kpis", "SELECT a AS route, round(sum(len_m) / 1000.0, 4) AS km, round(sum(seconds) / 60.0, 4) AS minutes, CAST(count(*) AS BIGINT) AS squares, round(sum(value * len_m) / greatest(sum(len_m), 0.000001), 5) AS value, round(sum(risk * len_m) / greatest(sum(len_m), 0.000001), 5) AS risk FROM {cell_costs} GROUP BY a")
 add("a24_route_thirds", "SELECT route, third, round(sum(value * length_m) / sum(length_m), 5) AS value FROM (SELECT r.route, s.value, s.length_m, least(2, CAST(floor(3.0 * (sum(s.length_m) OVER (PARTITION BY r.route ORDER BY r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.length_m / 2.0) / sum(s.length_m) OVER (PARTITION BY r.route)) AS BIGINT)) AS third FROM {routes} r JOIN {roads} s ON s.seg_id = r.seg_id) GROUP BY route, third")
 add("a25_top_roads", "SELECT route, name, metres, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY route ORDER BY metres DESC, name) AS BIGINT) AS rk FROM (SELECT r.route, s.name, round(sum(s.length_m), 3) AS metres FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id WHERE s.name IS NOT NULL GROUP BY r.route, s.name)) WHERE rk <= 5")
+add("a25_first_roads", "SELECT route, name, first_pos, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY route ORDER BY first_pos) AS BIGINT) AS rk FROM (SELECT r.route, s.name, CAST(min(r.pos) AS BIGINT) AS first_pos FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id WHERE s.name IS NOT NULL GROUP BY r.route, s.name)) WHERE rk <= 8")
 add("a26_heatmap_weight", "SELECT seg_id, round(w / max(w) OVER (), 6) AS weight FROM (SELECT r.seg_id, sum(s.scenic * s.length_m) AS w FROM {routes} r JOIN {scored} s ON s.seg_id = r.seg_id GROUP BY r.seg_id)")
 add("l4_top_per_octant", "SELECT seg_id, octant FROM (SELECT seg_id, CAST(floor(bearing_mean / 45.0) AS BIGINT) AS octant, row_number() OVER (PARTITION BY CAST(floor(bearing_mean / 45.0) AS BIGINT) ORDER BY length_m DESC, seg_id) AS r FROM {seg} WHERE bearing_mean IS NOT NULL) WHERE r <= 2")
 add("l5_diversity_pick", "SELECT route, octant, score FROM (SELECT *, row_number() OVER (PARTITION BY octant ORDER BY score DESC, route) AS r FROM (SELECT k.route, k.scenic AS score, CAST(floor(coalesce(s.bearing_mean, 0.0) / 45.0) AS BIGINT) AS octant FROM {a21_route_kpis} k JOIN {routes} q ON q.route = k.route AND q.pos = 1 JOIN {seg} s ON s.seg_id = q.seg_id)) WHERE r = 1")
-add("l9_overlap", "SELECT a.route AS route_a, b.route AS route_b, CAST(count(*) AS BIGINT) AS shared FROM {routes} a JOIN {routes} b ON a.seg_id = b.seg_id GROUP BY a.route, b.route")
-add("l11_same_routes", "SELECT key, min(route) AS route, CAST(count(*) AS BIGINT) AS n FROM (SELECT route, round(sum(length_m), 3) AS key FROM {j15_route_segments} GROUP BY route) GROUP BY key")
+# rides: whole ways, the start of a way with the whole next one, and ways ridden again, some the other way round
+add("rides", "SELECT 3 * route AS ride, pos, seg_id FROM {routes} UNION ALL SELECT 3 * route + 1, pos, seg_id FROM {routes} WHERE pos <= 5 UNION ALL SELECT 3 * route - 2, pos + 5, seg_id FROM {routes} WHERE route > 0 UNION ALL SELECT 3 * route + 2, CASE WHEN route % 3 = 0 THEN pos ELSE -pos END, seg_id FROM {routes} WHERE route % 3 < 2", query=False)
+add("ride_sizes", "SELECT ride, CAST(count(*) AS BIGINT) AS n, sum(length_m) AS m FROM (SELECT DISTINCT ride, seg_id FROM {rides}) r JOIN (SELECT seg_id AS id, length_m FROM {seg}) s ON s.id = r.seg_id GROUP BY ride", query=False)
+add("l9_overlap", """SELECT x.ride_a, x.ride_b, x.shared, a.n + b.n - x.shared AS united, round(x.shared_m, 3) AS shared_m, round(x.shared_m / least(a.m, b.m), 6) AS share FROM
+(SELECT a.ride AS ride_a, b.ride AS ride_b, CAST(count(*) AS BIGINT) AS shared, sum(s.length_m) AS shared_m FROM (SELECT DISTINCT ride, seg_id FROM {rides}) a JOIN (SELECT DISTINCT ride, seg_id FROM {rides}) b ON b.seg_id = a.seg_id AND b.ride > a.ride JOIN {seg} s ON s.seg_id = a.seg_id GROUP BY a.ride, b.ride) x
+JOIN {ride_sizes} a ON a.ride = x.ride_a JOIN {ride_sizes} b ON b.ride = x.ride_b""",
+    oracle="""WITH p AS (SELECT r.ride, list(DISTINCT r.seg_id) AS path FROM {rides} r GROUP BY r.ride),
+c AS (SELECT a.ride AS ride_a, b.ride AS ride_b, list_intersect(a.path, b.path) AS inner_set, list_distinct(list_concat(a.path, b.path)) AS outer_set FROM p a JOIN p b ON b.ride > a.ride AND b.ride - a.ride <= 6 AND list_has_any(a.path, b.path)),
+metres AS (SELECT ride, sum(length_m) AS m FROM (SELECT ride, unnest(path) AS seg_id FROM p) JOIN {seg} USING (seg_id) GROUP BY ride)
+SELECT ride_a, ride_b, len(inner_set)::BIGINT AS shared, len(outer_set)::BIGINT AS united, round(m, 3) AS shared_m, round(m / least(x.m_a, x.m_b), 6) AS share FROM
+(SELECT c.*, (SELECT sum(length_m) FROM {seg} s WHERE list_contains(c.inner_set, s.seg_id)) AS m, a.m AS m_a, b.m AS m_b FROM c JOIN metres a ON a.ride = ride_a JOIN metres b ON b.ride = ride_b) x""")
+add("l11_same_routes", "SELECT min(ride) AS ride, CAST(count(*) AS BIGINT) AS n FROM (SELECT ride, transform(sort_array(collect_list(named_struct('pos', pos, 'seg', seg_id))), x -> x.seg) AS path FROM {rides} GROUP BY ride) GROUP BY path",
+    oracle="SELECT min(ride) AS ride, count(*) AS n FROM (SELECT ride, string_agg(seg_id::VARCHAR, ' ' ORDER BY pos) AS path FROM {rides} GROUP BY ride) GROUP BY path")
 add("l12_seeded_jitter", "SELECT seg_id, CAST(row_number() OVER (ORDER BY score DESC, seg_id) AS BIGINT) AS place FROM (SELECT seg_id, round(scenic, 4) + ((seg_id * 7919 + 42 * 104729) % 1801 - 900) / 10000.0 AS score FROM {scored})")
 add("j14_membership", "SELECT s.seg_id, r.seg_id IS NOT NULL AS used FROM {seg} s LEFT JOIN (SELECT DISTINCT q.seg_id FROM {routes} q JOIN {j12_route_visits} v ON v.route = q.route) r ON r.seg_id = s.seg_id")
 add("q8_alpha_inversion", "SELECT x.seg_id AS fast, y.seg_id AS fine, round((y.seconds * (1.0 + y.risk) - x.seconds * (1.0 + x.risk)) / nullif(x.seconds * (1.0 - x.scenic) - y.seconds * (1.0 - y.scenic), 0.0), 4) AS alpha FROM {scored} x JOIN {scored} y ON y.seg_id = x.seg_id + 1 WHERE x.highway = 'motorway'")
