@@ -125,8 +125,8 @@ add("cut_marks", f"""SELECT way_id, i, node, cut, CAST(sum(cut) OVER w AS BIGINT
 (SELECT v.*, CASE WHEN v.i > 1 AND v.i < v.n AND u.la IS NOT NULL THEN 1 ELSE 0 END AS cut, lag(v.lat) OVER o AS p_lat, lag(v.lon) OVER o AS p_lon FROM {{streets}} v LEFT JOIN {{crossings}} u ON u.la = round(v.lat, 7) AND u.lo = round(v.lon, 7) WHERE v.n > 1 WINDOW o AS (PARTITION BY v.way_id ORDER BY v.i))
 WINDOW w AS (PARTITION BY way_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", query=False)
 # a leg belongs to the piece that it ends in; pieces of less than five metres go
-add("pieces", "SELECT way_id, piece, min(i) - 1 AS first_i, max(i) AS last_i, round(sum(m), 6) AS total FROM (SELECT way_id, i, piece - cut AS piece, m FROM {cut_marks} WHERE m IS NOT NULL) GROUP BY way_id, piece HAVING sum(m) >= 5.0", query=False)
-add("y1_junction_split", "SELECT v.way_id, p.piece, CAST(v.i AS BIGINT) AS i, v.node FROM (SELECT way_id, i, node, piece FROM {cut_marks} UNION ALL SELECT way_id, i, node, piece - 1 FROM {cut_marks} WHERE cut = 1) v JOIN {pieces} p ON p.way_id = v.way_id AND p.piece = v.piece",
+add("street_pieces", "SELECT way_id, piece, min(i) - 1 AS first_i, max(i) AS last_i, round(sum(m), 6) AS total FROM (SELECT way_id, i, piece - cut AS piece, m FROM {cut_marks} WHERE m IS NOT NULL) GROUP BY way_id, piece HAVING sum(m) >= 5.0", query=False)
+add("y1_junction_split", "SELECT v.way_id, p.piece, CAST(v.i AS BIGINT) AS i, v.node FROM (SELECT way_id, i, node, piece FROM {cut_marks} UNION ALL SELECT way_id, i, node, piece - 1 FROM {cut_marks} WHERE cut = 1) v JOIN {street_pieces} p ON p.way_id = v.way_id AND p.piece = v.piece",
     oracle=f"""WITH used AS (SELECT node, count(DISTINCT way_id) AS ways FROM {{streets}} GROUP BY node),
 cuts AS (SELECT way_id, i, lead(i) OVER (PARTITION BY way_id ORDER BY i) AS e, row_number() OVER (PARTITION BY way_id ORDER BY i) - 1 AS piece FROM {{streets}} JOIN used USING (node) WHERE i = 1 OR i = n OR ways > 1),
 held AS (SELECT c.way_id, c.piece, v.i, v.node, v.lat, v.lon FROM cuts c JOIN {{streets}} v ON v.way_id = c.way_id AND v.i BETWEEN c.i AND c.e),
@@ -146,7 +146,7 @@ resampled("points_100", 100.0)
 resampled("points_45", 45.0)
 resampled("points_15", 15.0)
 # pieces of over 150 m in chunks of 100 m; ids of new nodes run on from piece to piece: sums within blocks of ways, and of blocks
-add("piece_cuts", "SELECT p.way_id, CAST(floor(p.way_id / 1000.0) AS BIGINT) AS block, p.piece, p.total, a.node AS a, b.node AS b, CASE WHEN p.total > 150.0 THEN CAST(floor(p.total / 100.0) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS cuts FROM {pieces} p JOIN {streets} a ON a.way_id = p.way_id AND a.i = p.first_i JOIN {streets} b ON b.way_id = p.way_id AND b.i = p.last_i", query=False)
+add("piece_cuts", "SELECT p.way_id, CAST(floor(p.way_id / 1000.0) AS BIGINT) AS block, p.piece, p.total, a.node AS a, b.node AS b, CASE WHEN p.total > 150.0 THEN CAST(floor(p.total / 100.0) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS cuts FROM {street_pieces} p JOIN {streets} a ON a.way_id = p.way_id AND a.i = p.first_i JOIN {streets} b ON b.way_id = p.way_id AND b.i = p.last_i", query=False)
 add("cut_blocks", "SELECT block, sum(cuts) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cuts AS before FROM (SELECT block, sum(cuts) AS cuts FROM {piece_cuts} GROUP BY block)", query=False)
 add("y2_subdivide", """SELECT way_id, piece, CAST(k AS BIGINT) AS k, CAST(CASE WHEN k = 0 THEN a ELSE 10000000 + base + k - 1 END AS BIGINT) AS node_a, CAST(CASE WHEN k = cuts THEN b ELSE 10000000 + base + k END AS BIGINT) AS node_b, round(m, 3) AS length_m FROM
 (SELECT *, CASE WHEN cuts = 0 THEN total WHEN k = cuts THEN total - 100.0 * k ELSE 100.0 END AS m FROM (SELECT *, SERIES(CAST(0 AS BIGINT), cuts) AS k FROM

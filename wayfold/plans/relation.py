@@ -78,6 +78,8 @@ class Catalog:
 
     def add(self, name: str, sql: str, query: bool = True, oracle: str | None = None) -> Relation:
         """``oracle``: SQL written apart for the other engine, with its inputs named likewise."""
+        if name in self.relations:
+            raise ValueError(f"{name} is a relation already")
         out = self.relations[name] = Relation(name, sql)
         if query:
             self.queries.append(name)
