@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses
+from . import lexical, licenses
 from .common import table
 
 
@@ -77,10 +77,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op4_html_text, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_site_quality, op9_license_scan, op10_quality_rules)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op4_html_text, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_site_quality, op9_license_scan, op10_quality_rules, op13_lexical_search)}
 
 ORACLE_SQL = {
     "op9_license_scan": licenses.oracle_sql(),
+    "op13_lexical_search": lexical.oracle_sql(),
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
