@@ -77,13 +77,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op4_html_text, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_site_quality, op9_license_scan, op10_quality_rules, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_language_id, op4_html_text, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_site_quality, op9_license_scan, op10_quality_rules, op12_token_alignment, op13_lexical_search)}
 
 ORACLE_SQL = {
     "op9_license_scan": licenses.oracle_sql(),
