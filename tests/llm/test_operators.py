@@ -619,3 +619,95 @@ def test_pipeline(spark, sf):
     assert len({t for _, t, *_ in texts}) == len(texts) and len(set(brute_classes(texts).values())) == len(texts)
     ids = {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()}
     assert ids == {i for i, *_ in texts}
+
+
+WRAPPERS = ["<div class='layout has-sidebar'>@</div>", "<div class='nav-open'>@</div>", "<article class='post has-comments'>@</article>", "<main class='no-ads'>@</main>", "<form id='aspnetForm'>@</form>", "<div id='modal'>@</div>", "<div class='menu'><article>@</article></div>"]
+
+
+@pytest.mark.parametrize("hosted", [False, True])
+def test_html_wrappers_keep_their_text(spark, hosted):
+    """A page's own wrapper is never dropped by its name, role or tag, with a template or without."""
+    rng = random.Random(6)
+    pages, want = [], {}
+    for k, wrapper in enumerate(WRAPPERS):
+        for i in range(12 if hosted else 1):
+            own = words(rng, 60)
+            inner = f"<p>{own}</p><div class='comments'>a reader says</div><div class='ad-top'>buy</div>"
+            pages.append((100 * k + i, f"http://h{k}.example/x", f"<body><nav><a href='/'>Start</a></nav>{wrapper.replace('@', inner)}<footer>me</footer></body>"))
+            want[100 * k + i] = own
+    assert extracted(spark, pages) == want
+
+
+def test_html_long_comments_go(spark):
+    """Reader comments longer than the article don't become the content, whether they are articles themselves or not."""
+    for kind in ("div", "article"):
+        page = f"<body><article><p>short text</p></article><{kind} class='comments'>{'much said ' * 50}</{kind}></body>"
+        assert extracted(spark, [(1, None, page)]) == {1: "short text"}
+
+
+def test_html_is_linear_in_nesting():
+    import time
+
+    from wayfold.llm import html_text
+
+    began = time.time()
+    n = 100_000
+    for page in ("<div>x" * n, "<div>" * n + "</p>" * n + "x", "<b>" * n + "<p>y</p>" * 1000, "<div class='a'><b>" * n + "x" + "</div>" * n):
+        read = html_text.read_page(page)
+        assert "".join(f.text for f in read.found)
+        assert html_text.main_text(read)
+        html_text.page_tokens(read)
+    rows = [{"token": i, "up": i - 1, "place": i, "chars": 5, "links": 0, "dropped": False, "text": False, "marked": False, "class": 1} for i in range(1, n)]
+    assert html_text.Template(rows).region is not None
+    assert time.time() - began < 40
+
+
+def test_html_classes_equal_a_slow_reading(spark):
+    """Occurrence vectors kept whole in a dictionary."""
+    from wayfold.llm import html_text
+
+    rng = random.Random(12)
+    pages = []
+    for i in range(60):
+        parts = [f"<div class='{c}'><p>{rng.choice(['fixed words', words(rng, 5), words(rng, 9)])}</p></div>" for c in rng.sample("uvwxyz", rng.randint(2, 6))]
+        if i % 3:
+            parts.insert(0, "<header><h1>The site</h1><p>Its line</p></header>")
+        pages.append((i, f"http://{'ab'[i % 2]}.example/", f"<body>{''.join(parts)}<article><p>{rng.choice(['Write to us', words(rng, 4)])}</p></article></body>"))
+    pages += [(100 + i, "http://a.example/", pages[0][2]) for i in range(5)]
+    vectors, seen = collections.defaultdict(collections.Counter), collections.defaultdict(list)
+    for i, url, page in pages:
+        seen[url].append((i, page))
+        for token, _, n, *_ in html_text.page_tokens(html_text.read_page(page)):
+            vectors[url, token][i] = n
+    want = collections.defaultdict(set)
+    for (url, token), v in vectors.items():
+        texts = {i: page for i, page in seen[url]}
+        kinds = lambda ids: len({texts[i] for i in ids})
+        often = len(v) >= 4 and (kinds(v) >= max(8, 0.5 * kinds(texts)) if token < -1 else len(v) >= 0.5 * len(texts))
+        if often:
+            want[url, frozenset(v.items())].add(token)
+    want = {(url.split("/")[2], frozenset(t)) for (url, _), t in want.items() if len(t) >= 2}
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = set()
+    for r in html_text.templates(html_text._hosted(frame, "page_id", "url", "html")).collect():
+        own = collections.defaultdict(set)
+        for t in r.tokens:
+            own[t["class"]].add(t["token"])
+        got |= {(r.host, frozenset(x)) for x in own.values()}
+    assert got == want and len(got) >= 3
+
+
+def test_html_templates_matter_on_real_pages_without_marks(spark, sf):
+    """The given pages with neutral names: the template finds what the marks told."""
+    pages = spark.read.parquet(f"{sf}/../sf0.01/pages.parquet").collect()
+    plain = re.compile(r"<(/?)(article|main|nav|aside|footer|header|form)\b")
+    bare = [(r.page_id, r.url, plain.sub(r"<\1div", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*')", "", r.html or ""))) for r in pages]
+    marked = extracted(spark, [(r.page_id, r.url, r.html) for r in pages])
+    alone = extracted(spark, [(i, f"http://h{i}/", h) for i, _, h in bare])
+    hosted = extracted(spark, bare)
+    assert sum(hosted[i] != alone[i] for i in hosted) > 0.5 * len(hosted)
+    words_of = lambda t: collections.Counter(t.split())
+    extra = [(sum((words_of(x[i]) - words_of(marked[i])).values()), sum((words_of(marked[i]) - words_of(x[i])).values())) for x in (alone, hosted) for i in hosted]
+    n = len(hosted)
+    print("words too many and too few: alone", sum(e[0] for e in extra[:n]), sum(e[1] for e in extra[:n]), "template", sum(e[0] for e in extra[n:]), sum(e[1] for e in extra[n:]))
+    assert sum(e[0] for e in extra[n:]) < 0.5 * sum(e[0] for e in extra[:n])

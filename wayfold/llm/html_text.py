@@ -10,12 +10,14 @@ there may be content. Elements also carry how much text, and how much of it in l
 
 Second pass: the valid classes are the host's template, and what they don't fix are its slots. A class whose tokens aren't all
 there in the template's order is passed over on that page. The template's content region is the innermost element that
-holds most of the text that varies and isn't in links, widened as long as no slot that is constant, linked or marked as
-something else would come in. The texts of a page under that element are its content; texts that belong to the template are
-none, unless the region holds nothing else. Marks break ties: an article or main element that meets the region is taken in
-its place, and elements that tags, roles or class names mark as menus, footers, sidebars, notices, adverts, forms or reader
-comments are left out. Pages without the region, such as those of a host with too few pages for a template, have
-their marked articles, and without any the blocks that aren't marked as something else and aren't mostly links.
+holds most of the text that varies and isn't in links; of the elements around it, one marked as an article or main breaks the
+tie, and without such a mark it is widened as long as no slot that is constant, linked or marked as something else would
+come in. The texts of a page under that element are its content; texts that belong to the template are none, unless the
+region holds nothing else, nor are elements that tags, roles or whole class names mark as menus, footers, sidebars, notices,
+adverts, forms or reader comments. Such marks never drop an element that holds most of a page's text outside links and
+around which no article stands elsewhere, as wrappers have such names too. Pages without the region, such as those of a host
+with too few pages for a template, have their marked articles, and without any the blocks that aren't marked as something
+else and aren't mostly links.
 
 Templates go to the executors whole while they are under ``TEMPLATE_BYTES``, and beyond that by a join on the host, whose
 pages are salted. A host's template holds tokens that half of its pages have, so its size is that of a page.
@@ -59,67 +61,80 @@ CLOSES = {
 }
 OUTER = frozenset("nav aside form footer dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
-    r"comments?|commentlist|replies|disqus)(?:$|[\s_-])",
-    re.I,
-)
+NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead
+cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist replies disqus""".split())
 #: Names that count where neither template nor marks tell what the content is.
-OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|banner|topbar|alert|subscribe|subscription|newsletter|signup|social|share|sharing|related|recommended|recommendations|reply|respond|widget|toolbar|pagination|pager|login|search|form)(?:$|[\s_-])", re.I)
+OUTSIDE = frozenset("header banner topbar alert subscribe subscription newsletter signup social share sharing related recommended recommendations reply respond widget toolbar pagination pager login search form".split())
+#: A class that begins or ends with one of these tells of another element, or of a state.
+BEFORE = frozenset("has no not with without is non hide show js can".split())
+AFTER = frozenset("open opened closed active inactive enabled disabled visible hidden shown on off expanded collapsed free less aware left-open".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 
 
 class Node:
-    """An open element: its path's hash and its parent's, and what holds for all under it."""
+    """An element: its path's hash, its parent, what its own marks say, and what holds for its texts in the end."""
 
-    __slots__ = ("tag", "path", "up", "dropped", "outer", "article", "own")
+    __slots__ = ("tag", "path", "parent", "bad", "begins", "outer", "text", "marked", "dropped", "article", "above", "seen")
 
-    def __init__(self, tag: str, path: int, up: int, dropped: bool, outer: bool, article: int, own: bool) -> None:
-        self.tag, self.path, self.up, self.dropped, self.outer, self.article, self.own = tag, path, up, dropped, outer, article, own
+    def __init__(self, tag: str, path: int, parent: Node | None, bad: bool, begins: bool, outer: bool) -> None:
+        self.tag, self.path, self.parent, self.bad, self.begins, self.outer = tag, path, parent, bad, begins, outer
+        self.text = self.marked = 0  # characters that aren't in links, and those of them in articles
+        self.dropped = self.article = self.above = self.seen = False
 
 
-def blocks(page: str) -> Iterator[tuple[str, list[Node], bool, bool]]:
-    """The pieces of text of a page in order: (text, open elements, whether in a link, whether a new block begins)."""
-    root = Node("", 0, 0, False, False, 0, False)
-    stack, at, fresh, links = [root], 0, True, 0
+def _named(label: str, names: frozenset) -> bool:
+    """Whether a class or id is one of the names, or has one of them among its words."""
+    for own in label.lower().split():
+        words = re.split(r"[_-]+", own)
+        if not names.isdisjoint(words) and words[0] not in BEFORE and (len(words) == 1 or words[-1] not in AFTER):
+            return True
+    return False
 
-    def pop(n: int) -> int:
-        gone = sum(x.tag == "a" for x in stack[n:])
+
+def parse(page: str) -> tuple[list[tuple[str, Node, bool, bool]], list[Node]]:
+    """The pieces of text of a page in order (text, innermost element, whether in a link, whether a new block begins), and
+    its elements, parents first. Time and memory grow with the page, however deep it nests."""
+    root = Node("", 0, None, False, False, False)
+    stack, solid, counts = [root], [0], Counter()  # open elements, places of those that aren't inline, how often each tag
+    pieces, nodes = [], [root]
+    at, fresh = 0, True
+
+    def pop(n: int) -> None:
+        for node in stack[n:]:
+            counts[node.tag] -= 1
         del stack[n:]
-        return gone
+        while solid[-1] >= n:
+            solid.pop()
 
     size, match = len(page), _TOKEN.search
     while at < size:
         m = match(page, at)
         start = m.start() if m else size
         if start > at:
-            yield page[at:start], stack, links > 0, fresh
+            pieces.append((page[at:start], stack[-1], counts["a"] > 0, fresh))
             fresh = False
         if not m:
-            return
+            break
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
         tag, close, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if close:
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    links -= pop(n)
-                    break
+            if counts[tag] > 0:
+                n = len(stack) - 1
+                while stack[n].tag != tag:
+                    n -= 1
+                pop(n)
             fresh = fresh or tag not in INLINE
             continue
         if tag not in INLINE:
             fresh = True
-            shut = CLOSES.get(tag)
-            for n in range(len(stack) - 1, 0, -1):
-                own = stack[n].tag
-                if own == "p" or (shut and own in shut):
-                    links -= pop(n)
-                elif own not in INLINE:
-                    break
+            shut = CLOSES.get(tag, ())
+            while solid[-1] and (stack[solid[-1]].tag == "p" or stack[solid[-1]].tag in shut):
+                pop(solid[-1])
         if tag in VOID:
             continue
         if tag in RAW and not rest.endswith("/"):
@@ -134,15 +149,39 @@ def blocks(page: str) -> Iterator[tuple[str, list[Node], bool, bool]]:
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)}
         label = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
         role = attributes.get("role", "").lower()
-        bad = tag in OUTER or role in ROLES or bool(label and NAMES.search(label))
-        outer = top.outer or tag == "header" or bool(label and OUTSIDE.search(label))
+        bad = tag not in ("body", "html") and (tag in OUTER or role in ROLES or bool(label and _named(label, NAMES)))
+        outer = top.outer or tag == "header" or bool(label and _named(label, OUTSIDE))
         path = top.path if tag in INLINE else xxhash.xxh64_intdigest(f"{top.path} {tag} {label}") >> 1
-        begins = tag in ("article", "main") or role in ("main", "article")
-        if tag == "body" or tag == "html":
-            bad = False
+        node = Node(tag, path, top, bad, tag in ("article", "main") or role in ("main", "article"), outer)
+        stack.append(node)
+        nodes.append(node)
+        counts[tag] += 1
+        if tag not in INLINE:
+            solid.append(len(stack) - 1)
+    return pieces, nodes
+
+
+def _judge(pieces: list, nodes: list[Node]) -> None:
+    """What holds for each element. Marks don't drop an element with most of the page's text outside links, unless an
+    article stands elsewhere: that one is a wrapper."""
+    for text, node, link, _ in pieces:
+        if not link:
+            node.text += len(text.strip())
+    for node in nodes:  # parents first: from here on, whether in an article that isn't marked as something else
+        node.article = node.begins or (node.parent is not None and node.parent.article)
+        node.marked = node.text if node.article else 0
+    for node in reversed(nodes[1:]):
+        if node.bad and node.begins and not node.parent.article:
+            node.marked = 0  # a comment or an advert that is an article
+        node.parent.text += node.text
+        node.parent.marked += node.marked
+    total, articles = nodes[0].text, nodes[0].marked
+    for node in nodes[1:]:
+        if node.bad and 2 * node.text > total and (node.marked or not articles):
+            node.bad = False
         # what an article drops is counted from the article on; what lies above it is kept apart
-        stack.append(Node(tag, path, top.path, bad or (top.dropped and not begins), outer, top.article + 1 if begins else top.article, top.own or (begins and top.dropped)))
-        links += tag == "a"
+        node.dropped = node.bad or (node.parent.dropped and not node.begins)
+        node.above = node.parent.above or (node.begins and node.parent.dropped)
 
 
 def _clean(text: str) -> str:
@@ -157,73 +196,69 @@ def text_token(container: int, text: str, inside: bool) -> int:
 
 @dataclass
 class Block:
-    """A block of text: where it stands and what holds for it."""
+    """A block of text: its element, and whether it is in a link."""
 
     text: str
-    path: int  # of its innermost block element
-    chain: tuple[int, ...]  # of all its block elements
+    node: Node
     link: bool
-    dropped: bool
-    outer: bool
-    above: bool
-    article: bool
+
+    @property
+    def path(self) -> int:
+        return self.node.path
 
 
 @dataclass
 class Page:
-    """A page's blocks of text, its elements (path: times, place, parent, dropped) and the length of texts in links."""
+    """A page's blocks of text, its elements (path: times, place, parent, dropped, marked) and the length of texts in links."""
 
     found: list[Block]
     elements: dict[int, list]
     linked: Counter
+    nodes: list[Node]
 
 
 def read_page(page: str) -> Page:
-    out, seen, held = Page([], {}, Counter()), {}, []
-    state = None
+    pieces, nodes = parse(page)
+    _judge(pieces, nodes)
+    out, held, state = Page([], {}, Counter(), nodes), [], None
 
     def flush() -> None:
         if held and (own := _clean("".join(held))):
             out.found.append(Block(own, *state))
         held.clear()
 
-    for piece, stack, link, fresh in blocks(page):
-        top = stack[-1]
-        now = (top.path, tuple(dict.fromkeys(n.path for n in stack[1:])), link, top.dropped, top.outer, top.own, bool(top.article))
-        if fresh or (state and (state[3], state[6]) != (now[3], now[6])):
+    for piece, node, link, fresh in pieces:
+        if fresh or (state and (state[0].dropped, state[0].article) != (node.dropped, node.article)):
             flush()
         if not held:
-            state = now
+            state = (node, link)
         held.append(piece)
         if link:
-            out.linked[top.path] += len(piece.strip())
-        for node in stack[1:]:
-            if id(node) not in seen:  # nodes are held so that no identity is used again
-                seen[id(node)] = node
-                if node.tag not in INLINE:
-                    own = out.elements.setdefault(node.path, [0, len(out.elements), node.up, node.dropped])
-                    own[0] += 1
+            out.linked[node.path] += len(piece.strip())
+        new = []
+        while node is not None and not node.seen:
+            node.seen = True
+            new.append(node)
+            node = node.parent
+        for node in reversed(new):
+            if node.tag and node.tag not in INLINE:
+                up = node.parent
+                out.elements.setdefault(node.path, [0, len(out.elements), up.path, node.dropped, node.begins and not node.bad])[0] += 1
     flush()
     return out
 
 
-def text_token(container: int, text: str, inside: bool) -> int:
-    """A block text's token; under -1 for texts inside articles."""
-    own = xxhash.xxh64_intdigest(f"{container} {text}", seed=1) >> 1
-    return -2 - (own >> 1) if inside else own
-
-
 def page_tokens(page: Page) -> list[tuple]:
-    """token, parent, times, place, characters, those in links, whether dropped, whether a text."""
+    """token, parent, times, place, characters, those in links, whether dropped, whether a text, whether marked as an article."""
     chars: Counter[int] = Counter()
     texts: dict[int, list] = {}
     for i, f in enumerate(page.found):
         chars[f.path] += len(f.text)
-        own = texts.setdefault(text_token(f.path, f.text, f.article), [f.path, 0, i, 0])
+        own = texts.setdefault(text_token(f.path, f.text, f.node.article), [f.path, 0, i, 0])
         own[1] += 1
         own[3] += len(f.text)
-    out = [(path, up, n, place, chars[path], min(page.linked[path], chars[path]), dropped, False) for path, (n, place, up, dropped) in page.elements.items()]
-    return out + [(token, path, n, place, size, 0, False, True) for token, (path, n, place, size) in texts.items()]
+    out = [(path, up, n, place, chars[path], min(page.linked[path], chars[path]), dropped, False, marked) for path, (n, place, up, dropped, marked) in page.elements.items()]
+    return out + [(token, path, n, place, size, 0, False, True, False) for token, (path, n, place, size) in texts.items()]
 
 
 class Template:
@@ -245,25 +280,34 @@ class Template:
             fixed[r["up"]] += r["chars"]
         own = {r["token"]: max(r["chars"] - r["links"] - fixed[r["token"]], 0) for r in elements}
         poor = {r["token"] for r in elements if r["dropped"] or 2 * own[r["token"]] < r["chars"]}
-        mass: Counter[int] = Counter()
-        tokens: dict[int, list[int]] = {}  # all elements under one, itself too
+        marked = {r["token"] for r in elements if r["marked"]}
+        under: dict[int, list[int]] = {}
+        order = []  # elements, parents first
         for token in up:
-            at = token
-            while True:
-                mass[at] += 0 if token in poor else own[token]
-                tokens.setdefault(at, []).append(token)
-                if at not in up or up[at] == at:
-                    break
-                at = up[at]
-        total = sum(own[t] for t in own if t not in poor)
-        if not total:
+            if up[token] in up and up[token] != token:
+                under.setdefault(up[token], []).append(token)
+            else:
+                order.append(token)
+        for token in order:
+            order.extend(under.get(token, ()))
+        mass = {t: 0 if t in poor else own[t] for t in order}
+        size, bad = dict.fromkeys(order, 1), {t: int(t in poor) for t in order}
+        for token in reversed(order):  # all that is under an element, itself too
+            for child in under.get(token, ()):
+                mass[token] += mass[child]
+                size[token] += size[child]
+                bad[token] += bad[child]
+        total = sum(own[t] for t in order if t not in poor)
+        heavy = [t for t in order if (t not in poor or size[t] > 1) and 2 * mass[t] > total]
+        if not total or not heavy:
             return None
-        heavy = [t for t in up if t not in poor or len(tokens[t]) > 1]
-        heavy = [t for t in heavy if 2 * mass[t] > total]
-        if not heavy:
-            return None
-        region = min(heavy, key=lambda t: (len(tokens[t]), t))
-        while up[region] in up and not poor.intersection(tokens[up[region]]) - set(tokens[region]):
+        region = min(heavy, key=lambda t: (size[t], t))
+        at = region
+        while at not in marked and up[at] in size and up[at] != at:
+            at = up[at]
+        if at in marked:  # of the elements around the text, a marked one breaks the tie
+            return at
+        while up[region] in size and up[region] != region and bad[up[region]] == bad[region]:
             region = up[region]
         return region
 
@@ -272,7 +316,7 @@ class Template:
         place = {path: e[1] for path, e in page.elements.items()}
         words: dict[int, int] = {}
         for i, f in enumerate(page.found):
-            words.setdefault(text_token(f.path, f.text, f.article), i)
+            words.setdefault(text_token(f.path, f.text, f.node.article), i)
         valid: set[int] = set()
         for (_, text), tokens in self.classes.items():
             at = [(words if text else place).get(t) for t in tokens]
@@ -287,16 +331,21 @@ def main_text(page: str | Page, template: Template | None = None) -> str:
     fixed, region = template.on(page) if template else (set(), None)
 
     def content(found: list[Block]) -> list[Block]:
-        return [f for f in found if text_token(f.path, f.text, f.article) not in fixed] or found
-
-    slot = [f for f in page.found if region in f.chain and not f.dropped] if region is not None else []
-    for above in (False, True):  # articles under dropped elements count only if there are no others
-        marked = [f for f in page.found if f.article and not f.dropped and (above or not f.above)]
-        if marked and (not slot or any(region in f.chain for f in marked)):
-            return " ".join(f.text for f in content(marked))
+        return [f for f in found if text_token(f.path, f.text, f.node.article) not in fixed] or found
+
+    inside: set[int] = set()
+    if region is not None:
+        for node in page.nodes:  # parents first
+            if node.path == region or id(node.parent) in inside:
+                inside.add(id(node))
+    slot = [f for f in page.found if id(f.node) in inside and not f.node.dropped]
     if slot:
         return " ".join(f.text for f in content(slot))
-    rest = [f for f in page.found if not (f.dropped or f.outer or f.article) and text_token(f.path, f.text, False) not in fixed]
+    for above in (False, True):  # articles under dropped elements count only if there are no others
+        marked = [f for f in page.found if f.node.article and not f.node.dropped and (above or not f.node.above)]
+        if marked:
+            return " ".join(f.text for f in content(marked))
+    rest = [f for f in page.found if not (f.node.dropped or f.node.outer or f.node.article) and text_token(f.path, f.text, False) not in fixed]
     mass: Counter[int] = Counter()
     links: Counter[int] = Counter()
     for f in rest:
@@ -312,28 +361,28 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 def templates(hosted: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_inside: int = LEAST_INSIDE) -> DataFrame:
     """host, tokens (array of structs): the tokens of each host's valid equivalence classes."""
-    names = ["host", "token", "up", "vector", "place", "chars", "links", "dropped", "text"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+    names = ["host", "token", "up", "vector", "place", "chars", "links", "dropped", "text", "marked"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page_hash = xxhash.xxh64_intdigest(page)
-                for token, up, n, place, chars, links, dropped, text in [*page_tokens(read_page(page)), (-1, 0, 1, 0, 0, 0, False, False)]:
-                    rows.append((host, token, up, xxhash.xxh64_intdigest(f"{page_hash} {n}") >> 1, place, chars, links, dropped, text))
+                for token, up, n, place, chars, links, dropped, text, marked in [*page_tokens(read_page(page)), (-1, 0, 1, 0, 0, 0, False, False, False)]:
+                    rows.append((host, token, up, xxhash.xxh64_intdigest(f"{page_hash} {n}") >> 1, place, chars, links, dropped, text, marked))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
 
-    rows = hosted.select("host", "html").mapInArrow(run, "host string, token long, up long, vector long, place long, chars long, links long, dropped boolean, text boolean")
+    rows = hosted.select("host", "html").mapInArrow(run, "host string, token long, up long, vector long, place long, chars long, links long, dropped boolean, text boolean, marked boolean")
     # equal pages have equal vectors
-    of = [F.sum(c).alias(c) for c in ("place", "chars", "links")] + [F.min("up").alias("up"), F.max("dropped").alias("dropped"), F.max("text").alias("text")]
+    of = [F.sum(c).alias(c) for c in ("place", "chars", "links")] + [F.min("up").alias("up"), F.max("dropped").alias("dropped"), F.max("text").alias("text"), F.max("marked").alias("marked")]
     same = rows.groupBy("host", "token", "vector").agg(F.count("*").alias("n"), *of)
     sums = same.groupBy("host", "token").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"), F.bit_xor("vector").alias("x"), F.sum(F.shiftright("vector", 31) * F.col("n")).alias("y"), *of)
     sums = written(sums.where(F.col("pages") >= F.when(F.col("token") == -1, 0).otherwise(least_pages)).where((F.col("token") >= -1) | (F.col("kinds") >= least_inside)), "tokens")
     sizes = sums.where("token = -1").select("host", F.col("pages").alias("of"), F.col("kinds").alias("kinds_of"))
     often = sums.where("token <> -1").join(sizes, "host")
     often = often.where(F.when(F.col("token") < -1, F.col("kinds") >= least_share * F.col("kinds_of")).otherwise(F.col("pages") >= least_share * F.col("of")))
-    row = F.struct("token", "up", (F.col("place") / F.col("pages")).alias("place"), "chars", "links", "dropped", "text", F.xxhash64("pages", "x", "y").alias("class"))
+    row = F.struct("token", "up", (F.col("place") / F.col("pages")).alias("place"), "chars", "links", "dropped", "text", "marked", F.xxhash64("pages", "x", "y").alias("class"))
     classes = often.select("host", "pages", "x", "y", row.alias("row")).groupBy("host", "pages", "x", "y").agg(F.collect_list("row").alias("rows")).where(F.size("rows") >= 2)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("rows")).alias("tokens"))
 
