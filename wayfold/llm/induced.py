@@ -1,7 +1,7 @@
 """External induced sorting of suffixes, with their longest common prefixes.
 
-Suffixes are put in order by induction: the order of the leftmost smaller ones (S*), which recursion over their named
-substrings gives, induces that of the larger ones (L) from small to large, and these that of the smaller ones (S) from
+Suffixes are put in order by induction: the order of the leftmost smaller ones (S*), which sorting their substrings and
+recursion over the names of these give, induces that of the larger ones (L) from small to large, and these that of the smaller ones (S) from
 large to small. Both passes run on a monotone priority queue of tuples (first symbol, position, common prefix with the tuple
 before). Tuples of equal symbol leave in the order in which they came. The queue is cut into ranges of symbols that hold a
 bounded number of tuples each; only the range at hand is in memory and in order, tuples for later ranges are appended
@@ -23,7 +23,9 @@ import tempfile
 import numpy as np
 
 #: Tuples of a range of the queue, tuples of later ranges that are kept in memory, and bytes of an array that isn't mapped.
-RANGE, HELD, MAPPED = 1 << 16, 1 << 21, 64 << 20
+RANGE, HELD, MAPPED = 1 << 14, 1 << 21, 64 << 20
+#: Names up to which recursion ends: so few are put in order by doubling.
+BASE = 1 << 18
 _NEVER = np.int64(1) << 60
 
 
@@ -211,27 +213,57 @@ def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(small, sizes), np.repeat(ends, sizes) - np.arange(len(x)) + 1
 
 
-def _named(typed: np.ndarray, stars: np.ndarray, order: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the S* substrings, given in order, and how many typed symbols each name shares with the one before."""
-    place = np.searchsorted(stars, order)
-    size = np.append(stars[1:], len(typed))[place] - order + (place < len(stars) - 1)  # with the first symbol of the next
-    a, b = order[:-1], order[1:]
-    short = np.minimum(size[:-1], size[1:])
-    shared = np.zeros(len(order), np.int64)
-    live, k = np.arange(len(a)), 0
-    while len(live):  # symbol by symbol; few substrings are long
-        same = typed[a[live] + k] == typed[b[live] + k]
-        shared[live[~same] + 1] = k
-        live, k = live[same], k + 1
-        over = short[live] == k
-        shared[live[over] + 1] = k
-        live = live[~over]
-    new = np.append(True, shared[1:] < short)
-    names = np.zeros(len(stars), np.int64)
-    names[place] = np.cumsum(new) - 1
+def _named(typed: np.ndarray, stars: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the S* substrings by their order, and how many typed symbols each name shares with the one before.
+
+    Substrings are sorted symbol by symbol; those that differ from all others, or end, leave. Few are long."""
+    n = len(stars)
+    size = np.append(np.diff(stars) + 1, 1)  # with the first symbol of the next
+    order = np.argsort(typed[stars], kind="stable")
+    first = typed[stars[order]]
+    new = np.append(True, first[1:] != first[:-1])
+    shared = np.zeros(n, np.int64)
+    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    alone = new & np.append(new[1:], True)
+    live, k = np.flatnonzero(~alone & (size[order] > 1)), 1
+    base = int(typed.max()) + 1
+    while len(live):
+        key = group[live] * base + typed[stars[order[live]] + k]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        order[live] = order[live][by]
+        cut = np.append(False, key[1:] != key[:-1]) & ~new[live]
+        new[live[cut]] = True
+        shared[live[cut]] = k
+        group[live] = np.maximum.accumulate(np.where(new[live], live, 0))
+        alone = new[live] & np.append((group[live[1:]] != group[live[:-1]]), True)
+        k += 1
+        live = live[~alone & (size[order[live]] > k)]
+    names = np.zeros(n, np.int64)
+    names[order] = np.cumsum(new) - 1
     return names, np.minimum(shared[new], cap).astype(np.int16)
 
 
+def _doubled(x: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """``suffixes`` of few symbols: ranks of 1, 2, 4 and more symbols, until all differ."""
+    n, k = len(x), 1
+    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    while int(rank.max()) < n - 1:
+        key = rank * (n + 1)
+        key[:-k] += rank[k:] + 1
+        order = np.argsort(key, kind="stable")
+        rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
+        k *= 2
+    out, lcp = np.argsort(rank), np.zeros(n, np.int16)
+    live = np.arange(1, n)
+    for k in range(cap):  # the last symbol stands nowhere else, so that comparisons end there
+        live = live[x[out[live] + k] == x[out[live - 1] + k]]
+        lcp[live] = k + 1
+        if not len(live):
+            break
+    return out, lcp
+
+
 def suffixes(x: np.ndarray, cap: int, space: Space, size: int = RANGE) -> tuple[np.ndarray, np.ndarray]:
     """The positions of x in the order of their suffixes, and each one's common prefix with the one before, cut at cap."""
     n = len(x)
@@ -241,18 +273,11 @@ def suffixes(x: np.ndarray, cap: int, space: Space, size: int = RANGE) -> tuple[
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     highest = int(x.max())
     turned = highest - x
-    by_symbol = stars[np.argsort(x[stars], kind="stable")]
-    large, _ = induce(x, ~small, run, by_symbol, None, cap, space, size)
-    again, _ = induce(turned, small, run, large[::-1], None, cap, space, size)
-    is_star = np.zeros(n, bool)
-    is_star[stars] = True
-    order = again[: n - 1 - len(large)][::-1]
-    order = np.append(n - 1, order[is_star[order]])
-    names, name_lcp = _named(2 * x + small, stars, order, cap)
+    names, name_lcp = _named(2 * x + small, stars, cap)
     if len(name_lcp) == len(stars):
         ranked, equal = np.argsort(names), np.zeros(len(stars), np.int64)
     else:
-        ranked, equal = suffixes(names, cap, space, size)
+        ranked, equal = _doubled(names, cap) if len(names) <= BASE else suffixes(names, cap, space, size)
         equal = equal.astype(np.int64)
     star_lcp = np.zeros(len(stars), np.int64)
     if len(stars) > 1:

@@ -8,8 +8,9 @@ bytes.
 1. Each batch of documents gives its units as (least hash, digest of the unit's bytes, document, start), packed for buckets
    of least hashes. Units of equal bytes are reduced to the earliest, in the batch and in the bucket: all windows of the
    others start earlier there. Units that alone have their least hash repeat nowhere.
-2. What is left are units whose least hash has several contents. Their bytes are fetched, dealt out by least hash to shards,
-   and all their suffixes are put in order by external induced sorting (``induced``) with common prefixes. A stretch of
+2. What is left are units whose least hash has several contents. Their bytes are fetched and dealt out by least hash to shards.
+   Each is trimmed to the bytes around its least gram that other units of its hash have there too, or left out if these
+   hold no window. All suffixes of a shard are put in order by external induced sorting (``induced``) with common prefixes. A stretch of
    the order with common prefixes of ``WINDOW`` and more is one window's occurrences; all but the first are removed.
 3. The removed stretches of a document meet its text.
 
@@ -47,7 +48,7 @@ BLOCK, PACKED = 1 << 19, 1 << 20
 #: Part of the documents that shows which least hashes are hot: with at least so many contents, and one in so many units.
 SAMPLE, HOT_CONTENTS, HOT_PART = 0.01, 50, 1000
 #: Bytes of text in a bucket of units, and of units in a shard of suffixes.
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 2 << 20
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 6 << 20
 _B, _B_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -61,10 +62,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams, and the place of the least one in each window, the last of equal ones.
-
-    Places of windows have no part in hashes. They are compared by 44 bits, with the place behind them."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all grams; their places have no part in them."""
     n = len(data)
     power, inverse = _powers(BLOCK + WINDOW)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
@@ -72,6 +71,14 @@ def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
+    return h
+
+
+def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and the place of the least one in each window, the last of equal ones.
+
+    Hashes are compared by 44 bits, with the place behind them."""
+    h = gram_hashes(data)
     low = np.uint64((1 << 20) - 1)
     least = h & ~low | low - np.arange(len(h), dtype=np.uint64)
     grams, reach = WINDOW - GRAM + 1, 1
@@ -243,8 +250,53 @@ def _settle(rows: DataFrame) -> DataFrame:
     return rows.where("bucket IS NOT NULL").select("bucket", "units").groupBy("bucket").applyInArrow(run, "h long, key long, start long, stop long")
 
 
-def shard_repeats(key: np.ndarray, start: np.ndarray, contents: list[bytes], space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared(rows: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row has in common with any other of its hash; rows hold so many bytes of their own."""
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    order = np.lexsort((size, *words.view(">u8").T[::-1], h))
+    rows, size, h = rows[order], size[order], h[order]
+    same = np.cumprod(rows[1:] == rows[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+    same = np.where(h[1:] == h[:-1], np.minimum(same, np.minimum(size[1:], size[:-1])), 0)
+    out = np.zeros(len(rows), np.int64)
+    out[order] = np.maximum(np.append(same, 0), np.append(0, same))
+    return out
+
+
+def trimmed(h: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each unit begins and ends to share windows with others of its least hash: around the least gram, as far as
+    some other unit has the same bytes to the left, and some other to the right. Equal if there is no such window."""
+    sizes = np.array(list(map(len, contents)), np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(contents) + bytes(GRAM), np.uint8)
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(unit)) - np.repeat(ends - sizes, sizes)
+    step = BLOCK
+    hashes = np.concatenate([gram_hashes(data[k : k + step + GRAM - 1]) for k in range(0, len(unit), step)])[: len(unit)]
+    windows = sizes - WINDOW + 1
+    hit = np.flatnonzero((hashes == h[unit]) & (place >= windows[unit] - 1) & (place <= WINDOW - GRAM))
+    at = np.full(len(sizes), -1, np.int64)
+    at[unit[hit]] = place[hit]  # of several the last
+    begin, end = np.zeros(len(sizes), np.int64), sizes.copy()
+    own = np.flatnonzero(at >= 0)  # single windows of hot hashes have none
+    if len(own):
+        reach = np.arange(WINDOW - GRAM)
+        first = (ends - sizes)[own] + at[own]
+        left, right = at[own], sizes[own] - at[own] - GRAM
+        to_left = _shared(data[np.maximum(first[:, None] - 1 - reach, 0)], np.minimum(left, WINDOW - GRAM), h[own])
+        to_right = _shared(data[np.minimum(first[:, None] + GRAM + reach, len(data) - 1)], np.minimum(right, WINDOW - GRAM), h[own])
+        begin[own], end[own] = at[own] - to_left, at[own] + GRAM + to_right
+    return begin, np.where(end - begin >= WINDOW, end, begin)
+
+
+def shard_repeats(h: np.ndarray, key: np.ndarray, start: np.ndarray, contents: list[bytes], space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The stretches of units that repeat a window of an earlier place, by the order of all their suffixes."""
+    begin, end = trimmed(h, contents)
+    some = np.flatnonzero(end > begin)
+    if not len(some):
+        return key[:0], start[:0], start[:0]
+    contents = [contents[i][a:b] for i, a, b in zip(some.tolist(), begin[some].tolist(), end[some].tolist())]
+    key, start = key[some], start[some] + begin[some]
     order = np.lexsort((start, key))
     key, start, contents = key[order], start[order], [contents[i] for i in order.tolist()]
     sizes = np.array(list(map(len, contents)), np.int64)
@@ -280,20 +332,21 @@ def _sorted_repeats(units: DataFrame) -> DataFrame:
     """key, start, stop: what suffix sorting removes of units (h, key, start, content). A partition is a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, start, contents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        h, key, start, contents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for batch in batches:
+            h.append(batch["h"].to_numpy())
             key.append(batch["key"].to_numpy())
             start.append(batch["start"].to_numpy())
             contents += batch["content"].to_pylist()
         if contents:
             space = Space()
             try:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, shard_repeats(np.concatenate(key), np.concatenate(start), contents, space))), names=["key", "start", "stop"])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, shard_repeats(np.concatenate(h).view(np.uint64), np.concatenate(key), np.concatenate(start), contents, space))), names=["key", "start", "stop"])
             finally:
                 space.close()
         trim()
 
-    return units.select("key", "start", "content").mapInArrow(run, "key long, start long, stop long")
+    return units.select("h", "key", "start", "content").mapInArrow(run, "key long, start long, stop long")
 
 
 def _contents(keyed: DataFrame, asked: DataFrame) -> DataFrame:
