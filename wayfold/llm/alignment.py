@@ -4,7 +4,7 @@ A text with a space before it is tokenised by a byte-level BPE vocabulary (A) an
 intervals over the same bytes. Offsets at which tokens of both end cut the intervals into groups, and all tokens of A and B in a
 group are linked. DuckDB holds the token intervals of a block in two tables: a window sum over the tokens of A that start
 where one of B starts numbers the groups, an ASOF join gives each token of B the group of the token of A that covers its
-start, and a join on the groups' ranges links the tokens. Documents are made of chunks that repeat, cut before spaces that follow
+start, and a join on the groups links all tokens that lie in one group's range. Documents are made of chunks that repeat, cut before spaces that follow
 no white space, where neither tokenizer joins anything; each distinct chunk of a worker is aligned once.
 
 How many documents hold a pair of ids linked is a figure of the whole corpus. Tasks write blocks of documents with their
@@ -47,14 +47,8 @@ CREATE OR REPLACE TEMP TABLE ga AS
 CREATE OR REPLACE TEMP TABLE gb AS
     SELECT b.i, b.id, b.s, b.e, a.g FROM b_in b ASOF JOIN ga a ON b.s >= a.s;
 """
-#: Groups of one token of A need no more than its own range; the ranges of others reach over several.
-_LINKS = """
-WITH spans AS (SELECT g, min(s) AS s, count(*) AS n FROM ga GROUP BY g),
-     ranges AS (SELECT g, n, s, lead(s, 1, 9223372036854775807) OVER (ORDER BY s) AS e FROM spans),
-     wide AS (SELECT b.id, r.g FROM (SELECT * FROM ranges WHERE n > 1) r JOIN gb b ON b.s >= r.s AND b.s < r.e),
-     single AS (SELECT b.id, b.g FROM gb b SEMI JOIN (SELECT g FROM ranges WHERE n = 1) r ON r.g = b.g)
-SELECT ga.c, ga.id::BIGINT << 20 | b.id AS pair FROM (SELECT * FROM wide UNION ALL SELECT * FROM single) b JOIN ga ON ga.g = b.g
-"""
+#: Ranges of groups don't overlap, so that a token lies in the range of a group if it starts there: an equality on its number.
+_LINKS = "SELECT ga.c, ga.id::BIGINT << 20 | gb.id AS pair FROM ga JOIN gb ON gb.g = ga.g"
 
 
 class Aligner:
