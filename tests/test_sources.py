@@ -27,6 +27,26 @@ def test_telemetry_by_name(spark, tmp_path):
     assert sources.telemetry(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_telemetry_of_archives(spark, tmp_path):
+    """Members of archives beside files, each with its own header; broken rows, an empty file, a byte order mark."""
+    import zipfile
+
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "up.zip", "w") as z:
+        z.writestr("day/one.csv", "sensorsbankingangle,timestampinmillis,positionmapmatchedlatitude,positionmapmatchedlongitude\n5,1,47.1,11\n6,2,47.2,11,extra\n7,3,47.3,11\n")
+        z.writestr("__MACOSX/day/one.csv", "timestampinmillis,positionmapmatchedlatitude,positionmapmatchedlongitude\n1,47,11\n")
+        z.writestr("notes.txt", "timestampinmillis\n1\n")
+    (tmp_path / "in" / "two.csv").write_text('\ufeff"timestampinmillis",positionmapmatchedlatitude,positionmapmatchedlongitude\r\n4,48.1,"11.5"\r\n', encoding="utf-8")
+    (tmp_path / "in" / "none.csv").write_text("")
+    (tmp_path / "in" / "head.csv").write_text("timestampinmillis,positionmapmatchedlatitude,positionmapmatchedlongitude\n")
+    got = sources.telemetry(spark, str(tmp_path / "in"))
+    rows = sorted((r.t_ms, r.lat, r.lon, r.lean, r.trip.rsplit("/", 1)[-1].split("!")[0]) for r in got.collect())
+    assert rows == [(1, 47.1, 11.0, 5.0, "one.csv"), (3, 47.3, 11.0, 7.0, "one.csv"), (4, 48.1, 11.5, None, "two.csv")]
+    assert sum("up.zip!day/one.csv" in r.trip for r in got.collect()) == 2
+    assert sources.telemetry(spark, str(tmp_path / "in"), str(tmp_path / "in")).count() == 3
+    assert "BinaryFile" in got._jdf.queryExecution().toString() or "binaryFile" in got._jdf.queryExecution().toString()
+
+
 def test_turns_and_coordinates(spark):
     from wayfold.operators.terrain import check_coordinates, turns
 

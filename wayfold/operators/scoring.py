@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wayfold.functions import scores as S
 from wayfold.operators.crowd import global_pick, ranked
+from wayfold.plans.ranks import RANGES, ranked_rows
 from wayfold.plans.relation import CATALOG
 
 add = CATALOG.add
@@ -12,8 +13,14 @@ add = CATALOG.add
 FEATURES = ["curviness", "curvature_geo", "elev_mean", "dem_elev_m", "dem_relief_m", "band_share", "leaned_share", "abs_rate", "rpm_mean", "speed_mean", "forest_share", "water_prox"]
 _long = " UNION ALL ".join(f"SELECT seg_id, '{f}' AS feature, {f} AS v, 1 AS n FROM {{seg}} WHERE {f} IS NOT NULL" for f in FEATURES)
 add("feature_values", f"{_long} UNION ALL SELECT seg_id, 'gradient' AS feature, dem_gradient_pct AS v, 1 AS n FROM {{seg}} WHERE dem_gradient_pct IS NOT NULL UNION ALL SELECT seg_id, 'gradient', abs(coalesce(dem_gradient_pct, 0.0)), 0 FROM {{seg}}", query=False)
-add("feature_ranks", """SELECT feature, v, (sum(n) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n) / nullif(sum(n) OVER (PARTITION BY feature), 0) AS p
-FROM (SELECT feature, v, CAST(sum(n) AS DOUBLE) AS n FROM {feature_values} GROUP BY feature, v)""", query=False)
+# ranges of equal width, and running sums over the ranges and within each
+add("feature_counts", "SELECT feature, v, CAST(sum(n) AS DOUBLE) AS n FROM {feature_values} GROUP BY feature, v", query=False)
+add("feature_bounds", "SELECT feature, min(v) AS lo, max(v) AS hi FROM {feature_values} GROUP BY feature", query=False)
+add("feature_ranges", f"SELECT c.feature, c.v, c.n, CAST(floor(coalesce((c.v - b.lo) / nullif(b.hi - b.lo, 0.0), 0.0) * {RANGES}.0) AS BIGINT) AS b FROM {{feature_counts}} c JOIN {{feature_bounds}} b ON b.feature = c.feature", query=False)
+add("feature_since", "SELECT feature, b, sum(n) OVER (PARTITION BY feature ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS since, sum(n) OVER (PARTITION BY feature) AS total FROM (SELECT feature, b, sum(n) AS n FROM {feature_ranges} GROUP BY feature, b)", query=False)
+add("feature_ranks", "SELECT r.feature, r.v, (w.since + sum(r.n) OVER (PARTITION BY r.feature, r.b ORDER BY r.v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - r.n) / nullif(w.total, 0.0) AS p FROM {feature_ranges} r JOIN {feature_since} w ON w.feature = r.feature AND w.b = r.b", query=False,
+    oracle="""SELECT feature, v, (sum(n) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n) / nullif(sum(n) OVER (PARTITION BY feature), 0) AS p
+FROM (SELECT feature, v, CAST(sum(n) AS DOUBLE) AS n FROM {feature_values} GROUP BY feature, v)""")
 add("percentiles", "SELECT x.seg_id, x.feature, CASE WHEN x.v = 0 THEN 0.0 ELSE r.p END AS p FROM {feature_values} x JOIN {feature_ranks} r ON r.feature = x.feature AND r.v = x.v WHERE x.feature <> 'gradient' OR x.n = 0", query=False)
 add("f3_percentile_scaler", "SELECT seg_id, feature, round(p, 9) AS p FROM {percentiles} WHERE feature <> 'gradient'")
 add("f8_gradient_percentile", "SELECT seg_id, round(p, 9) AS p FROM {percentiles} WHERE feature = 'gradient'")
@@ -54,7 +61,8 @@ add("a34_excluded_count", "SELECT CAST(sum(CASE WHEN excluded THEN 1 ELSE 0 END)
 add("f33_junction_cost", f"SELECT node, CASE WHEN node = (SELECT min(node) FROM {{degree}}) THEN 0.0 ELSE {S.junction_seconds('degree')} END AS seconds FROM {{degree}}")
 add("f2_cell_confidence", f"SELECT code, round({S.confidence('n_trips', 3.0)}, 6) AS confidence FROM {{cells}}")
 add("l1_top_scenic", "SELECT seg_id, round(scenic, 6) AS scenic FROM {scored} ORDER BY round(scenic, 6) DESC, seg_id LIMIT 50")
-add("l2_coverage_sample", "SELECT seg_id, n_trips FROM (SELECT seg_id, n_trips, row_number() OVER (ORDER BY n_trips DESC, seg_id) AS r FROM {seg} WHERE n_trips > 0) WHERE (r - 1) % 7 = 0 ORDER BY r LIMIT 100")
+add("l2_coverage_sample", "SELECT seg_id, n_trips FROM (SELECT seg_id, n_trips, row_number() OVER (ORDER BY n_trips DESC, seg_id) AS r FROM (SELECT seg_id, n_trips FROM {seg} WHERE n_trips > 0 ORDER BY n_trips DESC, seg_id LIMIT 700)) WHERE (r - 1) % 7 = 0",
+    oracle="SELECT seg_id, n_trips FROM (SELECT seg_id, n_trips, row_number() OVER (ORDER BY n_trips DESC, seg_id) AS r FROM {seg} WHERE n_trips > 0) WHERE (r - 1) % 7 = 0 ORDER BY r LIMIT 100")
 add("l10_first_by_key", "SELECT name, way_id, seg_id FROM (SELECT *, row_number() OVER (PARTITION BY name, way_id ORDER BY seg_id) AS r FROM {seg} WHERE name IS NOT NULL) WHERE r = 1")
 
 # --- the cell planner ----------------------------------------------------------------------------------------------------
@@ -92,13 +100,12 @@ global_pick("urban_top", "junction_density", "n", "gy * 100000 + gx", ranked(0.9
 add("urban", "SELECT gy, gx, least(1.0, n * 1.0 / greatest(top, 1)) AS urban FROM {junction_density} CROSS JOIN {urban_top}", query=False)
 add("a17_urbanness", "SELECT gy, gx, round(urban, 6) AS urban FROM {urban}")
 add("seg_cells", f"SELECT s.seg_id, c.code, c.value, CASE WHEN c.code IS NULL THEN 0.1 ELSE {S.cell_risk()} END AS risk, coalesce(c.lean_p95 - {LEAN} > {S.LEAN_MARGIN}, false) AS excluded, c.lean_p95 AS cell_lean, c.lean_p50, c.elev_m FROM (SELECT seg_id, CAST(floor((a_lat + 90.0) / 360.0 * 262144) AS BIGINT) * 262144 + CAST(floor((11.5 + (seg_id % 7) * 0.0006 + 180.0) / 360.0 * 262144) AS BIGINT) AS cell FROM {{seg}}) s LEFT JOIN {{cell_scores}} c ON c.code = s.cell", query=False)
-add("j3_segment_cells", "SELECT seg_id, code FROM {seg_cells}")
-add("a28_coverage", "SELECT round(avg(CASE WHEN code IS NULL THEN 0.0 ELSE 1.0 END), 6) AS covered, CAST(count(code) AS BIGINT) AS n FROM {seg_cells}")
-_pace = "greatest(58.0, 1.0)"
+# a rider keeps its own pace: base times over 66 km/h by its mean speed; without telemetry the base time holds
+add("rider_pace", "SELECT CASE WHEN speed_mean > 0 THEN 66.0 / greatest(speed_mean, 1.0) ELSE 1.0 END AS pace FROM {a5_rider_quantiles}", query=False)
 add("roads", f"""SELECT *, seconds * (1.0 + 3.0 * (1.0 - urban) * (1.0 - value) + risk) * highway_factor * straight_factor * style_factor AS cost, seconds * (1.0 + risk) * highway_factor * straight_factor * style_factor AS cost_fast FROM
-(SELECT s.*, r.road_run_km, s.length_m / 1000.0 / greatest({S.lookup('s.highway', S.ROAD_SPEED, 45.0)}, 3.0) * 3600.0 * 66.0 / {_pace} AS seconds, coalesce(c.value, 0.5) AS value, c.risk, c.excluded, c.cell_lean, c.code, c.lean_p50, c.elev_m, coalesce(u.urban, 0.0) AS urban,
+(SELECT s.*, r.road_run_km, s.length_m / 1000.0 / greatest({S.lookup('s.highway', S.ROAD_SPEED, 45.0)}, 3.0) * 3600.0 * k.pace AS seconds, coalesce(c.value, 0.5) AS value, c.risk, c.excluded, c.cell_lean, c.code, c.lean_p50, c.elev_m, coalesce(u.urban, 0.0) AS urban,
         {S.road_highway_factor()} AS highway_factor, {S.road_straight_factor()} AS straight_factor, {S.road_style_factor("'A'")} AS style_factor
- FROM {{seg}} s JOIN {{road_runs}} r ON r.seg_id = s.seg_id JOIN {{seg_cells}} c ON c.seg_id = s.seg_id
+ FROM {{seg}} s JOIN {{road_runs}} r ON r.seg_id = s.seg_id JOIN {{seg_cells}} c ON c.seg_id = s.seg_id CROSS JOIN {{rider_pace}} k
  LEFT JOIN {{urban}} u ON u.gy = CAST(floor(s.mid_lat / 0.018) AS BIGINT) AND u.gx = CAST(floor(s.mid_lon / 0.027) AS BIGINT))""", query=False)
 
 
@@ -107,7 +114,8 @@ def road(name: str, *columns: str) -> None:
 
 
 road("f26_road_seconds", "seconds")
-add("f26_rider_pace", f"SELECT r.seg_id, round(r.seconds * {_pace} / 66.0, 6) AS base, round(r.seconds * {_pace} / 66.0 * CASE WHEN q.speed_mean > 0 THEN 66.0 / greatest(q.speed_mean, 1.0) ELSE 1.0 END, 6) AS paced FROM {{roads}} r CROSS JOIN {{a5_rider_quantiles}} q")
+add("f26_rider_pace", "SELECT r.seg_id, round(r.seconds / k.pace, 6) AS base, round(r.seconds, 6) AS paced FROM {roads} r CROSS JOIN {rider_pace} k",
+    oracle=f"WITH v AS (SELECT avg(nullif(speed, 0)) AS kmh FROM {{steps}} WHERE trip % 3 = 0) SELECT seg_id, round(b, 6) AS base, round(CASE WHEN kmh > 0 THEN b * 66 / greatest(round(kmh, 6), 1) ELSE b END, 6) AS paced FROM (SELECT seg_id, length_m / 1000 / greatest({S.lookup('highway', S.ROAD_SPEED, 45.0)}, 3) * 3600 AS b FROM {{seg}}), v")
 road("f27_road_value_risk", "value", "risk")
 road("f28_alpha_fade", "3.0 * (1.0 - urban) AS alpha")
 road("f29_highway_factor", "highway_factor")
@@ -131,7 +139,8 @@ add("a22_cell_path_kpis", "SELECT a AS route, round(sum(len_m) / 1000.0, 4) AS k
 add("a24_route_thirds", "SELECT route, third, round(sum(value * length_m) / sum(length_m), 5) AS value FROM (SELECT r.route, s.value, s.length_m, least(2, CAST(floor(3.0 * (sum(s.length_m) OVER (PARTITION BY r.route ORDER BY r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.length_m / 2.0) / sum(s.length_m) OVER (PARTITION BY r.route)) AS BIGINT)) AS third FROM {routes} r JOIN {roads} s ON s.seg_id = r.seg_id) GROUP BY route, third")
 add("a25_top_roads", "SELECT route, name, metres, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY route ORDER BY metres DESC, name) AS BIGINT) AS rk FROM (SELECT r.route, s.name, round(sum(s.length_m), 3) AS metres FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id WHERE s.name IS NOT NULL GROUP BY r.route, s.name)) WHERE rk <= 5")
 add("a25_first_roads", "SELECT route, name, first_pos, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY route ORDER BY first_pos) AS BIGINT) AS rk FROM (SELECT r.route, s.name, CAST(min(r.pos) AS BIGINT) AS first_pos FROM {routes} r JOIN {seg} s ON s.seg_id = r.seg_id WHERE s.name IS NOT NULL GROUP BY r.route, s.name)) WHERE rk <= 8")
-add("a26_heatmap_weight", "SELECT seg_id, round(w / max(w) OVER (), 6) AS weight FROM (SELECT r.seg_id, sum(s.scenic * s.length_m) AS w FROM {routes} r JOIN {scored} s ON s.seg_id = r.seg_id GROUP BY r.seg_id)")
+add("heat", "SELECT r.seg_id, sum(s.scenic * s.length_m) AS w FROM {routes} r JOIN {scored} s ON s.seg_id = r.seg_id GROUP BY r.seg_id", query=False)
+add("a26_heatmap_weight", "SELECT seg_id, round(w / most, 6) AS weight FROM {heat} CROSS JOIN (SELECT max(w) AS most FROM {heat})")
 add("l4_top_per_octant", "SELECT seg_id, octant FROM (SELECT seg_id, CAST(floor(bearing_mean / 45.0) AS BIGINT) AS octant, row_number() OVER (PARTITION BY CAST(floor(bearing_mean / 45.0) AS BIGINT) ORDER BY length_m DESC, seg_id) AS r FROM {seg} WHERE bearing_mean IS NOT NULL) WHERE r <= 2")
 add("l5_diversity_pick", "SELECT route, octant, score FROM (SELECT *, row_number() OVER (PARTITION BY octant ORDER BY score DESC, route) AS r FROM (SELECT k.route, k.scenic AS score, CAST(floor(coalesce(s.bearing_mean, 0.0) / 45.0) AS BIGINT) AS octant FROM {a21_route_kpis} k JOIN {routes} q ON q.route = k.route AND q.pos = 1 JOIN {seg} s ON s.seg_id = q.seg_id)) WHERE r = 1")
 # rides: whole ways, the start of a way with the whole next one, and ways ridden again, some the other way round
@@ -147,6 +156,8 @@ SELECT ride_a, ride_b, len(inner_set)::BIGINT AS shared, len(outer_set)::BIGINT
 (SELECT c.*, (SELECT sum(length_m) FROM {seg} s WHERE list_contains(c.inner_set, s.seg_id)) AS m, a.m AS m_a, b.m AS m_b FROM c JOIN metres a ON a.ride = ride_a JOIN metres b ON b.ride = ride_b) x""")
 add("l11_same_routes", "SELECT min(ride) AS ride, CAST(count(*) AS BIGINT) AS n FROM (SELECT ride, transform(sort_array(collect_list(named_struct('pos', pos, 'seg', seg_id))), x -> x.seg) AS path FROM {rides} GROUP BY ride) GROUP BY path",
     oracle="SELECT min(ride) AS ride, count(*) AS n FROM (SELECT ride, string_agg(seg_id::VARCHAR, ' ' ORDER BY pos) AS path FROM {rides} GROUP BY ride) GROUP BY path")
-add("l12_seeded_jitter", "SELECT seg_id, CAST(row_number() OVER (ORDER BY score DESC, seg_id) AS BIGINT) AS place FROM (SELECT seg_id, round(scenic, 4) + ((seg_id * 7919 + 42 * 104729) % 1801 - 900) / 10000.0 AS score FROM {scored})")
+add("jittered", "SELECT seg_id, round(scenic, 4) + ((seg_id * 7919 + 42 * 104729) % 1801 - 900) / 10000.0 AS score FROM {scored}", query=False)
+ranked_rows("jitter_ranks", "jittered", "score", "p.seg_id")
+add("l12_seeded_jitter", "SELECT seg_id, rk AS place FROM {jitter_ranks}", oracle="SELECT seg_id, CAST(row_number() OVER (ORDER BY score DESC, seg_id) AS BIGINT) AS place FROM (SELECT seg_id, round(scenic, 4) + ((seg_id * 7919 + 42 * 104729) % 1801 - 900) / 10000.0 AS score FROM {scored})")
 add("j14_membership", "SELECT s.seg_id, r.seg_id IS NOT NULL AS used FROM {seg} s LEFT JOIN (SELECT DISTINCT q.seg_id FROM {routes} q JOIN {j12_route_visits} v ON v.route = q.route) r ON r.seg_id = s.seg_id")
 add("q8_alpha_inversion", "SELECT x.seg_id AS fast, y.seg_id AS fine, round((y.seconds * (1.0 + y.risk) - x.seconds * (1.0 + x.risk)) / nullif(x.seconds * (1.0 - x.scenic) - y.seconds * (1.0 - y.scenic), 0.0), 4) AS alpha FROM {scored} x JOIN {scored} y ON y.seg_id = x.seg_id + 1 WHERE x.highway = 'motorway'")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Columns of a telemetry file that are read; files may have more, in any order.
 TELEMETRY = {
@@ -26,34 +24,84 @@ def discover(spark: SparkSession, *paths: str, pattern: str = "*.csv", limit: in
     return [r[0] for r in (names.limit(limit) if limit else names).collect()]
 
 
+def _csv_columns(data: bytes, wanted: list[str]):
+    """The wanted columns of a CSV file as texts, by the names in its first line; those it lacks are null. None without a header."""
+    import pyarrow as pa
+    from pyarrow import csv
+
+    head, _, body = data.decode("utf-8-sig", "replace").partition("\n")
+    names = [c.strip().strip('"').strip().lower() for c in head.strip().split(",")]
+    if "timestampinmillis" not in names:
+        return None
+    if not body.strip():
+        return pa.table({c: pa.array([], pa.string()) for c in wanted})
+    options = csv.ConvertOptions(include_columns=wanted, include_missing_columns=True, column_types=dict.fromkeys([*wanted, *names], pa.string()), strings_can_be_null=False)
+    return csv.read_csv(pa.BufferReader(body.encode()), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(invalid_row_handler=lambda _: "skip"), options)
+
+
 def telemetry(spark: SparkSession, *paths: str, bbox: tuple | None = None) -> DataFrame:
-    """Samples of CSV files found recursively; bad numbers are null, a row without time or place is dropped, and the trip is
-    the file. Columns are matched by name, file by file: each may lack columns, have others, and have them in any order.
-
-    A first scan takes the header of each file; files with equal headers are then read together."""
-    find = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
-    lines = spark.read.options(**find).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.trim(F.regexp_replace("value", "[\r\ufeff]", "")).alias("header"))
-    headers = lines.where(F.lower("header").contains("timestampinmillis") & ~F.col("file").contains("__MACOSX")).distinct()
-    kinds = [(r["header"], r["files"]) for r in headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()]
-    parts = []
-    for header, files in kinds:
-        names = [c.strip().strip('"').lower() for c in header.split(",")]
-        raw = spark.read.option("header", True).option("enforceSchema", True).schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])).csv(files)
-        columns = []
-        for source, spec in TELEMETRY.items():
-            name, kind = spec.split()
-            value = F.expr(f"try_cast(try_cast(c{names.index(source)} AS DOUBLE) AS {kind})") if source in names else F.lit(None).cast(kind)
-            columns.append(value.alias(name))
-        parts.append(raw.select(F.col("_metadata.file_path").alias("trip"), *columns))
-    if not parts:
-        return spark.createDataFrame([], "trip string, " + ", ".join(TELEMETRY.values()))
-    out = functools.reduce(DataFrame.unionByName, parts).where("t_ms IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
+    """Samples of CSV files, and of those in zip archives, found recursively; bad numbers are null, a row without time or place
+    is dropped, and the trip is the file, or the archive and its member. Columns are matched by name, file by file: each may
+    lack columns, have others, and have them in any order; rows with too many or too few values are left out.
+
+    One scan: files are rows to Spark, and a task reads each with its own header. A file is held whole, up to 2 GB."""
+    import pyarrow as pa
+
+    wanted = list(TELEMETRY)
+
+    def members(path: str, content: bytes):
+        if not path.lower().endswith(".zip"):
+            yield path, content
+            return
+        import io
+        import zipfile
+
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for name in archive.namelist():
+                if name.lower().endswith(".csv") and "__MACOSX" not in name:
+                    yield f"{path}!{name}", archive.read(name)
+
+    def read(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
+                for trip, data in members(path, content.as_py()):
+                    table = _csv_columns(data, wanted)
+                    if table is not None and len(table):
+                        for part in table.to_batches(max_chunksize=50_000):
+                            yield pa.RecordBatch.from_arrays([pa.array([trip] * len(part), pa.string()), *part.columns], names=["trip", *wanted])
+
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.{csv,CSV,zip,ZIP}").load(list(paths))
+    files = files.where(~F.col("path").contains("__MACOSX")).select("path", "content").dropDuplicates(["path"]) if len(paths) > 1 else files.where(~F.col("path").contains("__MACOSX")).select("path", "content")
+    raw = files.mapInArrow(read, "trip string, " + ", ".join(f"{c} string" for c in wanted))
+    columns = [F.expr(f"try_cast(try_cast({source} AS DOUBLE) AS {spec.split()[1]})").alias(spec.split()[0]) for source, spec in TELEMETRY.items()]
+    out = raw.select("trip", *columns).where("t_ms IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
     if bbox:
         south, west, north, east = bbox
         out = out.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
     return out
 
 
+#: Folders of published segments are cells of this level: about 40 km wide.
+COARSE = 10
+
+
+def by_coarse_cell(segments: DataFrame) -> DataFrame:
+    from wayfold.functions import column, geo
+
+    return segments.withColumn("coarse", column(geo.packed("mid_lat", "mid_lon", COARSE)))
+
+
+def roads(spark: SparkSession, path: str, bbox: tuple | None = None) -> DataFrame:
+    """Published segments; with a box those whose middle lies in it, from the folders that it meets alone."""
+    found = spark.read.parquet(path)
+    if bbox:
+        n, (south, west, north, east) = 1 << COARSE, bbox
+        cell = lambda v, off: int((v + off) / 360 * n)
+        cells = [y * n + x for y in range(cell(south, 90), cell(north, 90) + 1) for x in range(cell(west, 180), cell(east, 180) + 1)]
+        found = found.where(F.col("coarse").isin(cells)).where(F.col("mid_lat").between(south, north) & F.col("mid_lon").between(west, east))
+    return found
+
+
 def ways(spark: SparkSession, *paths: str) -> DataFrame:
     """Road ways of JSON tiles, each a list or an object with ``elements``; of ways in several tiles the last file's stays."""
     element = "id bigint, type string, geometry array<struct<lat: double, lon: double>>, tags map<string, string>"
