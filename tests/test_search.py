@@ -112,23 +112,33 @@ def test_registered_planners_give_rows(spark, sf):
 
 
 def test_nearest_at_any_distance(spark, tmp_path):
-    """Probes far from the few points there are, against a full scan."""
+    """Probes all over the globe, at the poles and the date line, and among many points in one place, against a full scan."""
     from wayfold.operators import load
     from wayfold.plans.relation import CATALOG
 
     load()
     rng = random.Random(4)
     points = [(n, 47 + rng.random() * 0.5, 11 + rng.random() * 0.7, 3) for n in range(60)] + [(100, -30.0, -170.0, 3), (101, 47.2, 11.2, 3), (102, 47.2, 11.2, 3)]
-    probes = [(i, rng.uniform(-80, 80), rng.uniform(-179, 179)) for i in range(40)] + [(50 + i, 47 + rng.random() * 0.5, 11 + rng.random() * 0.7) for i in range(40)] + [(99, 47.2, 11.2)]
+    points += [(200 + n, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180), 3) for n in range(60)]
+    points += [(300, 0.0, -179.9, 3), (301, 0.0, 175.0, 3), (302, 90.0, 0.0, 3), (303, -89.9, 170.0, 3)] + [(400 + n, 10 + n * 1e-6, 20.0, 3) for n in range(300)]
+    probes = [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(120)] + [(200 + i, 47 + rng.random() * 0.5, 11 + rng.random() * 0.7) for i in range(40)]
+    probes += [(300, 47.2, 11.2), (301, 0.0, 179.9), (302, 89.99, 120.0), (303, -90.0, 0.0), (304, 10.5, 20.0), (305, 10.0001, 20.0), (306, 0.0, 180.0), (307, 0.0, -180.0)]
     frames = {"poi": spark.createDataFrame(probes, "poi_id long, lat double, lon double"), "main_nodes": spark.createDataFrame(points, "node long, lat double, lon double, degree long")}
     got = {r.poi_id: r.node for r in CATALOG.build("j9_nearest_node", spark, str(tmp_path), frames).collect()}
     for i, lat, lon in probes:
-        want = min(points, key=lambda p: (round(search.metres((lat, lon), p[1:3]), 3), p[0]))
-        far = search.metres((lat, lon), want[1:3]) > 5_000_000
-        assert got[i] == want[0] or far, (i, lat, lon)
+        assert got[i] == min(points, key=lambda p: (round(search.metres((lat, lon), p[1:3]), 6), p[0]))[0], (i, lat, lon)
     assert len(got) == len(probes)
 
 
+def test_nearest_in_the_main_component(spark):
+    from wayfold.operators import planning
+
+    nodes = spark.createDataFrame([(1, 48.0, 11.0), (2, 48.1, 11.0), (3, 48.2, 11.0), (8, 48.05, 11.0), (9, 48.06, 11.0)], "node long, lat double, lon double")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (8, 9)], "a long, b long")
+    probes = spark.createDataFrame([(5, 48.051, 11.0)], "poi_id long, lat double, lon double")
+    assert planning.nearest_in_main_component(spark, probes, nodes, edges).first().node == 2
+
+
 def test_components_and_flood(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (9, 5)], "a long, b long")
     assert {r.node: r.component for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 9: 5}

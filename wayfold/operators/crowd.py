@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wayfold.functions import geo
 from wayfold.functions.scores import nz
+from wayfold.plans.ranks import group_quantiles
 from wayfold.plans.relation import CATALOG
 
 add = CATALOG.add
@@ -19,6 +20,11 @@ CORE = """CAST(count(DISTINCT trip) AS BIGINT) AS n_trips, CAST(count(*) AS BIGI
  CAST(sum(CASE WHEN absb >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS abs_events, CAST(sum(CASE WHEN acc < -0.3 THEN 1 ELSE 0 END) AS BIGINT) AS hard_decel,
  round(avg(nullif(rpm, 0.0)), 6) AS rpm_mean, round(avg(nullif(elev, 0.0)), 6) AS elev_mean, round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon"""
 
+#: The same without quantiles, which come from counts of values.
+PLAIN = CORE.replace("round(PCTL(abs(lean), 0.95), 6) AS lean_p95, ", "").replace("round(PCTL(nullif(speed, 0.0), 0.85), 6) AS speed_p85,\n", "")
+CORE_PICKS = {"lean_p95": ("lean", 0.95, "between"), "speed_p85": ("speed", 0.85, "between")}
+CORE_VALUES = {"lean": "abs(lean)", "speed": "nullif(speed, 0.0)"}
+
 add("w1_lag", "SELECT event_id, round(p_lat, 9) AS p_lat, round(p_lon, 9) AS p_lon, round(p_lean, 6) AS p_lean FROM {steps}")
 add("w2_lag_cell", "SELECT event_id, p_cx, p_cy FROM {steps}")
 add("w3_trip_start", "SELECT trip, event_id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY ts, event_id) AS r FROM {tele}) WHERE r = 1")
@@ -55,18 +61,29 @@ add("p10_moving_only", "SELECT trip, CAST(sum(CASE WHEN v_ok > 20 THEN 1 ELSE 0
 add("p11_length_floors", "SELECT seg_id, length_m >= 5.0 AS keep_5, length_m >= 20.0 AS keep_20, length_m >= 100.0 AS keep_100 FROM {seg}")
 add("p12_zero_as_missing", "SELECT trip, round(avg(nullif(speed, 0.0)), 6) AS speed_mean, round(avg(speed), 6) AS with_zeros, CAST(count(nullif(elev, 0.0)) AS BIGINT) AS n_elev FROM {tele} GROUP BY trip")
 
-add("a1_transition_aggregate", f"SELECT {PREV} AS cell_from, {CELL} AS cell_to, {CORE}, round(avg(abs(lean)), 6) AS lean_mean FROM {{steps}} WHERE {CLEAN} AND (cx <> p_cx OR cy <> p_cy) GROUP BY {PREV}, {CELL} HAVING count(DISTINCT trip) >= 2")
-add("a2_cell_aggregate", f"SELECT {CELL} AS cell, {CORE}, round(avg(hdg), 6) AS hdg FROM {{steps}} WHERE {CLEAN} GROUP BY {CELL}")
+MOVES = f"{CLEAN} AND (cx <> p_cx OR cy <> p_cy)"
+group_quantiles("transition_quantiles", "steps", {"cell_from": PREV, "cell_to": CELL}, CORE_VALUES, CORE_PICKS, MOVES)
+add("a1_transition_aggregate", f"SELECT m.*, round(q.lean_p95, 6) AS lean_p95, round(q.speed_p85, 6) AS speed_p85 FROM (SELECT {PREV} AS cell_from, {CELL} AS cell_to, {PLAIN}, round(avg(abs(lean)), 6) AS lean_mean FROM {{steps}} WHERE {MOVES} GROUP BY {PREV}, {CELL} HAVING count(DISTINCT trip) >= 2) m LEFT JOIN {{transition_quantiles}} q ON q.cell_from = m.cell_from AND q.cell_to = m.cell_to",
+    oracle=f"SELECT {PREV} AS cell_from, {CELL} AS cell_to, {CORE}, round(avg(abs(lean)), 6) AS lean_mean FROM {{steps}} WHERE {CLEAN} AND (cx <> p_cx OR cy <> p_cy) GROUP BY {PREV}, {CELL} HAVING count(DISTINCT trip) >= 2")
+group_quantiles("cell_quantiles", "steps", {"cell": CELL}, CORE_VALUES, CORE_PICKS, CLEAN)
+add("a2_cell_aggregate", f"SELECT m.*, round(q.lean_p95, 6) AS lean_p95, round(q.speed_p85, 6) AS speed_p85 FROM (SELECT {CELL} AS cell, {PLAIN}, round(avg(hdg), 6) AS hdg FROM {{steps}} WHERE {CLEAN} GROUP BY {CELL}) m LEFT JOIN {{cell_quantiles}} q ON q.cell = m.cell",
+    oracle=f"SELECT {CELL} AS cell, {CORE}, round(avg(hdg), 6) AS hdg FROM {{steps}} WHERE {CLEAN} GROUP BY {CELL}")
 add("a3_trip_aggregate", """SELECT trip, min(t_ms) AS t0, max(t_ms) AS t1, round(sum(CASE WHEN step_m <= 150 THEN step_m ELSE 0.0 END), 4) AS dist_m, round(max(abs(lean)), 6) AS lean_max,
  round(PCTL(abs(lean), 0.9), 6) AS lean_p90, round(PCTL(abs(lean), 0.95), 6) AS lean_p95, round(sum(CASE WHEN d_lean >= 2.0 THEN d_lean ELSE 0.0 END), 4) AS lean_delta, round(avg(nullif(speed, 0.0)), 6) AS speed_mean,
  max(speed) AS speed_max, max(nullif(elev, 0.0)) AS elev_max, round(avg(nullif(temp, 0.0)), 6) AS temp_mean, CAST(sum(CASE WHEN absb >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS abs_events, CAST(count(*) AS BIGINT) AS n
  FROM {steps} GROUP BY trip HAVING sum(CASE WHEN step_m <= 150 THEN step_m ELSE 0.0 END) > 500""")
 RIDER = "trip % 3 = 0"
-add("a4_rider_cells", f"""SELECT {CELL} AS cell, round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon, round(avg(hdg), 6) AS hdg, round(sum(CASE WHEN step_m <= 150 THEN step_m ELSE 0.0 END), 4) AS path_m,
+group_quantiles("rider_cell_quantiles", "steps", {"cell": CELL}, {"lean": "abs(lean)"}, {"lean_p95": ("lean", 0.95, "between")}, RIDER)
+add("a4_rider_cells", f"""SELECT m.*, round(q.lean_p95, 6) AS lean_p95 FROM (SELECT {CELL} AS cell, round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon, round(avg(hdg), 6) AS hdg, round(sum(CASE WHEN step_m <= 150 THEN step_m ELSE 0.0 END), 4) AS path_m,
+ round(sum(CASE WHEN d_lean >= 2.0 THEN d_lean ELSE 0.0 END), 4) AS lean_delta, round(sum(CASE WHEN abs(lean) > 5.0 THEN step_m ELSE 0.0 END), 4) AS leaned_m,  round(avg(nullif(speed, 0.0)), 6) AS speed_mean, round(avg(CASE WHEN speed BETWEEN 50 AND 120 THEN 1.0 ELSE 0.0 END), 6) AS band_share, round(avg(nullif(elev, 0.0)), 6) AS elev_mean, CAST(count(*) AS BIGINT) AS n
+ FROM {{steps}} WHERE {RIDER} GROUP BY {CELL}) m LEFT JOIN {{rider_cell_quantiles}} q ON q.cell = m.cell""",
+    oracle=f"""SELECT {CELL} AS cell, round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon, round(avg(hdg), 6) AS hdg, round(sum(CASE WHEN step_m <= 150 THEN step_m ELSE 0.0 END), 4) AS path_m,
  round(sum(CASE WHEN d_lean >= 2.0 THEN d_lean ELSE 0.0 END), 4) AS lean_delta, round(sum(CASE WHEN abs(lean) > 5.0 THEN step_m ELSE 0.0 END), 4) AS leaned_m, round(PCTL(abs(lean), 0.95), 6) AS lean_p95,
  round(avg(nullif(speed, 0.0)), 6) AS speed_mean, round(avg(CASE WHEN speed BETWEEN 50 AND 120 THEN 1.0 ELSE 0.0 END), 6) AS band_share, round(avg(nullif(elev, 0.0)), 6) AS elev_mean, CAST(count(*) AS BIGINT) AS n
  FROM {{steps}} WHERE {RIDER} GROUP BY {CELL}""")
-add("a5_rider_quantiles", f"SELECT round(PCTL(abs(lean), 0.90), 6) AS lean_p90, round(PCTL(abs(lean), 0.95), 6) AS lean_p95, round(PCTL(abs(lean), 0.99), 6) AS lean_p99, round(avg(nullif(rpm, 0.0)), 6) AS rpm_mean, round(avg(nullif(speed, 0.0)), 6) AS speed_mean, max(nullif(gear, 0)) AS max_gear, CAST(count(*) AS BIGINT) AS n_points FROM {{steps}} WHERE {RIDER}")
+group_quantiles("rider_quantiles", "steps", {"whole": "0"}, {"lean": "abs(lean)"}, {f"lean_p{p}": ("lean", p / 100, "between") for p in (90, 95, 99)}, RIDER)
+add("a5_rider_quantiles", f"SELECT round(q.lean_p90, 6) AS lean_p90, round(q.lean_p95, 6) AS lean_p95, round(q.lean_p99, 6) AS lean_p99, m.* FROM (SELECT round(avg(nullif(rpm, 0.0)), 6) AS rpm_mean, round(avg(nullif(speed, 0.0)), 6) AS speed_mean, max(nullif(gear, 0)) AS max_gear, CAST(count(*) AS BIGINT) AS n_points FROM {{steps}} WHERE {RIDER}) m LEFT JOIN {{rider_quantiles}} q ON TRUE",
+    oracle=f"SELECT round(PCTL(abs(lean), 0.90), 6) AS lean_p90, round(PCTL(abs(lean), 0.95), 6) AS lean_p95, round(PCTL(abs(lean), 0.99), 6) AS lean_p99, round(avg(nullif(rpm, 0.0)), 6) AS rpm_mean, round(avg(nullif(speed, 0.0)), 6) AS speed_mean, max(nullif(gear, 0)) AS max_gear, CAST(count(*) AS BIGINT) AS n_points FROM {{steps}} WHERE {RIDER}")
 
 
 def ranked(q: float, n: str = "n", even: bool = True) -> str:
@@ -108,8 +125,9 @@ add("cell_samples", f"SELECT *, {geo.packed('lat', 'lon')} AS code, CASE WHEN sp
 global_pick("region_speed", "cell_samples", "spd", "event_id", ranked(0.5), "region", 4.0, "spd > 0", "40.0")
 add("cell_edges", "SELECT code_a AS a, code_b AS b, CAST(count(DISTINCT trip) AS BIGINT) AS n_trips, avg(gap) AS gap_m, avg(dt / 1000.0) AS secs FROM (SELECT *, p_cy * 262144 + p_cx AS code_a, cy * 262144 + cx AS code_b FROM {gaps} WHERE fate = 'kept') GROUP BY code_a, code_b HAVING count(DISTINCT trip) >= 2", query=False)
 add("live", "SELECT DISTINCT code FROM (SELECT a AS code FROM {cell_edges} UNION ALL SELECT b FROM {cell_edges})", query=False)
-add("cell_lean", f"SELECT code, {picked('l', 0.5)} AS lean_p50, {picked('l', 0.9)} AS lean_p90, {picked('l', 0.95)} AS lean_p95 FROM (SELECT code, abs(lean) AS l, row_number() OVER (PARTITION BY code ORDER BY abs(lean), event_id) AS r, count(*) OVER (PARTITION BY code) AS n FROM {{cell_samples}}) GROUP BY code", query=False)
-add("cell_speed", f"SELECT code, {picked('spd', 0.5)} AS speed_med, {picked('spd', 0.85)} AS speed_p85 FROM (SELECT code, spd, row_number() OVER (PARTITION BY code ORDER BY spd, event_id) AS r, count(*) OVER (PARTITION BY code) AS n FROM {{cell_samples}} WHERE spd > 0) GROUP BY code", query=False)
+group_quantiles("cell_values", "cell_samples", {"code": "code"}, {"lean": "abs(lean)", "speed": "CASE WHEN spd > 0 THEN spd END"}, {"lean_p50": ("lean", 0.5, "even"), "lean_p90": ("lean", 0.9, "even"), "lean_p95": ("lean", 0.95, "even"), "speed_med": ("speed", 0.5, "even"), "speed_p85": ("speed", 0.85, "even")})
+add("cell_lean", "SELECT code, lean_p50, lean_p90, lean_p95 FROM {cell_values}", query=False, oracle=f"SELECT code, {picked('l', 0.5)} AS lean_p50, {picked('l', 0.9)} AS lean_p90, {picked('l', 0.95)} AS lean_p95 FROM (SELECT code, abs(lean) AS l, row_number() OVER (PARTITION BY code ORDER BY abs(lean), event_id) AS r, count(*) OVER (PARTITION BY code) AS n FROM {{cell_samples}}) GROUP BY code")
+add("cell_speed", "SELECT code, speed_med, speed_p85 FROM {cell_values} WHERE speed_med IS NOT NULL", query=False, oracle=f"SELECT code, {picked('spd', 0.5)} AS speed_med, {picked('spd', 0.85)} AS speed_p85 FROM (SELECT code, spd, row_number() OVER (PARTITION BY code ORDER BY spd, event_id) AS r, count(*) OVER (PARTITION BY code) AS n FROM {{cell_samples}} WHERE spd > 0) GROUP BY code")
 _cc = geo.tile_centre(f"(c.code % {N})", f"floor(c.code / {N}.0)")
 add("cells", f"""SELECT c.code, {_cc[0]} AS lat, {_cc[1]} AS lon, c.n, c.n_trips, l.lean_p50, l.lean_p90, l.lean_p95, coalesce(s.speed_med, r.region) AS speed_med, coalesce(s.speed_p85, r.region) AS speed_p85, c.elev_m, c.abs_rate, c.decel_rate, c.throttle
 FROM (SELECT code, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT trip) AS BIGINT) AS n_trips, avg(nullif(elev, 0.0)) AS elev_m, avg(CASE WHEN absb >= 2 THEN 1.0 ELSE 0.0 END) AS abs_rate, avg(CASE WHEN acc < -0.25 THEN 1.0 ELSE 0.0 END) AS decel_rate, avg(throttle) AS throttle FROM {{cell_samples}} GROUP BY code) c

@@ -44,18 +44,89 @@ def main_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top.select("component")), "component", "left_semi").select("node")
 
 
-def chains(seg: DataFrame) -> DataFrame:
-    """Segments joined through nodes of degree two: chain (its smallest segment), segments, length_m, n_trips (the most)."""
-    ends = seg.select(F.col("node_a").alias("node"), "seg_id").unionByName(seg.select(F.col("node_b").alias("node"), "seg_id"))
-    joints = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("seg_id").alias("a"), F.max("seg_id").alias("b")).where("n = 2 AND a <> b")
-    labels = components(joints.select("a", "b")).withColumnRenamed("node", "seg_id")
-    named = seg.join(labels, "seg_id", "left").withColumn("chain", F.coalesce("component", "seg_id"))
-    return named.groupBy("chain").agg(F.count("*").alias("segments"), F.round(F.sum("length_m"), 3).alias("length_m"), F.max("n_trips").alias("n_trips"))
+def _followed(arcs: DataFrame, rounds: int) -> DataFrame:
+    """arc, low, last, hops, nxt for arcs (arc, seg_id, nxt): each list followed to its end by pointer doubling.
+
+    A round replaces each pointer by its target's, so that lists of n arcs take about log2(n) rounds; arcs that reached their
+    end rest. ``low`` is the smallest segment on the way; arcs of rings keep a pointer after all rounds."""
+    state = cut(arcs.select("arc", F.col("seg_id").alias("low"), F.col("arc").alias("last"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long").alias("hops"), "nxt"))
+    for _ in range(rounds):
+        if state.where("nxt IS NOT NULL").isEmpty():
+            break
+        ahead = state.select(F.col("arc").alias("nxt"), F.col("low").alias("low_"), F.col("last").alias("last_"), F.col("hops").alias("hops_"), F.col("nxt").alias("nxt_"))
+        moved = state.where("nxt IS NOT NULL").join(ahead, "nxt").select("arc", F.least("low", "low_").alias("low"), F.col("last_").alias("last"), (F.col("hops") + F.col("hops_")).alias("hops"), F.col("nxt_").alias("nxt"))
+        state = cut(state.where("nxt IS NULL").unionByName(moved))
+    return state
+
+
+def ordered_chains(seg: DataFrame) -> DataFrame:
+    """seg_id, chain (its smallest segment), position (from 0), forward, segments, ring for segments (seg_id, node_a, node_b).
+
+    A chain runs through nodes at which exactly two ends of different segments meet. It starts at its end with the smaller
+    node, or the smaller segment if both ends are one node, and ``forward`` says whether a segment is passed from its
+    node_a. Rings have no end: each is opened at its smallest node and goes on with the smaller of the two segments there.
+
+    Both directions of a segment are arcs of opposite lists, ranked by pointer doubling; only segments that rounds haven't
+    brought to an end, the rings, are ranked a second time."""
+    ends = seg.select("seg_id", F.col("node_a").alias("node"), F.lit(0).alias("side")).unionByName(seg.select("seg_id", F.col("node_b").alias("node"), F.lit(1).alias("side")))
+    end = F.struct("seg_id", "side")
+    joints = ends.groupBy("node").agg(F.count("*").alias("n"), F.min(end).alias("x"), F.max(end).alias("y")).where("n = 2 AND x.seg_id <> y.seg_id")
+    # an arc is twice its segment, and one more if it runs to node_a; at a joint it goes on with the other segment, away from there
+    turn = lambda a, b: joints.select((2 * F.col(f"{a}.seg_id") + 1 - F.col(f"{a}.side")).alias("arc"), (2 * F.col(f"{b}.seg_id") + F.col(f"{b}.side")).alias("nxt"), "node")
+    follows = cut(turn("x", "y").unionByName(turn("y", "x")))
+    arcs = seg.select("seg_id", F.explode(F.array(2 * F.col("seg_id"), 2 * F.col("seg_id") + 1)).alias("arc"))
+    rounds = max(1, int(seg.count() * 2).bit_length() + 1)
+    ranked = _followed(arcs.join(follows, "arc", "left"), rounds)
+    rings = ranked.where("nxt IS NOT NULL").select("arc", "low")
+    opened = seg.limit(0).select("seg_id", F.lit(0).cast("long").alias("arc"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("nxt"))
+    if not rings.isEmpty():
+        own = rings.join(follows, "arc")  # after so many rounds, low is the ring's smallest segment
+        first = own.groupBy("low").agg(F.min("node").alias("node"))
+        open_at = first.join(joints, "node").select("low", "node", F.col("x.seg_id").alias("seg_id"), F.col("x.side").alias("side"))
+        start = open_at.select((2 * F.col("seg_id") + F.col("side")).alias("start"), "low")
+        marked = own.join(F.broadcast(first.withColumnRenamed("node", "open")) if first.count() < 100_000 else first.withColumnRenamed("node", "open"), "low")
+        lists = marked.select("arc", F.shiftright("arc", 1).alias("seg_id"), F.when(F.col("node") != F.col("open"), F.col("nxt")).alias("nxt"))
+        again = _followed(lists, rounds)
+        # of the two directions of a ring, that which leaves its node by the smaller segment
+        size = again.join(start, again.arc == start.start).select(F.col("last").alias("last"))
+        opened = again.join(size, "last", "left_semi").select(F.shiftright("arc", 1).alias("seg_id"), "arc", "low", "last", "hops", "nxt")
+    tail = ranked.where("nxt IS NULL").select(F.shiftright("arc", 1).alias("seg_id"), F.when(F.col("arc") % 2 == 0, "f").otherwise("b").alias("way"), F.struct("low", "last", "hops").alias("to"))
+    both = tail.groupBy("seg_id").agg(F.max(F.when(F.col("way") == "f", F.col("to"))).alias("f"), F.max(F.when(F.col("way") == "b", F.col("to"))).alias("b")).where("f IS NOT NULL AND b IS NOT NULL")
+    heads = ends.select((2 * F.col("seg_id") + 1 - F.col("side")).alias("last"), "node")
+    both = both.join(heads.withColumnsRenamed({"last": "f_last", "node": "f_node"}), F.col("f.last") == F.col("f_last")).join(heads.withColumnsRenamed({"last": "b_last", "node": "b_node"}), F.col("b.last") == F.col("b_last"))
+    ahead = F.struct("b_node", F.shiftright("b_last", 1), "b_last") <= F.struct("f_node", F.shiftright("f_last", 1), "f_last")
+    lines = both.select("seg_id", F.least("f.low", "b.low").alias("chain"), F.when(ahead, F.col("b.hops")).otherwise(F.col("f.hops")).alias("position"), ahead.alias("forward"), (F.col("f.hops") + F.col("b.hops") + 1).alias("segments"), F.lit(False).alias("ring"))
+    sizes = opened.groupBy("last").agg(F.min("low").alias("chain"), F.max("hops").alias("most"))
+    loops = opened.join(sizes, "last").select("seg_id", "chain", (F.col("most") - F.col("hops")).alias("position"), (F.col("arc") % 2 == 0).alias("forward"), (F.col("most") + 1).alias("segments"), F.lit(True).alias("ring"))
+    return lines.unionByName(loops)
+
+
+#: Figures of segments that add up along a chain, and those that are means over its points.
+CHAIN_SUMS, CHAIN_MEANS = ("n_points", "path_m"), ("lean_p95", "speed_mean", "band_share", "crawl_share", "rpm_mean", "elev_mean")
+
+
+def chains(seg: DataFrame, rings: str = "alone", least_m: float = 20.0) -> DataFrame:
+    """Chains with pooled figures: chain, segments, length_m, n_trips (the most: trips don't add up along a road), sums, and
+    means by points. Chains shorter than ``least_m`` are left out. ``rings``: ``alone`` keeps rings only in a network that has no end
+    or junction at all, and then the one with the smallest node; ``all`` keeps every ring."""
+    own = ordered_chains(seg)
+    if rings == "alone":
+        if own.where("NOT ring").isEmpty():
+            nodes = own.join(seg.select("seg_id", "node_a", "node_b"), "seg_id")
+            first = nodes.groupBy("chain").agg(F.min(F.least("node_a", "node_b")).alias("node")).orderBy("node").limit(1)
+            own = own.join(F.broadcast(first.select("chain")), "chain", "left_semi")
+        else:
+            own = own.where("NOT ring")
+    held = own.join(seg, "seg_id")
+    sums = [F.round(F.sum(c), 4).alias(c) for c in CHAIN_SUMS]
+    means = [F.round(F.coalesce(F.sum(F.col(c) * F.col("n_points")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("n_points"))), F.lit(0)), F.lit(0.0)), 6).alias(c) for c in CHAIN_MEANS]
+    out = held.groupBy("chain").agg(F.max("segments").alias("segments"), F.sum("length_m").alias("m"), F.max("n_trips").alias("n_trips"), *sums, *means)
+    return out.where(F.col("m") >= least_m).select("chain", "segments", F.round("m", 3).alias("length_m"), "n_trips", *CHAIN_SUMS, *CHAIN_MEANS)
 
 
 def flood(spark: SparkSession, arcs: DataFrame, start: int, limit: int = 100_000) -> DataFrame:
     """node, cost of the cheapest way from ``start`` over arcs (u, v, w) with positive weights: relaxation in rounds, each
-    from the nodes that got cheaper. For networks beyond what one task may hold; others take ``search``."""
+    from the nodes that got cheaper. It fails rather than return unsettled nodes after ``limit`` rounds."""
     best = cut(spark.createDataFrame([(start, 0.0)], "node long, cost double"))
     front = best
     for _ in range(limit):
@@ -65,4 +136,4 @@ def flood(spark: SparkSession, arcs: DataFrame, start: int, limit: int = 100_000
             return best
         best = cut(best.join(better.select("node"), "node", "left_anti").unionByName(better))
         front = better
-    return best
+    raise RuntimeError(f"nodes are not settled after {limit} rounds")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wayfold.functions import geo
 from wayfold.functions import scores as S
+from wayfold.plans.ranks import ranked_rows
 from wayfold.plans.relation import CATALOG
 
 add = CATALOG.add
@@ -22,7 +23,13 @@ add("snap_candidates", f"""SELECT cell, seg_id, k, min({geo.piece_distance('lat'
 (SELECT c.*, p.seg_id, p.k, p.p_lat, p.p_lon, p.q_lat, p.q_lon FROM (SELECT s.*, {_bx('lon')} + dx AS bx, {_by('lat')} + dy AS by_ FROM {{snap_points}} s CROSS JOIN {{nine}}) c
  JOIN {{y9_piece_index}} i ON i.bx = c.bx AND i.by_ = c.by_ JOIN {{pieces}} p ON p.seg_id = i.seg_id AND p.k = i.k)
 WHERE hdg IS NULL OR {geo.undirected('hdg', geo.bearing('p_lat', 'p_lon', 'q_lat', 'q_lon'))} <= 55.0 GROUP BY cell, seg_id, k""", query=False)
-add("snapped", "SELECT cell, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(d, 6), seg_id, k) AS r FROM {snap_candidates} WHERE d < 46.0) WHERE r = 1", query=False)
+# a road is listed, with its ends, in every bucket that its surroundings touch, so that each point meets one bucket
+_M = 46.0
+_wide = f"{_M} / ({geo.DEG_M} * greatest(0.01, cos(radians(greatest(abs(a_lat), abs(b_lat))))))"
+add("road_boxes", f"SELECT seg_id, a_lat, a_lon, b_lat, b_lon, bx, SERIES(y0, y1) AS by_ FROM (SELECT seg_id, a_lat, a_lon, b_lat, b_lon, y0, y1, SERIES(x0, x1) AS bx FROM (SELECT seg_id, a_lat, a_lon, b_lat, b_lon, {_by(f'(least(a_lat, b_lat) - {_M / geo.DEG_M!r})')} AS y0, {_by(f'(greatest(a_lat, b_lat) + {_M / geo.DEG_M!r})')} AS y1, {_bx(f'(least(a_lon, b_lon) - {_wide})')} AS x0, {_bx(f'(greatest(a_lon, b_lon) + {_wide})')} AS x1 FROM {{seg}}))", query=False)
+add("snapped", f"""SELECT cell, seg_id, d FROM (SELECT cell, seg_id, d, row_number() OVER (PARTITION BY cell ORDER BY round(d, 6), seg_id) AS r FROM (SELECT c.cell, r.seg_id, {geo.piece_distance('c.lat', 'c.lon', 'r.a_lat', 'r.a_lon', 'r.b_lat', 'r.b_lon')} AS d
+FROM {{snap_points}} c JOIN {{road_boxes}} r ON r.bx = {_bx('c.lon')} AND r.by_ = {_by('c.lat')} WHERE c.hdg IS NULL OR {geo.undirected('c.hdg', geo.bearing('r.a_lat', 'r.a_lon', 'r.b_lat', 'r.b_lon'))} <= 55.0) WHERE d < 46.0) WHERE r = 1""", query=False,
+    oracle="SELECT cell, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(d, 6), seg_id, k) AS r FROM {snap_candidates} WHERE d < 46.0) WHERE r = 1")
 add("j1_snap_cells", "SELECT cell, seg_id, round(d, 3) AS d FROM {snapped}")
 # the cells of a rider's trips, by their number of trips, meet the roads alike
 add("j2_snap_rider", "SELECT s.cell, s.seg_id, p.n_trips FROM {snapped} s JOIN {snap_points} p ON p.cell = s.cell WHERE p.n_trips > 0")
@@ -32,41 +39,49 @@ add("a11_snap_pooling", "SELECT seg_id, n_points, n_trips, round(path_m, 4) AS p
 add("a12_rates", "SELECT seg_id, round(lean_delta / greatest(path_m / 1000.0, 0.000001), 6) AS curviness, round(abs_events / greatest(path_m / 1000.0, 0.000001), 6) AS abs_rate FROM {snap_pool}")
 
 # --- nearest and range --------------------------------------------------------------------------------------------------------
-# Points are counted in squares of 13 sizes, each twice as wide as the one before. The smallest size at which the nine squares
-# around a probe hold a point bounds its distance; the nearest point then lies in the nine squares of that size or, if it is
-# farther than they surely reach, of one that reaches as far as the nearest point found so far.
-LEVELS = "SELECT l, power(2.0, l) * 0.02 AS w FROM (SELECT SERIES(0, 14) AS l)"
-add("widths", LEVELS, query=False)
-_gy, _gx = "CAST(floor({0}.lat / {1}.w) AS BIGINT)", "CAST(floor({0}.lon / {1}.w) AS BIGINT)"
+# Points on the unit sphere lie in cubes, each of which holds up to 64 of the next level; a cube carries one of its points. A probe
+# starts with all eight cubes of the first level and goes down: of a level's cubes it keeps those that can hold a nearer point
+# than the nearest one carried. So a probe meets a few cubes of each level, however many points they hold and wherever they
+# are: the poles and the date line are places like all others.
+LEVELS = 8
+_unit = lambda t: f"cos(radians({t}.lat)) * cos(radians({t}.lon)) AS x, cos(radians({t}.lat)) * sin(radians({t}.lon)) AS y, sin(radians({t}.lat)) AS z"
+_cube = lambda v, k: f"CAST(floor(({v} + 1.0) * {4**k / 2}) AS BIGINT)"
+#: Beyond what rounding moves a distance on the unit sphere.
+SLACK = "0.000000000001"
 
 
 def nearest(name: str, probes: str, points: str, key: str, where: str = "TRUE", shown: str = "round(d, 3) AS d", query: bool = True) -> None:
     """The nearest point of each probe, at any distance; ties go to the smaller key. Probes: poi_id, lat, lon."""
     d = H("p.lat", "p.lon", "n.lat", "n.lon")
-    add(f"{name}_points", f"SELECT n.{key} AS id, n.lat, n.lon FROM {{{points}}} n WHERE {where}", query=False)
-    add(f"{name}_squares", f"SELECT l.l, {_gy.format('n', 'l')} AS gy, {_gx.format('n', 'l')} AS gx FROM {{{name}_points}} n CROSS JOIN {{widths}} l GROUP BY ALL", query=False)
-    add(f"{name}_around", f"SELECT p.poi_id, p.lat, p.lon, l.l, l.w, {_gy.format('p', 'l')} + k.dy AS gy, {_gx.format('p', 'l')} + k.dx AS gx FROM {{{probes}}} p CROSS JOIN {{widths}} l CROSS JOIN {{nine}} k", query=False)
-    add(f"{name}_first", f"SELECT a.poi_id, min(a.l) AS l FROM {{{name}_around}} a JOIN {{{name}_squares}} s ON s.l = a.l AND s.gy = a.gy AND s.gx = a.gx GROUP BY a.poi_id", query=False)
-    add(f"{name}_placed", f"SELECT n.id, n.lat, n.lon, l.l, {_gy.format('n', 'l')} AS gy, {_gx.format('n', 'l')} AS gx FROM {{{name}_points}} n CROSS JOIN {{widths}} l", query=False)
-
-    def met(levels: str) -> str:
-        return f"SELECT p.poi_id, p.l, p.w, p.lat, n.id, {d} AS d FROM {{{name}_around}} p JOIN {{{levels}}} f ON f.poi_id = p.poi_id AND f.l = p.l JOIN {{{name}_placed}} n ON n.l = p.l AND n.gy = p.gy AND n.gx = p.gx"
-
-    # what the nine squares surely reach: a square's width, shorter along the parallel towards the pole
-    reach = "111000.0 * w * greatest(0.01, cos(radians(least(89.0, abs(lat) + w))))"
-    add(f"{name}_bound", f"SELECT poi_id, min(l.l) AS l FROM (SELECT poi_id, lat, min(d) AS d FROM ({met(f'{name}_first')}) GROUP BY poi_id, lat) b JOIN {{widths}} l ON {reach} >= d OR l.l = 14 GROUP BY poi_id", query=False)
-    add(f"{name}_level", f"SELECT f.poi_id, greatest(f.l, b.l) AS l FROM {{{name}_first}} f JOIN {{{name}_bound}} b ON b.poi_id = f.poi_id", query=False)
+    add(f"{name}_points", f"SELECT q.*, {', '.join(f'{_cube(v, LEVELS)} AS c{v}' for v in 'xyz')} FROM (SELECT n.{key} AS id, n.lat, n.lon, {_unit('n')} FROM {{{points}}} n WHERE {where}) q", query=False)
+    finer = f"{name}_points"
+    for k in range(LEVELS, -1, -1):
+        up = [f"c{v} AS c{v}" if k == LEVELS else f"CAST(floor(c{v} / 4.0) AS BIGINT) AS c{v}" for v in "xyz"]
+        add(f"{name}_cubes_{k}", f"SELECT cx, cy, cz, CAST(floor(cx / 4.0) AS BIGINT) AS ux, CAST(floor(cy / 4.0) AS BIGINT) AS uy, CAST(floor(cz / 4.0) AS BIGINT) AS uz, min(id) AS id, MINBY(x, id) AS x, MINBY(y, id) AS y, MINBY(z, id) AS z FROM (SELECT {', '.join(up)}, id, x, y, z FROM {{{finer}}}) GROUP BY cx, cy, cz", query=False)
+        finer = f"{name}_cubes_{k}"
+    add(f"{name}_probes", f"SELECT p.poi_id, p.lat, p.lon, {_unit('p')} FROM {{{probes}}} p", query=False)
+    for k in range(LEVELS + 1):
+        w = 2 / 4**k
+        out = lambda v: f"greatest(0.0, greatest(c.c{v} * {w!r} - 1.0 - p.{v}, p.{v} - ((c.c{v} + 1) * {w!r} - 1.0)))"
+        least = f"sqrt({' + '.join(f'power({out(v)}, 2)' for v in 'xyz')}) AS least"
+        carried = f"sqrt({' + '.join(f'power(c.{v} - p.{v}, 2)' for v in 'xyz')}) AS carried"
+        source = f"{{{name}_probes}} p CROSS JOIN {{{name}_cubes_0}} c" if k == 0 else f"{{{name}_kept_{k - 1}}} p JOIN {{{name}_cubes_{k}}} c ON c.ux = p.cx AND c.uy = p.cy AND c.uz = p.cz"
+        add(f"{name}_kept_{k}", f"SELECT poi_id, lat, lon, x, y, z, cx, cy, cz FROM (SELECT *, min(carried) OVER (PARTITION BY poi_id) AS best FROM (SELECT p.poi_id, p.lat, p.lon, p.x, p.y, p.z, c.cx, c.cy, c.cz, {least}, {carried} FROM {source})) WHERE least <= best + {SLACK}", query=False)
     full = f"SELECT poi_id, id AS {key}, {shown} FROM (SELECT p.poi_id, n.{key} AS id, {d} AS d, row_number() OVER (PARTITION BY p.poi_id ORDER BY round({d}, 6), n.{key}) AS r FROM {{{probes}}} p CROSS JOIN {{{points}}} n WHERE {where}) WHERE r = 1"
-    add(name, f"SELECT poi_id, id AS {key}, {shown} FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(d, 6), id) AS r FROM ({met(f'{name}_level')})) WHERE r = 1", query, oracle=full)
+    add(name, f"SELECT poi_id, id AS {key}, {shown} FROM (SELECT p.poi_id, n.id, {d} AS d, row_number() OVER (PARTITION BY p.poi_id ORDER BY round({d}, 6), n.id) AS r FROM {{{name}_kept_{LEVELS}}} p JOIN {{{name}_points}} n ON n.cx = p.cx AND n.cy = p.cy AND n.cz = p.cz) WHERE r = 1", query, oracle=full)
 
 
 add("main_nodes", "SELECT n.node, n.lat, n.lon, d.degree FROM {node} n JOIN {degree} d ON d.node = n.node", query=False)
 nearest("j9_nearest_node", "poi", "main_nodes", "node")
 nearest("j7_nearest_junction", "poi", "main_nodes", "node", "n.degree >= 3")
 nearest("j8_nearest_cell", "poi", "cells", "code")
-add("j10_box_range", "SELECT p.poi_id, CAST(count(n.node) AS BIGINT) AS n FROM (SELECT *, CAST(floor(lat / 0.02) AS BIGINT) AS gy, CAST(floor(lon / 0.02) AS BIGINT) AS gx FROM {poi}) p CROSS JOIN {nine} k JOIN {node} n ON CAST(floor(n.lat / 0.02) AS BIGINT) = p.gy + k.dy AND CAST(floor(n.lon / 0.02) AS BIGINT) = p.gx + k.dx WHERE n.lat BETWEEN p.lat - 0.01 AND p.lat + 0.01 AND n.lon BETWEEN p.lon - 0.015 AND p.lon + 0.015 GROUP BY p.poi_id")
+add("box_counts", "SELECT p.poi_id, CAST(count(n.node) AS BIGINT) AS n FROM (SELECT *, CAST(floor(lat / 0.02) AS BIGINT) AS gy, CAST(floor(lon / 0.02) AS BIGINT) AS gx FROM {poi}) p CROSS JOIN {nine} k JOIN {node} n ON CAST(floor(n.lat / 0.02) AS BIGINT) = p.gy + k.dy AND CAST(floor(n.lon / 0.02) AS BIGINT) = p.gx + k.dx WHERE n.lat BETWEEN p.lat - 0.01 AND p.lat + 0.01 AND n.lon BETWEEN p.lon - 0.015 AND p.lon + 0.015 GROUP BY p.poi_id", query=False)
+add("j10_box_range", "SELECT p.poi_id, coalesce(b.n, CAST(0 AS BIGINT)) AS n FROM {poi} p LEFT JOIN {box_counts} b ON b.poi_id = p.poi_id",
+    oracle="SELECT p.poi_id, count(n.node) AS n FROM {poi} p LEFT JOIN {node} n ON n.lat BETWEEN p.lat - 0.01 AND p.lat + 0.01 AND n.lon BETWEEN p.lon - 0.015 AND p.lon + 0.015 GROUP BY p.poi_id")
 add("viewpoint_ok", "SELECT p.poi_id, p.lat, p.lon, p.name, n.node, n.d FROM {poi} p JOIN {j9_nearest_node} n ON n.poi_id = p.poi_id WHERE p.kind = 'viewpoint' AND n.d <= 700.0", query=False)
-add("lake_targets", f"SELECT poi_id, target FROM (SELECT l.poi_id, v.poi_id AS target, row_number() OVER (PARTITION BY l.poi_id ORDER BY round({H('l.lat', 'l.lon', 'v.lat', 'v.lon')}, 6), v.poi_id) AS r FROM {{poi}} l JOIN {{viewpoint_ok}} v ON v.lat BETWEEN l.lat - 0.08 AND l.lat + 0.08 AND CAST(floor(v.lat / 0.08) AS BIGINT) BETWEEN CAST(floor(l.lat / 0.08) AS BIGINT) - 1 AND CAST(floor(l.lat / 0.08) AS BIGINT) + 1 WHERE l.kind = 'lake' AND {H('l.lat', 'l.lon', 'v.lat', 'v.lon')} <= 8000.0) WHERE r = 1", query=False)
+_by8, _bx8 = "CAST(floor({0}.lat / 0.08) AS BIGINT)", "CAST(floor({0}.lon / 0.13) AS BIGINT)"
+add("lake_targets", f"SELECT poi_id, target FROM (SELECT l.poi_id, v.poi_id AS target, row_number() OVER (PARTITION BY l.poi_id ORDER BY round({H('l.lat', 'l.lon', 'v.lat', 'v.lon')}, 6), v.poi_id) AS r FROM (SELECT q.poi_id, q.lat, q.lon, {_by8.format('q')} + k.dy AS gy, {_bx8.format('q')} + k.dx AS gx FROM {{poi}} q CROSS JOIN {{nine}} k WHERE q.kind = 'lake') l JOIN {{viewpoint_ok}} v ON {_by8.format('v')} = l.gy AND {_bx8.format('v')} = l.gx WHERE {H('l.lat', 'l.lon', 'v.lat', 'v.lon')} <= 8000.0) WHERE r = 1", query=False,
+    oracle=f"SELECT poi_id, target FROM (SELECT l.poi_id, v.poi_id AS target, row_number() OVER (PARTITION BY l.poi_id ORDER BY round({H('l.lat', 'l.lon', 'v.lat', 'v.lon')}, 6), v.poi_id) AS r FROM {{poi}} l, {{viewpoint_ok}} v WHERE l.kind = 'lake' AND {H('l.lat', 'l.lon', 'v.lat', 'v.lon')} <= 8000) WHERE r = 1")
 add("poi_roads", "SELECT p.poi_id, p.name, p.kind, p.weight, p.ele, coalesce(t.target, p.poi_id) AS target, n.node, n.d AS snap_m, m.lat, m.lon FROM {poi} p LEFT JOIN {lake_targets} t ON t.poi_id = p.poi_id JOIN {j9_nearest_node} n ON n.poi_id = coalesce(t.target, p.poi_id) JOIN {node} m ON m.node = n.node WHERE n.d <= 2500.0", query=False)
 add("j11_poi_roads", "SELECT poi_id, target, node, snap_m FROM {poi_roads}")
 # every third point of a route, which is the operator's own stride; the first is always one
@@ -96,8 +111,15 @@ _ten = lambda x: f"greatest(1.0, least(10.0, 1.0 + 9.0 * ({x})))"
 add("poi_scores", f"SELECT *, {_ten(_a)} AS aff_a, {_ten(_b)} AS aff_b, {_ten(_c)} AS aff_c, {_ten(f'0.58 * {_kind(1.0, .84, .96, .90, .6)} + 0.27 * scenery + 0.15 * rural')} AS objective FROM {{poi_terms}}", query=False)
 add("f42_affinity", "SELECT poi_id, round(aff_a, 5) AS a, round(aff_b, 5) AS b, round(aff_c, 5) AS c FROM {poi_scores}")
 add("f43_objective", "SELECT poi_id, round(objective, 5) AS objective, round(0.65 * aff_a + 0.35 * objective, 5) AS cool_a, round(0.65 * aff_b + 0.35 * objective, 5) AS cool_b, round(0.65 * aff_c + 0.35 * objective, 5) AS cool_c FROM {poi_scores}")
-add("l7_poi_ranks", " UNION ALL ".join(f"SELECT poi_id, '{r.upper()}' AS rider, CAST(row_number() OVER (ORDER BY round(0.65 * aff_{r} + 0.35 * objective, 3) DESC, name, node, poi_id) AS BIGINT) AS rk FROM {{poi_scores}}" for r in "abc"))
+for _r in "abc":
+    ranked_rows(f"poi_ranks_{_r}", "poi_scores", f"round(0.65 * aff_{_r} + 0.35 * objective, 3)", "p.name, p.node, p.poi_id")
+add("l7_poi_ranks", " UNION ALL ".join(f"SELECT poi_id, '{r.upper()}' AS rider, rk FROM {{poi_ranks_{r}}}" for r in "abc"),
+    oracle=" UNION ALL ".join(f"SELECT poi_id, '{r.upper()}' AS rider, CAST(row_number() OVER (ORDER BY round(0.65 * aff_{r} + 0.35 * objective, 3) DESC, name, node, poi_id) AS BIGINT) AS rk FROM {{poi_scores}}" for r in "abc"))
+ranked_rows("curve_ranks", "poi_scores", "round(curve, 3)", "p.name, p.node, p.poi_id")
+ranked_rows("speed_ranks", "poi_scores", "round(kmh, 2)", "p.name, p.node, p.poi_id")
 add("l8_style_owner", """SELECT poi_id, cr, sr, CASE WHEN cr <= top AND (sr > top OR cr + margin < sr) THEN 'B' WHEN sr <= top AND (cr > top OR sr + margin < cr) THEN 'C' ELSE 'A' END AS owner FROM
+(SELECT c.poi_id, c.rk AS cr, s.rk AS sr, greatest(1, ceil(c.of * 0.30)) AS top, greatest(1, ceil(c.of * 0.05)) AS margin FROM {curve_ranks} c JOIN {speed_ranks} s ON s.poi_id = c.poi_id)""",
+    oracle="""SELECT poi_id, cr, sr, CASE WHEN cr <= top AND (sr > top OR cr + margin < sr) THEN 'B' WHEN sr <= top AND (cr > top OR sr + margin < cr) THEN 'C' ELSE 'A' END AS owner FROM
 (SELECT poi_id, CAST(row_number() OVER (ORDER BY round(curve, 3) DESC, name, node, poi_id) AS BIGINT) AS cr, CAST(row_number() OVER (ORDER BY round(kmh, 2) DESC, name, node, poi_id) AS BIGINT) AS sr, greatest(1, ceil(count(*) OVER () * 0.30)) AS top, greatest(1, ceil(count(*) OVER () * 0.05)) AS margin FROM {poi_scores})""")
 # spots of one owner within 12 km of each other, targets in squares of that size
 add("spots", "SELECT p.poi_id, p.aff_a, p.aff_b, p.aff_c, p.objective, p.node, p.weight, o.owner, t.lat, t.lon FROM {poi_scores} p JOIN {l8_style_owner} o ON o.poi_id = p.poi_id JOIN {poi} t ON t.poi_id = p.target", query=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions import column
+from wayfold.functions import column, geo
 from wayfold.functions import scores as S
 from wayfold.operators import graph, search
 from wayfold.plans.relation import CATALOG
@@ -68,8 +68,56 @@ def r1_main_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.main_component(seg.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridden segments, with a ring of four beside them for every fortieth node."""
+    seg = _seg(spark, sf_dir, "seg").where("n_trips >= 6").select("seg_id", "node_a", "node_b", "length_m", "n_trips", (F.col("n_trips") * 3 + 1).alias("n_points"), (F.col("length_m") * F.col("n_trips")).alias("path_m"), *graph.CHAIN_MEANS)
+    k, i = F.col("node"), F.col("i")
+    ring = _seg(spark, sf_dir, "node").where("node % 40 = 7").select("node", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    at = lambda x: 10_000_000 + 4 * k + (x * 3 + k) % 4
+    loop = ring.select((10_000_000 + 4 * k + (i * 7 + k) % 4).cast("long").alias("seg_id"), at(i).cast("long").alias("node_a"), at((i + 1) % 4).cast("long").alias("node_b"), F.lit(10.0).alias("length_m"), F.lit(1).cast(seg.schema["n_trips"].dataType).alias("n_trips"), F.lit(1).cast(seg.schema["n_points"].dataType).alias("n_points"), F.lit(5.0).alias("path_m"), *[F.lit(0.5).alias(c) for c in graph.CHAIN_MEANS])
+    return seg.unionByName(loop)
+
+
 def r2_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.chains(_seg(spark, sf_dir, "seg").where("n_trips >= 6"))
+    """Pooled chains; the rings beside are left out, as there are junctions."""
+    return graph.chains(_chained(spark, sf_dir))
+
+
+def r2_chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's chain, place and direction."""
+    return graph.ordered_chains(_chained(spark, sf_dir))
+
+
+def nearest_in_main_component(spark: SparkSession, probes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """poi_id, node, d: the nearest node of each probe that lies in the network's main component."""
+    main = nodes.join(graph.main_component(edges), "node", "left_semi").withColumn("degree", F.lit(3))
+    return CATALOG.build("j9_nearest_node", spark, "", {"poi": probes, "main_nodes": main})
+
+
+def j11_main_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of interest and their roads where ridden roads alone are the network: in pieces, of which only the main one counts."""
+    seg = _seg(spark, sf_dir, "seg").where("n_trips >= 6")
+    edges = seg.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return nearest_in_main_component(spark, _seg(spark, sf_dir, "poi"), _seg(spark, sf_dir, "node"), edges)
+
+
+def k2_turn_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs from one directed road over the turn-expanded graph, by rounds of joins: a turn's cost is its road's and its own."""
+    arcs = _seg(spark, sf_dir, "turn_arcs").select(F.col("from_arc").alias("u"), F.col("to_arc").alias("v"), (F.col("seconds") + F.col("turn_s")).alias("w"))
+    return graph.flood(spark, arcs, 2).select(F.col("node").alias("arc"), F.round("cost", 4).alias("cost"))
+
+
+def k2_turn_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed roads that turns connect."""
+    arcs = _seg(spark, sf_dir, "turn_arcs").select(F.col("from_arc").alias("a"), F.col("to_arc").alias("b"))
+    return graph.components(arcs)
+
+
+def r3_flood_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs from a node over the whole lattice, by rounds of joins."""
+    seg = _seg(spark, sf_dir, "seg")
+    arcs = seg.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"), F.col("length_m").alias("w"))
+    return graph.flood(spark, arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), 0)
 
 
 def r3_shortest_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +215,7 @@ def l6_distinct_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.groupBy("request", "label").agg(F.count("*").alias("segments"), F.max("km").alias("km"), F.max("value").alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (r1_components, r1_main_component, r2_chains, r3_shortest_costs, r3_junction_costs, r4_budget_flood, r5_reuse_costs, r6_paths, r7_fixed_alphas, r8_motorway_free, r9_time_budget, r9_cell_budget, r10_round_trip, r11_cell_joyride, r12_road_joyride, r13_alternatives, r14_heatmap, r15_scenic_loop, r18_fallback, l6_distinct_routes)}
+QUERIES = {f.__name__: f for f in (r1_components, r1_main_component, r2_chains, r2_chain_order, j11_main_roads, k2_turn_costs, k2_turn_components, r3_flood_costs, r3_shortest_costs, r3_junction_costs, r4_budget_flood, r5_reuse_costs, r6_paths, r7_fixed_alphas, r8_motorway_free, r9_time_budget, r9_cell_budget, r10_round_trip, r11_cell_joyride, r12_road_joyride, r13_alternatives, r14_heatmap, r15_scenic_loop, r18_fallback, l6_distinct_routes)}
 
 
 def oracles() -> dict[str, str]:
@@ -178,15 +226,24 @@ c(node, component) USING KEY (node) AS (
   SELECT node, min(node) FROM (SELECT a AS node FROM e) GROUP BY node
   UNION SELECT e.b, min(c.component) FROM c JOIN e ON e.a = c.node JOIN recurring.c AS r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b)
 """
-    chains = f"""WITH RECURSIVE s AS (SELECT * FROM ({seg}) WHERE n_trips >= 6),
-x AS (SELECT node_a AS node, seg_id FROM s UNION ALL SELECT node_b, seg_id FROM s),
-j AS (SELECT min(seg_id) AS a, max(seg_id) AS b FROM x GROUP BY node HAVING count(*) = 2 AND min(seg_id) <> max(seg_id)),
-e AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
-c(seg_id, chain) USING KEY (seg_id) AS (
-  SELECT seg_id, seg_id FROM s
-  UNION SELECT e.b, min(c.chain) FROM c JOIN e ON e.a = c.seg_id JOIN recurring.c AS r ON r.seg_id = e.b WHERE c.chain < r.chain GROUP BY e.b)
-SELECT chain, count(*) AS segments, round(sum(length_m), 3) AS length_m, max(n_trips) AS n_trips FROM s JOIN c USING (seg_id) GROUP BY chain
+    walk = f"""WITH RECURSIVE r AS (SELECT node, unnest([0, 1, 2, 3]) AS i FROM ({CATALOG.oracle("node")}) WHERE node % 40 = 7),
+s AS (SELECT seg_id, node_a, node_b, length_m, n_trips, n_trips * 3 + 1 AS n_points, length_m * n_trips AS path_m, lean_p95, speed_mean, band_share, crawl_share, rpm_mean, elev_mean FROM ({seg}) WHERE n_trips >= 6
+  UNION ALL SELECT 10000000 + 4 * node + (i * 7 + node) % 4, 10000000 + 4 * node + (i * 3 + node) % 4, 10000000 + 4 * node + ((i + 1) % 4 * 3 + node) % 4, 10, 1, 1, 5, .5, .5, .5, .5, .5, .5 FROM r),
+x AS (SELECT seg_id, node_a AS node, node_b AS other, true AS ahead FROM s UNION ALL SELECT seg_id, node_b, node_a, false FROM s),
+meet AS (SELECT node, count(*) = 2 AND min(seg_id) <> max(seg_id) AS joint FROM x GROUP BY node),
+loose AS (SELECT x.* FROM x JOIN meet USING (node) WHERE NOT joint),
+w AS (SELECT node AS from_node, seg_id AS from_seg, ahead AS from_ahead, seg_id, other AS tip, ahead, 0::BIGINT AS position FROM loose
+  UNION ALL SELECT from_node, from_seg, from_ahead, x.seg_id, x.other, x.ahead, position + 1 FROM w JOIN meet m ON m.node = w.tip AND m.joint JOIN x ON x.node = w.tip AND x.seg_id <> w.seg_id),
+whole AS (SELECT *, count(*) OVER q AS segments, min(seg_id) OVER q AS chain, last_value(tip) OVER (q ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS to_node, last_value(seg_id) OVER (q ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS to_seg, last_value(ahead) OVER (q ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS to_ahead FROM w WINDOW q AS (PARTITION BY from_node, from_seg, from_ahead)),
+lines AS (SELECT seg_id, chain, position, ahead AS forward, segments, false AS ring FROM whole WHERE (from_node, from_seg, from_ahead::INT) <= (to_node, to_seg, (NOT to_ahead)::INT)),
+circle AS (SELECT * FROM x WHERE seg_id NOT IN (SELECT seg_id FROM lines)),
+around(start, first, seg_id, tip, ahead, position, low) AS (SELECT node, seg_id, seg_id, other, ahead, 0::BIGINT, node FROM circle
+  UNION ALL SELECT start, first, c.seg_id, c.other, c.ahead, position + 1, least(low, c.node) FROM around a JOIN circle c ON c.node = a.tip AND c.seg_id <> a.seg_id WHERE a.tip <> a.start),
+closed AS (SELECT start, first FROM around WHERE tip = start AND low = start QUALIFY first = min(first) OVER (PARTITION BY start)),
+loops AS (SELECT seg_id, min(seg_id) OVER (PARTITION BY start) AS chain, position, ahead AS forward, count(*) OVER (PARTITION BY start) AS segments, true AS ring FROM around SEMI JOIN closed USING (start, first))
 """
+    chains = walk + """SELECT chain, any_value(segments) AS segments, round(sum(length_m), 3) AS length_m, max(n_trips) AS n_trips, round(sum(n_points), 4) AS n_points, round(sum(path_m), 4) AS path_m,
+ """ + ", ".join(f"round(coalesce(sum({c} * n_points) / sum(n_points) FILTER ({c} IS NOT NULL), 0), 6) AS {c}" for c in graph.CHAIN_MEANS) + " FROM lines JOIN s USING (seg_id) GROUP BY chain HAVING sum(length_m) >= 20"
     costs = f"""WITH RECURSIVE s AS ({seg}),
 e AS (SELECT node_a AS a, node_b AS b, length_m AS w FROM s UNION ALL SELECT node_b, node_a, length_m FROM s),
 d(node, cost) USING KEY (node) AS (
@@ -198,5 +255,21 @@ SELECT node, cost FROM d
         "r1_components": closure + "SELECT node, component FROM c",
         "r1_main_component": closure + "SELECT node FROM c WHERE component = (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)",
         "r2_chains": chains,
+        "r2_chain_order": walk + "SELECT seg_id, chain, position, forward, segments, ring FROM lines UNION ALL SELECT seg_id, chain, position, forward, segments, ring FROM loops",
+        "r3_flood_costs": costs,
+        "j11_main_roads": closure.rstrip() + f""", m AS (SELECT node FROM c WHERE component = (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)),
+d AS (SELECT p.poi_id, n.node, {geo.haversine("p.lat", "p.lon", "n.lat", "n.lon")} AS d FROM ({CATALOG.oracle("poi")}) p, ({CATALOG.oracle("node")}) n SEMI JOIN m ON m.node = n.node)
+SELECT poi_id, node, round(d, 3) AS d FROM d QUALIFY row_number() OVER (PARTITION BY poi_id ORDER BY round(d, 6), node) = 1""",
+        "k2_turn_costs": f"""WITH RECURSIVE t AS (SELECT from_arc AS a, to_arc AS b, seconds + turn_s AS w FROM ({CATALOG.oracle("turn_arcs")})),
+d(node, cost) USING KEY (node) AS (
+  SELECT 2::BIGINT, 0::DOUBLE
+  UNION SELECT t.b, min(d.cost + t.w) FROM d JOIN t ON t.a = d.node LEFT JOIN recurring.d AS r ON r.node = t.b WHERE r.cost IS NULL OR d.cost + t.w < r.cost GROUP BY t.b)
+SELECT node AS arc, round(cost, 4) AS cost FROM d""",
+        "k2_turn_components": f"""WITH RECURSIVE t AS (SELECT from_arc AS a, to_arc AS b FROM ({CATALOG.oracle("turn_arcs")}) WHERE from_arc <> to_arc),
+e AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t),
+c(node, component) USING KEY (node) AS (
+  SELECT a, min(a) FROM e GROUP BY a
+  UNION SELECT e.b, min(c.component) FROM c JOIN e ON e.a = c.node JOIN recurring.c AS r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b)
+SELECT node, component FROM c""",
         "r3_shortest_costs": costs,
     }

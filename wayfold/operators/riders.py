@@ -64,7 +64,11 @@ add("j4_rider_vs_crowd", "SELECT cell, round(ratio, 6) AS ratio FROM {style_rati
 global_pick("style_median", "style_ratios", "ratio", "cell", "(CAST(floor(n / 2.0) AS BIGINT) + 1)", "style_ratio", 50.0, "TRUE", "0.9")
 add("style", "SELECT m.style_ratio, n.basis FROM {style_median} m CROSS JOIN (SELECT CAST(count(*) AS BIGINT) AS basis FROM {style_ratios}) n", query=False)
 add("a10_style_ratio", "SELECT round(style_ratio, 6) AS style_ratio, basis FROM {style}")
-add("rider_curves", f"SELECT min(CASE WHEN acc >= 0.9 * total THEN curviness END) AS rider_p90 FROM (SELECT s.curviness, sum(r.metres) OVER (ORDER BY s.curviness, s.seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc, sum(r.metres) OVER () AS total FROM {{rider_segments}} r JOIN {{seg}} s ON s.seg_id = r.seg_id WHERE r.metres > 0)", query=False)
+# the first curviness up to which nine tenths of the rider's metres lie: ranges of one, then the values of a range
+add("rider_curve_values", "SELECT s.curviness AS v, CAST(floor(s.curviness) AS BIGINT) AS b, sum(r.metres) AS m FROM {rider_segments} r JOIN {seg} s ON s.seg_id = r.seg_id WHERE r.metres > 0 GROUP BY s.curviness", query=False)
+add("rider_curve_ranges", "SELECT b, upto - m AS since, total FROM (SELECT b, m, sum(m) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(m) OVER () AS total FROM (SELECT b, sum(m) AS m FROM {rider_curve_values} GROUP BY b)) WHERE upto >= 0.9 * total AND upto - m < 0.9 * total", query=False)
+add("rider_curves", "SELECT min(CASE WHEN since + acc >= 0.9 * total THEN v END) AS rider_p90 FROM (SELECT x.v, g.since, g.total, sum(x.m) OVER (PARTITION BY x.b ORDER BY x.v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc FROM {rider_curve_values} x JOIN {rider_curve_ranges} g ON g.b = x.b)", query=False,
+    oracle=f"SELECT min(CASE WHEN acc >= 0.9 * total THEN curviness END) AS rider_p90 FROM (SELECT s.curviness, sum(r.metres) OVER (ORDER BY s.curviness, s.seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acc, sum(r.metres) OVER () AS total FROM {{rider_segments}} r JOIN {{seg}} s ON s.seg_id = r.seg_id WHERE r.metres > 0)")
 global_pick("crowd_curves", "seg", "curviness", "seg_id", ranked(0.9), "crowd_p90")
 add("rider_trips", "SELECT * FROM {a3_trip_aggregate} WHERE trip % 3 = 0", query=False)
 add("experience", "SELECT 0.3 * ln(1.0 + t.km / 500.0) + 0.3 * ln(1.0 + t.n / 20.0) + 0.2 * (q.lean_p95 / 35.0) + 0.2 * (r.rider_p90 / greatest(c.crowd_p90, 0.000001)) AS s FROM (SELECT sum(dist_m) / 1000.0 AS km, count(*) AS n FROM {rider_trips}) t CROSS JOIN {a5_rider_quantiles} q CROSS JOIN {rider_curves} r CROSS JOIN {crowd_curves} c", query=False)
@@ -76,7 +80,8 @@ add("a20_usual_hour", "SELECT h, n FROM (SELECT CAST(h AS BIGINT) AS h, CAST(cou
 add("home", "SELECT glat, glon, lat, lon, n FROM (SELECT glat, glon, round(avg(lat), 7) AS lat, round(avg(lon), 7) AS lon, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, glat, glon) AS r FROM {starts} GROUP BY glat, glon) WHERE r = 1", query=False)
 add("a20_home", "SELECT round(glat, 2) AS glat, round(glon, 2) AS glon, lat, lon, n FROM {home}")
 add("q1_trip_summary", "SELECT CAST(count(*) AS BIGINT) AS trips, round(sum(dist_m) / 1000.0, 4) AS km, round(max(dist_m) / 1000.0, 4) AS longest_km, round(max(lean_max), 4) AS max_lean, max(speed_max) AS max_speed, max(elev_max) AS max_altitude FROM {rider_trips}")
-add("median_ride", "SELECT least(300.0, greatest(30.0, max(CASE WHEN r = CAST(floor(n / 2.0) AS BIGINT) + 1 THEN minutes END))) AS minutes FROM (SELECT (t1 - t0) / 60000.0 AS minutes, row_number() OVER (ORDER BY t1 - t0, trip) AS r, count(*) OVER () AS n FROM {rider_trips})", query=False)
+global_pick("middle_ride", "rider_trips", "(t1 - t0) / 60000.0", "trip", "(CAST(floor(n / 2.0) AS BIGINT) + 1)", "minutes")
+add("median_ride", "SELECT least(300.0, greatest(30.0, minutes)) AS minutes FROM {middle_ride}", query=False, oracle="SELECT least(300.0, greatest(30.0, max(CASE WHEN r = CAST(floor(n / 2.0) AS BIGINT) + 1 THEN minutes END))) AS minutes FROM (SELECT (t1 - t0) / 60000.0 AS minutes, row_number() OVER (ORDER BY t1 - t0, trip) AS r, count(*) OVER () AS n FROM {rider_trips})")
 add("q2_full_profile", """SELECT t.trips, t.km, t.longest_km, t.max_lean, e.score AS experience_score, e.level, e.alpha_max, f.ceiling AS lean_ceiling, round(s.style_ratio, 6) AS style_ratio, s.basis, m.minutes AS median_minutes, u.h AS usual_hour, h.lat AS home_lat, h.lon AS home_lon
 FROM {q1_trip_summary} t CROSS JOIN {f45_experience} e CROSS JOIN {f47_lean_ceiling} f CROSS JOIN {style} s CROSS JOIN {median_ride} m CROSS JOIN {a20_usual_hour} u CROSS JOIN {a20_home} h""")
 add("light_samples", "SELECT trip, abs(lean) AS l, v, rpm, gear, d_ok FROM {moved} WHERE v > 0 AND v < 200", query=False)
