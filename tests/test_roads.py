@@ -6,10 +6,12 @@ import random
 import pytest
 
 from wayfold import jobs, sources
-from wayfold.operators import graph
+from wayfold.operators import graph, load
 from wayfold.plans import ranks
 from wayfold.plans.relation import CATALOG, Catalog
 
+load()
+
 
 @pytest.fixture(scope="module")
 def files(spark, sf, tmp_path_factory):
@@ -52,7 +54,7 @@ def test_build_roads_equals_the_relations(spark, sf, files, tmp_path):
 
 def test_roads_by_hand(spark):
     """Two ways that cross: cut at the crossing, and every 100 m."""
-    line = lambda *p: [{"lat": a, "lon": b} for a, b in p]
+    line = lambda *p: [{"lat": float(a), "lon": float(b)} for a, b in p]
     step = 0.0009  # of latitude, 100.07 m
     ways = spark.createDataFrame([(1, line((48, 11), (48 + step, 11), (48 + 3 * step, 11)), "A", "primary", False, False), (2, line((48 + step, 10.999), (48 + step, 11), (48 + step, 11.001)), None, "tertiary", True, False), (3, line((50, 10), (50, 10.00001)), None, "track", False, False)], "way_id long, geometry array<struct<lat:double,lon:double>>, name string, highway string, oneway boolean, tunnel boolean")
     got = CATALOG.build("road_segments", spark, "", {"osm_ways": ways}).orderBy("seg_id").collect()

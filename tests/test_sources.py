@@ -80,6 +80,27 @@ def test_cached_and_recovered(spark, tmp_path):
     assert [sources.forecast_policy(100.0, f, e, 50.0, 60.0) for f, e in ((60.0, None), (10.0, None), (10.0, 90.0), (None, 90.0), (None, None), (10.0, 30.0))] == ["cache", "live", "stale", "none", "live", "live"]
 
 
+def test_forecast_is_served(spark, tmp_path):
+    calls = []
+
+    def fetch(temp, fails=False):
+        def run():
+            calls.append(temp)
+            if fails:
+                raise OSError("no network")
+            return json.dumps({"hourly": {"time": ["2024-05-01T10:00"], "temperature_2m": [temp], "precipitation_probability": [3], "precipitation": [0], "wind_gusts_10m": [12], "weather_code": [1], "is_day": [1]}})
+        return run
+
+    def served(now, temp, fails=False):
+        frame, label = sources.served_forecast(spark, str(tmp_path / "f"), fetch(temp, fails), now, ttl=100.0, cooldown=60.0)
+        return label, [r.temp for r in frame.collect()]
+
+    assert served(0, 1.0, True) == ("none", []) and served(10, 1.0) == ("none", [])  # still cooling down
+    assert served(70, 2.0) == ("live", [2.0]) and served(150, 3.0) == ("cache", [2.0])
+    assert served(200, 4.0, True) == ("stale", [2.0]) and served(210, 4.0) == ("stale", [2.0])
+    assert served(270, 5.0) == ("live", [5.0]) and calls == [1.0, 2.0, 4.0, 5.0]
+
+
 def test_ways_and_forecast(spark, tmp_path):
     way = {"id": 1, "type": "way", "geometry": [{"lat": 1.0, "lon": 2.0}], "tags": {"highway": "primary"}}
     (tmp_path / "1.json").write_text(json.dumps({"elements": [way, {"id": 3, "type": "node"}]}))

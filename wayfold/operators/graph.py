@@ -124,6 +124,16 @@ def chains(seg: DataFrame, rings: str = "alone", least_m: float = 20.0) -> DataF
     return out.where(F.col("m") >= least_m).select("chain", "segments", F.round("m", 3).alias("length_m"), "n_trips", *CHAIN_SUMS, *CHAIN_MEANS)
 
 
+def widened(arcs: DataFrame, doublings: int) -> DataFrame:
+    """Arcs (u, v, w) and the cheapest ways over up to 2, 4, 8 and so on of them, as arcs. Costs stay what they are, and a
+    flood takes as many times fewer rounds; nodes of many arcs have very many such ways, so this is for road networks."""
+    for _ in range(doublings):
+        ahead = arcs.select(F.col("u").alias("v"), F.col("v").alias("to"), F.col("w").alias("more"))
+        far = arcs.join(ahead, "v").where("u <> to").select("u", F.col("to").alias("v"), (F.col("w") + F.col("more")).alias("w"))
+        arcs = cut(arcs.unionByName(far).groupBy("u", "v").agg(F.min("w").alias("w")))
+    return arcs
+
+
 def flood(spark: SparkSession, arcs: DataFrame, start: int, limit: int = 100_000) -> DataFrame:
     """node, cost of the cheapest way from ``start`` over arcs (u, v, w) with positive weights: relaxation in rounds, each
     from the nodes that got cheaper. It fails rather than return unsettled nodes after ``limit`` rounds."""

@@ -104,7 +104,7 @@ def j11_main_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k2_turn_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs from one directed road over the turn-expanded graph, by rounds of joins: a turn's cost is its road's and its own."""
     arcs = _seg(spark, sf_dir, "turn_arcs").select(F.col("from_arc").alias("u"), F.col("to_arc").alias("v"), (F.col("seconds") + F.col("turn_s")).alias("w"))
-    return graph.flood(spark, arcs, 2).select(F.col("node").alias("arc"), F.round("cost", 4).alias("cost"))
+    return graph.flood(spark, graph.widened(arcs, 2), 2).select(F.col("node").alias("arc"), F.round("cost", 4).alias("cost"))
 
 
 def k2_turn_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def r3_flood_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs from a node over the whole lattice, by rounds of joins."""
     seg = _seg(spark, sf_dir, "seg")
     arcs = seg.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"), F.col("length_m").alias("w"))
-    return graph.flood(spark, arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), 0)
+    return graph.flood(spark, graph.widened(arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), 3), 0)
 
 
 def r3_shortest_costs(spark: SparkSession, sf_dir: str) -> DataFrame:

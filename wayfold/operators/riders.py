@@ -10,10 +10,12 @@ from wayfold.plans.relation import CATALOG
 add = CATALOG.add
 
 # --- light ----------------------------------------------------------------------------------------------------------------
-# hours of one day and night at the city, from the start of 2024: days since the epoch of 2000
-add("hours", "SELECT i, 8765.5 + i / 24.0 AS n, 48.137154 AS lat, 11.576124 AS lon FROM (SELECT SERIES(0, 239) AS i)", query=False)
+# the forecast's hours at the city, numbered from the first: days since the epoch of 2000
+add("hours", "SELECT CAST(round((j.jd - m.jd) * 24.0) AS BIGINT) AS i, j.jd - 2451545.0 AS n, 48.137154 AS lat, 11.576124 AS lon FROM {julian} j CROSS JOIN (SELECT min(jd) AS jd FROM {julian}) m", query=False)
 _e, _a = S.sun_terms("n", "lat", "lon")
 add("sun", f"SELECT i, {_e} AS elev, {_a} AS az FROM {{hours}}", query=False)
+# the hour that a request asks for: the first from the fifteenth on
+add("asked_hour", "SELECT * FROM {sun} WHERE i = (SELECT min(i) FROM {sun} WHERE i >= 15)", query=False)
 add("f34_sun_position", "SELECT i, round(elev, 6) AS elevation, round(az, 6) AS azimuth FROM {sun}")
 # the civil calendar's terms; January and February count as months of the year before
 add("julian", """SELECT h, floor(365.25 * (y + 4716)) + floor(30.6001 * (m + 1)) + day(h) + hour(h) / 24.0 + minute(h) / 1440.0 + second(h) / 86400.0 + (2 - floor(y / 100.0) + floor(floor(y / 100.0) / 4.0)) - 1524.5 AS jd
@@ -23,8 +25,8 @@ add("f34_julian_day", f"SELECT h, round(jd, 6) AS jd, round({_je}, 4) AS elevati
     oracle=f"SELECT h, round(jd, 6) AS jd, round({_je}, 4) AS elevation, round({_ja}, 4) AS azimuth FROM (SELECT h, epoch(h) / 86400.0 + 2440587.5 AS jd FROM {{forecast}})")
 add("f35_light", f"SELECT i, {S.daylight('elev')} AS daylight, round({S.golden('elev')}, 6) AS golden, round({S.facing('200.0', 'az')}, 6) AS facing, {S.phase('elev')} AS phase FROM {{sun}}")
 # every segment at one hour, which is the request
-add("f36_time_factor", f"SELECT s.seg_id, u.i, {S.daylight('u.elev')} AS light, round(0.30 * {S.golden('u.elev')} * {S.facing('s.bearing_mean', 'u.az')}, 6) AS bonus FROM {{seg}} s CROSS JOIN (SELECT * FROM {{sun}} WHERE i = 15) u")
-add("f5_scenic_at_dusk", f"SELECT s.seg_id, round({S.seg_scenic('l.light', '0.30 * l.gold * ' + S.facing('s.bearing_mean', 'l.az'))}, 6) AS scenic FROM {{scored}} s CROSS JOIN (SELECT {S.daylight('elev')} AS light, {S.golden('elev')} AS gold, az FROM {{sun}} WHERE i = 15) l")
+add("f36_time_factor", f"SELECT s.seg_id, u.i, {S.daylight('u.elev')} AS light, round(0.30 * {S.golden('u.elev')} * {S.facing('s.bearing_mean', 'u.az')}, 6) AS bonus FROM {{seg}} s CROSS JOIN {{asked_hour}} u")
+add("f5_scenic_at_dusk", f"SELECT s.seg_id, round({S.seg_scenic('l.light', '0.30 * l.gold * ' + S.facing('s.bearing_mean', 'l.az'))}, 6) AS scenic FROM {{scored}} s CROSS JOIN (SELECT {S.daylight('elev')} AS light, {S.golden('elev')} AS gold, az FROM {{asked_hour}}) l")
 
 # --- weather and windows -----------------------------------------------------------------------------------------------------
 add("f37_weather", f"SELECT h, round({S.weather_risk('precip', 'temp', 'gust')}, 6) AS risk, {S.weather_factor('precip', 'temp', 'weather_code')} AS factor FROM {{forecast}}".replace("+ CASE WHEN gust > 45", "+ CASE WHEN coalesce(gust, 0.0) > 45"))

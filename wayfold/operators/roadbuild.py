@@ -140,7 +140,7 @@ def rebased(names: list[str], **other: str) -> None:
 
 
 # --- scores and costs read the built segments; a segment's cell is that of its middle vertex ------------------------------------------
-rebased(["feature_values", "feature_counts", "feature_bounds", "feature_ranges", "feature_since", "feature_ranks", "percentiles", "wide_percentiles", "road_runs", "scored"], seg="road_seg")
+rebased(["feature_values", "feature_counts", "feature_bounds", "feature_ranges", "feature_since", "feature_ranks", "percentiles", "wide_percentiles", "road_lengths", "road_runs", "scored"], seg="road_seg")
 add("s12_road_scores", "SELECT seg_id, round(scenic, 6) AS scenic, round(fun, 6) AS fun, round(twist, 6) AS twist, round(traffic, 6) AS traffic, round(risk, 6) AS risk, round(seconds, 4) AS seconds, round(cost_15, 4) AS cost_15 FROM {road_scored}")
 add("road_seg_cells", f"SELECT s.seg_id, c.code, c.value, CASE WHEN c.code IS NULL THEN 0.1 ELSE {S.cell_risk()} END AS risk, coalesce(c.lean_p95 - 25.0 > {S.LEAN_MARGIN}, false) AS excluded, c.lean_p95 AS cell_lean, c.lean_p50, c.elev_m FROM (SELECT seg_id, {geo.packed('mid_lat', 'mid_lon')} AS cell FROM {{road_seg}}) s LEFT JOIN {{cell_scores}} c ON c.code = s.cell", query=False)
 add("j3_segment_cells", "SELECT seg_id, code FROM {road_seg_cells}", oracle=f"SELECT s.seg_id, c.code FROM (SELECT seg_id, floor((mid_lat + 90) / 360 * 262144)::BIGINT AS y, floor((mid_lon + 180) / 360 * 262144)::BIGINT AS x FROM {{road_segments}}) s LEFT JOIN {{cells}} c ON c.code = s.y * 262144 + s.x")

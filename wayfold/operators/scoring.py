@@ -26,7 +26,9 @@ add("f3_percentile_scaler", "SELECT seg_id, feature, round(p, 9) AS p FROM {perc
 add("f8_gradient_percentile", "SELECT seg_id, round(p, 9) AS p FROM {percentiles} WHERE feature = 'gradient'")
 _names = {"curviness": "curv_p", "curvature_geo": "geo_p", "elev_mean": "gps_p", "dem_elev_m": "dem_p", "dem_relief_m": "relief_p", "band_share": "band_p", "leaned_share": "leaned_p", "abs_rate": "abs_p", "forest_share": "forest_p", "water_prox": "water_p", "gradient": "gradient_p"}
 add("wide_percentiles", "SELECT seg_id, " + ", ".join(f"coalesce(max(CASE WHEN feature = '{f}' THEN p END), 0.0) AS {n}" for f, n in _names.items()) + " FROM {percentiles} GROUP BY seg_id", query=False)
-add("road_runs", "SELECT seg_id, sum(length_m) OVER (PARTITION BY CASE WHEN name IS NOT NULL THEN 'name ' || name || ' ' || highway ELSE 'way ' || CAST(way_id AS STR) END) / 1000.0 AS road_run_km FROM {seg}", query=False)
+_road = "CASE WHEN name IS NOT NULL THEN 'name ' || name || ' ' || highway ELSE 'way ' || CAST(way_id AS STR) END"
+add("road_lengths", f"SELECT {_road} AS road, sum(length_m) / 1000.0 AS km FROM {{seg}} GROUP BY {_road}", query=False)
+add("road_runs", f"SELECT s.seg_id, l.km AS road_run_km FROM (SELECT seg_id, {_road} AS road FROM {{seg}}) s JOIN {{road_lengths}} l ON l.road = s.road", query=False, oracle="SELECT seg_id, sum(length_m) OVER (PARTITION BY CASE WHEN name IS NOT NULL THEN 'name ' || name || ' ' || highway ELSE 'way ' || CAST(way_id AS STR) END) / 1000.0 AS road_run_km FROM {seg}")
 add("a15_road_runs", "SELECT seg_id, round(road_run_km, 3) AS road_run_km FROM {road_runs}")
 add("degree", "SELECT node, count(*) AS degree FROM (SELECT node_a AS node FROM {seg} UNION ALL SELECT node_b FROM {seg}) GROUP BY node", query=False)
 add("scored", f"""SELECT *, {S.seg_cost(3.0, 1.0, 2.5, 2.0)} AS cost_avoid, {S.seg_cost(0.0)} AS cost_0, {S.seg_cost(1.5)} AS cost_15, {S.seg_cost(3.0)} AS cost_3 FROM

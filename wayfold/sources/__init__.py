@@ -118,8 +118,12 @@ def points_of_interest(spark: SparkSession, path: str) -> DataFrame:
 
 def forecast(spark: SparkSession, path: str) -> DataFrame:
     """Hours of a forecast whose hourly values are parallel arrays."""
+    return _hours(spark.read.option("wholetext", True).text(path))
+
+
+def _hours(texts: DataFrame) -> DataFrame:
     arrays = "time array<string>, temperature_2m array<double>, precipitation_probability array<double>, precipitation array<double>, wind_gusts_10m array<double>, weather_code array<bigint>, is_day array<bigint>"
-    raw = spark.read.option("multiLine", True).schema(f"hourly struct<{arrays.replace(' array', ': array')}>").json(path)
+    raw = texts.select(F.from_json("value", f"hourly struct<{arrays.replace(' array', ': array')}>").alias("j")).select("j.hourly")
     zipped = F.arrays_zip(*[F.col(f"hourly.{c.split()[0]}") for c in arrays.split(", ")])
     x = raw.select(F.explode(zipped).alias("x"))
     return x.select(F.col("x.time").cast("timestamp_ntz").alias("h"), F.col("x.temperature_2m").alias("temp"), F.col("x.precipitation_probability").alias("pop"), F.col("x.precipitation").alias("precip"), F.col("x.wind_gusts_10m").alias("gust"), F.col("x.weather_code").alias("weather_code"), (F.col("x.is_day") == 1).alias("is_day"))
@@ -186,6 +190,27 @@ def cached(spark: SparkSession, key: str, folder: str, make, version: int = 1) -
     return spark.read.parquet(path)
 
 
+def served_forecast(spark: SparkSession, folder: str, fetch, now: float | None = None, ttl: float = 1800.0, cooldown: float = 60.0) -> tuple[DataFrame, str]:
+    """A forecast's hours and where they are from: ``cache`` while fresh, else ``live`` from ``fetch()``, which gives the forecast
+    as JSON text; ``stale`` if that fails and there is an old one, and ``none``, without rows, if there isn't.
+
+    The last answer and the times of the last success and failure lie in ``folder``, replaced as a whole."""
+    import time
+
+    now = time.time() if now is None else now
+    fs, place = _places(spark, f"{folder.rstrip('/')}/_SUCCESS")
+    recover(spark, folder)
+    fetched, failed, text = tuple(spark.read.parquet(folder).first()) if fs.exists(place) else (None, None, None)
+    label = forecast_policy(now, fetched, failed, ttl, cooldown)
+    if label == "live":
+        try:
+            text, fetched, failed = fetch(), now, None
+        except Exception:  # whatever a live source fails with, an old answer is better than none
+            failed, label = now, "none" if text is None else "stale"
+        publish(spark.createDataFrame([(fetched, failed, text)], "fetched double, failed double, text string"), folder)
+    return _hours(spark.createDataFrame([(text,)] if text and label != "none" else [], "value string")), label
+
+
 def forecast_policy(now: float, fetched: float | None, failed: float | None, ttl: float = 1800.0, cooldown: float = 60.0) -> str:
     """What to do with a cached forecast, by seconds: ``cache`` while it is fresh, ``live`` otherwise; within the cooldown after
     a failure ``stale`` if there is any, and ``none`` if not."""
