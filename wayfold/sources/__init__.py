@@ -197,7 +197,7 @@ def served_forecast(spark: SparkSession, folder: str, fetch, now: float | None =
     The last answer and the times of the last success and failure lie in ``folder``, replaced as a whole."""
     import time
 
-    now = time.time() if now is None else now
+    now = float(time.time() if now is None else now)
     fs, place = _places(spark, f"{folder.rstrip('/')}/_SUCCESS")
     recover(spark, folder)
     fetched, failed, text = tuple(spark.read.parquet(folder).first()) if fs.exists(place) else (None, None, None)
