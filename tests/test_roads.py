@@ -133,6 +133,36 @@ def test_flood_fails_at_its_limit(spark):
         graph.flood(spark, arcs, 0, limit=3)
 
 
+@pytest.mark.parametrize("doublings", [0, 2])
+def test_cheapest_ways_of_many_requests(spark, doublings):
+    """Two requests with weights of their own, in one flood: costs by relaxation, and arcs that are on some cheapest way."""
+    import math
+
+    rng = random.Random(3)
+    ends = [(rng.randrange(9), rng.randrange(9)) for _ in range(26)]
+    arcs = [(key, k, u, v, float(rng.randint(1, 6))) for key in ("a", "b") for k, (u, v) in enumerate(ends) if u != v]
+    frame = spark.createDataFrame(arcs, "key string, arc long, u long, v long, w double")
+    starts = spark.createDataFrame([("a", 0, 0.0), ("b", 3, 0.0)], "key string, node long, cost double")
+    goals = spark.createDataFrame([("a", 5), ("b", 1)], "key string, node long")
+
+    def costs(key, start, turned=False):
+        best = {start: 0.0}
+        for _ in range(9):
+            for own, _, u, v, w in arcs:
+                u, v = (v, u) if turned else (u, v)
+                if own == key and u in best:
+                    best[v] = min(best.get(v, math.inf), best[u] + w)
+        return best
+
+    got = {(r.key, r.node): r.cost for r in graph.floods(graph.widened(frame.drop("arc").groupBy("key", "u", "v").agg({"w": "min"}).withColumnRenamed("min(w)", "w"), doublings), starts).collect()}
+    assert got == {(key, n): c for key, start in (("a", 0), ("b", 3)) for n, c in costs(key, start).items()}
+    want = set()
+    for key, start, goal in (("a", 0, 5), ("b", 3, 1)):
+        forth, back = costs(key, start), costs(key, goal, True)
+        want |= {(key, k, forth[u]) for own, k, u, v, w in arcs if own == key and u in forth and v in back and goal in forth and forth[u] + w + back[v] == forth[goal]}
+    assert {(r.key, r.arc, r.since) for r in graph.on_cheapest_ways(frame, starts, goals, doublings).collect()} == want
+
+
 def test_quantiles_and_ranks(spark):
     """A group with half of all rows, equal values, nulls, one row."""
     import numpy as np

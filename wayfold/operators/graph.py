@@ -125,25 +125,44 @@ def chains(seg: DataFrame, rings: str = "alone", least_m: float = 20.0) -> DataF
 
 
 def widened(arcs: DataFrame, doublings: int) -> DataFrame:
-    """Arcs (u, v, w) and the cheapest ways over up to 2, 4, 8 and so on of them, as arcs. Costs stay what they are, and a
-    flood takes as many times fewer rounds; nodes of many arcs have very many such ways, so this is for road networks."""
+    """Arcs (u, v, w), or (key, u, v, w), and the cheapest ways over up to 2, 4, 8 and so on of them, as arcs. Costs stay what they
+    are, and a flood takes as many times fewer rounds; nodes of many arcs have very many such ways, so this is for roads."""
+    keys = ["key"] if "key" in arcs.columns else []
     for _ in range(doublings):
-        ahead = arcs.select(F.col("u").alias("v"), F.col("v").alias("to"), F.col("w").alias("more"))
-        far = arcs.join(ahead, "v").where("u <> to").select("u", F.col("to").alias("v"), (F.col("w") + F.col("more")).alias("w"))
-        arcs = cut(arcs.unionByName(far).groupBy("u", "v").agg(F.min("w").alias("w")))
+        ahead = arcs.select(*keys, F.col("u").alias("v"), F.col("v").alias("to"), F.col("w").alias("more"))
+        far = arcs.join(ahead, [*keys, "v"]).where("u <> to").select(*keys, "u", F.col("to").alias("v"), (F.col("w") + F.col("more")).alias("w"))
+        arcs = cut(arcs.unionByName(far).groupBy(*keys, "u", "v").agg(F.min("w").alias("w")))
     return arcs
 
 
-def flood(spark: SparkSession, arcs: DataFrame, start: int, limit: int = 100_000) -> DataFrame:
-    """node, cost of the cheapest way from ``start`` over arcs (u, v, w) with positive weights: relaxation in rounds, each
-    from the nodes that got cheaper. It fails rather than return unsettled nodes after ``limit`` rounds."""
-    best = cut(spark.createDataFrame([(start, 0.0)], "node long, cost double"))
-    front = best
+def floods(arcs: DataFrame, starts: DataFrame, limit: int = 100_000) -> DataFrame:
+    """key, node, cost of the cheapest way from each key's ``starts`` (key, node, cost) over its arcs (key, u, v, w) with positive
+    weights, for all keys at once: relaxation in rounds, each from the nodes that got cheaper. It fails rather than return
+    unsettled nodes after ``limit`` rounds."""
+    best = front = cut(starts.select("key", "node", "cost"))
     for _ in range(limit):
-        reached = front.join(arcs, front.node == arcs.u).groupBy("v").agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        better = cut(reached.join(best.select(F.col("node").alias("v"), "cost"), "v", "left").where("cost IS NULL OR new < cost").select(F.col("v").alias("node"), F.col("new").alias("cost")))
+        reached = front.withColumnRenamed("node", "u").join(arcs, ["key", "u"]).groupBy("key", "v").agg(F.min(F.col("cost") + F.col("w")).alias("new"))
+        better = cut(reached.join(best.select("key", F.col("node").alias("v"), "cost"), ["key", "v"], "left").where("cost IS NULL OR new < cost").select("key", F.col("v").alias("node"), F.col("new").alias("cost")))
         if better.isEmpty():
             return best
-        best = cut(best.join(better.select("node"), "node", "left_anti").unionByName(better))
+        best = cut(best.join(better.select("key", "node"), ["key", "node"], "left_anti").unionByName(better))
         front = better
     raise RuntimeError(f"nodes are not settled after {limit} rounds")
+
+
+def flood(spark: SparkSession, arcs: DataFrame, start: int, limit: int = 100_000) -> DataFrame:
+    """node, cost of the cheapest way from one node over arcs (u, v, w)."""
+    starts = spark.createDataFrame([(0, start, 0.0)], "key int, node long, cost double")
+    return floods(arcs.select(F.lit(0).alias("key"), "u", "v", "w"), starts, limit).select("node", "cost")
+
+
+def on_cheapest_ways(arcs: DataFrame, starts: DataFrame, goals: DataFrame, doublings: int = 0, slack: float = 1e-6) -> DataFrame:
+    """key, arc, u, v, since of the arcs (key, arc, u, v, w) that lie on a cheapest way from each key's start to its goal (key, node):
+    those whose costs from the start, their own, and on to the goal add up to the whole. ``since`` is the cost up to u, so ordering
+    by it gives the way; no predecessor is followed, and of equally cheap ways all are given."""
+    plain = arcs.groupBy("key", "u", "v").agg(F.min("w").alias("w"))
+    forth = floods(widened(plain, doublings), starts)
+    back = floods(widened(plain.select("key", F.col("u").alias("v"), F.col("v").alias("u"), "w"), doublings), goals.select("key", "node", F.lit(0.0).alias("cost")))
+    whole = forth.join(goals.select("key", "node"), ["key", "node"]).select("key", F.col("cost").alias("whole"))
+    met = arcs.join(forth.select("key", F.col("node").alias("u"), F.col("cost").alias("since")), ["key", "u"]).join(back.select("key", F.col("node").alias("v"), F.col("cost").alias("ahead")), ["key", "v"]).join(whole, "key")
+    return met.where(F.abs(F.col("since") + F.col("w") + F.col("ahead") - F.col("whole")) <= slack).select("key", "arc", "u", "v", "since")
