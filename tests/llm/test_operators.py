@@ -156,6 +156,44 @@ def test_bpe(docs, rows, empty):
     assert bpe.encoded_digests(empty, RANKS).count() == 0
 
 
+def test_bpe_merges_a_word_once_while_it_is_remembered(rows, monkeypatch):
+    from wayfold.llm import bpe
+    from wayfold.llm.tokens import ChunkTable
+
+    texts = [r[1] or "" for r in rows] + [t + "." for t in TRICKY] + [" \u3000x\u3000 y\u00a0 z", "é\u2028 ü\x85 ß", "  ", "\n a"]
+    ids = tiktoken_ids(texts)
+    merged, merge = [], bpe.Merger.merge
+    monkeypatch.setattr(bpe.Merger, "merge", lambda self, words: merged.extend(words) or merge(self, words))
+    for remembered in (1_000_000, 50):
+        monkeypatch.setattr(bpe, "WORDS_REMEMBERED", remembered, raising=False)
+        merger = bpe.Merger(RANKS)
+        table = ChunkTable(merger.encode_chunks, block_bytes=200)
+        merged.clear()
+        got = [x.tolist() for x in table.texts(pa.array(texts))]
+        assert got == ids
+        assert len(merged) == len(set(merged)) or remembered == 50  # in other chunks and blocks as well
+        assert len(merger.words) <= remembered + 200
+    flat, sizes = merger.decode(np.array([i for x in ids for i in x]), np.array(list(map(len, ids))))
+    assert flat.tobytes() == "".join(texts).encode() and sizes.tolist() == [len(t.encode()) for t in texts]
+    with pytest.raises(ValueError):
+        merger.decode(np.array([5, 1 << 30]), np.array([2]))
+
+
+def test_chunks_start_at_spaces_after_other_characters():
+    from wayfold.llm.tokens import SPACES, _chunk_starts, _spaced
+
+    rng = random.Random(4)
+    for _ in range(300):
+        each = ["".join(rng.choices("ab   \n\u00a0\u3000\x85\u2028éàß漢😀\u0e25", k=rng.randint(0, 12))) for _ in range(rng.randint(1, 5))]
+        data, limits = "".join(each).encode(), np.cumsum([0] + [len(t.encode()) for t in each])
+        starts = _chunk_starts(np.frombuffer(data, np.uint8), limits).tolist()
+        want = [int(a) + len(t[:i].encode()) for t, a in zip(each, limits) for i, c in enumerate(t) if i == 0 or c == " " and t[i - 1] not in SPACES]
+        assert starts == want
+        chunks = [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
+        if chunks:
+            assert _spaced(chunks).tolist() == [len(c) > 1 and c[:1] == b" " and c[1] not in b"\t\n\v\f\r " and c.decode()[-1] not in SPACES for c in chunks]
+
+
 def test_language(spark, sf, docs, empty):
     from wayfold.llm import language_id
 

@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
-A text is cut by the vocabulary's pattern into words; each distinct word of a block is merged once. A word is a run
-of token-position rows. Every step of the recursive query joins neighbouring rows with the merge table, contracts each
+A text is cut by the vocabulary's pattern into words; a worker merges each distinct word once, as long as it remembers it. A
+word is a run of token-position rows. Every step of the recursive query joins neighbouring rows with the merge table, contracts each
 word's leftmost pair of least rank, and hands unfinished words on until no pair is left. Decoding joins ids with the
-vocabulary and aggregates their bytes in order.
+vocabulary and puts their bytes in order.
 
 A word may be as long as a text. Words of more than ``LONG`` bytes are cut into overlapping windows, which are merged like
 words and joined where two neighbours have the same token at the same place. That is exact: a sequence of tokens is what a
@@ -40,6 +40,9 @@ from .tokens import ChunkTable, read_ranks
 #: Words merged by one query.
 WORDS = 60_000
 
+#: Words, and bytes of words, that a worker remembers; then it starts anew.
+WORDS_REMEMBERED, WORDS_REMEMBERED_BYTES = 1_000_000, 24 << 20
+
 #: Words of more bytes are merged in windows of ``WINDOW`` bytes, each half over the next. Where windows don't fit together,
 #: larger ones follow; half of each is a multiple of small numbers, as in a run of one symbol tokens stand at multiples of
 #: their length.
@@ -93,8 +96,7 @@ SELECT k >> 32 AS word, id FROM t WHERE NOT live ORDER BY k
 """
 
 _DECODE = """
-SELECT seq, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes
-FROM id_rows i JOIN vocabulary v ON v.id = i.id GROUP BY seq ORDER BY seq
+SELECT v.bytes FROM id_rows i JOIN vocabulary v ON v.id = i.id ORDER BY i.pos
 """
 
 
@@ -136,13 +138,21 @@ class Merger:
                     pairs.append(left << 17 | right)
                     merged.append(rank)
         merges = pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(merged, pa.int32())})  # noqa: F841
-        names = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
+        names = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})  # noqa: F841
         self.db.register("merges_in", merges)
         self.db.register("names_in", names)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in; CREATE TABLE vocabulary AS SELECT * FROM names_in")
         self.whole, self._regular = ranks, None
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         self.lengths[list(ranks.values())] = list(map(len, ranks))
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}  # the row of each word
+        self.held = 0
+        self.flat = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, flat, and how many each has; long words by windows."""
@@ -231,38 +241,52 @@ class Merger:
             self.db.execute("DROP TABLE merges; ALTER TABLE all_merges RENAME TO merges")
         return self._regular
 
+    def words_of(self, chunks: list[bytes], joined: bool) -> tuple[list[str], np.ndarray]:
+        """The words of chunks, and how many each has; a text of joined chunks has the same words."""
+        if not joined:
+            each = [self.find(c.decode()) for c in chunks]
+            return [w for found in each for w in found], np.array(list(map(len, each)), np.int64)
+        data = b"".join(chunks)
+        found = self.find(data.decode())
+        ends = np.cumsum(list(map(len, found)))
+        begins = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80  # where characters begin
+        chunk_ends = np.cumsum(begins)[np.cumsum(list(map(len, chunks))) - 1]
+        at = np.searchsorted(ends, chunk_ends)
+        assert (ends[at] == chunk_ends).all()
+        return found, np.diff(at, prepend=-1)
+
     def encode_chunks(self, chunks: list[bytes], joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks of text, flat, and how many each has; each distinct word is merged once."""
-        index: dict[str, int] = {}
-        owner: list[int] = []
-        counts = np.zeros(len(chunks), np.int64)
-        for i, chunk in enumerate(chunks):
-            found = self.find(chunk.decode())
-            counts[i] = len(found)
-            owner += [index.setdefault(w, len(index)) for w in found]
-        flat, sizes = self.merge([w.encode() for w in index])
-        starts = np.cumsum(sizes) - sizes
-        rows = np.array(owner, np.int64)
-        own = sizes[rows]
-        ends = np.cumsum(own)
-        ids = flat[np.repeat(starts[rows] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        """The ids of chunks of text, flat, and how many each has; only words that aren't remembered are merged."""
+        if len(self.words) > WORDS_REMEMBERED or self.held > WORDS_REMEMBERED_BYTES:
+            self.forget()
+        found, counts = self.words_of(chunks, joined)
+        fresh = [w for w in dict.fromkeys(found) if w not in self.words]
+        if fresh:
+            own = [w.encode() for w in fresh]
+            flat, sizes = self.merge(own)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+            self.words.update(zip(fresh, range(len(self.words), len(self.sizes))))
+            self.held += sum(map(len, own))
+        rows = np.array(list(map(self.words.__getitem__, found)), np.int64)
+        own_sizes = self.sizes[rows]
+        ends = np.cumsum(own_sizes)
+        ids = self.flat[np.repeat(self.starts[rows] - ends + own_sizes, own_sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         word_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids.astype("<u4"), np.diff(word_ends)
 
-    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        """The bytes of sequences of ids, which lie one after another."""
-        known = np.flatnonzero(sizes)
-        seq = np.repeat(np.arange(len(sizes)), sizes)
-        rows = pa.table({"seq": seq, "pos": np.arange(len(ids)), "id": ids.astype(np.int64)})
-        self.db.register("id_rows", rows)
-        got = self.db.execute(_DECODE).fetchnumpy()
-        out = [b""] * len(sizes)
-        found = np.asarray(got["seq"])
-        if len(found) != len(known):
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of sequences of ids, which lie one after another, flat, and how many each sequence has."""
+        if not len(ids):
+            return np.zeros(0, np.uint8), np.zeros(len(sizes), np.int64)
+        self.db.register("id_rows", pa.table({"pos": np.arange(len(ids)), "id": ids.astype(np.int64)}))
+        got = self.db.sql(_DECODE).to_arrow_table()["bytes"].cast(pa.large_binary()).combine_chunks()
+        if len(got) != len(ids):
             raise ValueError("an id isn't in the vocabulary")
-        for s, b in zip(found.tolist(), got["bytes"]):
-            out[s] = bytes(b)
-        return out
+        offsets = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(got) + 1]
+        flat = np.frombuffer(got.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ends = offsets[np.concatenate([[0], np.cumsum(sizes)])]
+        return flat, np.diff(ends)
 
 
 @functools.cache
@@ -294,7 +318,9 @@ def decode_column(ids: Column, vocabulary: str) -> Column:
     def decoded(s: pa.Array) -> pa.Array:
         lists = s.to_pylist()
         sizes = np.array([len(x or ()) for x in lists], np.int64)
-        return pa.array(_merger(vocabulary).decode(np.array([i for x in lists for i in x or ()], np.int64), sizes), pa.binary())
+        flat, own = _merger(vocabulary).decode(np.array([i for x in lists for i in x or ()], np.int64), sizes)
+        ends = np.cumsum(own)
+        return pa.array([flat[a:b].tobytes() for a, b in zip(ends - own, ends)], pa.binary())
 
     return decoded(ids)
 
@@ -320,11 +346,10 @@ def encoded_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
                 if have < len(table.starts):
                     fresh = np.arange(have, len(table.starts))
                     ids, ends = table.spread(fresh)
-                    made = merger.decode(ids, table.sizes[fresh])
-                    sizes = np.array(list(map(len, made)), np.int64)
+                    made, sizes = merger.decode(ids, table.sizes[fresh])
                     decoded[2] = np.concatenate([decoded[2], len(decoded[1]) + np.cumsum(sizes) - sizes])
                     decoded[3] = np.concatenate([decoded[3], sizes])
-                    decoded[1] = np.concatenate([decoded[1], np.frombuffer(b"".join(made), np.uint8)])
+                    decoded[1] = np.concatenate([decoded[1], made])
                 ids, ends = table.spread(chunk_rows)
                 sizes = decoded[3][chunk_rows]
                 byte_ends = np.cumsum(sizes)

@@ -51,7 +51,7 @@ class ChunkTable:
         rows = list(map(index.get, own))
         fresh = [c for c, row in zip(own, rows) if row is None]
         if fresh:
-            spaced = np.array([_spaced(c) for c in fresh])
+            spaced = _spaced(fresh)
             flat, sizes = [], np.zeros(len(fresh), np.int64)
             for joined in (True, False):
                 some = np.flatnonzero(spaced == joined)
@@ -101,16 +101,21 @@ class ChunkTable:
                 yield flat[a:b]
 
 
-def _spaced(chunk: bytes) -> bool:
-    """Whether a chunk begins with one space and has no white space at its end."""
-    return len(chunk) > 1 and chunk[0] == 32 and not _WHITE[chunk[1]] and not chunk.decode()[-1] in SPACES
+def _spaced(chunks: list[bytes]) -> np.ndarray:
+    """Which chunks begin with one space and have no white space at their end; none is empty."""
+    data = np.frombuffer(b"".join(chunks), np.uint8)
+    sizes = np.array(list(map(len, chunks)), np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    second = data[np.minimum(starts + 1, len(data) - 1)]
+    return (sizes > 1) & (data[starts] == 32) & ~_WHITE[second] & ~_ends_white(data, ends)
 
 
 def _ends_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether white space stands before each place."""
     last = data[np.maximum(ends - 1, 0)]
     white = _WHITE[last]
-    for k in np.flatnonzero(last >= 128).tolist():
+    for k in np.flatnonzero(_WIDE_LAST[last]).tolist():
         e = int(ends[k])
         tail = bytes(data[max(0, e - 3) : e]).rjust(3, b"\0")
         white[k] = int.from_bytes(tail, "big") in _WIDE_SET or int.from_bytes(b"\0" + tail[1:], "big") in _WIDE_SET
@@ -118,6 +123,8 @@ def _ends_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 _WIDE_SET = frozenset(_WIDE_WHITE.tolist())
+#: The last bytes of white space beyond ASCII; few other characters end in one.
+_WIDE_LAST = np.isin(np.arange(256), _WIDE_WHITE & 255)
 
 
 def _chunk_starts(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -126,14 +133,14 @@ def _chunk_starts(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
     if len(spaces):
         before = data[np.maximum(spaces - 1, 0)]
         good = ~_WHITE[before]
-        wide = np.flatnonzero(before >= 128)
-        if len(wide):  # only few characters beyond ASCII are white space; all have one of these last bytes
-            maybe = wide[np.isin(before[wide], _WIDE_WHITE & 255)]
-            if len(maybe):
-                good[maybe] = ~_ends_white(data, spaces[maybe])
+        maybe = np.flatnonzero(_WIDE_LAST[before])
+        if len(maybe):
+            good[maybe] = ~_ends_white(data, spaces[maybe])
         spaces = spaces[good]
-    starts = np.concatenate([spaces, limits[:-1][limits[1:] > limits[:-1]]])
-    return np.unique(starts).astype(np.int64)
+    first = np.zeros(len(data), bool)
+    first[spaces] = True
+    first[limits[:-1][limits[1:] > limits[:-1]]] = True
+    return np.flatnonzero(first)
 
 
 def _byte_letters() -> dict[str, int]:
