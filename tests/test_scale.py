@@ -11,6 +11,6 @@ def joins(frame) -> int:
 
 
 # of a line's points, nothing meets by a range: what is left are joins with one row for each line
-@pytest.mark.parametrize("name, most", [("k5_corner_rhythm", 0), ("y4_interpolate", 0), ("y3_curviness", 1), ("y5_turn_candidates", 0)])
+@pytest.mark.parametrize("name, most", [("k5_corner_rhythm", 0), ("y4_interpolate", 0), ("y3_curviness", 1), ("y5_turn_candidates", 0), ("y5_turns", 1)])
 def test_points_of_lines_need_no_join(name, most, spark, sf):
     assert joins(catalog.QUERIES[name](spark, sf)) <= most
