@@ -14,3 +14,17 @@ def joins(frame) -> int:
 @pytest.mark.parametrize("name, most", [("k5_corner_rhythm", 0), ("y4_interpolate", 0), ("y3_curviness", 1), ("y5_turn_candidates", 0), ("y5_turns", 1)])
 def test_points_of_lines_need_no_join(name, most, spark, sf):
     assert joins(catalog.QUERIES[name](spark, sf)) <= most
+
+
+def test_chains_leave_rings_early_and_broadcast_nothing(spark, monkeypatch):
+    """A ring ends once its least segment is known all around, however many segments there are, and no join is by broadcast."""
+    from wayfold.operators import graph
+
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    loose = [(1000 + i, 10 * i + 100, 10 * i + 101) for i in range(500)]
+    ring = [(7, 1, 2), (3, 2, 3), (9, 3, 1)]
+    got = {r.seg_id: (r.chain, r.position, r.ring) for r in graph.ordered_chains(spark.createDataFrame(loose + ring, "seg_id long, node_a long, node_b long")).collect()}
+    assert {s: got[s] for s, _, _ in ring} == {7: (3, 0, True), 3: (3, 1, True), 9: (3, 2, True)} and len(got) == 503
+    assert len(cuts) <= 9  # with twelve rounds for a ring before
+    assert not any("Broadcast" in plan for plan in cuts)

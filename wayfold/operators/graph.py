@@ -44,19 +44,35 @@ def main_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top.select("component")), "component", "left_semi").select("node")
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two sides that grow alike: always by sorting, as sizes guessed for checkpoints and filters are often far too small,
+    and what is taken for small is collected by the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _followed(arcs: DataFrame, rounds: int) -> DataFrame:
     """arc, low, last, hops, nxt for arcs (arc, seg_id, nxt): each list followed to its end by pointer doubling.
 
     A round replaces each pointer by its target's, so that lists of n arcs take about log2(n) rounds; arcs that reached their
-    end rest. ``low`` is the smallest segment on the way; arcs of rings keep a pointer after all rounds."""
+    end rest. ``low`` is the smallest segment on the way. Of arcs that have an end, the nearest to it reaches it in the next round, so
+    after a round in which none did, all that are left lie on rings: these go on among themselves, and keep a pointer."""
     state = cut(arcs.select("arc", F.col("seg_id").alias("low"), F.col("arc").alias("last"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long").alias("hops"), "nxt"))
+    done, going = state.where("nxt IS NULL"), state.where("nxt IS NOT NULL")
+    left, rings = going.count(), False
     for _ in range(rounds):
-        if state.where("nxt IS NOT NULL").isEmpty():
+        if not left:
+            break
+        targets = going if rings else done.unionByName(going)
+        ahead = targets.select(F.col("arc").alias("nxt"), F.col("low").alias("low_"), F.col("last").alias("last_"), F.col("hops").alias("hops_"), F.col("nxt").alias("nxt_"))
+        moved = cut(_met(going, ahead, "nxt").select("arc", F.least("low", "low_").alias("low"), F.col("last_").alias("last"), (F.col("hops") + F.col("hops_")).alias("hops"), F.col("nxt_").alias("nxt"), (F.col("low_") < F.col("low")).alias("lower")))
+        # what is low over two stretches that follow each other, all around, is low over the ring
+        if rings and moved.where("lower").isEmpty():
             break
-        ahead = state.select(F.col("arc").alias("nxt"), F.col("low").alias("low_"), F.col("last").alias("last_"), F.col("hops").alias("hops_"), F.col("nxt").alias("nxt_"))
-        moved = state.where("nxt IS NOT NULL").join(ahead, "nxt").select("arc", F.least("low", "low_").alias("low"), F.col("last_").alias("last"), (F.col("hops") + F.col("hops_")).alias("hops"), F.col("nxt_").alias("nxt"))
-        state = cut(state.where("nxt IS NULL").unionByName(moved))
-    return state
+        moved, lower = moved.drop("lower"), left
+        done, going = done.unionByName(moved.where("nxt IS NULL")), moved.where("nxt IS NOT NULL")
+        left = going.count()
+        rings = left == lower
+    return done.unionByName(going)
 
 
 def ordered_chains(seg: DataFrame) -> DataFrame:
@@ -76,28 +92,29 @@ def ordered_chains(seg: DataFrame) -> DataFrame:
     follows = cut(turn("x", "y").unionByName(turn("y", "x")))
     arcs = seg.select("seg_id", F.explode(F.array(2 * F.col("seg_id"), 2 * F.col("seg_id") + 1)).alias("arc"))
     rounds = max(1, int(seg.count() * 2).bit_length() + 1)
-    ranked = _followed(arcs.join(follows, "arc", "left"), rounds)
+    ranked = _followed(_met(arcs, follows, "arc", "left"), rounds)
     rings = ranked.where("nxt IS NOT NULL").select("arc", "low")
     opened = seg.limit(0).select("seg_id", F.lit(0).cast("long").alias("arc"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("nxt"))
     if not rings.isEmpty():
-        own = rings.join(follows, "arc")  # after so many rounds, low is the ring's smallest segment
+        own = _met(rings, follows, "arc")  # after so many rounds, low is the ring's smallest segment
         first = own.groupBy("low").agg(F.min("node").alias("node"))
-        open_at = first.join(joints, "node").select("low", "node", F.col("x.seg_id").alias("seg_id"), F.col("x.side").alias("side"))
+        open_at = _met(first, joints, "node").select("low", "node", F.col("x.seg_id").alias("seg_id"), F.col("x.side").alias("side"))
         start = open_at.select((2 * F.col("seg_id") + F.col("side")).alias("start"), "low")
-        marked = own.join(F.broadcast(first.withColumnRenamed("node", "open")) if first.count() < 100_000 else first.withColumnRenamed("node", "open"), "low")
+        marked = _met(own, first.withColumnRenamed("node", "open"), "low")
         lists = marked.select("arc", F.shiftright("arc", 1).alias("seg_id"), F.when(F.col("node") != F.col("open"), F.col("nxt")).alias("nxt"))
         again = _followed(lists, rounds)
         # of the two directions of a ring, that which leaves its node by the smaller segment
-        size = again.join(start, again.arc == start.start).select(F.col("last").alias("last"))
-        opened = again.join(size, "last", "left_semi").select(F.shiftright("arc", 1).alias("seg_id"), "arc", "low", "last", "hops", "nxt")
+        size = _met(again, start, again.arc == F.col("start")).select(F.col("last").alias("last"))
+        opened = _met(again, size, "last", "left_semi").select(F.shiftright("arc", 1).alias("seg_id"), "arc", "low", "last", "hops", "nxt")
     tail = ranked.where("nxt IS NULL").select(F.shiftright("arc", 1).alias("seg_id"), F.when(F.col("arc") % 2 == 0, "f").otherwise("b").alias("way"), F.struct("low", "last", "hops").alias("to"))
     both = tail.groupBy("seg_id").agg(F.max(F.when(F.col("way") == "f", F.col("to"))).alias("f"), F.max(F.when(F.col("way") == "b", F.col("to"))).alias("b")).where("f IS NOT NULL AND b IS NOT NULL")
     heads = ends.select((2 * F.col("seg_id") + 1 - F.col("side")).alias("last"), "node")
-    both = both.join(heads.withColumnsRenamed({"last": "f_last", "node": "f_node"}), F.col("f.last") == F.col("f_last")).join(heads.withColumnsRenamed({"last": "b_last", "node": "b_node"}), F.col("b.last") == F.col("b_last"))
+    both = _met(both, heads.withColumnsRenamed({"last": "f_last", "node": "f_node"}), F.col("f.last") == F.col("f_last"))
+    both = _met(both, heads.withColumnsRenamed({"last": "b_last", "node": "b_node"}), F.col("b.last") == F.col("b_last"))
     ahead = F.struct("b_node", F.shiftright("b_last", 1), "b_last") <= F.struct("f_node", F.shiftright("f_last", 1), "f_last")
     lines = both.select("seg_id", F.least("f.low", "b.low").alias("chain"), F.when(ahead, F.col("b.hops")).otherwise(F.col("f.hops")).alias("position"), ahead.alias("forward"), (F.col("f.hops") + F.col("b.hops") + 1).alias("segments"), F.lit(False).alias("ring"))
     sizes = opened.groupBy("last").agg(F.min("low").alias("chain"), F.max("hops").alias("most"))
-    loops = opened.join(sizes, "last").select("seg_id", "chain", (F.col("most") - F.col("hops")).alias("position"), (F.col("arc") % 2 == 0).alias("forward"), (F.col("most") + 1).alias("segments"), F.lit(True).alias("ring"))
+    loops = _met(opened, sizes, "last").select("seg_id", "chain", (F.col("most") - F.col("hops")).alias("position"), (F.col("arc") % 2 == 0).alias("forward"), (F.col("most") + 1).alias("segments"), F.lit(True).alias("ring"))
     return lines.unionByName(loops)
 
 
@@ -112,12 +129,12 @@ def chains(seg: DataFrame, rings: str = "alone", least_m: float = 20.0) -> DataF
     own = ordered_chains(seg)
     if rings == "alone":
         if own.where("NOT ring").isEmpty():
-            nodes = own.join(seg.select("seg_id", "node_a", "node_b"), "seg_id")
+            nodes = _met(own, seg.select("seg_id", "node_a", "node_b"), "seg_id")
             first = nodes.groupBy("chain").agg(F.min(F.least("node_a", "node_b")).alias("node")).orderBy("node").limit(1)
             own = own.join(F.broadcast(first.select("chain")), "chain", "left_semi")
         else:
             own = own.where("NOT ring")
-    held = own.join(seg, "seg_id")
+    held = _met(own, seg, "seg_id")
     sums = [F.round(F.sum(c), 4).alias(c) for c in CHAIN_SUMS]
     means = [F.round(F.coalesce(F.sum(F.col(c) * F.col("n_points")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("n_points"))), F.lit(0)), F.lit(0.0)), 6).alias(c) for c in CHAIN_MEANS]
     out = held.groupBy("chain").agg(F.max("segments").alias("segments"), F.sum("length_m").alias("m"), F.max("n_trips").alias("n_trips"), *sums, *means)
