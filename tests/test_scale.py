@@ -28,3 +28,8 @@ def test_chains_leave_rings_early_and_broadcast_nothing(spark, monkeypatch):
     assert {s: got[s] for s, _, _ in ring} == {7: (3, 0, True), 3: (3, 1, True), 9: (3, 2, True)} and len(got) == 503
     assert len(cuts) <= 9  # with twelve rounds for a ring before
     assert not any("Broadcast" in plan for plan in cuts)
+
+
+def test_pooled_chains_broadcast_nothing(spark, sf):
+    plan = catalog.QUERIES["r2_chains"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == plan.count("rightHint=(strategy=merge)") > 0
