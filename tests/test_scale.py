@@ -33,3 +33,35 @@ def test_chains_leave_rings_early_and_broadcast_nothing(spark, monkeypatch):
 def test_pooled_chains_broadcast_nothing(spark, sf):
     plan = catalog.QUERIES["r2_chains"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == plan.count("rightHint=(strategy=merge)") > 0
+
+
+# the network stays where it is: no query collects it
+@pytest.mark.parametrize("name", ["r3_shortest_costs"])
+def test_the_driver_holds_no_network(name, spark, sf, monkeypatch):
+    from wayfold.operators import search
+
+    monkeypatch.setattr(search, "network", lambda *a: pytest.fail("the driver collects the network"))
+    assert catalog.QUERIES[name](spark, sf).count()
+
+
+def test_parts_of_a_network_give_the_routes_of_the_whole(spark, monkeypatch):
+    """Searches that leave the first squares get more of them; settled regions are one heap over the whole, ties and seconds too."""
+    import random
+
+    from wayfold.operators import graph, search
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):  # a lattice of 20 by 20, a tenth of a degree apart
+        for other in ([k + 1] if k % 20 < 19 else []) + ([k + 20] if k < 380 else []):
+            rows.append((len(rows), k, other, 100.0, float(rng.randint(1, 6)), rng.random(), 0.1, rng.random() < 0.1, k // 20 * 0.1, k % 20 * 0.1, other // 20 * 0.1, other % 20 * 0.1))
+    seg = spark.createDataFrame(rows, "seg_id long, node_a long, node_b long, length_m double, seconds double, value double, risk double, oneway boolean, lat_a double, lon_a double, lat_b double, lon_b double")
+    whole = search.Network(seg.toPandas())
+    asked = spark.createDataFrame([(0, 0, 399, None), (1, 210, 214, None), (2, 5, 77, None), (3, 5, 9999, None)], "request long, start long, goal long, minutes double")
+    key = ["request", "label", "pos"]
+    part = search.plan(asked, seg, "destination").toPandas().sort_values(key).reset_index(drop=True)
+    assert part.equals(search.plan(asked, whole, "destination").toPandas().sort_values(key).reset_index(drop=True)) and set(part["request"]) == {0, 1, 2}
+    monkeypatch.setattr(graph.settled, "__defaults__", (40, 1000))
+    starts, key = asked.where("request < 2"), ["request", "node"]
+    far = search.costs_from(starts, seg, junctions=True, alpha=2.0, used=frozenset(range(50)), reuse=4.0).toPandas().sort_values(key).reset_index(drop=True)
+    assert far.equals(search.costs_from(starts, whole, junctions=True, alpha=2.0, used=frozenset(range(50)), reuse=4.0).toPandas().sort_values(key).reset_index(drop=True)) and len(far) == 800

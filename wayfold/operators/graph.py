@@ -3,7 +3,12 @@ checkpoints."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.plans import store
@@ -183,3 +188,92 @@ def on_cheapest_ways(arcs: DataFrame, starts: DataFrame, goals: DataFrame, doubl
     whole = forth.join(goals.select("key", "node"), ["key", "node"]).select("key", F.col("cost").alias("whole"))
     met = arcs.join(forth.select("key", F.col("node").alias("u"), F.col("cost").alias("since")), ["key", "u"]).join(back.select("key", F.col("node").alias("v"), F.col("cost").alias("ahead")), ["key", "v"]).join(whole, "key")
     return met.where(F.abs(F.col("since") + F.col("w") + F.col("ahead") - F.col("whole")) <= slack).select("key", "arc", "u", "v", "since")
+
+
+#: Nodes of a region, which a task settles at once; a node with four arcs takes about 600 bytes there.
+REGION_NODES = 250_000
+
+
+def _region(node: str, bounds: list[int], base: int = 0) -> Column:
+    """How many of the sorted bounds are no larger than a node."""
+    if not bounds:
+        return F.lit(base)
+    at = len(bounds) // 2
+    return F.when(F.col(node) < bounds[at], _region(node, bounds[:at], base)).otherwise(_region(node, bounds[at + 1 :], base + at + 1))
+
+
+def _settle(key: tuple, arcs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Labels of a region's nodes from those of its starts and of the nodes outside that have arcs into it."""
+    nodes, index = np.unique(np.concatenate([arcs["u"].to_numpy(np.int64), arcs["v"].to_numpy(np.int64), known["node"].to_numpy(np.int64)]), return_inverse=True)
+    u, v, k = np.split(index, [len(arcs), 2 * len(arcs)])
+    order = np.lexsort((arcs["turn"].to_numpy(), u))
+    first = np.searchsorted(u[order], np.arange(len(nodes) + 1)).tolist()
+    end = v[order].tolist()
+    w, s, wait = (arcs[c].to_numpy(float)[order].tolist() for c in ("w", "s", "delay"))
+    best, elapsed = [math.inf] * len(nodes), [0.0] * len(nodes)
+    origins = set(k[known["origin"].to_numpy(bool)].tolist())
+    heap = []
+    for i, cost, since in zip(k.tolist(), known["cost"].tolist(), known["elapsed"].tolist()):
+        if cost < best[i]:
+            best[i], elapsed[i] = cost, since
+            heap.append((cost, i))
+    heapq.heapify(heap)
+    while heap:
+        d, i = heapq.heappop(heap)
+        if d > best[i]:
+            continue
+        origin = i in origins
+        for a in range(first[i], first[i + 1]):
+            more = 0.0 if origin else wait[a]
+            if (new := d + w[a] + more) < best[j := end[a]]:
+                best[j], elapsed[j] = new, elapsed[i] + s[a] + more
+                heapq.heappush(heap, (new, j))
+    inside = np.zeros(len(nodes), bool)
+    inside[v] = True
+    inside[k[known["own"].to_numpy(bool)]] = True
+    best = np.array(best)
+    at = np.flatnonzero(inside & (best < math.inf))
+    return pd.DataFrame({"key": key[0], "region": key[1], "node": nodes[at], "cost": best[at], "elapsed": np.array(elapsed)[at], "origin": np.isin(at, list(origins))})
+
+
+def settled(arcs: DataFrame, starts: DataFrame, region_nodes: int = REGION_NODES, limit: int = 100_000) -> DataFrame:
+    """key, node, cost, elapsed of the cheapest way from each key's ``starts`` (key, node, cost) over all arcs (u, v, w) with positive
+    weights. Arcs may have s (seconds, which add up to ``elapsed``; w otherwise), delay (added to both unless u is a start) and turn (which
+    of a node's arcs comes first; of equal costs, the one found first by a heap of (cost, node) stays).
+
+    Nodes are cut into regions by ranges of their numbers. A round settles the regions into which labels came that differ from the last,
+    each in a task from what its neighbours told; the labels at which nothing changes are those of one heap over the whole. So a
+    flood takes about as many rounds as its cheapest ways cross borders; how regions are cut changes only that."""
+    spark = arcs.sparkSession
+    own = lambda c, other: F.col(c) if c in arcs.columns else other
+    arcs = arcs.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w"), own("s", F.col("w")).cast("double").alias("s"), own("delay", F.lit(0.0)).cast("double").alias("delay"), own("turn", F.col("v")).cast("long").alias("turn"))
+    parts = math.ceil(arcs.agg(F.approx_count_distinct("v")).first()[0] / region_nodes)
+    bounds = sorted({int(b) for b in arcs.approxQuantile("v", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    path = store.scratch(spark, "regions")
+    arcs.withColumn("source", _region("u", bounds)).withColumn("region", _region("v", bounds)).repartition("region").write.partitionBy("region").parquet(f"{path}/arcs")
+    arcs = spark.read.schema("u long, v long, w double, s double, delay double, turn long, source int, region int").parquet(f"{path}/arcs")
+    border = cut(arcs.where("source <> region").select(F.col("u").alias("node"), F.col("source").alias("region"), F.col("region").alias("target")).distinct())
+    label = "key long, region int, node long, cost double, elapsed double, origin boolean"
+    begin = cut(starts.select(F.col("key").cast("long").alias("key"), _region("node", bounds).alias("region"), F.col("node").cast("long").alias("node"), F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("elapsed"), F.lit(True).alias("origin"), F.lit(True).alias("own")))
+    told = spark.createDataFrame([], f"{label}, target int")
+    due = [tuple(r) for r in begin.select("key", "region").distinct().collect()]
+    latest: dict[tuple, int] = {}
+    for turn in range(limit):
+        if not due:
+            break
+        latest |= dict.fromkeys(due, turn)
+        pairs = F.broadcast(spark.createDataFrame(due, "key long, region int"))
+        ways = arcs.where(F.col("region").isin(sorted({r for _, r in due}))).join(pairs, "region")
+        known = begin.unionByName(told.select("key", F.col("target").alias("region"), "node", "cost", "elapsed", "origin", F.lit(False).alias("own"))).join(pairs, ["key", "region"], "left_semi")
+        ways.groupBy("key", "region").cogroup(known.groupBy("key", "region")).applyInPandas(_settle, label).write.parquet(f"{path}/labels/turn={turn}")
+        new = cut(_met(spark.read.schema(label).parquet(f"{path}/labels/turn={turn}"), border, ["node", "region"]).select("key", "region", "node", "cost", "elapsed", "origin", "target"))
+        old = told.join(pairs, ["key", "region"], "left_semi")
+        both = _met(new.withColumn("x", F.struct("cost", "elapsed")).select("key", "target", "node", "x"), old.withColumn("y", F.struct("cost", "elapsed")).select("key", "target", "node", "y"), ["key", "target", "node"], "full")
+        due = [tuple(r) for r in both.where("NOT x <=> y").select("key", "target").distinct().collect()]
+        told = cut(told.join(pairs, ["key", "region"], "left_anti").unionByName(new))
+    else:
+        raise RuntimeError(f"nodes are not settled after {limit} rounds")
+    if not latest:
+        return spark.createDataFrame([], "key long, node long, cost double, elapsed double")
+    last = F.broadcast(spark.createDataFrame([(*k, t) for k, t in latest.items()], "key long, region int, turn int"))
+    return spark.read.schema(f"{label}, turn int").parquet(f"{path}/labels").join(last, ["key", "region", "turn"], "left_semi").select("key", "node", "cost", "elapsed")
