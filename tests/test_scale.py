@@ -65,3 +65,14 @@ def test_parts_of_a_network_give_the_routes_of_the_whole(spark, monkeypatch):
     starts, key = asked.where("request < 2"), ["request", "node"]
     far = search.costs_from(starts, seg, junctions=True, alpha=2.0, used=frozenset(range(50)), reuse=4.0).toPandas().sort_values(key).reset_index(drop=True)
     assert far.equals(search.costs_from(starts, whole, junctions=True, alpha=2.0, used=frozenset(range(50)), reuse=4.0).toPandas().sort_values(key).reset_index(drop=True)) and len(far) == 800
+
+
+# floods go from region to region, not from hop to hop by rounds of joins
+@pytest.mark.parametrize("name", ["r3_flood_costs"])
+def test_floods_take_no_round_for_each_hop(name, spark, sf, monkeypatch):
+    from wayfold.operators import graph
+
+    monkeypatch.setattr(graph, "floods", lambda *a: pytest.fail("a round of joins for each hop"))
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or cut(df))
+    assert catalog.QUERIES[name](spark, sf).count() and len(cuts) <= 4
