@@ -68,7 +68,7 @@ def test_parts_of_a_network_give_the_routes_of_the_whole(spark, monkeypatch):
 
 
 # floods go from region to region, not from hop to hop by rounds of joins
-@pytest.mark.parametrize("name", ["r3_flood_costs"])
+@pytest.mark.parametrize("name", ["r3_flood_costs", "k2_turn_costs"])
 def test_floods_take_no_round_for_each_hop(name, spark, sf, monkeypatch):
     from wayfold.operators import graph
 
