@@ -76,3 +76,14 @@ def test_floods_take_no_round_for_each_hop(name, spark, sf, monkeypatch):
     cuts, cut = [], graph.cut
     monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or cut(df))
     assert catalog.QUERIES[name](spark, sf).count() and len(cuts) <= 4
+
+
+def test_lakes_meet_places_not_viewpoints(spark):
+    """Lakes and viewpoints that share their places meet once for each place: the first viewpoint of the nearest place, within 8 km."""
+    from wayfold.plans.relation import CATALOG
+
+    poi = spark.createDataFrame([(i, "lake", 47.6 + i % 2 * 0.01, 11.3) for i in range(6)] + [(9, "lake", 50.0, 11.3)], "poi_id long, kind string, lat double, lon double")
+    seen = spark.createDataFrame([(100 + i, 47.6 + i % 3 * 0.01, 11.31) for i in range(9)], "poi_id long, lat double, lon double")
+    frames = {"poi": poi, "viewpoint_ok": seen}
+    assert CATALOG.build("lake_places", spark, "", dict(frames)).count() == 3 and CATALOG.build("viewpoint_places", spark, "", dict(frames)).count() == 3
+    assert {tuple(r) for r in CATALOG.build("lake_targets", spark, "", dict(frames)).select("poi_id", "target").collect()} == {(i, 100 + i % 2) for i in range(6)}
