@@ -36,7 +36,7 @@ def test_pooled_chains_broadcast_nothing(spark, sf):
 
 
 # the network stays where it is: no query collects it
-@pytest.mark.parametrize("name", ["r3_shortest_costs", "r6_paths", "r7_fixed_alphas", "r8_motorway_free", "r9_time_budget", "r13_alternatives", "r14_heatmap"])
+@pytest.mark.parametrize("name", ["r3_shortest_costs", "r6_paths", "r7_fixed_alphas", "r8_motorway_free", "r9_time_budget", "r13_alternatives", "r14_heatmap", "l6_distinct_routes"])
 def test_the_driver_holds_no_network(name, spark, sf, monkeypatch):
     from wayfold.operators import search
 
